@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from factspan.llm import langid, packing, pii, secrets
+from factspan.llm import decontaminate, langid, ngram_join, packing, pii, rules, secrets
 
 QUERIES = {
     f.__name__: f
     for f in (
         pii.op1_pii_skip_chain,
+        rules.op4_rules_weak_supervision,
+        decontaminate.op5_winnowing,
         packing.op6_pack_matching,
         secrets.op7_secret_structure,
         langid.op8_language_backoff,
+        ngram_join.op10_ngram_jaccard,
     )
 }
 ORACLES: dict[str, str] = {}
