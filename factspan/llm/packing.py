@@ -21,9 +21,11 @@ rows keep their pieces; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
+import re
 import zlib
-from array import array
+from bisect import bisect_left, insort
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +37,7 @@ CAPACITY = 4096
 END_ID = 1
 BLOCK = 4096
 #: Distinct chunks whose ids a Python worker remembers.
-CACHE = 300_000
+CACHE = 800_000
 
 
 def tokenizer_path() -> str:
@@ -45,36 +47,63 @@ def tokenizer_path() -> str:
 
 
 class ChunkTokenizer:
-    """Ids of whole texts by way of their space-separated chunks.
+    """Ids of whole texts, as little-endian unsigned 32-bit bytes, by way of their chunks.
 
     The vocabulary's normaliser maps white space to one space and its splitter drops it, so a
-    chunk's ids do not depend on its neighbours; known chunks are looked up, new ones go
-    through the library in one batch.
+    chunk's ids do not depend on its neighbours; known chunks are looked up, and all new ones of
+    a call go through the library as one text, cut again at their places. Texts of Latin letters
+    are lower-cased first, as the normaliser does one character at a time, and a single full stop
+    or comma after a word becomes a chunk of its own, as the splitter has it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {"": ()}
-
-    def __call__(self, texts: list[str]) -> list[array]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list({c for chunks in split for c in chunks if c not in self.known})
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _learn(self, missing: list[str]) -> None:
+        for lo in range(0, len(missing), 4096):
+            part = missing[lo : lo + 4096]
+            starts = np.cumsum([0] + [len(c) + 1 for c in part[:-1]])
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(got.ids, dtype="<u4")
+            begins = np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            cuts = np.searchsorted(begins, starts).tolist() + [len(ids)]
+            raw = ids.tobytes()
+            for c, x, y in zip(part, cuts, cuts[1:]):
+                self.known[c] = raw[4 * x : 4 * y]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for t in texts:
+            if not _BEYOND_LATIN.search(t):
+                t = _LONE_MARK.sub(r" \1", t.lower())
+            split.append(t.replace("\n", " ").split(" "))
+        known = self.known
+        missing = {c for chunks in split for c in chunks if c not in known}
         if missing:
-            if len(self.known) + len(missing) > CACHE:
-                self.known = {"": ()}
-                missing = list({c for chunks in split for c in chunks if c})
-            for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                self.known[c] = tuple(e.ids)
-        out = []
-        for chunks in split:
-            ids = array("I")
-            put = ids.extend
-            for x in map(self.known.__getitem__, chunks):
-                put(x)
-            out.append(ids)
-        return out
+            if len(known) + len(missing) > CACHE:
+                known.clear()
+                known[""] = b""
+                missing = {c for chunks in split for c in chunks if c}
+            self._learn(list(missing))
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+
+
+#: Outside it, or for the dotted capital I, lower-casing and composition depend on more than one character.
+_BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|(?:start|end)oftext\\|>")
+_LONE_MARK = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
+_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer(path: str) -> ChunkTokenizer:
+    """One per worker process: what it has learnt serves the next task."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = ChunkTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 _PIECES = [
@@ -92,23 +121,24 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
         context = TaskContext.get()
         task = context.partitionId() if context else 0
-        encode = ChunkTokenizer(path)
+        encode = tokenizer(path)
+        end = end_id.to_bytes(4, "little")
         seen: dict[int, int] = {}
 
         def step(doc_ids, texts):
             out: list[list] = [[] for _ in fields]
             for doc_id, ids in zip(doc_ids, encode([t or "" for t in texts])):
-                ids.append(end_id)
-                for k, lo in enumerate(range(0, len(ids), capacity)):
-                    part = ids[lo : lo + capacity]
-                    n = len(part)
+                ids += end
+                for k, lo in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * lo : 4 * (lo + capacity)]
+                    n = len(part) // 4
                     place = seen.get(n, 0)
                     seen[n] = place + 1
-                    row = (doc_id, k, lo, n, zlib.crc32(part.tobytes()), task, place)
+                    row = (doc_id, k, lo, n, zlib.crc32(part), task, place)
                     for col, v in zip(out, row):
                         col.append(v)
                     if with_ids:
-                        out[-1].append(part.tolist())
+                        out[-1].append(np.frombuffer(part, dtype="<i4"))
             return out
 
         return step
@@ -146,8 +176,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
             sequences += number
 
     open_gaps = sorted(g for g in gaps if g > 0)
-    from bisect import bisect_left, insort
-
     for n in sorted((n for n in left if 3 * n <= capacity), reverse=True):
         while left[n]:
             i = bisect_left(open_gaps, n)
