@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.llm.common import bounded_sample, documents, fold, id_text, map_texts
+from factspan.llm.common import bounded_sample, documents, fold, id_text, map_texts, materialise
 
 TRAIN_ROWS = 20_000
 MAX_WORDS = 200_000
@@ -53,52 +53,71 @@ def grams_of(word: str, n: int) -> list[str]:
 _COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("gram", T.StringType()), T.StructField("c", T.LongType())])
 
 
-def _count_grams():
-    """Task-local counts of words (n = 0) and n-grams per language, flushed when large."""
-    held: Counter = Counter()
+class _Held:
+    """Task-local counts by (lang, n, gram), handed out when there are many and at the end."""
 
-    def drain():
-        items = list(held.items())
-        held.clear()
+    def __init__(self):
+        self.counts: Counter = Counter()
+
+    def drain(self):
+        items = list(self.counts.items())
+        self.counts.clear()
         return [[k[0] for k, _ in items], [k[1] for k, _ in items], [k[2] for k, _ in items], [c for _, c in items]]
 
-    def step(langs, texts):
+    def finish(self):
+        yield self.drain()
+
+
+class _CountWords(_Held):
+    def __call__(self, langs, texts):
         for lang, text in zip(langs, texts):
             for word, c in Counter(words_of(text)).items():
-                held[lang, 0, word] += c
-                for n in ORDERS:
-                    for g in grams_of(word, n):
-                        held[lang, n, g] += c
-        return drain() if len(held) > _FLUSH else None
+                self.counts[lang, 0, word] += c
+        return self.drain() if len(self.counts) > _FLUSH else None
 
-    step.finish = lambda: [drain()]
-    return step
+
+class _CountGrams(_Held):
+    """n-grams of words already counted, so that a word is cut once per language."""
+
+    def __call__(self, langs, words, counts):
+        held = self.counts
+        for lang, word, c in zip(langs, words, counts):
+            for n in ORDERS:
+                for g in grams_of(word, n):
+                    held[lang, n, g] += c
+        return self.drain() if len(held) > _FLUSH else None
 
 
 def fit(df: DataFrame, rows: int = TRAIN_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
     """Tables of per-language counts. Bounded: sampled rows, then the most frequent entries."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    counts = map_texts(bounded_sample(docs, rows).select("lang", "text"), _count_grams, _COUNTS).groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    by_gram = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by"))
-    by_gram = by_gram.where((F.col("n") != 0) | (F.col("total") > 1))
-    words = by_gram.where("n = 0").orderBy(F.desc("total"), "gram").limit(max_words)
-    grams = by_gram.where("n > 0").orderBy(F.desc("total"), "n", "gram").limit(max_grams)
-    got = words.unionByName(grams).select("n", "gram", "by").collect()
-    langs = sorted({x.lang for r in got for x in r.by})
-    at = {lang: k for k, lang in enumerate(langs)}
-    tables: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
-    raw: dict[int, list] = {n: [] for n in tables}
-    for r in sorted(got, key=lambda r: (r.n, r.gram)):
-        row = [0] * len(langs)
-        for x in r.by:
-            row[at[x.lang]] = x.c
-        tables[r.n][r.gram] = len(raw[r.n])
-        raw[r.n].append(row)
-    logs = {}
-    for n, rows_ in raw.items():
-        m = np.array(rows_, dtype=np.float64).reshape(len(rows_), len(langs))
-        logs[n] = np.log((m + 0.1) / (m.sum(0) + 0.1 * (len(rows_) + 1))).astype(np.float32)
+    total = F.sum("c").alias("c")
+    words = materialise(map_texts(bounded_sample(docs, rows).select("lang", "text"), _CountWords, _COUNTS).groupBy("lang", "n", "gram").agg(total), "words")
+    grams = map_texts(words.select("lang", "gram", "c"), _CountGrams, _COUNTS).groupBy("lang", "n", "gram").agg(total)
+
+    def most(counts: DataFrame, limit: int) -> DataFrame:
+        by = counts.groupBy("n", "gram").agg(total, F.sort_array(F.collect_list(F.struct("lang", F.col("c").alias("times")))).alias("by"))
+        by = by.where((F.col("n") != 0) | (F.col("c") > 1)).orderBy(F.desc("c"), "n", "gram").limit(limit)
+        return by.select("n", "gram", F.col("by.lang").alias("langs"), F.col("by.times").alias("times"))
+
+    got = most(words, max_words).unionByName(most(grams, max_grams)).toArrow().combine_chunks()
+    sizes = np.diff(got["langs"].combine_chunks().offsets.to_numpy())
+    names = np.array(got["langs"].combine_chunks().flatten().to_pylist(), dtype=object)
+    langs = sorted(set(names))
+    column = np.array([langs.index(x) for x in names], dtype=np.int64)
+    times = got["times"].combine_chunks().flatten().to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order, text = got["n"].to_numpy(), got["gram"].to_pylist()
+    tables: dict[int, dict[str, int]] = {}
+    logs: dict[int, np.ndarray] = {}
+    for n in (0, *ORDERS):
+        at = np.flatnonzero(order == n)
+        tables[n] = {text[i]: k for k, i in enumerate(at)}
+        m = np.zeros((len(order), len(langs)))
+        m[row, column] = times
+        m = m[at]
+        logs[n] = np.log((m + 0.1) / (m.sum(0) + 0.1 * (len(at) + 1))).astype(np.float32)
     return {"langs": langs, "tables": tables, "logs": logs}
 
 
@@ -111,6 +130,13 @@ class Scorer:
         self.cache: dict[str, np.ndarray] = {}
         self.zero = np.zeros(len(self.langs), dtype=np.float32)
 
+    @staticmethod
+    def of(model: dict) -> "Scorer":
+        """The scorer of a broadcast model: a worker's next task finds it with its cache."""
+        if "scorer" not in model:
+            model["scorer"] = Scorer(model)
+        return model["scorer"]
+
     def back_off(self, word: str) -> np.ndarray:
         got = self.cache.get(word)
         if got is None:
@@ -155,7 +181,7 @@ def predict(df: DataFrame, model: dict | None = None) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        score = Scorer(sent.value)
+        score = Scorer.of(sent.value)
 
         def step(ids, texts, held):
             got = [score(t) for t in texts]
@@ -177,7 +203,7 @@ def keep_identified(df: DataFrame, least: float = 0.5, model: dict | None = None
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        score = Scorer(sent.value)
+        score = Scorer.of(sent.value)
         for b in batches:
             got = [score(t) for t in pc.cast(b.column(at), pa.string()).to_pylist()]
             yield b.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in got]))
