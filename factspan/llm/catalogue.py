@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from factspan.llm import decontaminate, langid, ngram_join, packing, pii, rules, secrets
+from factspan.llm import decontaminate, langid, lbl, ngram_join, packing, pii, preferences, rules, secrets, weak_quality
 
 QUERIES = {
     f.__name__: f
     for f in (
         pii.op1_pii_skip_chain,
+        weak_quality.op2_weak_quality,
+        preferences.op3_preference_pairs,
         rules.op4_rules_weak_supervision,
         decontaminate.op5_winnowing,
         packing.op6_pack_matching,
         secrets.op7_secret_structure,
         langid.op8_language_backoff,
+        lbl.op9_log_bilinear,
         ngram_join.op10_ngram_jaccard,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_preference_pairs": preferences.ORACLE}

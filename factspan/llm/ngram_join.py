@@ -285,5 +285,20 @@ def join_classes(df: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_first(df: DataFrame) -> DataFrame:
+    """One row of each class: that of its smallest id, with all columns of df. Rows without an
+    id are in no class and stay; of rows that share an id, one of the longest text stays."""
+    lone = df.where(F.col("doc_id").isNull())
+    classes = join_classes(df.where(F.col("doc_id").isNotNull())).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    classes = materialise(classes, "first")
+    side = F.broadcast(classes) if classes.count() <= BROADCAST_ROWS else classes
+    first = df.join(side, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+    by = W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64(*df.columns))
+    twice = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if twice.head(1):
+        first = first.withColumn("_k", F.row_number().over(by)).where("_k = 1").drop("_k")
+    return first.unionByName(lone)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_classes(documents(spark, sf_dir))
