@@ -4,20 +4,25 @@ Sets are the distinct 5-word shingles of a document as 64-bit hashes; a *node* i
 set, so exact copies are one node however many they are. Two nodes link when
 100 * intersection >= 75 * union.
 
-1. Every task counts its shingles in a sketch of 2**SKETCH_BITS counters over all documents;
-   the summed sketch gives the global order: rare counters first, then the hash. Any fixed
-   order makes prefix filtering exact; this one keeps common passages out of the prefixes.
+1. Every task counts its shingles in a sketch of counters, about sixteen a document (at most
+   2**MOST_BITS), over all documents; the summed sketch gives the global order: rare counters
+   first, then the hash. Any fixed order makes prefix filtering exact; this one keeps common
+   passages out of the prefixes and puts what is a document's own before what it shares.
 2. A set of n shingles posts its first n - ceil(0.75 n) + 1 ones. Postings meet by shingle;
-   lists the sketch calls long are salted into sub-lists, whose heads meet by shingle again.
-3. First round: within each list every node is a candidate of the list's smallest member
-   only, so a list of m members gives m candidates, never m * m. The candidate that shares
-   most prefix shingles is verified. Accepted links give components (alternating star
-   contraction over tables, nothing on the driver).
+   lists the sketch calls long are salted into sub-lists. If the first shingle of a set that
+   another set posted too stands at place e, the first e ones are in no set it may link with,
+   so it shares at most n - e: sets for which that is under 0.75 n leave, and the same bound
+   holds for every pair. It is taken twice, the second time among the sets that stayed.
+3. First round: within each list every node is a candidate of the list's head only (the member
+   with fewest shingles of its own in front, which in a group of edited copies is their original), so a
+   list of m members gives m candidates, never m * m. The candidate that shares most prefix
+   shingles is verified. Accepted links give components (alternating star contraction over
+   tables, nothing on the driver).
 4. Second round, which makes the result exact: in lists that still hold members of different
-   components, all pairs across components pass the length and positional filters, then the
-   suffix filter (set sizes in BINS fixed ranges of the order bound the overlap from above),
-   and those left are verified once. A linked pair shares a prefix shingle, so it is either
-   within one component already or verified here.
+   components, all pairs across components pass the length and positional filters and the bound
+   of step 2, then the suffix filter (set sizes in BINS fixed ranges of the order bound the
+   overlap from above), and those left are verified once. A linked pair shares a prefix shingle,
+   so it is either within one component already or verified here.
 
 Defined results: null text, or a text without words, has an empty set, n_shingles 0 and is its
 own component; fewer than five words are one shingle; rows with a null id come back with a
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +44,7 @@ from pyspark.sql import Window as W
 from factspan.llm.common import BROADCAST_ROWS, ascii_lower_words, documents, id_text, map_texts, materialise
 
 WORDS = 5
-SKETCH_BITS = 20
+LEAST_BITS, MOST_BITS = 16, 24
 BLOCK = 4096
 BINS = 64
 #: Members of a posting list above which it is split.
@@ -96,56 +102,73 @@ _FIRST = T.StructType([
 ])
 
 
-def _digest():
-    """Rows (doc_id, node, n) of every document, then the task's sketch in blocks."""
+def _digest(bits: int):
+    """Rows (doc_id, node, n, bins) of every document, then the task's sketch in blocks."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
     bundle = (context.partitionId() if context else 0) // 64
     shingles = Shingler()
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    sketch = np.zeros(1 << bits, dtype=np.int64)
+    waiting: list[np.ndarray] = []
+
+    def count():
+        if waiting:
+            sketch[:] += np.bincount((np.concatenate(waiting) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(sketch))
+            waiting.clear()
 
     def step(ids, texts):
         sets = [shingles(t) for t in texts]
-        full = [s for s, i in zip(sets, ids) if len(s) and i is not None]
-        if full:
-            sketch[:] += np.bincount((np.concatenate(full) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+        waiting.extend(s for s, i in zip(sets, ids) if len(s) and i is not None)
+        if sum(map(len, waiting)) > 4 << 20:
+            count()
         none = [None] * len(ids)
         bins = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS) if len(s) else None for s in sets]
         return [ids, [node_of(s) if len(s) and i is not None else None for s, i in zip(sets, ids)], [len(s) for s in sets], none, none, none, bins]
 
     def finish():
-        if sketch.any():
-            blocks = sketch.reshape(-1, BLOCK)
-            used = [b for b in range(len(blocks)) if blocks[b].any()]
-            none = [None] * len(used)
-            yield [none, none, none, [bundle] * len(used), used, [blocks[b].astype(np.uint32).tobytes() if blocks[b].max() < 1 << 32 else blocks[b].tobytes() for b in used], none]
+        count()
+        blocks = sketch.reshape(-1, BLOCK)
+        used = [b for b in range(len(blocks)) if blocks[b].any()]
+        for lo in range(0, len(used), 256):
+            part = used[lo : lo + 256]
+            none = [None] * len(part)
+            yield [none, none, none, [bundle] * len(part), part, [_packed(blocks[b]) for b in part], none]
 
     step.finish = finish
     return step
 
 
+def _packed(block: np.ndarray) -> bytes:
+    """Counters in as few bytes each as the largest needs; their width follows from the length."""
+    top = int(block.max())
+    return block.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if top <= np.iinfo(t).max)).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // BLOCK])
+
+
 def _add_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(BLOCK, dtype=np.int64)
     for raw in pdf["counts"]:
-        total += np.frombuffer(raw, dtype=np.uint32 if len(raw) == 4 * BLOCK else np.int64)
-    return pd.DataFrame({"bundle": [int(pdf["bundle"].iloc[0]) // 64], "block": [int(pdf["block"].iloc[0])], "counts": [total.tobytes()]})
+        total += _unpacked(raw)
+    return pd.DataFrame({"bundle": [int(pdf["bundle"].iloc[0]) // 64], "block": [int(pdf["block"].iloc[0])], "counts": [_packed(total)]})
 
 
-def _order_codes(first: DataFrame) -> np.ndarray:
-    """One byte per counter: eight steps per doubling of the count. Its size is fixed."""
+def _order_codes(first: DataFrame, bits: int) -> np.ndarray:
+    """One byte per counter: eight steps per doubling of the count. Its size is bounded."""
     blocks = first.where(F.col("block").isNotNull()).select("bundle", "block", "counts")
     for _ in range(3):  # 64 tasks at a time, then 64 of those, then all
         blocks = blocks.groupBy("bundle", "block").applyInPandas(_add_blocks, "bundle int, block int, counts binary")
-    sketch = np.zeros((1 << SKETCH_BITS) // BLOCK * BLOCK, dtype=np.int64).reshape(-1, BLOCK)
-    for r in blocks.select("block", "counts").collect():
-        sketch[r.block] += np.frombuffer(r.counts, dtype=np.int64)
-    return np.minimum(255, np.ceil(8 * np.log2(1 + sketch.reshape(-1)))).astype(np.uint8)
+    codes = np.zeros((1 << bits) // BLOCK * BLOCK, dtype=np.uint8).reshape(-1, BLOCK)
+    for r in blocks.select("block", "counts").toLocalIterator():
+        codes[r.block] = np.minimum(255, np.ceil(8 * np.log2(1.0 + _unpacked(r.counts))))
+    return codes.reshape(-1)
 
 
-_POSTINGS = T.StructType([
-    T.StructField("s", T.LongType()), T.StructField("list", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType()),
-])
+#: s is the shingle; it is null where the list is not salted and so is the shingle itself.
+_POSTINGS = T.StructType([T.StructField("list", T.LongType()), T.StructField("s", T.LongType()), T.StructField("node", T.LongType()), T.StructField("pos", T.IntegerType())])
 
 
 def _postings(docs: DataFrame, codes: np.ndarray) -> DataFrame:
@@ -157,10 +180,10 @@ def _postings(docs: DataFrame, codes: np.ndarray) -> DataFrame:
         parts = np.maximum(1, (np.exp2(np.arange(256) / 8) / LONG_LIST).astype(np.uint64))
         shingles = Shingler()
         seen: set[int] = set()
-        shift = np.uint64(64 - SKETCH_BITS)
+        shift = np.uint64(65 - len(code).bit_length())
 
         def step(ids, texts):
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(4)]
             for doc_id, text in zip(ids, texts):
                 s = shingles(text) if doc_id is not None else ()
                 n = len(s)
@@ -178,9 +201,9 @@ def _postings(docs: DataFrame, codes: np.ndarray) -> DataFrame:
                 salt = np.uint64(node & 0x7FFFFFFFFFFFFFFF) % deal
                 lists = np.where(deal > 1, _mix(top + salt * _P + np.uint64(1)), top)
                 p = len(top)
-                for col, v in zip(cols, (top.view(np.int64), lists.view(np.int64), np.full(p, node, dtype=np.int64), np.full(p, n, dtype=np.int32), np.arange(p, dtype=np.int32))):
+                for col, v in zip(cols, (lists.view(np.int64), pa.array(top.view(np.int64), mask=deal == 1), np.full(p, node, dtype=np.int64), np.arange(p, dtype=np.int32))):
                     col.append(v)
-            return [np.concatenate(c) for c in cols] if cols[0] else None
+            return [pa.concat_arrays(c) if isinstance(c[0], pa.Array) else np.concatenate(c) for c in cols] if cols[0] else None
 
         return step
 
@@ -217,7 +240,7 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = materialise(_sets_of(docs, ends.join(nodes, "node").select("node", "doc_id")), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
-    return both.where("100 * i >= 75 * (size(x) + size(y) - i)").select("a", "b")
+    return materialise(both.where("100 * i >= 75 * (size(x) + size(y) - i)").select("a", "b"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,38 +271,64 @@ def _positions_fit(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
     return 7 * most >= 3 * (na + nb)
 
 
+def _sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join with a written table of short rows: broadcast if its measured size allows."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+
+
 def join_classes(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = id_text(df)
-    first = materialise(map_texts(docs, _digest, _FIRST), "digests")
+    bits = min(MOST_BITS, max(LEAST_BITS, docs.count().bit_length() + 4))
+    first = materialise(map_texts(docs, lambda: _digest(bits), _FIRST), "digests")
     rows = first.where(F.col("block").isNull())
-    codes = _order_codes(first)
+    codes = _order_codes(first, bits)
     nodes = materialise(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins")), "nodes")
 
-    by = W.partitionBy("list")
-    lists = _postings(docs, codes).withColumns({"least": F.min("node").over(by), "most": F.max("node").over(by), "head": F.min(F.struct("n", "node", "pos")).over(by)})
-    lists = lists.where("least <> most or list <> s").select("s", "list", "node", "n", "pos", "head")
-    lists = materialise(lists, "lists")
-    heads = lists.where("list <> s and node = head.node").withColumn("head", F.min(F.struct("n", "node", "pos")).over(W.partitionBy("s")))
-    star = lists.select("node", "n", "pos", "head").union(heads.select("node", "n", "pos", "head")).where(F.col("node") != F.col("head.node"))
-    star = star.where(_lengths_fit(F.col("n"), F.col("head.n")) & _positions_fit(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
-    shared = star.groupBy("node", F.col("head.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    tried = materialise(shared.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("c", "b")).alias("b")), "tried")
-    links = materialise(_links(docs, nodes, tried), "links")
+    def shared(postings: DataFrame) -> DataFrame:
+        """Postings whose list another node is in; salted lists may meet elsewhere and stay."""
+        by = W.partitionBy("list")
+        return postings.withColumns({"lo": F.min("node").over(by), "hi": F.max("node").over(by)}).where("lo <> hi or s is not null").drop("lo", "hi")
+
+    lists = materialise(shared(_postings(docs, codes)), "lists")
+
+    def alive(lists: DataFrame) -> DataFrame:
+        """The most that a node may share with any other, where that suffices to link."""
+        met = lists.groupBy("node").agg(F.min("pos").alias("own")).join(nodes.select("node", "n"), "node")
+        return materialise(met.where("4 * (n - own) >= 3 * n").select("node", "n", (F.col("n") - F.col("own")).alias("most")), "alive")
+
+    for _ in range(2):
+        able = alive(lists)
+        lists = materialise(shared(_sized(lists.select("list", "s", "node", "pos"), able, ["node"])), "met")
+    lists = lists.distinct().withColumn("s", F.coalesce("s", "list"))
+
+    def may_link(n: Column, most: Column, pos: Column, m: Column, most_m: Column, pos_m: Column) -> Column:
+        return _lengths_fit(n, m) & _positions_fit(n, pos, m, pos_m) & (7 * F.least(most, most_m) >= 3 * (n + m))
+
+    def stars(members: DataFrame, key: str) -> DataFrame:
+        heads = members.groupBy(key).agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), F.col("node").alias("b"), "n", "most", "pos")).alias("h"))
+        near = members.join(heads, key).where(F.col("node") != F.col("h.b"))
+        return near.where(may_link(F.col("n"), F.col("most"), F.col("pos"), F.col("h.n"), F.col("h.most"), F.col("h.pos"))).select("node", F.col("h.b").alias("b"))
+
+    salted = lists.where("list <> s")
+    star = stars(lists, "list")
+    star = star.union(stars(salted, "s")) if salted.head(1) else star
+    shares = star.groupBy("node", "b").agg(F.count(F.lit(1)).alias("c"))
+    tried = materialise(shares.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("c", "b")).alias("b")), "tried")
+    links = _links(docs, nodes, tried)
     found = materialise(components(links), "roots")
 
-    placed = lists.select("s", "node", "n", "pos").distinct().join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialise(placed, "placed")
+    placed = _sized(lists, found, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    open_ = placed.join(mixed, "s")
+    open_ = materialise(placed.join(mixed, "s"), "open")
     x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") < F.col("y.root")) & _lengths_fit(F.col("x.n"), F.col("y.n")) & _positions_fit(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    across = across.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = materialise(_links(docs, nodes, across), "links")
+    across = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") < F.col("y.root")) & may_link(*(F.col(f"{t}.{c}") for t in "xy" for c in ("n", "most", "pos"))))
+    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    once = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _links(docs, nodes, across.join(once, ["a", "b"], "left_anti"))
     roots = components(links.union(more)) if more.head(1) else found
 
-    known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = known.join(known.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
     out = rows.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(classes, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
