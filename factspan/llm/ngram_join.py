@@ -266,9 +266,9 @@ def _lengths_fit(a: Column, b: Column) -> Column:
 
 
 def _positions_fit(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
-    """The overlap a shared shingle at these positions still allows, against what is needed."""
-    most = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
-    return 7 * most >= 3 * (na + nb)
+    """Could this be the first shingle, in the global order, that a linking pair shares? Then
+    all they share starts here, in both."""
+    return 7 * F.least(na - pa, nb - pb) >= 3 * (na + nb)
 
 
 def _sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -288,25 +288,28 @@ def join_classes(df: DataFrame) -> DataFrame:
     def shared(postings: DataFrame) -> DataFrame:
         """Postings whose list another node is in; salted lists may meet elsewhere and stay."""
         by = W.partitionBy("list")
-        return postings.withColumns({"lo": F.min("node").over(by), "hi": F.max("node").over(by)}).where("lo <> hi or s is not null").drop("lo", "hi")
+        met = postings.withColumns({"lo": F.min("node").over(by), "hi": F.max("node").over(by), "size": F.count(F.lit(1)).over(by)})
+        return met.where("lo <> hi or s is not null").drop("lo", "hi")
 
     lists = materialise(shared(_postings(docs, codes)), "lists")
 
     def alive(lists: DataFrame) -> DataFrame:
-        """The most that a node may share with any other, where that suffices to link."""
-        met = lists.groupBy("node").agg(F.min("pos").alias("own")).join(nodes.select("node", "n"), "node")
-        return materialise(met.where("4 * (n - own) >= 3 * n").select("node", "n", (F.col("n") - F.col("own")).alias("most")), "alive")
+        """The most that a node may share with any other, where that suffices to link, and the
+        mean size of the lists it posted to."""
+        met = lists.groupBy("node").agg(F.min("pos").alias("own"), F.sum("size").alias("size")).join(nodes.select("node", "n"), "node")
+        met = met.withColumn("weight", F.expr("size div (n - (3 * n + 3) div 4 + 1)"))
+        return materialise(met.where("4 * (n - own) >= 3 * n").select("node", "n", (F.col("n") - F.col("own")).alias("most"), "weight"), "alive")
 
     for _ in range(2):
         able = alive(lists)
         lists = materialise(shared(_sized(lists.select("list", "s", "node", "pos"), able, ["node"])), "met")
-    lists = lists.distinct().withColumn("s", F.coalesce("s", "list"))
+    lists = lists.drop("size").distinct().withColumn("s", F.coalesce("s", "list"))
 
     def may_link(n: Column, most: Column, pos: Column, m: Column, most_m: Column, pos_m: Column) -> Column:
         return _lengths_fit(n, m) & _positions_fit(n, pos, m, pos_m) & (7 * F.least(most, most_m) >= 3 * (n + m))
 
     def stars(members: DataFrame, key: str) -> DataFrame:
-        heads = members.groupBy(key).agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), F.col("node").alias("b"), "n", "most", "pos")).alias("h"))
+        heads = members.groupBy(key).agg(F.max(F.struct("weight", F.col("node").alias("b"), "n", "most", "pos")).alias("h"))
         near = members.join(heads, key).where(F.col("node") != F.col("h.b"))
         return near.where(may_link(F.col("n"), F.col("most"), F.col("pos"), F.col("h.n"), F.col("h.most"), F.col("h.pos"))).select("node", F.col("h.b").alias("b"))
 
