@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -63,8 +64,26 @@ class ChunkTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {"": b""}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = (chr(c) for c in range(0x80, 0x250) if chr(c).isalpha() and chr(c) == chr(c).lower())
+        self.mapped = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
 
     def _learn(self, missing: list[str]) -> None:
+        """Words of lower-case Latin letters are one piece as they are and go straight to the
+        merges; all else goes through the whole library."""
+        merge, known, other = self.tokenizer.model.tokenize, self.known, []
+        for c in missing:
+            if c.isalpha() and c == c.lower():
+                if c.isascii():
+                    known[c] = array("I", [x.id for x in merge(c)]).tobytes()
+                    continue
+                if not _BEYOND_LATIN.search(c):
+                    known[c] = array("I", [x.id for x in merge(c.translate(self.mapped))]).tobytes()
+                    continue
+            other.append(c)
+        missing = other
         for lo in range(0, len(missing), 4096):
             part = missing[lo : lo + 4096]
             starts = np.cumsum([0] + [len(c) + 1 for c in part[:-1]])
@@ -79,23 +98,23 @@ class ChunkTokenizer:
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = []
         for t in texts:
-            if not _BEYOND_LATIN.search(t):
-                t = _LONE_MARK.sub(r" \1", t.lower())
+            if (t.isascii() or not _BEYOND_LATIN.search(t)) and "<|" not in t:
+                t = _LONE_MARK.sub(r" \g<0>", t.lower())
             split.append(t.replace("\n", " ").split(" "))
         known = self.known
-        missing = {c for chunks in split for c in chunks if c not in known}
+        missing = set().union(*split) - known.keys()
         if missing:
             if len(known) + len(missing) > CACHE:
                 known.clear()
                 known[""] = b""
-                missing = {c for chunks in split for c in chunks if c}
+                missing = set().union(*split) - {""}
             self._learn(list(missing))
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 #: Outside it, or for the dotted capital I, lower-casing and composition depend on more than one character.
-_BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|(?:start|end)oftext\\|>")
-_LONE_MARK = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
+_BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+_LONE_MARK = re.compile(r"[.,](?<=[^\W_][.,])(?=\s|$)")
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
