@@ -53,8 +53,8 @@ class ChunkTokenizer:
     The vocabulary's normaliser maps white space to one space and its splitter drops it, so a
     chunk's ids do not depend on its neighbours; known chunks are looked up, and all new ones of
     a call go through the library as one text, cut again at their places. Texts of Latin letters
-    are lower-cased first, as the normaliser does one character at a time, and a single full stop
-    or comma after a word becomes a chunk of its own, as the splitter has it.
+    are lower-cased first, as the normaliser does one character at a time, and marks that
+    end a chunk after a word become a chunk of their own, as the splitter has it.
     """
 
     def __init__(self, path: str):
@@ -99,22 +99,27 @@ class ChunkTokenizer:
         split = []
         for t in texts:
             if (t.isascii() or not _BEYOND_LATIN.search(t)) and "<|" not in t:
-                t = _LONE_MARK.sub(r" \g<0>", t.lower())
+                t = (_MARKS if _SYMBOL.search(t) else _LONE_MARK).sub(r" \g<0>", t.lower())
             split.append(t.replace("\n", " ").split(" "))
         known = self.known
-        missing = set().union(*split) - known.keys()
+        found = [list(map(known.get, chunks)) for chunks in split]
+        missing = {c for chunks, got in zip(split, found) if None in got for c, x in zip(chunks, got) if x is None}
         if missing:
             if len(known) + len(missing) > CACHE:
                 known.clear()
                 known[""] = b""
-                missing = set().union(*split) - {""}
             self._learn(list(missing))
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+            learnt = {c: known[c] for c in missing}
+            found = [[learnt[c] if x is None else x for c, x in zip(chunks, got)] if None in got else got for chunks, got in zip(split, found)]
+        return [b"".join(got) for got in found]
 
 
 #: Outside it, or for the dotted capital I, lower-casing and composition depend on more than one character.
 _BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 _LONE_MARK = re.compile(r"[.,](?<=[^\W_][.,])(?=\s|$)")
+#: The same for any run of marks after a word; slower to find, and rarely needed.
+_MARKS = re.compile(r"(?<=[^\W_])[^\w\s]++(?=\s|$)")
+_SYMBOL = re.compile("[!#$%&*]")
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
