@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factspan.functions import text as tx
-from factspan.operators import audit, facts as fx, followers, gate, geometry, intervals, ledger, pairs, scores, units
+from factspan.operators import audit, clauses, facts as fx, followers, gate, geometry, intervals, ledger, matching, pairs, scores, store, units
 from factspan.plans import inputs as src
 from factspan.plans.inputs import CALLS, FACTS, PARTICLES, SENTS, WORDS
 from factspan.session import table
@@ -51,7 +51,12 @@ def _(s, d):
     return docs.corpus_rows(docs.split_sentences(table(s, d, "documents").select("doc_id", "text")), F.col("doc_id")).select("title", "source", "sha")
 
 
-@query("s4_corpus_address")
+@query(
+    "s4_corpus_address",
+    rf"""with {SENTS}, red as (select doc_id, k, regexp_replace(sent, '((?i:api[_-]?key|token|secret|password)["'']?\s*[=:]\s*["'']?)[^\s"'']{{8,}}', '\1[REDACTED:kv_secret]', 'g') sent from sents),
+j as (select doc_id, k, '{{"sent":' || cast(to_json(sent) as varchar) || ',"sha":"' || sha256(sent) || '","source":"' || doc_id || '#' || k || '","title":"' || doc_id || '"}}' line from red)
+select cast(doc_id as varchar) title, sha256(string_agg(line, chr(10) order by k) || chr(10)) sha, count(*) n from j group by doc_id""",
+)
 def _(s, d):
     rows = docs.corpus_rows(docs.split_sentences(table(s, d, "documents").select("doc_id", "text")), F.col("doc_id"))
     return docs.corpus_digest(rows)
@@ -223,7 +228,7 @@ def _(s, d):
     return pairs.share_groups(_pairs(s, d)[1]).withColumn("rank", F.col("rank").cast(long))
 
 
-@query("a26_twins")
+@query("a26_twins", f"""with {_PAIRS}, prof as (select unit, string_agg(q || ':' || n || ':' || "before", ',' order by q) p from pairs where q <> unit group by unit) select count(*) members, min(unit) least, max(unit) greatest from prof group by p having count(*) > 1""")
 def _(s, d):
     return pairs.twins(_pairs(s, d)[1]).drop("profile")
 
@@ -304,7 +309,8 @@ def _(s, d):
     return intervals.tiled(intervals.contained(inner, intervals.merge(inner, ["user_id"]), "user_id"), "user_id")
 
 
-@query("j7_w14_clauses")
+@query("j7_w14_clauses", rf"""with {SENTS}, w as (select sid, regexp_extract_all(regexp_replace(sent, '^[^\p{{L}}\p{{N}}\p{{M}}]+|[^\p{{L}}\p{{N}}\p{{M}}]+$', '', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}]+') g from sents)
+select sid, len(list_filter(g[1:len(g) - 1], lambda x: regexp_matches(x, '{gate.BREAK}'))) clauses, len(g) gaps from w where len(g) > 0""")
 def _(s, d):
     c = intervals.islands(units.gaps(src.word_spans(s, d)), gate.BREAK)
     return c.groupBy("sid").agg(F.max("clause").alias("clauses"), F.count(F.lit(1)).alias("gaps"))
@@ -345,7 +351,18 @@ def _(s, d):
     return fx.live_values(src.facts(s, d))
 
 
-@query("w2_partial_fold")
+@query(
+    "w2_partial_fold",
+    f"""with recursive {FACTS}, o as (select *, row_number() over (partition by "position", scope order by ord) rn from facts),
+r as (select distinct "position", scope, 0::bigint rn, cast([] as bigint[]) live, false h from facts
+  union all select o."position", o.scope, o.rn,
+    case when change and old is not null and list_contains(live, old) and old <> "value" then list_distinct(list_append(list_filter(live, lambda v: v <> old), "value"))
+      when change and old is null then ["value"] when change then live else list_distinct(list_append(live, "value")) end,
+    h or (change and old is not null and list_contains(live, old) and old <> "value") or (change and old is null and len(list_filter(live, lambda v: v <> "value")) > 0)
+  from r join o on o."position" = r."position" and o.scope is not distinct from r.scope and o.rn = r.rn + 1),
+e as (select * from r qualify row_number() over (partition by "position", scope order by rn desc) = 1)
+select "position", scope, array_to_string(list_sort(list_transform(live, lambda v: cast(v as varchar))), '|') live, len(live) n_live, h has_history from e""",
+)
 def _(s, d):
     return fx.fold_partial(src.facts(s, d))
 
@@ -551,7 +568,8 @@ def _questions(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.get(long_, F.lit(0)).alias("subject"), F.slice(u, 1, 3).alias("echo"))
 
 
-@query("p7_candidates")
+@query("p7_candidates", rf"""with {WORDS}, iw as (select item_id qid, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}]+')) w from benchmark),
+q as (select qid, w from iw qualify row_number() over (partition by qid order by length(w) desc, w) = 1) select qid, sid, min(pos) subject_pos from q join occ on unit = w group by qid, sid""")
 def _(s, d):
     return gate.candidates(src.word_spans(s, d), _questions(s, d))
 
@@ -644,12 +662,17 @@ def _arm_contents(s, d):
     return e.groupBy(F.col("user_id").alias("cross"), (F.col("event_id") % 6).cast("int").alias("arm")).agg(F.count(F.lit(1)).cast("string").alias("content"))
 
 
-@query("r4_canonical_keys")
+_ROT = "rot as (select * from (values " + ", ".join(f"({r}, {a}, {p[a]})" for r, p in enumerate(geometry.PERMS) for a in range(geometry.ARMS)) + ") t(rotation, arm, image))"
+
+
+@query("r4_canonical_keys", f"""with {_ROT}, c as (select user_id "cross", event_id % 6 arm, cast(count(*) as varchar) content from events group by all),
+t as (select "cross", rotation, string_agg(content, '/' order by image) key from c join rot on rot.arm = c.arm group by "cross", rotation) select "cross", min(key) key from t group by "cross" """)
 def _(s, d):
     return geometry.canonical(_arm_contents(s, d), geometry.rotations(s))
 
 
-@query("r6_alignment")
+@query("r6_alignment", f"""with {_ROT}, c as (select user_id id, event_id % 6 arm, cast(props->>'$.k' as bigint) % 6 data_arm, count(*) c from events group by all),
+x as (select id, rotation, sum(c)::bigint score from c join rot on rot.arm = c.arm and rot.image = c.data_arm group by id, rotation) select id, rotation, score from x qualify rank() over (partition by id order by score desc) = 1""")
 def _(s, d):
     e = table(s, d, "events")
     counts = e.groupBy(F.col("user_id").alias("id"), (F.col("event_id") % 6).cast("int").alias("arm"), (F.get_json_object("props", "$.k").cast(long) % 6).cast("int").alias("data_arm")).agg(F.count(F.lit(1)).alias("c"))
@@ -677,6 +700,158 @@ def _(s, d):
     return geometry.improving_swaps(geometry.place(weights, 2), weights, geometry.edges(geometry.seats(s, 2), 2))
 
 
+# ---------------------------------------------------------------- the store and its ledger
+
+_LEDGER = """led as (
+  select user_id "session", event_id i, case event_type when 'click' then 'write' when 'signup' then 'declare_topic' when 'purchase' then 'supersede' when 'view' then 'keep_unshaped' else 'commit' end op,
+    cast(props->>'$.k' as bigint) % 4 <> 0 ok, event_type || ' ' || (props->>'$.k') txt, cast(props->>'$.k' as bigint) k from events where user_id % 5 <> 1 or event_type <> 'error')"""
+_DONE = """done as (select distinct "session" from led where op = 'commit' and ok)"""
+
+
+def _ledger_rows(s, d):
+    e = table(s, d, "events").where("user_id % 5 <> 1 or event_type <> 'error'")
+    k = F.get_json_object("props", "$.k")
+    op = F.when(F.col("event_type") == "click", "write").when(F.col("event_type") == "signup", "declare_topic").when(F.col("event_type") == "purchase", "supersede").when(F.col("event_type") == "view", "keep_unshaped").otherwise("commit")
+    args = F.to_json(F.struct(F.concat_ws(" ", "event_type", k).alias("text"), F.concat_ws("-", "user_id", "event_id").alias("turn"), k.alias("topic")))
+    return e.select(F.col("user_id").alias("session"), F.col("event_id").alias("i"), op.alias("op"), (k.cast(long) % 4 != 0).alias("ok"), args.alias("args"))
+
+
+@query("s12_memory_rows", f"""with {_LEDGER}, {_DONE} select "session", i, txt sent, "session" || '-' || i turn, op = 'keep_unshaped' unshaped from led where op in ('write', 'keep_unshaped') and ok and "session" in (select "session" from done)""")
+def _(s, d):
+    return store.memory_rows(_ledger_rows(s, d))
+
+
+@query("s13_topics", f"""with {_LEDGER}, {_DONE} select "session", i, cast(k as varchar) topic from led where op = 'declare_topic' and ok and "session" in (select "session" from done)""")
+def _(s, d):
+    return store.side_table(_ledger_rows(s, d), "declare_topic", ("topic",))
+
+
+@query("p13_rejects", f"""with {_LEDGER} select "session", i, op, 'oversize:text' reason from led where length(txt) > 8""")
+def _(s, d):
+    return store.rejects(_ledger_rows(s, d), {"text": 8})
+
+
+@query("l18_session_events", f"""with {_LEDGER} select "session", op, count(*) n, count(*) filter (not ok) refused from led group by all""")
+def _(s, d):
+    return store.session_events(_ledger_rows(s, d))
+
+
+@query("w12_self_corrections", f"""with {_LEDGER}, x as (select *, lead(i) over w ni, lead(txt) over w nt from led where op in ('write', 'keep_unshaped') window w as (partition by "session", k % 3 order by i))
+select "session", i, ni next_i from x where not ok and ni is not null and nt <> txt""")
+def _(s, d):
+    return store.self_corrections(_ledger_rows(s, d), F.get_json_object("args", "$.topic").cast(long) % 3)
+
+
+@query("m5_superseded", f"""with {_LEDGER}, {_DONE}, mem as (select "session", i from led where op in ('write', 'keep_unshaped') and ok and "session" in (select "session" from done)),
+mk as (select m."session", m.i, min(l.i) "by" from mem m join led l on l."session" = m."session" and l.op = 'supersede' and l.k % 10 = m.i % 10 and l.i > m.i group by all)
+select mem."session", mem.i, mk."by" from mem left join mk on mk."session" = mem."session" and mk.i = mem.i""")
+def _(s, d):
+    rows = _ledger_rows(s, d)
+    mem = store.memory_rows(rows)
+    sup = rows.where("op = 'supersede'").select("session", F.col("i").alias("at"), (F.get_json_object("args", "$.topic").cast(long) % 10).alias("r"))
+    marks = mem.select("session", F.col("i").alias("old_i"), (F.col("i") % 10).alias("r")).join(sup, ["session", "r"]).where("at > old_i").select("session", "old_i", F.col("at").alias("i"), F.lit("newer").alias("reason"))
+    return store.superseded(mem, marks).select("session", "i", "by")
+
+
+@query("a17_statistics", f"""with {FACTS}, p as (select scope, "position", count(*) c from facts group by all) select scope, count(*) positions, sum(c)::bigint entries, max(c) longest from p group by scope""")
+def _(s, d):
+    return store.statistics(src.facts(s, d))
+
+
+@query("v3_state_fold", """with r as (select user_id run, event_id i, event_id % 5 seat, case when event_type <> 'error' then event_type end unit from events),
+l as (select run, seat, arg_max_null(unit, i) unit, max(i) i from r group by run, seat) select * from l where unit is not null""")
+def _(s, d):
+    e = table(s, d, "events")
+    rows = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("i"), F.when(F.col("event_type") == "error", "drop").otherwise("put").alias("op"), (F.col("event_id") % 5).alias("seat"), F.col("event_type").alias("unit"))
+    return store.fold_placements(rows)
+
+
+@query("l8_replay", "select cast(null as bigint) session, cast(null as bigint) i, cast(null as varchar) side where false")
+def _(s, d):
+    rows = store.memory_rows(_ledger_rows(s, d)).select("session", "i")
+    return store.replayed(rows, rows.repartition(3, "i"))
+
+
+@query("j10_event_match", """with w as (select 0 q, 'flag' arm, 'R' phrase union all select 0, 'status', 'F' union all select 1, 'status', 'O'), ev as (
+  select l_orderkey * 10 + l_linenumber event, 'flag' arm, l_returnflag phrase from lineitem union all select l_orderkey * 10 + l_linenumber, 'status', l_linestatus from lineitem),
+need as (select q, count(*) n from w group by q), hit as (select w.q, ev.event, count(distinct ev.arm) g from ev join w on w.arm = ev.arm and w.phrase = ev.phrase group by all)
+select hit.q, event from hit join need on need.q = hit.q where g = n""")
+def _(s, d):
+    li = table(s, d, "lineitem").withColumn("event", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    ev = li.select("event", F.lit("flag").alias("arm"), F.col("l_returnflag").alias("phrase")).union(li.select("event", F.lit("status"), "l_linestatus"))
+    wanted = s.createDataFrame([(0, "flag", "R"), (0, "status", "F"), (1, "status", "O")], "q int, arm string, phrase string")
+    return matching.match_all(ev, wanted)
+
+
+@query("j19_membership", """with c as (select event_id clause, event_type centre, user_id, cast(props->>'$.k' as bigint) k from events), h as (select 'view' head, 1 nest union all select 'p3', 2),
+x as (select clause, nest, 1 r from c join h on head = centre union all select clause, nest, 2 from c join h on head = 'p' || (k % 5) union all select clause, 1, 3 from c where user_id % 2 = 0),
+b as (select clause, nest, min(r) r from x group by all) select clause, nest, case r when 1 then 'centre' when 2 then 'path' else 'context' end why from b""")
+def _(s, d):
+    k = F.get_json_object("props", "$.k").cast(long)
+    c = table(s, d, "events").select(F.col("event_id").alias("clause"), F.col("event_type").alias("centre"), F.array(F.concat(F.lit("p"), (k % 5).cast("string"))).alias("path"), F.when(F.col("user_id") % 2 == 0, 1).alias("open_nest"))
+    return matching.membership(c, s.createDataFrame([("view", 1), ("p3", 2)], "head string, nest int"))
+
+
+@query("a8_agreement")
+def _(s, d):
+    _, p, freq = _pairs(s, d)
+    own = p.where("q <> unit")
+    e = own.select("q", "unit", F.col("n").alias("s")).join(freq, "unit").select("q", "unit", (F.col("n") + F.col("s")).alias("num"))
+    return matching.agreement(*(pairs.unique_argmax(x, ["q"]) for x in (e, own.withColumnRenamed("n", "num"), own.withColumnRenamed("before", "num"))), by="q")
+
+
+@query("k7_candidates", f"""with {_PAIRS}, sc as (select q, unit candidate, n score from pairs where q <> unit and n >= 2), x as (select *, max(score) over (partition by q) b, row_number() over (partition by q order by score desc, candidate) "rank" from sc),
+y as (select *, sum((score = b)::int) over (partition by q) f from x) select q, candidate, score, "rank", score = b and f > 1 tied_with_best from y where "rank" <= 5""")
+def _(s, d):
+    p = _pairs(s, d)[1].where("q <> unit").select("q", F.col("unit").alias("candidate"), F.col("n").alias("score"))
+    return matching.top_candidates(p, "q").withColumn("rank", F.col("rank").cast(long))
+
+
+@query("a20_note_hits", f"""with {FACTS}, n as (select case when change then 'UPDATE' else 'SAME_SEAT' end kind, ord turn from facts where "value" > 3), p as (select case when "value" % 2 = 0 then 'UPDATE' else 'SAME_SEAT' end kind, ord turn from facts where "position" % 3 = 0)
+select n.kind, count(*) firings, count(p.turn) hits, count(*) - count(p.turn) false_alarms, count(p.turn) found, (select count(*) from p q where q.kind = n.kind) plants from n left join p on p.kind = n.kind and p.turn = n.turn group by n.kind""")
+def _(s, d):
+    f = src.facts(s, d)
+    notes = f.where("value > 3").select(F.when(F.col("change"), "UPDATE").otherwise("SAME_SEAT").alias("kind"), F.col("ord").alias("turn"))
+    plants = f.where("position % 3 = 0").select(F.when(F.col("value") % 2 == 0, "UPDATE").otherwise("SAME_SEAT").alias("kind"), F.col("ord").alias("turn"))
+    return matching.note_hits(notes, plants)
+
+
+@query("m13_conflicts", """select 'T' tier, o_custkey centre, o_orderstatus arm, count(distinct o_orderpriority) n, min(o_orderpriority) "one", max(o_orderpriority) other from orders group by all having count(distinct o_orderpriority) >= 2""")
+def _(s, d):
+    return matching.conflicts(table(s, d, "orders").select(F.lit("T").alias("tier"), F.col("o_custkey").alias("centre"), F.col("o_orderstatus").alias("arm"), F.col("o_orderpriority").alias("content")))
+
+
+@query("m12_unanchored", f"""{_ATT}, adh as (select unit, particle, sids adj from cnt), b as (select unit, max(adj) best from adh group by unit), seated as (select distinct unit, 'the' particle from cnt)
+select s.unit, s.particle, best from seated s left join adh a on a.unit = s.unit and a.particle = s.particle join b on b.unit = s.unit where coalesce(adj, 0) = 0 and best >= 2""")
+def _(s, d):
+    a = followers.adhesion(_counts(s, d), PARTICLES)
+    return matching.unanchored(a.select("unit").distinct().withColumn("particle", F.lit("the")), a)
+
+
+@query("x4_read_sentences", f"""with {WORDS} select sid, 'WORD' tier, string_agg(unit, '/' order by pos) units from occ where (sid // 1000000) % 100 = 0 group by sid""")
+def _(s, d):
+    occ = src.words(s, d)
+    return matching.read_sentences({"WORD": occ}, occ.where(F.expr(f"(sid div {units.PER_DOC}) % 100 = 0")).select("sid").distinct())
+
+
+@query("x6_tiers_holding", rf"""with {WORDS}, a as (select distinct regexp_extract(text, '[\p{{L}}\p{{N}}\p{{M}}]+') unit from benchmark union select 'a'), ch as (select distinct unnest(regexp_extract_all(sent, '[\p{{L}}\p{{N}}\p{{M}}]')) unit from sents),
+h as (select unit, 'WORD' tier from a where unit in (select unit from occ) union all select unit, 'CHAR' from a where unit in (select unit from ch)) select unit, string_agg(tier, ',' order by tier) tiers from h group by unit""")
+def _(s, d):
+    sents = src.sentences(s, d)
+    asked = table(s, d, "benchmark").select(F.regexp_extract("text", tx.LETTER + "+", 0).alias("unit")).union(s.createDataFrame([("a",)], "unit string"))
+    return matching.tiers_holding({t: units.occurrences(sents, t) for t in units.TIERS}, asked)
+
+
+@query("t16_owner_text", r"""select conv_id, turn, length(trim(regexp_replace(text, '(?s)<system-reminder>.*?(?:</system-reminder>|$)', '', 'g'))) n from conversations""")
+def _(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", F.length(matching.owner_text(F.col("text"))).cast(long).alias("n"))
+
+
+@query("t7_clauses")
+def _(s, d):
+    return clauses.accepted(clauses.exchange(src.sentences(s, d)))
+
+
 # ---------------------------------------------------------------- event time (extension)
 
 
@@ -685,6 +860,8 @@ def _(s, d):
     return windows.tumbling(table(s, d, "events"), "1 hour")
 
 
-@query("ext_sessions")
+@query("ext_sessions", """with f as (select *, case when ts - lag(ts) over w < interval '30 minutes' then 0 else 1 end nw from events window w as (partition by user_id order by ts)),
+g as (select *, sum(nw) over (partition by user_id order by ts rows between unbounded preceding and current row) k from f)
+select min(ts) "start", max(ts) + interval '30 minutes' "end", user_id, count(*) n from g group by user_id, k""")
 def _(s, d):
     return windows.sessions(table(s, d, "events"), "30 minutes")
