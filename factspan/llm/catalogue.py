@@ -19,4 +19,8 @@ QUERIES = {
         ngram_join.op10_ngram_jaccard,
     )
 }
-ORACLES: dict[str, str] = {"op3_preference_pairs": preferences.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_preference_pairs": preferences.ORACLE,
+    "op5_winnowing": decontaminate.ORACLE,
+    "op10_ngram_jaccard": ngram_join.ORACLE,
+}

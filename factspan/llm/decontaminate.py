@@ -121,3 +121,18 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")
+
+
+ORACLE = rf"""
+with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where item_id is not null),
+bk as (select item, w, least(len(w), {WINDOW}) k from b where len(w) > 0),
+bw as (select item, k, array_to_string(w[i:i + k - 1], ' ') g from (select item, w, k, unnest(range(1, len(w) - k + 2)) i from bk)),
+dw as (select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) i from t join (select distinct k from bk) on len(w) >= k)),
+hit as (select distinct doc_id, item, i, dw.k from dw join bw on bw.k = dw.k and bw.g = dw.g),
+n as (select doc_id, count(*) n_hit from (select distinct doc_id, unnest(range(i, i + k)) p from hit) group by doc_id),
+m as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item from hit) group by doc_id)
+select t.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from t left join n on n.doc_id = t.doc_id left join m on m.doc_id = t.doc_id
+"""

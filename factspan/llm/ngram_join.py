@@ -354,3 +354,15 @@ def keep_first(df: DataFrame) -> DataFrame:
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_classes(documents(spark, sf_dir))
+
+
+ORACLE = r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) i from t where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+c as (select x.doc_id a, y.doc_id b, count(*) c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all),
+links as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+r as (select a, b from links union select r.a, links.b from r join links on r.b = links.a)
+select t.doc_id, coalesce(n.n, 0) n_shingles, least(t.doc_id, coalesce(min(b), t.doc_id)) component_id
+from t left join n on n.doc_id = t.doc_id left join r on r.a = t.doc_id group by t.doc_id, n.n
+"""
