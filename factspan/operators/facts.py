@@ -2,13 +2,16 @@
 
 A fact row is (position, scope, ord, sid, value, change, old). Facts compare within one
 position and scope; `ord` is the order they were written in. Positions may be hot: windows
-spill, and everything a window needs is at most one epoch of distinct values per group."""
+spill, and hold counts, not values."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
+
+from factspan.operators.folds import ordered_fold
 
 GROUP = ("position", "scope")
 
@@ -32,16 +35,23 @@ def notes(facts: DataFrame) -> DataFrame:
 
     The live values before a row are the distinct values of its epoch so far (of the epoch it
     ends, for a change); a note looks at those of another sentence and another value, but any
-    live equal value silences SAME_SEAT."""
-    d = _epochs(facts)
-    w = W.partitionBy(*GROUP).orderBy("ord")
-    before = F.collect_list(F.when(F.col("fresh"), F.struct("ep", "sid", "value"))).over(w.rowsBetween(W.unboundedPreceding, -1))
-    d = d.withColumn("before", before)
-    d = d.withColumn("live", F.expr("filter(before, x -> x.ep = ep - cast(change as int))"))
-    d = d.withColumn("earlier_n", F.expr("size(filter(live, x -> x.sid <> sid and x.value <> value))"))
-    same = F.expr("exists(live, x -> x.value = value)")
-    note = F.when(F.col("change") & ((F.col("earlier_n") > 0) | (F.size("live") == 0)), "UPDATE").when(~F.col("change") & (F.col("earlier_n") > 0) & ~same, "SAME_SEAT")
-    return d.withColumn("note", note).where(F.col("note").isNotNull()).select(*GROUP, "ord", "sid", "value", "note", F.col("earlier_n").cast("long").alias("earlier_n"))
+    live equal value silences SAME_SEAT. A change is judged in the epoch it ends and observed in
+    the one it begins; all counts are running sums, so no row carries the values before it."""
+    d = _epochs(facts).drop("fresh")
+    own = F.struct(F.col("ep").alias("key"), (~F.col("change")).alias("judged"), F.lit(True).alias("seen"))
+    ended = F.struct((F.col("ep") - 1).alias("key"), F.lit(True).alias("judged"), F.lit(False).alias("seen"))
+    d = d.withColumn("x", F.explode(F.when(F.col("change"), F.array(ended, own)).otherwise(F.array(own)))).select("*", "x.*").drop("x")
+
+    def before(*by: str):
+        return W.partitionBy(*GROUP, "key", *by).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+
+    d = d.withColumn("first_sid", F.first(F.when(F.col("seen"), F.col("sid")), ignorenulls=True).over(before("value")))
+    d = d.withColumn("same", F.col("first_sid").isNotNull().cast("int")).withColumn("fresh", (F.col("seen") & (F.col("same") == 0)).cast("int"))
+    total = lambda *by: F.coalesce(F.sum("fresh").over(before(*by)), F.lit(0))
+    d = d.withColumn("live", total()).withColumn("of_sentence", total("sid"))
+    d = d.withColumn("earlier_n", F.col("live") - F.col("same") - F.col("of_sentence") + F.when(F.col("first_sid") == F.col("sid"), 1).otherwise(0))
+    note = F.when(F.col("change") & ((F.col("earlier_n") > 0) | (F.col("live") == 0)), "UPDATE").when(~F.col("change") & (F.col("earlier_n") > 0) & (F.col("same") == 0), "SAME_SEAT")
+    return d.where("judged").withColumn("note", note).where(F.col("note").isNotNull()).select(*GROUP, "ord", "sid", "value", "note", F.col("earlier_n").cast("long").alias("earlier_n"))
 
 
 def live_values(facts: DataFrame) -> DataFrame:
@@ -54,17 +64,28 @@ def live_values(facts: DataFrame) -> DataFrame:
 
 
 def fold_partial(facts: DataFrame) -> DataFrame:
-    """W2 where a change that names a live old value retires that value alone: a fold per group."""
-    row = F.struct("ord", F.col("value").cast("string").alias("value"), "change", F.col("old").cast("string").alias("old"))
-    d = facts.groupBy(*GROUP).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    step = """aggregate(rows, struct(cast(array() as array<string>) as live, false as history), (s, x) -> case
-        when x.change and x.old is not null and array_contains(s.live, x.old) and x.old <> x.value
-            then struct(array_union(array_remove(s.live, x.old), array(x.value)) as live, true as history)
-        when x.change and x.old is null
-            then struct(array(x.value) as live, s.history or exists(s.live, v -> v <> x.value) as history)
-        when x.change then s
-        else struct(array_union(s.live, array(x.value)) as live, s.history) end)"""
-    return d.withColumn("s", F.expr(step)).select(*GROUP, F.array_join(F.sort_array("s.live"), "|").alias("live"), F.size("s.live").cast("long").alias("n_live"), F.col("s.history").alias("has_history"))
+    """W2 where a change that names a live old value retires that value alone. Which values are
+    live decides what a later change does, so groups are folded in order; the state is the live
+    values alone."""
+    schema = T.StructType([facts.schema["position"], facts.schema["scope"], T.StructField("live", T.StringType()), T.StructField("n_live", T.LongType()), T.StructField("has_history", T.BooleanType())])
+
+    def step(state, row):
+        live, history = state
+        _, _, _, value, change, old = row
+        if change and old is not None:
+            if old in live and old != value:
+                live, history = (live - {old}) | {value}, True
+        elif change:
+            live, history = {value}, history or bool(live - {value})
+        else:
+            live = live | {value}
+        return (live, history), []
+
+    def end(key, state):
+        live, history = state
+        return [(*key, "|".join(sorted(map(str, live))), len(live), history)]
+
+    return ordered_fold(facts.select(*GROUP, "ord", "value", "change", "old"), list(GROUP), "ord", schema, lambda: (frozenset(), False), step, end)
 
 
 def verdicts(live: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from factspan.operators.folds import ordered_fold
+
 ROOT = "0" * 64
 # The severities of a ledger's status, worst last.
 STATUS = ("OK", "EMPTY", "HEAD_MISMATCH", "TORN_TAIL", "TAMPERED")
@@ -15,14 +19,16 @@ _SHA_FIELD = r',"sha":"[0-9a-f]{64}"(?=,"state_sha":"[0-9a-f]{64}"(?:,"truncated
 
 def seal(rows: DataFrame, run: str, order: str, body: Column) -> DataFrame:
     """Every row of a run gets i, prev and sha = sha256(prev | i | body). The chain is
-    sequential within a run by definition and runs in parallel, as one fold per run."""
+    sequential within a run by definition; runs are dealt out and each is streamed in order."""
     d = rows.select(F.col(run).alias("run"), F.col(order).alias("o"), body.alias("body"))
-    d = d.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("o", "body"))).alias("rows"))
-    step = f"""aggregate(rows, cast(array() as array<struct<o: {rows.schema[order].dataType.simpleString()}, body: string, prev: string, sha: string>>),
-        (acc, x) -> concat(acc, array(named_struct('o', x.o, 'body', x.body, 'prev', coalesce(try_element_at(acc, -1).sha, '{ROOT}'),
-            'sha', sha2(concat_ws('|', coalesce(try_element_at(acc, -1).sha, '{ROOT}'), cast(size(acc) as string), x.body), 256)))))"""
-    d = d.select("run", F.posexplode(F.expr(step)).alias("i", "x"))
-    return d.select("run", F.col("i").cast("long").alias("i"), F.col("x.body").alias("body"), F.col("x.prev").alias("prev"), F.col("x.sha").alias("sha"))
+    schema = T.StructType([T.StructField("run", d.schema["run"].dataType), T.StructField("i", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("body", "prev", "sha"))])
+
+    def step(state, row):
+        prev, i = state
+        sha = hashlib.sha256(f"{prev}|{i}|{row[2]}".encode()).hexdigest()
+        return (sha, i + 1), [(row[0], i, row[2], prev, sha)]
+
+    return ordered_fold(d, ["run"], "o", schema, lambda: (ROOT, 0), step)
 
 
 def head(chain: DataFrame) -> DataFrame:

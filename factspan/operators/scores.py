@@ -8,18 +8,24 @@ from pyspark.sql import Window as W
 
 
 def gate_score(verdicts: DataFrame) -> DataFrame:
-    """Per set, over rows (set, id, answerable, admitted, correct)."""
-    ids = lambda c: F.array_join(F.sort_array(F.collect_list(F.when(c, F.col("id")))), ",")
+    """Per set, over rows (set, id, answerable, admitted, correct). The ids behind a count are
+    named by their sum; gate_ids lists them as rows."""
     reach = F.col("answerable") & F.col("admitted") & F.col("correct")
     wrong = F.col("answerable") & F.col("admitted") & ~F.col("correct")
     unans = ~F.col("answerable") & F.col("admitted")
     return verdicts.groupBy("set").agg(
         F.count_if("answerable").alias("answerable"), F.count_if(~F.col("answerable")).alias("unanswerable"),
         F.count_if(reach).alias("reach"), F.count_if(wrong).alias("wrong_admitting"), F.count_if(unans).alias("unans_admitted"),
-        F.sha2(ids(reach), 256).alias("reach_ids"),
+        F.coalesce(F.sum(F.when(reach, F.col("id"))), F.lit(0)).alias("reach_sum"),
     )
 
 
+def gate_ids(verdicts: DataFrame) -> DataFrame:
+    """The ids of each outcome, one row each."""
+    outcome = F.when(~F.col("admitted"), None).when(~F.col("answerable"), "unans_admitted").when(F.col("correct"), "reach").otherwise("wrong_admitting")
+    return verdicts.withColumn("outcome", outcome).where("outcome is not null").select("set", "outcome", "id")
+
+
 def compare(measured: DataFrame, expected: DataFrame) -> DataFrame:
     """Metrics (name, kind, value): safety may not rise, capability may not fall."""
     d = measured.alias("m").join(expected.alias("e"), "name", "full_outer")

@@ -594,7 +594,7 @@ def _(s, d):
 
 @query("a19_gate_score", """with v as (select "source" "set", l.doc_id id, quality = 1 a, n_chars > 1000 adm, toxic = 0 ok from labels l join documents d on d.doc_id = l.doc_id)
 select "set", count(*) filter (a) answerable, count(*) filter (not a) unanswerable, count(*) filter (a and adm and ok) reach, count(*) filter (a and adm and not ok) wrong_admitting, count(*) filter (not a and adm) unans_admitted,
-sha256(coalesce(string_agg(cast(id as varchar), ',' order by id) filter (a and adm and ok), '')) reach_ids from v group by "set" """)
+coalesce(sum(id) filter (a and adm and ok), 0)::bigint reach_sum from v group by "set" """)
 def _(s, d):
     v = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "source", "n_chars"), "doc_id")
     return scores.gate_score(v.select(F.col("source").alias("set"), F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("answerable"), (F.col("n_chars") > 1000).alias("admitted"), (F.col("toxic") == 0).alias("correct")))
