@@ -32,6 +32,8 @@ an empty result; extra columns are ignored. Hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from factspan.llm.common import BROADCAST_ROWS, ascii_lower_words, documents, id_text, map_texts, materialise
+from factspan.llm.common import BROADCAST_ROWS, documents, id_text, map_texts, materialise
 
 WORDS = 5
 LEAST_BITS, MOST_BITS = 16, 24
@@ -49,7 +51,6 @@ BLOCK = 4096
 BINS = 64
 #: Members of a posting list above which it is split.
 LONG_LIST = 4096
-_WORD_CACHE = 400_000
 _NODE_CACHE = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -62,30 +63,65 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S)
 
 
+#: Bytes hashed at once; longer texts are cut at white space.
+_PIECE = 1 << 20
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ANY_SPACE = re.compile(rb"[\t-\r ]")
+_BASE = 0xD6E8FEB86659FD93
+_BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(1 << 16, 2 * n)
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, dtype=np.uint64), np.full(size - 1, x, dtype=np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def _hash_piece(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, dtype=np.uint8)
+    word = np.zeros(len(b) + 2, dtype=np.int8)
+    word[1:-1] = ~_SPACE[b]
+    turn = np.diff(word)
+    starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    up, down = _powers(len(b) + 1)
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[b] * up[: len(b)], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _P)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of every word (A-Z lower-cased, parted by ASCII white space), in order: a
+    polynomial of its bytes, read off running sums over the whole text."""
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    out, lo = [], 0
+    while lo < len(raw):
+        m = _ANY_SPACE.search(raw, lo + _PIECE) if len(raw) - lo > _PIECE else None
+        hi = m.start() if m else len(raw)
+        out.append(_hash_piece(raw[lo:hi]))
+        lo = hi
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+
+
 class Shingler:
     """Sorted distinct shingle hashes of a text."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.cache = words, {}
+        self.words = words
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = ascii_lower_words(text) if text else []
-        if not words:
-            return np.empty(0, dtype=np.uint64)
-        cache = self.cache
-        ids = list(map(cache.get, words))
-        if None in ids:
-            if len(cache) > _WORD_CACHE:
-                cache.clear()
-            for i, w in enumerate(words):
-                if ids[i] is None:
-                    ids[i] = cache[w] = xxhash.xxh3_64_intdigest(w)
-        a = np.array(ids, dtype=np.uint64)
+        a = word_hashes(text or "")
+        if not len(a):
+            return a
         k = min(self.words, len(a))
         h = a[: len(a) - k + 1].copy()
         for i in range(1, k):
             h = h * _P + a[i : len(a) - k + 1 + i]
-        return np.unique(_mix(h + np.uint64(k)))
+        h = np.sort(_mix(h + np.uint64(k)))
+        return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -120,7 +156,7 @@ def _digest(bits: int):
     def step(ids, texts):
         sets = [shingles(t) for t in texts]
         waiting.extend(s for s, i in zip(sets, ids) if len(s) and i is not None)
-        if sum(map(len, waiting)) > 4 << 20:
+        if sum(map(len, waiting)) > 1 << 19:
             count()
         none = [None] * len(ids)
         bins = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS) if len(s) else None for s in sets]
