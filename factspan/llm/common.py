@@ -88,6 +88,18 @@ def map_texts(df: DataFrame, make: Callable[[], Callable], schema: T.StructType)
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+    """Arrow map that keeps the schema, over slices of SLICE rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for b in batches:
+            for lo in range(0, b.num_rows, SLICE):
+                yield step(b.slice(lo, SLICE))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def ascii_lower_words(text: str) -> list[bytes]:
     """A-Z lower-cased, split on ASCII white space: exactly ``[^\\x20\\x09-\\x0D]+``."""
     return text.encode("utf-8", "surrogatepass").lower().split()

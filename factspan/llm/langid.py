@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.llm.common import bounded_sample, documents, fold, id_text, map_texts, materialise
+from factspan.llm.common import bounded_sample, documents, fold, id_text, map_batches, map_texts, materialise
 
 TRAIN_ROWS = 20_000
 MAX_WORDS = 200_000
@@ -35,7 +35,7 @@ ORDERS = (4, 3, 2, 1)
 TEMPER = 30
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+_CACHE = 100_000
 _FLUSH = 400_000
 
 
@@ -122,52 +122,61 @@ def fit(df: DataFrame, rows: int = TRAIN_ROWS, max_words: int = MAX_WORDS, max_g
 
 
 class Scorer:
-    """Per-language log scores; unseen words are scored once and kept in a bounded cache."""
+    """Per-language log scores. Rows of one matrix: the known words, then unseen words as they come,
+    each scored once; when those are _CACHE many they are forgotten."""
 
     def __init__(self, model: dict):
         self.langs, self.tables, self.logs = model["langs"], model["tables"], model["logs"]
-        self.known = self.tables[0].get
-        self.cache: dict[str, np.ndarray] = {}
-        self.zero = np.zeros(len(self.langs), dtype=np.float32)
-
-    @staticmethod
-    def of(model: dict) -> "Scorer":
-        """The scorer of a broadcast model: a worker's next task finds it with its cache."""
-        if "scorer" not in model:
-            model["scorer"] = Scorer(model)
-        return model["scorer"]
-
-    def back_off(self, word: str) -> np.ndarray:
-        got = self.cache.get(word)
-        if got is None:
-            got = self.zero
+        self.known = self.tables[0]
+        self.unseen: dict[str, int] = {}
+        self.rows = np.zeros((len(self.known) + _CACHE, len(self.langs)), dtype=np.float32)
+        self.rows[: len(self.known)] = self.logs[0]
+
+    def back_off(self, word: str) -> int:
+        """The row of an unseen word."""
+        at = self.unseen.get(word)
+        if at is None:
+            if len(self.unseen) >= _CACHE:
+                self.unseen.clear()
+            at = self.unseen[word] = len(self.known) + len(self.unseen)
+            self.rows[at] = 0
             for n in ORDERS:
                 table = self.tables[n]
                 rows = [table[g] for g in grams_of(word, n) if g in table]
                 if rows:
-                    got = self.logs[n][rows].mean(0)
+                    self.rows[at] = self.logs[n][rows].mean(0)
                     break
-            if len(self.cache) >= _CACHE:
-                self.cache.clear()
-            self.cache[word] = got
-        return got
+        return at
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        ids = list(map(self.known, words))
-        seen = [i for i in ids if i is not None]
-        total = self.logs[0][seen].sum(0, dtype=np.float64) if seen else self.zero.astype(np.float64)
-        if len(seen) < len(words):
-            for word, i in zip(words, ids):
-                if i is None:
-                    total = total + self.back_off(word)
+        total = np.zeros(len(self.langs))
+        for lo in range(0, len(words), _CACHE // 2):  # fewer new words than the cache holds
+            part = words[lo : lo + _CACHE // 2]
+            ids = list(map(self.known.get, part))
+            new = [i for i, x in enumerate(ids) if x is None]
+            if len(self.unseen) + len(new) > _CACHE:
+                self.unseen.clear()
+            for i in new:
+                ids[i] = self.back_off(part[i])
+            total += self.rows[ids].sum(0, dtype=np.float64)
         z = total * min(1.0, TEMPER / len(words))
         p = np.exp(z - z.max())
         return self.langs[int(total.argmax())], float(p.max() / p.sum())
 
 
+#: The scorer of the model in use: a worker's next task finds it with what it has cached.
+_IN_USE: list = []
+
+
+def scorer_of(model: dict) -> Scorer:
+    if not _IN_USE or _IN_USE[0] is not model:
+        _IN_USE[:] = [model, Scorer(model)]
+    return _IN_USE[1]
+
+
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("held_out", T.BooleanType()),
@@ -181,7 +190,7 @@ def predict(df: DataFrame, model: dict | None = None) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        score = Scorer.of(sent.value)
+        score = scorer_of(sent.value)
 
         def step(ids, texts, held):
             got = [score(t) for t in texts]
@@ -196,19 +205,18 @@ def keep_identified(df: DataFrame, least: float = 0.5, model: dict | None = None
     """The rows of df whose language is determined with a score of at least `least`, unchanged."""
     model = fit(df) if model is None else model
     sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = df.schema
     at = df.columns.index("text")
 
-    def run(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
+    def make():
+        score = scorer_of(sent.value)
+
+        def step(batch):
+            got = [score(t) for t in batch.column(at).cast("string").to_pylist()]
+            return batch.filter([lang != UNDETERMINED and s >= least for lang, s in got])
 
-        score = Scorer.of(sent.value)
-        for b in batches:
-            got = [score(t) for t in pc.cast(b.column(at), pa.string()).to_pylist()]
-            yield b.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in got]))
+        return step
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, make)
 
 
 def op8_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ CAPACITY = 4096
 END_ID = 1
 BLOCK = 4096
 #: Distinct chunks whose ids a Python worker remembers.
-CACHE = 800_000
+CACHE = 400_000
 
 
 def tokenizer_path() -> str:

@@ -26,12 +26,12 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.llm.common import bounded_sample, documents, id_text, map_texts
+from factspan.llm.common import bounded_sample, documents, id_text, map_batches, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -356,13 +356,22 @@ def redact(df: DataFrame, model: dict | None = None) -> DataFrame:
     model = fit(df) if model is None else model
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.StringType())
-    def masked(texts: pd.Series) -> pd.Series:
+    at, length = df.columns.index("text"), df.columns.index("n_chars") if "n_chars" in df.columns else None
+
+    def make():
         field = sent.value
-        return texts.map(lambda t: t if t is None else mask(t, find_spans(t, field)[1]), na_action="ignore")
 
-    out = df.withColumn("text", masked(F.col("text")))
-    return out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
+        def step(batch):
+            texts = [t if t is None else mask(t, find_spans(t, field)[1]) for t in batch.column(at).cast("string").to_pylist()]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            if length is None:
+                return batch
+            counts = pa.array([t if t is None else len(t) for t in texts], batch.schema.field(length).type)
+            return batch.set_column(length, batch.schema.field(length), counts)
+
+        return step
+
+    return map_batches(df, make)
 
 
 def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

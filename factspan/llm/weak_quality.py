@@ -35,7 +35,7 @@ TRAIN_ROWS = 6_000
 BITS = 16
 STEPS = 150
 LEAST = 0.5
-_CACHE = 400_000
+_CACHE = 250_000
 _SHAPES = ((re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[^\\W\\d_A]+"), "a"), (re.compile("[0-9]+"), "0"))
 
 
@@ -122,12 +122,6 @@ class Scorer:
     def __init__(self, model: dict):
         self.w, self.tail, self.weights = model["w"], model["tail"], {}
 
-    @staticmethod
-    def of(model: dict) -> "Scorer":
-        if "scorer" not in model:
-            model["scorer"] = Scorer(model)
-        return model["scorer"]
-
     def __call__(self, text: str | None) -> tuple[int, float]:
         words = text.split() if text else []
         if not words:
@@ -145,6 +139,16 @@ class Scorer:
         return len(words), 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+#: The scorer of the model in use: a worker's next task finds it with the weights it has looked up.
+_IN_USE: list = []
+
+
+def scorer_of(model: dict) -> Scorer:
+    if not _IN_USE or _IN_USE[0] is not model:
+        _IN_USE[:] = [model, Scorer(model)]
+    return _IN_USE[1]
+
+
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
 
@@ -154,7 +158,7 @@ def classify(df: DataFrame, model: dict | None = None, least: float = LEAST) ->
     sent = df.sparkSession.sparkContext.broadcast({"w": model["w"], "tail": model["tail"]})
 
     def make():
-        score = Scorer.of(sent.value)
+        score = scorer_of(sent.value)
 
         def step(ids, texts):
             got = [score(t) for t in texts]
