@@ -213,3 +213,19 @@ def read_question(sentence: str) -> tuple[str | None, Clause | None]:
     frame = re.sub("(です|でした)?か?[？?。]*$", "", sentence.replace(word, "ＸＸ", 1))
     got = read(frame)
     return QUESTION_WORDS[word], got[0] if len(got) == 1 else None
+
+
+def weave_plan(stretch: str) -> list[tuple[str, str]] | str:
+    """V1: the steps that seat a stretch: touch, attach by an arm particle, or mark the topic; or
+    why it is refused."""
+    code, words, _ = _coded(stretch, 0, len(stretch))
+    if not words:
+        return "no_unit"
+    if "x" in code or "f" in code:
+        return "gap_is_not_a_particle"
+    gaps = ["" if code[i + 1] == "N" else code[i + 1] for i, c in enumerate(code[:-1]) if c == "N"]
+    arms = [g not in ("", "w", "n") for g in gaps]
+    if any(x and y for x, y in zip(arms, arms[1:])):
+        return "nested_particle_chain"
+    names = {c: p for p, c in LETTERS.items()}
+    return [("touch", "") if not g else ("topic", names[g]) if g == "w" else ("attach", names[g]) for g in gaps]

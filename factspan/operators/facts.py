@@ -160,3 +160,8 @@ def ranked_seats(seats: DataFrame, by: list[str], key: list[Column]) -> DataFram
 def emit_decision(checks: list[tuple[str, Column]]) -> Column:
     """The code of the first failing check, or emit."""
     return F.coalesce(*(F.when(failed, code) for code, failed in checks), F.lit("emit"))
+
+
+def holding(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The positions that ever held an asked value, and since when."""
+    return facts.join(asked.select("value").distinct(), "value").groupBy("value", "position").agg(F.min("ord").alias("since"), F.count(F.lit(1)).alias("times"))

@@ -60,3 +60,9 @@ def anchors(units_: DataFrame, adhesion_: DataFrame, least: int = 2) -> DataFram
     cut = units_.where(F.length("unit") > least).select("unit", F.explode(F.expr(f"transform(sequence(2, length(unit) - {least} + 1), i -> substring(unit, i))")).alias("suffix"))
     known = adhesion_.select(F.col("unit").alias("suffix")).distinct()
     return cut.join(known, "suffix").groupBy("unit").agg(F.max_by("suffix", F.length("suffix")).alias("anchor"))
+
+
+def arrangement(seats: DataFrame, adhesion_: DataFrame) -> DataFrame:
+    """The adhesion of a seated cross, summed over seats (cross, particle, unit)."""
+    a = adhesion_.select("unit", "particle", "num")
+    return seats.join(a, ["unit", "particle"], "left").groupBy("cross").agg(F.coalesce(F.sum("num"), F.lit(0)).alias("a_num"), F.count(F.lit(1)).alias("seats"))

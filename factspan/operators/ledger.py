@@ -31,6 +31,21 @@ def seal(rows: DataFrame, run: str, order: str, body: Column) -> DataFrame:
     return ordered_fold(d, ["run"], "o", schema, lambda: (ROOT, 0), step)
 
 
+def extend(heads: DataFrame, rows: DataFrame, run: str, order: str, body: Column) -> DataFrame:
+    """Seal more rows onto runs that end at heads(run, head, n); new runs start at the root.
+    Extending by parts equals sealing the whole."""
+    d = rows.select(F.col(run).alias("run"), F.col(order).alias("o"), body.alias("body")).join(heads, "run", "left")
+    schema = T.StructType([T.StructField("run", d.schema["run"].dataType), T.StructField("i", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("body", "prev", "sha"))])
+
+    def step(state, row):
+        _, _, text, last, n = row
+        prev, i = state or (last or ROOT, n or 0)
+        sha = hashlib.sha256(f"{prev}|{i}|{text}".encode()).hexdigest()
+        return (sha, i + 1), [(row[0], i, text, prev, sha)]
+
+    return ordered_fold(d.select("run", "o", "body", "head", "n"), ["run"], "o", schema, lambda: None, step)
+
+
 def head(chain: DataFrame) -> DataFrame:
     return chain.groupBy("run").agg(F.max_by("sha", "i").alias("head"), F.count(F.lit(1)).alias("n"))
 

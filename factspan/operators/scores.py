@@ -70,3 +70,20 @@ def capped_view(rows: DataFrame, by: str, order: list[Column], lines: int = 40)
     w = W.partitionBy(by)
     d = rows.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("omitted", F.greatest(F.count(F.lit(1)).over(w) - lines, F.lit(0)))
     return d.where(F.col("_r") <= lines).drop("_r")
+
+
+def fixed_order(column: str, order: tuple[str, ...]) -> Column:
+    """The place of a value in a fixed list; others last."""
+    at = F.array_position(F.array(*(F.lit(x) for x in order)), F.col(column))
+    return F.when(at == 0, len(order) + 1).otherwise(at)
+
+
+def newest(runs: DataFrame, by: str, limit: int = 200) -> DataFrame:
+    """A listing of the newest runs; the limit is the feature."""
+    return runs.orderBy(F.desc(by)).limit(limit)
+
+
+def in_first_order(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """The values of a group in the order they came first."""
+    firsts = rows.groupBy(by, value).agg(F.min(order).alias("_at"))
+    return firsts.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", value))), lambda x: x[value]), ",").alias("values"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factspan.functions.text import LETTER
+from factspan.functions.text import LETTER, strip_attribution
 
 PER_DOC = 1_000_000
 #: Sentence ids of one unit are kept in arrays per block of ids, so none outgrows a row.
@@ -16,6 +16,20 @@ BLOCK = 4096
 TIERS = {"WORD": f"{LETTER}+", "CHAR": LETTER}
 
 
+#: Runs of one script; kana between content runs are units of their own.
+RUN = r"[\p{IsHan}\p{IsKatakana}ー々]+|\p{IsHiragana}+|[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{N}\p{M}]+"
+
+
+def runs(c: Column) -> Column:
+    """The RUN tier of a sentence, its attribution left out."""
+    return F.regexp_extract_all(strip_attribution(c), F.lit(RUN), F.lit(0))
+
+
+def without(occ: DataFrame, functions: DataFrame) -> DataFrame:
+    """P2 for a listed set of function units."""
+    return occ.join(functions.select("unit").distinct(), "unit", "left_anti")
+
+
 def sentence_ids(sentences: DataFrame) -> DataFrame:
     return sentences.select((F.col("doc_id") * PER_DOC + F.col("k")).alias("sid"), "doc_id", "k", "sent")
 

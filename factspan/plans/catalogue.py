@@ -852,6 +852,53 @@ def _(s, d):
     return clauses.accepted(clauses.exchange(src.sentences(s, d)))
 
 
+@query("t1_runs", rf"""with {SENTS}, r as (select unnest(regexp_extract_all(sent, '[\p{{Han}}\p{{Katakana}}ー々]+|\p{{Hiragana}}+|[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}\p{{N}}\p{{M}}]+')) unit from sents) select unit, count(*) n from r group by unit""")
+def _(s, d):
+    return src.sentences(s, d).select(F.explode(units.runs(F.col("sent"))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p2_content_units", f"with {WORDS} select sid, count(*) n from occ where unit not in ({_P}) group by sid")
+def _(s, d):
+    return units.without(src.words(s, d), s.createDataFrame([(p,) for p in PARTICLES], "unit string")).groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a12_arrangements", f"{_ATT}, adh as (select unit, particle, sids * {_W} num from cnt), seat as (select sid, unit, nxt particle from att where label = 'particle' and (sid // 1000000) % 100 = 0) select s.sid \"cross\", coalesce(sum(num), 0)::bigint a_num, count(*) seats from seat s left join adh a on a.unit = s.unit and a.particle = s.particle group by s.sid")
+def _(s, d):
+    att = followers.attachments(src.words(s, d), PARTICLES).where("label = 'particle'")
+    a = followers.adhesion(followers.counts(att), PARTICLES)
+    return followers.arrangement(att.where(F.expr(f"(sid div {units.PER_DOC}) % 100 = 0")).select(F.col("sid").alias("cross"), "unit", "particle"), a)
+
+
+@query("x9_holding", f"""with {FACTS} select "value", "position", min(ord) since, count(*) times from facts where "value" in (select r_regionkey from region) group by all""")
+def _(s, d):
+    return fx.holding(src.facts(s, d), table(s, d, "region").select(F.col("r_regionkey").cast(long).alias("value")))
+
+
+@query("o4_first_order", """with f as (select conv_id, role, min(turn) t from conversations group by all) select conv_id, string_agg(role, ',' order by t) "values" from f group by conv_id""")
+def _(s, d):
+    return scores.in_first_order(table(s, d, "conversations"), "conv_id", "turn", "role")
+
+
+@query("k10_fixed_order", """select event_id, case event_type when 'error' then 1 when 'view' then 2 when 'click' then 3 else 4 end place from events""")
+def _(s, d):
+    return table(s, d, "events").select("event_id", scores.fixed_order("event_type", ("error", "view", "click")).cast("int").alias("place"))
+
+
+@query("k11_newest_runs", "select user_id, max(event_id) last from events group by user_id order by last desc limit 200")
+def _(s, d):
+    return scores.newest(table(s, d, "events").groupBy("user_id").agg(F.max("event_id").alias("last")), "last")
+
+
+@query("s9_extend", f"with {_CHAIN} select run, i, prev, sha from chain")
+def _(s, d):
+    e = table(s, d, "events")
+    body = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
+    start = e.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")))
+    old, new = start.where("k <= 20"), start.where("k > 20")
+    first = ledger.seal(old, "user_id", "event_id", body)
+    return first.union(ledger.extend(ledger.head(first), new, "user_id", "event_id", body)).drop("body")
+
+
 # ---------------------------------------------------------------- event time (extension)
 
 

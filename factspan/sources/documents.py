@@ -13,6 +13,7 @@ from factspan.functions.text import CLOSE_BRACKETS, CLOSERS, ENDS, OPEN_BRACKETS
 
 SUFFIXES = (".txt", ".md", ".markdown")
 LARGEST = 8 * 1024 * 1024
+# List and heading marks, code fences.
 _MARK = re.compile(r"^\s*(?:#{1,6}\s+|>+\s*|[-*+]\s+|\d{1,3}[.)]\s+)")
 _FENCE = re.compile(r"^\s*(```|~~~)")
 

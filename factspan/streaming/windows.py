@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.operators import units
+from factspan.operators import ledger, units
 
 
 def read_appended(spark: SparkSession, folder: str, schema: T.StructType, kind: str = "parquet", **options: str) -> DataFrame:
@@ -71,3 +71,17 @@ def streaks(calls: DataFrame, repeat: int = 8):
         yield pd.DataFrame(out, columns=["run", "key", "streak", "refused"])
 
     return calls.groupBy("run").applyInPandasWithState(fold, STREAK_OUT, "last string, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def seal_batches(rows: DataFrame, path: str, checkpoint: str, run: str, order: str, body):
+    """S9 as a stream: every micro-batch extends the chains written by the ones before it, under its
+    own number, so a repeated batch writes the same rows again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        heads = spark.createDataFrame([], f"run {rows.schema[run].dataType.simpleString()}, head string, n long")
+        if number:
+            heads = ledger.head(spark.read.parquet(path).where(F.col("batch") < number).drop("batch"))
+        ledger.extend(heads, batch, run, order, body).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

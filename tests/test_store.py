@@ -81,3 +81,9 @@ def test_matching_edges(spark):
     assert p.select(matching.owner_text(F.col("p")).alias("o")).first().o == "hi  there"
     f = matching.question_forms(spark.createDataFrame([(1, "場所は", ["会議"])], "qid int, question string, topics array<string>"))
     assert [(r.stage, r.form) for r in f.collect()] == [(1, "場所は"), (2, "会議の場所は")]
+
+
+def test_weave_plans():
+    assert clauses.weave_plan("会議の場所は東京") == [("attach", "の"), ("topic", "は")]
+    assert clauses.weave_plan("会議を東京で開催") == "nested_particle_chain"
+    assert clauses.weave_plan("東京から大阪") == "gap_is_not_a_particle" and clauses.weave_plan("です") == "no_unit"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factspan.operators import units
+from factspan.operators import ledger, units
 from factspan.streaming import windows
 
 
@@ -47,3 +47,14 @@ def test_streaks_carry_over_batches(spark, tmp_path):
 def test_uncommitted_sessions_stay_invisible(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "y")], "session long, v string")
     assert [r.v for r in windows.committed(rows, rows.where("session = 2")).collect()] == ["y"]
+
+
+def test_sealed_batches_equal_one_seal(spark, tmp_path):
+    rows = [(r, i, f"b{i}") for r in range(3) for i in range(8)]
+    df = spark.createDataFrame(rows, "run long, o long, body string")
+    for k in range(2):
+        df.where(f"o div 4 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = windows.read_appended(spark, str(tmp_path / "in"), df.schema, maxFilesPerTrigger="1")
+    windows.seal_batches(s, str(tmp_path / "out"), str(tmp_path / "cp"), "run", "o", F.col("body")).awaitTermination()
+    key = lambda d: sorted((r.run, r.i, r.body, r.prev, r.sha) for r in d.collect())
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(ledger.seal(df, "run", "o", F.col("body")))
