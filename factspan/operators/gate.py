@@ -9,24 +9,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from factspan.operators.units import TIERS, units
+
 # Refusal codes in the order they are listed.
 CODES = ("form_open", "crosses_break", "subject_absent", "echo", "too_short", "negated")
 BREAK = r"[,;:.!?、。！？；：]"
 NEGATIONS = ("not", "no", "never", "nicht", "kein", "ne", "pas", "nunca")
 
 
-def candidates(spans_: DataFrame, questions: DataFrame) -> DataFrame:
+def candidates(occ: DataFrame, questions: DataFrame) -> DataFrame:
     """The sentences that hold a question's subject, one row per question and sentence."""
-    return spans_.join(questions.select("qid", F.col("subject").alias("unit")), "unit").groupBy("qid", "sid").agg(F.min("pos").alias("subject_pos"))
+    return occ.join(questions.select("qid", F.col("subject").alias("unit")), "unit").groupBy("qid", "sid").agg(F.min("pos").alias("subject_pos"))
 
 
-def sentence_arrays(spans_: DataFrame) -> DataFrame:
-    """A sentence as arrays: units, gaps after them, clause numbers."""
-    d = spans_.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "unit", "start", "end"))).alias("u"), F.first("sent").alias("sent"))
-    gap = F.expr("transform(u, (x, i) -> substring(sent, x.end + 1, coalesce(get(u, i + 1).start, length(sent)) - x.end))")
-    d = d.withColumn("gaps", gap).withColumn("units", F.col("u.unit"))
-    cut = F.transform("gaps", lambda g: g.rlike(BREAK).cast("int"))
-    return d.withColumn("cuts", cut).withColumn("clause", F.expr("transform(units, (x, i) -> aggregate(slice(cuts, 1, i), 0, (a, c) -> a + c))")).select("sid", "units", "clause")
+def sentence_arrays(sentences: DataFrame) -> DataFrame:
+    """A sentence (sid, sent) as arrays: its units, and for each the clause it stands in."""
+    d = sentences.select("sid", units(F.col("sent")).alias("units"), F.split("sent", TIERS["WORD"], -1).alias("gaps")).where(F.size("units") > 0)
+    # gaps[i + 1] follows unit i; a unit's clause is the number of breaks before it
+    cuts = F.transform(F.slice("gaps", 2, F.size("units")), lambda g: g.rlike(BREAK).cast("int"))
+    d = d.select("sid", "units", cuts.alias("cuts"))
+    return d.select("sid", "units", F.expr("transform(units, (x, i) -> aggregate(slice(cuts, 1, i), 0, (a, c) -> a + c))").alias("clause"))
 
 
 def stretches(cands: DataFrame, arrays: DataFrame, longest: int = 4) -> DataFrame:

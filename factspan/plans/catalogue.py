@@ -571,14 +571,13 @@ def _questions(s, d):
 @query("p7_candidates", rf"""with {WORDS}, iw as (select item_id qid, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}]+')) w from benchmark),
 q as (select qid, w from iw qualify row_number() over (partition by qid order by length(w) desc, w) = 1) select qid, sid, min(pos) subject_pos from q join occ on unit = w group by qid, sid""")
 def _(s, d):
-    return gate.candidates(src.word_spans(s, d), _questions(s, d)).withColumn("subject_pos", F.col("subject_pos").cast(long))
+    return gate.candidates(src.words(s, d), _questions(s, d)).withColumn("subject_pos", F.col("subject_pos").cast(long))
 
 
 def _judged(s, d):
-    spans = src.word_spans(s, d)
-    q = _questions(s, d)
-    cands = gate.candidates(spans, q)
-    held = spans.join(cands.select("sid").distinct(), "sid", "left_semi")
+    sents, q = src.sentences(s, d), _questions(s, d)
+    cands = gate.candidates(units.occurrences(sents), q)
+    held = sents.join(cands.select("sid").distinct(), "sid", "left_semi")
     return gate.judge(gate.stretches(cands, gate.sentence_arrays(held)), q)
 
 

@@ -213,8 +213,7 @@ def test_runaway_caps_follow_the_tracker(spark):
 def test_gate_codes_and_maximal_answers(spark):
     s = spark.createDataFrame([(1, "Rome is the capital, Paris is not far away")], "sid long, sent string")
     q = spark.createDataFrame([(7, "capital", ["Rome"])], "qid long, subject string, echo array<string>")
-    spans = units.spans(s)
-    judged = gate.judge(gate.stretches(gate.candidates(spans, q), gate.sentence_arrays(spans)), q)
+    judged = gate.judge(gate.stretches(gate.candidates(units.occurrences(s), q), gate.sentence_arrays(s)), q)
     by = {}
     for r in judged.orderBy("i0").collect():
         by.setdefault(r.answer, r.codes)
