@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -13,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Documents handled at once inside a Python worker; bounds its memory.
+#: Documents handled at once inside a Python worker, and sent to it at once; they bound its memory.
 SLICE = 256
+BATCH_ROWS = 1024
 #: Rows up to which a measured table of short rows may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -63,7 +67,39 @@ def bounded_sample(df: DataFrame, rows: int, seed: int = 7) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) < cut)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable], schema: T.StructType) -> DataFrame:
+#: What a worker process keeps between tasks, by operator.
+_KEPT: dict[str, tuple] = {}
+
+
+def enter(operator: str | None) -> None:
+    """A task of `operator` begins in this worker: what other operators kept is let go."""
+    stale = [k for k in _KEPT if k != operator]
+    if stale:
+        for k in stale:
+            del _KEPT[k]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def keep(operator: str, key: object, make: Callable[[], object]) -> object:
+    """An object that the next task of the operator finds again, as long as the key is the same
+    object or an equal text."""
+    old = _KEPT.get(operator, (None,))[0]
+    if old is not key and not (isinstance(key, str) and old == key):
+        _KEPT.pop(operator, None)
+        _KEPT[operator] = (key, make())
+    return _KEPT[operator][1]
+
+
+def _small_batches(df: DataFrame) -> None:
+    """Arrow batches of whole documents are sized down from the default; a size set by the user stays."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable], schema: T.StructType, operator: str | None = None) -> DataFrame:
     """Arrow map over batches. ``make()`` runs once per task and returns ``step(*columns)``,
     which gets the columns as lists and returns the output columns as sequences. A step with a
     ``finish`` attribute is asked for a last batch at the end of the task."""
@@ -73,6 +109,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable], schema: T.StructType)
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(operator)
         step = make()
         for b in batches:
             for lo in range(0, b.num_rows, SLICE):
@@ -85,18 +122,21 @@ def map_texts(df: DataFrame, make: Callable[[], Callable], schema: T.StructType)
             for out in finish():
                 yield batch(out)
 
+    _small_batches(df)
     return df.mapInArrow(run, schema)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], operator: str | None = None) -> DataFrame:
     """Arrow map that keeps the schema, over slices of SLICE rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(operator)
         step = make()
         for b in batches:
             for lo in range(0, b.num_rows, SLICE):
                 yield step(b.slice(lo, SLICE))
 
+    _small_batches(df)
     return df.mapInArrow(run, df.schema)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.llm.common import bounded_sample, documents, fold, id_text, map_batches, map_texts, materialise
+from factspan.llm.common import bounded_sample, documents, fold, id_text, keep, map_batches, map_texts, materialise
 
 TRAIN_ROWS = 20_000
 MAX_WORDS = 200_000
@@ -167,14 +167,9 @@ class Scorer:
         return self.langs[int(total.argmax())], float(p.max() / p.sum())
 
 
-#: The scorer of the model in use: a worker's next task finds it with what it has cached.
-_IN_USE: list = []
-
-
 def scorer_of(model: dict) -> Scorer:
-    if not _IN_USE or _IN_USE[0] is not model:
-        _IN_USE[:] = [model, Scorer(model)]
-    return _IN_USE[1]
+    """The scorer of the model in use: a worker's next task finds it with what it has cached."""
+    return keep("language", model, lambda: Scorer(model))
 
 
 SCHEMA = T.StructType([
@@ -198,7 +193,7 @@ def predict(df: DataFrame, model: dict | None = None) -> DataFrame:
 
         return step
 
-    return map_texts(id_text(df).withColumn("held_out", fold() == 0), make, SCHEMA)
+    return map_texts(id_text(df).withColumn("held_out", fold() == 0), make, SCHEMA, "language")
 
 
 def keep_identified(df: DataFrame, least: float = 0.5, model: dict | None = None) -> DataFrame:
@@ -216,7 +211,7 @@ def keep_identified(df: DataFrame, least: float = 0.5, model: dict | None = None
 
         return step
 
-    return map_batches(df, make)
+    return map_batches(df, make, "language")
 
 
 def op8_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

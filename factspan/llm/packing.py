@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from factspan.llm.common import documents, id_text, map_texts, materialise
+from factspan.llm.common import documents, id_text, keep, map_texts, materialise
 
 CAPACITY = 4096
 END_ID = 1
@@ -120,14 +120,11 @@ _LONE_MARK = re.compile(r"[.,](?<=[^\W_][.,])(?=\s|$)")
 #: The same for any run of marks after a word; slower to find, and rarely needed.
 _MARKS = re.compile(r"(?<=[^\W_])[^\w\s]++(?=\s|$)")
 _SYMBOL = re.compile("[!#$%&*]")
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
     """One per worker process: what it has learnt serves the next task."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
-    return _TOKENIZERS[path]
+    return keep("packing", path, lambda: ChunkTokenizer(path))
 
 
 _PIECES = [
@@ -167,7 +164,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
         return step
 
-    return map_texts(id_text(df), make, T.StructType(fields))
+    return map_texts(id_text(df), make, T.StructType(fields), "packing")
 
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factspan.llm import rules
-from factspan.llm.common import bounded_sample, documents, id_text, map_texts, materialise
+from factspan.llm.common import bounded_sample, documents, id_text, keep, map_texts, materialise
 
 TRAIN_ROWS = 6_000
 BITS = 16
@@ -139,14 +139,9 @@ class Scorer:
         return len(words), 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-#: The scorer of the model in use: a worker's next task finds it with the weights it has looked up.
-_IN_USE: list = []
-
-
 def scorer_of(model: dict) -> Scorer:
-    if not _IN_USE or _IN_USE[0] is not model:
-        _IN_USE[:] = [model, Scorer(model)]
-    return _IN_USE[1]
+    """The scorer of the model in use: a worker's next task finds it with the weights it has looked up."""
+    return keep("quality", model, lambda: Scorer(model))
 
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
@@ -166,7 +161,7 @@ def classify(df: DataFrame, model: dict | None = None, least: float = LEAST) ->
 
         return step
 
-    return map_texts(id_text(df), make, SCHEMA)
+    return map_texts(id_text(df), make, SCHEMA, "quality")
 
 
 def op2_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
