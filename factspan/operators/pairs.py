@@ -32,10 +32,11 @@ def energy(freq: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def unique_argmax(values: DataFrame, by: list[str], unit: str = "unit", value: str = "num") -> DataFrame:
     """A5: the unit with the one greatest, positive value of each group; a tie names none."""
-    best = values.groupBy(*by).agg(F.max(value).alias("best")) if by else values.agg(F.max(value).alias("best"))
-    top = values.join(best, by) if by else values.crossJoin(F.broadcast(best))
+    by = by or ["_all"]
+    values = values if by != ["_all"] else values.withColumn("_all", F.lit(0))
+    top = values.join(values.groupBy(*by).agg(F.max(value).alias("best")), by)
     top = top.where(F.col(value) == F.col("best")).groupBy(*by, "best").agg(F.count(F.lit(1)).alias("ties"), F.min(unit).alias("one"))
-    return top.select(*by, F.when((F.col("ties") == 1) & (F.col("best") > 0), F.col("one")).alias("winner"), F.col("best").alias("value"), "ties")
+    return top.select(*by, F.when((F.col("ties") == 1) & (F.col("best") > 0), F.col("one")).alias("winner"), F.col("best").alias("value"), "ties").drop("_all")
 
 
 def edge_flow(pairs: DataFrame, freq: DataFrame, energies: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def frequencies(occ: DataFrame) -> DataFrame:
 
 def ratios(freq: DataFrame, sentences: DataFrame) -> DataFrame:
     """A2: n(u) over the number of all sentences, those without a unit included."""
-    return freq.crossJoin(F.broadcast(sentences.agg(F.count(F.lit(1)).alias("den")))).withColumnRenamed("n", "num")
+    return freq.withColumnRenamed("n", "num").withColumn("den", F.lit(sentences.count()).cast("long"))
 
 
 def lookup(occ: DataFrame, surfaces: DataFrame, first: int = 5) -> DataFrame:
