@@ -4,15 +4,19 @@ Word counts of all training documents come from one aggregation and stay a table
 frequent words (at most HEAVY, chosen by a count threshold so that the bound is proven) travel
 to the workers; the counts of all other words reach the documents through a join.
 
-The model predicts one of a fixed set of symbols from the two before: the end, the VOCABULARY
-most frequent words, and classes of all other words by their spelling. The context vector is
+The model predicts one of a set of symbols from the two before: the end, the most frequent
+words (VOCABULARY at least, growing with the cube root of the training tokens, so that the table
+of normalisers grows slower than the corpus), and classes of all other words by their spelling. The context vector is
 a sum of position-weighted symbol vectors, its products with all output vectors are taken in
 batches and normalised for every pair of context symbols once, so that scoring a token is two
 table look-ups minus a stored log normaliser. A word outside the vocabulary is its class times
 its smoothed share of the class, unseen words included, so a text has a proper probability.
 
-Symbols are trained on a bounded sample of training documents (TRAIN_DOCS, at most
-TRAIN_TOKENS tokens, taken from all of them evenly); counts cover all documents.
+Symbols are trained on the counts of all (two before, one before, symbol) triples of all training
+documents, a distributed table. Each epoch takes every triple once, at its count: triples are
+spread by hash over groups of about GROUP_ROWS, every group descends from the common parameters
+and their token-weighted mean begins the next epoch. Triples counted above the mean are split
+into equal shares, so that no step is ruled by one of them.
 
 Defined results: a null text is empty and holds its end token alone; null ids count as the
 empty text for the fold and keep their row; repeated rows each get the same result; without
@@ -26,21 +30,24 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.llm.common import ascii_lower_words, bounded_sample, documents, fold, id_text, map_texts, materialise
+from factspan.llm.common import ascii_lower_words, documents, fold, id_text, map_texts, materialise
 
 HEAVY = 300_000
 VOCABULARY = 1024
+VOCABULARY_GROWTH = 2.5
 DIMENSION = 32
-TRAIN_DOCS = 8_000
-TRAIN_TOKENS = 2_000_000
+GROUP_ROWS = 1 << 20
 EPOCHS = 3
 NOISE = 64
 BATCH = 1024
 _FLUSH = 500_000
+_FLUSH_TOKENS = 4_000_000
+_MEMO = 100_000
 #: Not a word: holds the count of end tokens.
 END = ""
 _STOP, _PAUSE = frozenset(b".!?"), frozenset(b",;:")
@@ -91,54 +98,170 @@ class Vocabulary:
     def __init__(self, words: list[bytes]):
         self.words = {w: 1 + CLASSES + i for i, w in enumerate(words)}
         self.size = 1 + CLASSES + len(words)
+        self._memo: dict[bytes, int] = {}
+
+    def _outside(self, word: bytes) -> int:
+        if len(self._memo) >= _MEMO:
+            self._memo.clear()
+        found = self._memo[word] = 1 + class_of(word)
+        return found
 
     def symbols(self, words: list[bytes]) -> np.ndarray:
-        get = self.words.get
-        return np.array([get(w) or 1 + class_of(w) for w in words] + [0], dtype=np.int64)
+        get, memo, outside = self.words.get, self._memo.get, self._outside
+        return np.array([get(w) or memo(w) or outside(w) for w in words] + [0], dtype=np.int64)
 
 
-def train(sequences: list[np.ndarray], size: int, seed: int = 5, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Noise-contrastive estimation of a log-bilinear model over two context symbols."""
+def vocabulary_size(tokens: int) -> int:
+    """Words with a symbol of their own, for a number of training tokens."""
+    return max(VOCABULARY, int(VOCABULARY_GROWTH * tokens ** (1 / 3)))
+
+
+def contexts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols two back and one back, over sequences one after the other that each end with 0."""
+    one = np.concatenate(([0], symbols[:-1]))
+    two = np.concatenate(([0], one[:-1]))
+    two[one == 0] = 0
+    return two, one
+
+
+_TRIPLES = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", T.LongType())])
+
+
+def count_triples(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(key, c): how often each symbol follows each pair, over all training documents. The key is
+    (two back * size + one back) * size + symbol."""
+    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def make():
+        v = sent.value
+        held: list[np.ndarray] = []
+        tokens = [0]
+
+        def drain():
+            if not held:
+                return [[], []]
+            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            tokens[0] = 0
+            return [keys, c]
+
+        def step(texts):
+            s = np.concatenate([v.symbols(ascii_lower_words(t or "")) for t in texts])
+            two, one = contexts(s)
+            held.append((two * v.size + one) * v.size + s)
+            tokens[0] += len(s)
+            return drain() if tokens[0] > _FLUSH_TOKENS else None
+
+        step.finish = lambda: [drain()]
+        return step
+
+    train = id_text(df).where(fold() != 1).select("text")
+    return map_texts(train, make, _TRIPLES).groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def start(size: int, seed: int, freq: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Parameters r, q, c1, c2, b before training, their squared gradients, and the noise distribution."""
     rng = np.random.default_rng(seed)
     scale = 0.1
     r, q = rng.normal(0, scale, (size, DIMENSION)).astype(np.float32), rng.normal(0, scale, (size, DIMENSION)).astype(np.float32)
     c1, c2 = np.ones(DIMENSION, dtype=np.float32), np.full(DIMENSION, 0.5, dtype=np.float32)
+    noise = (freq / freq.sum()).astype(np.float64)
+    params = [r, q, c1, c2, np.log(noise).astype(np.float32)]
+    return params, [np.full_like(p, 1e-6) for p in params], noise
+
+
+def descend(params: list, grow: list, noise: np.ndarray, rng, prev2: np.ndarray, prev1: np.ndarray, now: np.ndarray, weight: np.ndarray) -> None:
+    """One epoch over weighted triples in random order; params and grow are changed in place."""
+    r, q, c1, c2, b = params
+    size = len(b)
+    log_k_noise = np.log(NOISE * noise).astype(np.float32)
+    order = rng.permutation(len(now))
+    for lo in range(0, len(order), BATCH):
+        at = order[lo : lo + BATCH]
+        w, x1, x2, times = now[at], prev1[at], prev2[at], weight[at]
+        fake = rng.choice(size, NOISE, p=noise)
+        h = r[x1] * c1 + r[x2] * c2
+        true = (h * q[w]).sum(1) + b[w]
+        false = h @ q[fake].T + b[fake]
+        g_true = times * (1 / (1 + np.exp(-(true - log_k_noise[w]))) - 1)  # gradient of the loss by the scores
+        g_false = times[:, None] / (1 + np.exp(-(false - log_k_noise[fake])))
+        n = np.float32(1 / len(at))
+        gh = g_true[:, None] * q[w] + g_false @ q[fake]
+        gq, gb, gr = np.zeros_like(q), np.zeros_like(b), np.zeros_like(r)
+        np.add.at(gq, w, g_true[:, None] * h)
+        np.add.at(gq, fake, g_false.T @ h)
+        gb += np.bincount(w, g_true, size).astype(np.float32) + np.bincount(fake, g_false.sum(0), size).astype(np.float32)
+        np.add.at(gr, x1, gh * c1)
+        np.add.at(gr, x2, gh * c2)
+        for p, g, m in zip(params, (gr, gq, (gh * r[x1]).sum(0), (gh * r[x2]).sum(0), gb), grow):
+            g = g * n
+            m += g * g
+            p -= np.float32(0.1) * g / np.sqrt(m)
+
+
+def _named(params: list[np.ndarray]) -> dict[str, np.ndarray]:
+    return dict(zip(("r", "q", "c1", "c2", "b"), params))
+
+
+def train(sequences: list[np.ndarray], size: int, seed: int = 5, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
+    """Noise-contrastive estimation of a log-bilinear model over two context symbols."""
     freq = np.ones(size)
     for s in sequences:
         freq += np.bincount(s, minlength=size)
-    noise = (freq / freq.sum()).astype(np.float64)
-    b = np.log(noise).astype(np.float32)
-    params = [r, q, c1, c2, b]
+    params, grow, noise = start(size, seed, freq)
     if sequences:
         now = np.concatenate(sequences)
-        prev1 = np.concatenate([np.concatenate(([0], s[:-1])) for s in sequences])
-        prev2 = np.concatenate([np.concatenate(([0, 0], s[:-2]))[: len(s)] for s in sequences])
-        log_k_noise = np.log(NOISE * noise).astype(np.float32)
-        grow = [np.full_like(p, 1e-6) for p in params]
+        two, one = contexts(now)
+        rng = np.random.default_rng(seed + 1)
         for _ in range(epochs):
-            order = rng.permutation(len(now))
-            for lo in range(0, len(order), BATCH):
-                at = order[lo : lo + BATCH]
-                w, x1, x2 = now[at], prev1[at], prev2[at]
-                fake = rng.choice(size, NOISE, p=noise)
-                h = r[x1] * c1 + r[x2] * c2
-                true = (h * q[w]).sum(1) + b[w]
-                false = h @ q[fake].T + b[fake]
-                g_true = 1 / (1 + np.exp(-(true - log_k_noise[w]))) - 1  # gradient of the loss by the scores
-                g_false = 1 / (1 + np.exp(-(false - log_k_noise[fake])))
-                n = np.float32(1 / len(at))
-                gh = g_true[:, None] * q[w] + g_false @ q[fake]
-                gq, gb, gr = np.zeros_like(q), np.zeros_like(b), np.zeros_like(r)
-                np.add.at(gq, w, g_true[:, None] * h)
-                np.add.at(gq, fake, g_false.T @ h)
-                gb += np.bincount(w, g_true, size).astype(np.float32) + np.bincount(fake, g_false.sum(0), size).astype(np.float32)
-                np.add.at(gr, x1, gh * c1)
-                np.add.at(gr, x2, gh * c2)
-                for p, g, m in zip(params, (gr, gq, (gh * r[x1]).sum(0), (gh * r[x2]).sum(0), gb), grow):
-                    g = g * n
-                    m += g * g
-                    p -= np.float32(0.1) * g / np.sqrt(m)
-    return {"r": r, "q": q, "c1": c1, "c2": c2, "b": b}
+            descend(params, grow, noise, rng, two, one, now, np.ones(len(now), dtype=np.float32))
+    return _named(params)
+
+
+_MODELS = T.StructType([T.StructField("part", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("state", T.BinaryType())])
+
+
+def train_counts(triples: DataFrame, size: int, seed: int = 5, epochs: int = EPOCHS) -> tuple[dict[str, np.ndarray], int]:
+    """The model of a whole table of triples, and the number of tokens it was trained on."""
+    freq, rows, tokens = np.ones(size), 0, 0
+    for r in triples.groupBy((F.col("key") % size).alias("symbol")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        freq[r.symbol] += r.c
+        rows, tokens = rows + r.n, tokens + r.c
+    params, grow, noise = start(size, seed, freq)
+    if not rows:
+        return _named(params), 0
+    shapes, share = [p.shape for p in params], tokens / rows
+    cuts = np.cumsum([p.size for p in params + grow])[:-1]
+    parts = triples.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(-(-rows // GROUP_ROWS))))
+    sc = triples.sparkSession.sparkContext
+
+    def one_epoch(epoch: int, sent):
+        def run(table):
+            key, c, part = (table.column(x).to_numpy() for x in ("key", "c", "part"))
+            order = np.argsort(key)  # the same model whatever order the rows come in
+            key, c = key[order], c[order]
+            copies = np.ceil(c / share).astype(np.int64)
+            weight = np.repeat((c / copies / share).astype(np.float32), copies)
+            key = np.repeat(key, copies)
+            flat = [x.copy().reshape(s) for x, s in zip(np.split(sent.value, cuts), shapes * 2)]
+            rng = np.random.default_rng([seed, epoch, int(part[0])])
+            descend(flat[:5], flat[5:], noise, rng, key // size // size, key // size % size, key % size, weight)
+            state = np.concatenate([x.ravel() for x in flat]).tobytes()
+            return pa.table({"part": part[:1], "weight": pa.array([float(c.sum())]), "state": pa.array([state], pa.binary())})
+
+        return run
+
+    for epoch in range(epochs):
+        sent = sc.broadcast(np.concatenate([x.ravel() for x in params + grow]))
+        models = materialise(parts.groupBy("part").applyInArrow(one_epoch(epoch, sent), _MODELS), "models")
+        total, mean = 0.0, np.zeros(cuts[-1] + grow[-1].size)
+        for m in models.orderBy("part").toLocalIterator():
+            total += m.weight
+            mean += m.weight * np.frombuffer(m.state, dtype=np.float32)
+        state = [x.astype(np.float32).reshape(s) for x, s in zip(np.split(mean / total, cuts), shapes * 2)]
+        params, grow = state[:5], state[5:]
+        sent.unpersist()
+    return _named(params), tokens
 
 
 def tables(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -158,8 +281,7 @@ def tables(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def log10_probability(t: dict[str, np.ndarray], symbols: np.ndarray) -> float:
     """Normalised log10 probability of a symbol sequence that ends with 0."""
-    p1 = np.concatenate(([0], symbols[:-1]))
-    p2 = np.concatenate(([0, 0], symbols[:-2]))[: len(symbols)]
+    p2, p1 = contexts(symbols)
     return float((t["one"][p1, symbols] + t["two"][p2, symbols] - t["z"][p2, p1]).sum(dtype=np.float64)) / math.log(10)
 
 
@@ -178,27 +300,15 @@ def fit(df: DataFrame, counts: DataFrame) -> dict:
     heavy = counts.where((F.col("word") != END) & (level >= least)).select("word", "c").collect() if least is not None else []
     heavy.sort(key=lambda r: (-r.c, r.word))
     known = {r.word.encode("utf-8", "surrogatepass"): r.c for r in heavy}
-    vocabulary = Vocabulary(list(known)[:VOCABULARY])
+    vocabulary = Vocabulary(list(known)[: vocabulary_size(n)])
     outside = [0.5] * CLASSES  # half a count for unseen words of the class
     for r in counts.where(F.col("word") != END).groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         outside[r["class"]] += r.c + 0.5 * r.v
     for w in vocabulary.words:
         outside[class_of(w)] -= known[w] + 0.5
-    sample = bounded_sample(id_text(df).where(fold() != 1), TRAIN_DOCS).select("text")
-    sequences, tokens = [], 0
-    for text in sorted((r.text or "" for r in sample.toLocalIterator()), key=lambda t: hash_text(t)):
-        if tokens >= TRAIN_TOKENS:
-            break
-        sequences.append(vocabulary.symbols(ascii_lower_words(text)))
-        tokens += len(sequences[-1])
-    model = tables(train(sequences, vocabulary.size))
-    return {"n": n, "v": v, "ends": int(total.ends or 0), "known": known, "vocabulary": vocabulary, "outside": [math.log10(max(x, 0.5)) for x in outside], "model": model}
-
-
-def hash_text(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    trained, trained_tokens = train_counts(materialise(count_triples(df, vocabulary), "triples"), vocabulary.size)
+    model = tables(trained)
+    return {"n": n, "v": v, "ends": int(total.ends or 0), "known": known, "vocabulary": vocabulary, "outside": [math.log10(max(x, 0.5)) for x in outside], "model": model, "trained_tokens": trained_tokens}
 
 
 _ROWS = T.StructType([

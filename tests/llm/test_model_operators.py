@@ -133,3 +133,27 @@ def test_scoring_edge_cases(spark):
     assert lbl.score(spark.createDataFrame([], SCHEMA)).count() == 0
     got = lbl.score(spark.createDataFrame([(i, "only held out") for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1], SCHEMA)).collect()
     assert got and all(r.train_tokens == 0 and r.n_known == 0 and abs(r.base_score) < 1e-9 and math.isfinite(r.score) for r in got)
+
+
+def test_model_is_trained_on_every_training_token(spark, monkeypatch):
+    """More training documents than any sample of 8,000, in several groups: every triple is counted and used."""
+    monkeypatch.setattr(lbl, "GROUP_ROWS", 40)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "Dd", "x9"]) for _ in range(i % 4))) for i in range(12_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    fitted = lbl.fit(df, lbl.count_words(df))
+    v = fitted["vocabulary"]
+    want = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            s = [0, 0, *v.symbols(lbl.ascii_lower_words(t)).tolist()]
+            want.update((a * v.size + b) * v.size + c for a, b, c in zip(s, s[1:], s[2:]))
+    triples = lbl.count_triples(df, v)
+    assert {r.key: r.c for r in triples.collect()} == want
+    assert fitted["trained_tokens"] == fitted["n"] == sum(want.values())
+    again = lbl.train_counts(triples.repartition(7), v.size)[0]
+    assert all(np.array_equal(x, y) for x, y in zip(again.values(), lbl.train_counts(triples, v.size)[0].values()))
+
+
+def test_vocabulary_grows_with_the_corpus():
+    assert lbl.vocabulary_size(0) == lbl.VOCABULARY < lbl.vocabulary_size(10**9) < lbl.vocabulary_size(10**10)
