@@ -562,10 +562,10 @@ def _(s, d):
 
 
 def _questions(s, d):
-    """Benchmark items as questions: the subject is the longest word (the least of those), the echo all words of the item's first sentence."""
+    """Benchmark items as questions: the subject is the longest word (the least of those), the echo all words of the item."""
     u = units.units(F.col("text"))
     long_ = F.expr(f"array_sort(regexp_extract_all(text, '{tx.LETTER.replace(chr(92), chr(92) * 2)}+', 0), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end)")
-    return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.get(long_, F.lit(0)).alias("subject"), F.slice(u, 1, 3).alias("echo"))
+    return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.get(long_, F.lit(0)).alias("subject"), u.alias("echo"))
 
 
 @query("p7_candidates", rf"""with {WORDS}, iw as (select item_id qid, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}]+')) w from benchmark),

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -222,6 +223,49 @@ def test_gate_codes_and_maximal_answers(spark):
     assert [r.answer for r in gate.maximal(judged.where(F.size("codes") == 0)).collect()] == ["is the"]
 
 
+def test_gate_queries_refuse_every_question_word(spark, tmp_path):
+    """The registered queries against a reading of every stretch, with questions of more than three words."""
+    from factspan.plans import catalogue
+
+    texts = {1: "Red apples from Oslo. The harbourmaster keeps seven brown lanterns, not one lamp.", 2: "Seven lanterns burn. harbourmaster of Bergen sails on"}
+    items = {5: "Who keeps brown lanterns near the harbourmaster of Bergen", 6: "apples"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    codes, forms, occurrences = Counter(), defaultdict(set), Counter()
+    for qid, item in items.items():
+        echo = re.findall(r"\w+", item)
+        subject = min(echo, key=lambda w: (-len(w), w))
+        for text in texts.values():
+            for sent in re.findall(r"[^.]+\.?", text):
+                clauses = [re.findall(r"\w+", c) for c in sent.split(",")]
+                words = [(w, k) for k, c in enumerate(clauses) for w in c]
+                if subject not in [w for w, _ in words]:
+                    continue
+                home = next(k for w, k in words if w == subject)
+                passed = []
+                for i in range(len(words)):
+                    for j in range(i + 1, min(i + 4, len(words)) + 1):
+                        part = [w for w, _ in words[i:j]]
+                        failed = [
+                            c for c, bad in (
+                                ("crosses_break", words[i][1] != words[j - 1][1]), ("subject_absent", words[i][1] != home), ("echo", any(w in echo for w in part)),
+                                ("too_short", len("".join(part)) < 3), ("negated", any(w.lower() in gate.NEGATIONS for w in part)),
+                            ) if bad
+                        ]
+                        codes.update(failed)
+                        if not failed:
+                            passed.append((i, j))
+                for i, j in passed:
+                    if not any((a, b) != (i, j) and a <= i and j <= b for a, b in passed):
+                        forms[qid].add(" ".join(w for w, _ in words[i:j]).lower())
+                        occurrences[qid] += 1
+    got = catalogue.QUERIES["j8_g4_gate"](spark, str(tmp_path)).collect()
+    assert {r.qid: (r.forms, r.occurrences, r.verdict) for r in got} == {q: (len(f), occurrences[q], "ANSWER" if len(f) == 1 else "CHOICE") for q, f in forms.items()}
+    assert set(forms) == {5, 6}
+    histogram = {tuple(r) for r in catalogue.QUERIES["a18_code_histogram"](spark, str(tmp_path)).collect()}
+    assert {(c, n) for c, n in codes.items()} == {(r[0], r[1]) for r in histogram if r[0] in gate.CODES}
+
+
 def test_unsourced_writes_look_back_only(spark):
     said = spark.createDataFrame([(1, 2, "x"), (1, 5, "y")], "session long, turn long, sent string")
     writes = spark.createDataFrame([(1, 2, "x"), (1, 1, "x"), (1, 9, "z"), (2, 9, "x")], "session long, turn long, sent string")
