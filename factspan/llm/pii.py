@@ -21,6 +21,7 @@ in the length of a text (every pattern is matched without re-scanning).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterable
@@ -112,6 +113,16 @@ _CUES = 32
 N_FEATURES = 1 + len(_N_DIGIT) + 8 + _CUES
 
 
+#: Most tokens that one number is written in: 19 digits.
+_GROUPS = 19
+
+
+def _same_number(a: str, b: str) -> bool:
+    """Is one the other without its country code (at most three digits) or a leading zero, or its ending?"""
+    a, b = a.lstrip("0"), b.lstrip("0")
+    return b.endswith(a) or a.endswith(b) and len(a) <= len(b) + 3
+
+
 class Tokens:
     """Candidate tokens of one text: spans, features, keys, neighbourhood."""
 
@@ -146,6 +157,42 @@ class Tokens:
             else:
                 self.keys.append(digits[-7:] if len(digits) >= 7 else None)
 
+    def link(self, text: str, spans: list[tuple[str, int, int]]) -> None:
+        """Keys for numbers written in groups: tokens of a base span get the key of its digits, and
+        so do neighbouring digit tokens that together write the same number again."""
+        proven: dict[str, set[str]] = {}
+        ends = [b for _, b in self.spans]
+        for kind, a, b in spans:
+            digits = "".join(_DIGITS.findall(text[a:b])) if kind in ("card", "phone") else ""
+            if len(digits) < 7:
+                continue
+            proven.setdefault(digits[-7:], set()).add(digits)
+            j = bisect.bisect_right(ends, a)
+            while j < self.n and self.spans[j][0] < b:
+                self.keys[j] = self.keys[j] or digits[-7:]
+                j += 1
+        if not proven:
+            return
+        words = (text[a:b] for a, b in self.spans)
+        parts = [None if taken or "@" in w or any(c.isalpha() for c in w) else "".join(_DIGITS.findall(w)) for taken, w in zip(self.labels(spans), words)]
+        for k in range(self.n):
+            digits, first = "", None
+            for j in range(k, max(-1, k - _GROUPS), -1):
+                if not parts[j] or j < k and self.order[j + 1] != self.order[j] + 1:
+                    break
+                digits = parts[j] + digits
+                if len(digits) > 19:
+                    break
+                known = proven.get(digits[-7:], ()) if len(digits) >= 7 else ()
+                if any(_same_number(digits, p) for p in known):
+                    first = j
+                if digits in known:
+                    break
+            if first is not None:
+                key = "".join(parts[first : k + 1])[-7:]
+                for j in range(first, k + 1):
+                    self.keys[j] = self.keys[j] or key
+
     def matrix(self) -> np.ndarray:
         x = np.zeros((self.n, N_FEATURES))
         for j, f in enumerate(self.feats):
@@ -276,6 +323,7 @@ def find_spans(text: str, model: dict) -> tuple[list[tuple[str, int, int]], list
     clamped = t.labels(base)
     if t.n < 2 or bool((clamped > 0).all()):
         return base, base
+    t.link(text, base)
     proven = {key for key, c in zip(t.keys, clamped) if c and key is not None}
     if not any(key in proven for key, c in zip(t.keys, clamped) if not c):
         return base, base

@@ -80,6 +80,21 @@ def test_pii_skip_edges_add_distant_mentions():
     assert "555" not in pii.mask(text, every) and "page 12 of 300" in pii.mask(text, every)
 
 
+@pytest.mark.parametrize("first, again", [
+    ("4111 1111 1111 1111", "4111.1111.1111.1111"), ("4111-1111-1111-1111", "4111 .1111 .1111 .1111"), ("5500 0055 5555 5559", "5500.0055.5555.5559"),
+    ("+49 30 1234 5678", "030 1234 5678"), ("+49 30 1234 5678", "030/12345678"),
+])
+def test_pii_skip_edges_join_numbers_written_in_groups(first, again):
+    model = pii.train([f"call +1 ({i:03d}) 555-{i * 37 % 10000:04d} now. card 4111 1111 1111 1111 or 4111-1111-1111-1111. see page {i} of {i + 9}" for i in range(100, 400)])
+    text = f"We noted {first} for you.\nThe file of last year says {again} on page 12 of 300."
+    base, every = pii.find_spans(text, model)
+    assert len(base) == 1 and base[0][1:] == (9, 9 + len(first))
+    got = pii.mask(text, every)
+    assert again not in got and not any(g in got.split("says")[1] for g in re.findall("[0-9]{3,}", again)) and "page 12 of 300" in got
+    # without the first mention nothing is added
+    assert pii.find_spans(text.replace(first, "it"), model)[1] == pii.base_spans(text.replace(first, "it"))
+
+
 def test_pii_redact_keeps_columns(spark):
     df = spark.createDataFrame([(1, "ip 10.0.0.1 end", 15), (2, None, None)], SCHEMA + ", n_chars long")
     rows = pii.redact(df, pii.train([])).orderBy("doc_id").collect()
