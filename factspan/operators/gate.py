@@ -1,4 +1,5 @@
-"""The evidence gate: which stretches of which sentences may answer a question (survey P6, P7, J8, G1, G4, G5, A14, A15, W13).
+"""The evidence gate: which stretches of which sentences may answer a question (survey P6, P7, J8, G5, A14, A15, W13;
+G1 and G4 in part: the codes below, not the answer_glued, wrong_arm, no_slot_head, not_copular and subject_unreadable).
 
 Questions are (qid, subject, echo): the unit a sentence must hold, and the units that would only
 repeat the question. Sentences come in by an equi-join on the subject, never by a product."""
@@ -39,7 +40,7 @@ def stretches(cands: DataFrame, arrays: DataFrame, longest: int = 4) -> DataFram
 
 
 def judge(stretches_: DataFrame, questions: DataFrame) -> DataFrame:
-    """All failing codes of a stretch in listed order; none means it passes."""
+    """G1, G4 in part: all failing codes of a stretch in listed order; none means it passes."""
     d = stretches_.join(F.broadcast(questions.select("qid", "subject", "echo")), "qid")
     first, last = F.get("clause", F.col("i0")), F.get("clause", F.col("i1") - 1)
     checks = {

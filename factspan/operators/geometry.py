@@ -1,4 +1,4 @@
-"""Crosses: rotations, seats, alignment, placement (survey R1-R13, A8, A13)."""
+"""Crosses: rotations, seats, alignment, placement (survey R1-R7, R9-R13, A8, A13)."""
 
 from __future__ import annotations
 
