@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import itertools
 import os
 import tempfile
 import uuid
@@ -32,6 +33,13 @@ def id_text(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, number: int) -> list[str]:
+    """Column names that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"_own{i}" for i in itertools.count())
+    return list(itertools.islice((n for n in names if n not in taken), number))
+
+
 def fold(modulus: int = 5) -> Column:
     """crc32 of doc_id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
@@ -139,7 +147,3 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     _small_batches(df)
     return df.mapInArrow(run, df.schema)
 
-
-def ascii_lower_words(text: str) -> list[bytes]:
-    """A-Z lower-cased, split on ASCII white space: exactly ``[^\\x20\\x09-\\x0D]+``."""
-    return text.encode("utf-8", "surrogatepass").lower().split()

@@ -1,14 +1,16 @@
 """Language identification: word first, backing off to shorter character n-grams.
 
-A word seen in training scores its log frequency in each language. An unseen word is wrapped
-in boundary marks and scored by the mean log frequency of its 4-grams; if none of them was
-seen, by its 3-grams, then 2-grams, then single characters; a word of wholly unknown
-characters says nothing. The document's language has the largest sum; `score` is its
-posterior, with the evidence of long texts scaled down to TEMPER words.
-
-The model is a classifier fitted on a bounded sample of labelled rows (TRAIN_ROWS) outside
-the held-out fold; its tables are bounded by MAX_WORDS and MAX_GRAMS. Every document is
-predicted from its whole text.
+Words are runs of letters (Unicode category L) of the lower-cased text. A word seen in training
+scores its log frequency in each language. An unseen word is wrapped in boundary marks and
+scored by the mean log frequency of its 4-grams; if none of them was seen, by its 3-grams, then
+2-grams, then single characters; a word of wholly unknown characters says nothing. The
+document's language has the largest sum; `score` is its posterior, with the evidence of long
+texts scaled down to TEMPER words.
+
+The model is a classifier fitted on a bounded sample of labelled rows (TRAIN_ROWS) outside the
+held-out fold. Every word and n-gram of the sample is known, however rare. Tables are sorted
+64-bit hashes beside a matrix of log frequencies; words are found in them a slice of documents
+at a time. Every document is predicted from its whole text.
 
 Defined results: null text or a text without letters gives ``und`` with score 0, as does a
 corpus without any labelled row; equal sums give the alphabetically first language; a null id
@@ -18,158 +20,130 @@ are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.llm.common import bounded_sample, documents, fold, id_text, keep, map_batches, map_texts, materialise
+from factspan.llm.common import bounded_sample, documents, fold, id_text, map_batches, map_texts
+from factspan.llm.words import LetterWords, found, summed
 
 TRAIN_ROWS = 20_000
-MAX_WORDS = 200_000
-MAX_GRAMS = 200_000
 ORDERS = (4, 3, 2, 1)
+#: Stands for whole words among the orders.
+WORD = 0
+SMOOTHING = 0.1
 TEMPER = 30
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 100_000
-_FLUSH = 400_000
-
-
-def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+_FLUSH = 1 << 20
 
+_COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("c", T.LongType())])
 
-def grams_of(word: str, n: int) -> list[str]:
-    if n == 1:
-        return list(word)
-    marked = f"^{word}$"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)] or [marked]
 
+class _Count:
+    """Counts by (lang, n, hash) of a task, summed in place and handed out when they are many and at the end."""
 
-_COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("gram", T.StringType()), T.StructField("c", T.LongType())])
-
+    def __init__(self):
+        self.held: dict[tuple[str, int], list] = {}
+        self.rows = 0
 
-class _Held:
-    """Task-local counts by (lang, n, gram), handed out when there are many and at the end."""
+    def _add(self, lang: str, n: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.held.setdefault((lang, n), []).append((keys, counts))
+        self.rows += len(keys)
 
-    def __init__(self):
-        self.counts: Counter = Counter()
+    def __call__(self, langs, texts):
+        for lang in sorted(set(langs)):
+            words = LetterWords([t for t, own in zip(texts, langs) if own == lang])
+            keys, first, times = np.unique(words.hashes, return_index=True, return_counts=True)
+            if not len(keys):
+                continue
+            self._add(lang, WORD, keys, times)
+            order = np.argsort(first)
+            for n, word, grams in words.grams(first[order], ORDERS):
+                self._add(lang, n, *summed(grams, times[order][word]))
+        if self.rows > _FLUSH:
+            self._sum()
+        return self.drain() if self.rows > _FLUSH // 2 else None
+
+    def _sum(self) -> None:
+        self.held = {k: [summed(*map(np.concatenate, zip(*v)))] for k, v in self.held.items()}
+        self.rows = sum(len(v[0][0]) for v in self.held.values())
 
     def drain(self):
-        items = list(self.counts.items())
-        self.counts.clear()
-        return [[k[0] for k, _ in items], [k[1] for k, _ in items], [k[2] for k, _ in items], [c for _, c in items]]
+        self._sum()
+        out = [(lang, n, keys, counts) for (lang, n), [(keys, counts)] in self.held.items()]
+        self.held, self.rows = {}, 0
+        if not out:
+            return [[], [], [], []]
+        size = [len(x[2]) for x in out]
+        langs = np.repeat(np.array([x[0] for x in out], dtype=object), size)
+        return [langs, np.repeat([x[1] for x in out], size).astype(np.int32), np.concatenate([x[2] for x in out]).view(np.int64), np.concatenate([x[3] for x in out])]
 
     def finish(self):
         yield self.drain()
 
 
-class _CountWords(_Held):
-    def __call__(self, langs, texts):
-        for lang, text in zip(langs, texts):
-            for word, c in Counter(words_of(text)).items():
-                self.counts[lang, 0, word] += c
-        return self.drain() if len(self.counts) > _FLUSH else None
-
-
-class _CountGrams(_Held):
-    """n-grams of words already counted, so that a word is cut once per language."""
-
-    def __call__(self, langs, words, counts):
-        held = self.counts
-        for lang, word, c in zip(langs, words, counts):
-            for n in ORDERS:
-                for g in grams_of(word, n):
-                    held[lang, n, g] += c
-        return self.drain() if len(held) > _FLUSH else None
-
-
-def fit(df: DataFrame, rows: int = TRAIN_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
-    """Tables of per-language counts. Bounded: sampled rows, then the most frequent entries."""
+def fit(df: DataFrame, rows: int = TRAIN_ROWS) -> dict:
+    """Per order the sorted hashes and their log frequencies by language, from a bounded sample."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    total = F.sum("c").alias("c")
-    words = materialise(map_texts(bounded_sample(docs, rows).select("lang", "text"), _CountWords, _COUNTS).groupBy("lang", "n", "gram").agg(total), "words")
-    grams = map_texts(words.select("lang", "gram", "c"), _CountGrams, _COUNTS).groupBy("lang", "n", "gram").agg(total)
-
-    def most(counts: DataFrame, limit: int) -> DataFrame:
-        by = counts.groupBy("n", "gram").agg(total, F.sort_array(F.collect_list(F.struct("lang", F.col("c").alias("times")))).alias("by"))
-        by = by.where((F.col("n") != 0) | (F.col("c") > 1)).orderBy(F.desc("c"), "n", "gram").limit(limit)
-        return by.select("n", "gram", F.col("by.lang").alias("langs"), F.col("by.times").alias("times"))
-
-    got = most(words, max_words).unionByName(most(grams, max_grams)).toArrow().combine_chunks()
-    sizes = np.diff(got["langs"].combine_chunks().offsets.to_numpy())
-    names = np.array(got["langs"].combine_chunks().flatten().to_pylist(), dtype=object)
-    langs = sorted(set(names))
-    column = np.array([langs.index(x) for x in names], dtype=np.int64)
-    times = got["times"].combine_chunks().flatten().to_numpy()
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    order, text = got["n"].to_numpy(), got["gram"].to_pylist()
-    tables: dict[int, dict[str, int]] = {}
-    logs: dict[int, np.ndarray] = {}
-    for n in (0, *ORDERS):
+    counts = map_texts(bounded_sample(docs, rows).select("lang", "text"), _Count, _COUNTS, "language").groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))
+    got = counts.toArrow().combine_chunks()
+    lang = got["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(lang.dictionary.to_pylist())
+    column = np.array([langs.index(x) for x in lang.dictionary.to_pylist()], dtype=np.int64)[lang.indices.to_numpy()] if langs else np.zeros(0, dtype=np.int64)
+    order, keys, times = got["n"].to_numpy(), got["key"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    model: dict = {"langs": langs, "keys": {}, "logs": {}}
+    for n in (WORD, *ORDERS):
         at = np.flatnonzero(order == n)
-        tables[n] = {text[i]: k for k, i in enumerate(at)}
-        m = np.zeros((len(order), len(langs)))
-        m[row, column] = times
-        m = m[at]
-        logs[n] = np.log((m + 0.1) / (m.sum(0) + 0.1 * (len(at) + 1))).astype(np.float32)
-    return {"langs": langs, "tables": tables, "logs": logs}
+        known, row = np.unique(keys[at], return_inverse=True)
+        m = np.zeros((len(known), len(langs)))
+        m[row, column[at]] = times[at]
+        model["keys"][n] = known
+        model["logs"][n] = np.log((m + SMOOTHING) / (m.sum(0) + SMOOTHING * (len(known) + 1))).astype(np.float32)
+    return model
 
 
 class Scorer:
-    """Per-language log scores. Rows of one matrix: the known words, then unseen words as they come,
-    each scored once; when those are _CACHE many they are forgotten."""
+    """Language and score of every text of a slice."""
 
     def __init__(self, model: dict):
-        self.langs, self.tables, self.logs = model["langs"], model["tables"], model["logs"]
-        self.known = self.tables[0]
-        self.unseen: dict[str, int] = {}
-        self.rows = np.zeros((len(self.known) + _CACHE, len(self.langs)), dtype=np.float32)
-        self.rows[: len(self.known)] = self.logs[0]
-
-    def back_off(self, word: str) -> int:
-        """The row of an unseen word."""
-        at = self.unseen.get(word)
-        if at is None:
-            if len(self.unseen) >= _CACHE:
-                self.unseen.clear()
-            at = self.unseen[word] = len(self.known) + len(self.unseen)
-            self.rows[at] = 0
-            for n in ORDERS:
-                table = self.tables[n]
-                rows = [table[g] for g in grams_of(word, n) if g in table]
-                if rows:
-                    self.rows[at] = self.logs[n][rows].mean(0)
-                    break
-        return at
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.langs))
-        for lo in range(0, len(words), _CACHE // 2):  # fewer new words than the cache holds
-            part = words[lo : lo + _CACHE // 2]
-            ids = list(map(self.known.get, part))
-            new = [i for i, x in enumerate(ids) if x is None]
-            if len(self.unseen) + len(new) > _CACHE:
-                self.unseen.clear()
-            for i in new:
-                ids[i] = self.back_off(part[i])
-            total += self.rows[ids].sum(0, dtype=np.float64)
-        z = total * min(1.0, TEMPER / len(words))
-        p = np.exp(z - z.max())
-        return self.langs[int(total.argmax())], float(p.max() / p.sum())
-
-
-def scorer_of(model: dict) -> Scorer:
-    """The scorer of the model in use: a worker's next task finds it with what it has cached."""
-    return keep("language", model, lambda: Scorer(model))
+        self.langs, self.keys, self.logs = model["langs"], model["keys"], model["logs"]
+
+    def _rows(self, words: LetterWords, first: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Log scores by language of distinct words, given where each occurs first."""
+        at, known = found(self.keys[WORD], keys)
+        rows = np.zeros((len(keys), len(self.langs)))
+        rows[known] = self.logs[WORD][at[known]]
+        open_ = np.flatnonzero(~known)
+        open_ = open_[np.argsort(first[open_])]
+        for n in ORDERS:
+            if not len(open_):
+                break
+            number = np.zeros(len(open_), dtype=np.int64)
+            total = np.zeros((len(open_), len(self.langs)))
+            for _, word, grams in words.grams(first[open_], (n,)):
+                at, seen = found(self.keys[n], grams)
+                word, at = word[seen], at[seen]
+                number += np.bincount(word, minlength=len(open_))
+                for k in range(len(self.langs)):
+                    total[:, k] += np.bincount(word, self.logs[n][at, k], len(open_))
+            done = number > 0
+            rows[open_[done]] = total[done] / number[done, None]
+            open_ = open_[~done]
+        return rows
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        words = LetterWords(texts)
+        if not self.langs or not len(words.starts):
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        keys, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        rows = self._rows(words, first, keys)
+        total = np.stack([np.bincount(words.owner, rows[which, k], len(texts)) for k in range(len(self.langs))], axis=1)
+        z = total * np.minimum(1.0, TEMPER / np.maximum(words.counts, 1))[:, None]
+        p = np.exp(z - z.max(1, keepdims=True))
+        score = p.max(1) / p.sum(1)
+        return [(self.langs[k], float(s)) if c else (UNDETERMINED, 0.0) for c, k, s in zip(words.counts, total.argmax(1), score)]
 
 
 SCHEMA = T.StructType([
@@ -185,10 +159,10 @@ def predict(df: DataFrame, model: dict | None = None) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        score = scorer_of(sent.value)
+        score = Scorer(sent.value)
 
         def step(ids, texts, held):
-            got = [score(t) for t in texts]
+            got = score(texts)
             return [ids, held, [g[0] for g in got], [g[1] for g in got]]
 
         return step
@@ -203,10 +177,10 @@ def keep_identified(df: DataFrame, least: float = 0.5, model: dict | None = None
     at = df.columns.index("text")
 
     def make():
-        score = scorer_of(sent.value)
+        score = Scorer(sent.value)
 
         def step(batch):
-            got = [score(t) for t in batch.column(at).cast("string").to_pylist()]
+            got = score(batch.column(at).cast("string").to_pylist())
             return batch.filter([lang != UNDETERMINED and s >= least for lang, s in got])
 
         return step

@@ -34,7 +34,7 @@ def test_stages_and_run(spark, tmp_path):
     assert len(names) == len(set(names)) == 5
 
     score = langid.Scorer(langid.fit(docs))
-    kept = {i: r.text for i, r in rows.items() if score(r.text)[0] != "und" and score(r.text)[1] >= 0.5}
+    kept = {i: r.text for i, r in rows.items() for lang, sure in score([r.text]) if lang != "und" and sure >= 0.5}
     got = corpus_pipeline.identify_language(spark, docs, d)
     assert got.columns == columns and {r.doc_id: r.text for r in got.collect()} == kept
     assert not {5000, 5001, 5002} & set(kept)

@@ -3,13 +3,16 @@
 import base64
 import hashlib
 import json
+import math
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
 from factspan.llm import langid, packing, pii, secrets
+from factspan.llm.words import SpaceWords
 
 DIR = "/root/testdata/sf0.001"
 ODD = [
@@ -53,7 +56,7 @@ def digest(spans):
 def test_pii_base_spans_match_plain_patterns(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()} | {i: t for i, t in ODD if i is not None and i not in (4, 5)}
-    texts |= {1000 + i: t for i, t in enumerate(["@@a@b.c", "a@b..c", "a@b.c.", "5.5@x.y", "1-2 3-4--5", "+49 (0) 30.1234567 +1", "12.34.56.78.90", "٣.٣.٣.٣"])}
+    texts |= {1000 + i: t for i, t in enumerate(["@@a@b.c", "a@b..c", "a@b.c.", "5.5@x.y", "1-2 3-4--5", "+49 (0) 30.1234567 +1", "12.34.56.78.90", "٣.٣.٣.٣", "0" * 4200 + "1.2.3.4 000.0.00.256"])}
     for t in filter(None, texts.values()):
         assert pii.base_spans(t) == plain_pii(t)
 
@@ -95,6 +98,59 @@ def test_pii_skip_edges_join_numbers_written_in_groups(first, again):
     assert pii.find_spans(text.replace(first, "it"), model)[1] == pii.base_spans(text.replace(first, "it"))
 
 
+def test_pii_digit_runs_of_any_length(spark):
+    got = pii.detect(frame(spark, [(1, "0" * 5000 + "1.2.3.4"), (2, "9" * 5000 + ".2.3.4"), (3, "1.2.3." + "0" * 9000)]), pii.train([])).orderBy("doc_id").collect()
+    assert [r.n_ip for r in got] == [1, 0, 1]
+
+
+def people(rng, n):
+    """Texts with personal data of every kind, spread as a corpus has it."""
+    out = []
+    for _ in range(n):
+        number = lambda k: "".join(rng.choices("0123456789", k=k))
+        card = next(c for c in ("4" + number(15) for _ in iter(int, 1)) if luhn(c))
+        kinds = [f"{rng.choice('abcdef')}{number(2)}x@mail{number(1)}.example.com", f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}", card, f"+1 ({number(3)}) 555-{number(4)}"]
+        out.append((kinds, f"we write {rng.choice(kinds)} in version {number(1)}.0 of it on page {number(2)}, and {rng.choice(kinds)} then"))
+    return out
+
+
+def test_pii_field_finds_distant_repeats_and_near_mentions():
+    rng = random.Random(6)
+    model = pii.train([t for _, t in people(rng, 1500)])
+    found, whole, planted = 0, 0, 0
+    for kinds, _ in people(rng, 400):  # held out
+        mail, ip, card, phone = kinds
+        k = rng.randrange(len(card) - 1)
+        for first, again in (
+            (card, card[:k] + str((int(card[k]) + 1) % 10) + card[k + 1 :]),  # a digit mistyped: the check digit fails
+            (card, ".".join((card[:4], card[4:8], card[8:12], card[12:]))),
+            (phone, phone[3:]),
+            (phone, phone[phone.index("555") :]),
+            (phone, phone[3:].replace("-", ".")),
+        ):
+            text = f"We noted {first} for you. " + "Nothing of that kind is here. " * 20 + f"They say {again} on page 12 of version 3.0 there"
+            every = pii.find_spans(text, model)[1]
+            at = text.index("They say ") + 9
+            planted += 1
+            found += any(a < at + len(again) and b > at for _, a, b in every)
+            whole += "page 12 of version 3.0" in pii.mask(text, every)
+    assert found >= 0.9 * planted and whole == planted
+
+
+def test_pii_field_finds_what_runs_into_a_neighbour():
+    rng = random.Random(7)
+    model = pii.train([t for _, t in people(rng, 1500)])
+    hit, clean = 0, 0
+    for kinds, _ in people(rng, 200):
+        _, ip, card, phone = kinds
+        for a, b in ((phone, card), (ip, card)):
+            text = f"so {a} {b} it is"
+            hit += pii.mask(text, pii.find_spans(text, model)[1]).count("<") == 2
+        text = f"Order 4{card[1:]}1{card[:3]}77 of page 12 and 13, version 2.0. Part {card[:6]} and 12:30 to 2024-05-17."
+        clean += pii.find_spans(text, model)[1] == pii.base_spans(text)
+    assert hit >= 0.9 * 400 and clean == 200
+
+
 def test_pii_redact_keeps_columns(spark):
     df = spark.createDataFrame([(1, "ip 10.0.0.1 end", 15), (2, None, None)], SCHEMA + ", n_chars long")
     rows = pii.redact(df, pii.train([])).orderBy("doc_id").collect()
@@ -155,8 +211,66 @@ def test_language_backs_off_to_shorter_grams(spark):
     rows = [(i, "der haus und schön" if i % 2 else "the house and lovely", "de" if i % 2 else "en") for i in range(40)]
     model = langid.fit(spark.createDataFrame(rows, SCHEMA + ", lang string"))
     score = langid.Scorer(model)
-    assert score("hausschön")[0] == "de" and score("lovelyhouse")[0] == "en"
-    assert score("12 34")[0] == score(None)[0] == score("")[0] == "und"
+    assert [lang for lang, _ in score(["hausschön", "lovelyhouse"])] == ["de", "en"]
+    assert score(["12 34", None, "", "½² Ⅷ ٣"]) == [("und", 0.0)] * 4
+
+
+def plain_language(rows, texts):
+    """The model and its use, word by word in dictionaries."""
+    split = lambda t: re.findall("[a-zäöüßéαγςσ]+", (t or "").lower())
+    grams = lambda w, n: list(w) if n == 1 else [f"^{w}$"[i : i + n] for i in range(max(1, len(w) + 3 - n))]
+    langs = sorted({lang for _, _, lang in rows if lang})
+    counts = {n: {lang: Counter() for lang in langs} for n in range(5)}
+    for i, t, lang in rows:
+        if lang and t is not None and zlib.crc32(str(i).encode()) % 5:
+            for w in split(t):
+                counts[0][lang][w] += 1
+                for n in (4, 3, 2, 1):
+                    counts[n][lang].update(grams(w, n))
+    keys = {n: set().union(*counts[n].values()) for n in range(5)}
+    log = lambda n, lang, g: math.log((counts[n][lang][g] + 0.1) / (sum(counts[n][lang].values()) + 0.1 * (len(keys[n]) + 1)))
+
+    def word(w, lang):
+        if w in keys[0]:
+            return log(0, lang, w)
+        for n in (4, 3, 2, 1):
+            known = [g for g in grams(w, n) if g in keys[n]]
+            if known:
+                return sum(log(n, lang, g) for g in known) / len(known)
+        return 0.0
+
+    out = []
+    for t in texts:
+        words = split(t)
+        total = [sum(word(w, lang) for w in words) for lang in langs]
+        z = [x * min(1, 30 / max(1, len(words))) for x in total]
+        best = max(range(len(langs)), key=lambda k: (total[k], -k))
+        out.append((langs[best], 1 / sum(math.exp(x - z[best]) for x in z)) if words else ("und", 0.0))
+    return out
+
+
+def test_language_matches_brute_force(spark):
+    """Every word and n-gram counts, those seen once too; ties, long and odd texts included."""
+    rng = random.Random(8)
+    parts = {"de": "der haus schön ung keit ß üb".split(), "en": "the ing house er ly".split(), "gr": ["ΑΣ", "σας", "αγ"], "x": ["é", "zz"]}
+    say = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, say(lang := rng.choice(list(parts)), rng.randint(0, 40)), rng.choice([lang, lang, lang, None])) for i in range(300)] + [(300, None, "de"), (301, "", "en"), (302, "only once", "en")]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA + ", lang string").repartition(5))
+    texts = [say(rng.choice(list(parts)), rng.randint(0, 9)) for _ in range(200)] + ["q" * 300_000, "der " * 100_000, "qqq a ΑΣ ΑΣ.", "12", "", None, "q", "der the"]
+    got, want = langid.Scorer(model)(texts), plain_language(rows, texts)
+    assert [a for a, _ in got] == [a for a, _ in want] and all(abs(a - b) < 1e-4 for (_, a), (_, b) in zip(got, want))
+
+
+def test_words_and_hashes():
+    texts = ["The\tcat \x0b É é", None, "", "x" * 600_000 + " y", "a\u0085b \u2003"]
+    w = SpaceWords(texts)
+    words = [m for t in texts for m in re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))]
+    assert [w.bytes[a:b].tobytes().decode() for a, b in zip(w.starts, w.ends)] == words
+    assert w.counts.tolist() == [4, 0, 0, 2, 2] and len(set(w.hashes.tolist())) == len(set(words))
+    # words built so that a polynomial modulo 2**64 cannot tell them apart
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert len(set(SpaceWords([f"{one} {two}"]).hashes.tolist())) == 2
 
 
 def test_language_edge_cases(spark):
