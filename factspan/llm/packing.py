@@ -37,8 +37,9 @@ from factspan.llm.common import documents, id_text, keep, map_texts, materialise
 CAPACITY = 4096
 END_ID = 1
 BLOCK = 4096
-#: Distinct chunks whose ids a Python worker remembers.
-CACHE = 400_000
+#: Bytes of chunks and ids that a Python worker remembers, and what an entry takes beside them.
+CACHE = 32 << 20
+_ENTRY = 160
 
 
 def tokenizer_path() -> str:
@@ -64,6 +65,8 @@ class ChunkTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}  # what was known until the last change of generation
+        self.size = 0
         from tokenizers.pre_tokenizers import ByteLevel
 
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -105,12 +108,13 @@ class ChunkTokenizer:
         found = [list(map(known.get, chunks)) for chunks in split]
         missing = {c for chunks, got in zip(split, found) if None in got for c, x in zip(chunks, got) if x is None}
         if missing:
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                known[""] = b""
-            self._learn(list(missing))
-            learnt = {c: known[c] for c in missing}
-            found = [[learnt[c] if x is None else x for c, x in zip(chunks, got)] if None in got else got for chunks, got in zip(split, found)]
+            again = [c for c in missing if c in self.before]
+            known.update((c, self.before[c]) for c in again)
+            self._learn([c for c in missing if c not in known])
+            found = [[known[c] if x is None else x for c, x in zip(chunks, got)] if None in got else got for chunks, got in zip(split, found)]
+            self.size += sum(len(c) + len(known[c]) + _ENTRY for c in missing)
+            if self.size > CACHE // 2:
+                self.known, self.before, self.size = {"": b""}, known, 0
         return [b"".join(got) for got in found]
 
 
@@ -167,8 +171,6 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     return map_texts(id_text(df), make, T.StructType(fields), "packing")
 
 
-
-
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, first rank, number, first sequence, offset): piece `first rank + i` of that
     length goes to sequence `first sequence + i`."""
