@@ -6,13 +6,19 @@ tokens that hold a digit or an at-sign (all others are outside any span by defin
 * node potentials: a softmax over shape and context features, trained in numpy on the
   base spans of a bounded sample of documents;
 * chain potentials between neighbouring tokens: smoothed label transitions;
-* skip potentials: every token with the same key (last seven digits, or the lower-case
-  address) hangs on one hub variable, so distant mentions of one entity share a potential
-  without listing pairs. A group of n mentions costs n edges.
-
-Loopy sum-product passes a fixed number of rounds. Tokens under a base span are clamped.
-Runs of tokens that settle on a label, share a hub with a base span and look like the label
-become added spans (a lone look-alike in a clean document is left alone); base spans stay.
+* skip potentials: tokens that may be one entity hang on hub variables, so distant mentions
+  share a potential without listing pairs, and a group of n mentions costs n edges. Equal tokens
+  (last seven digits, or the lower-case address) share one hub; similar ones (one character
+  changed, put in or left out) share a hub for what is left when that character is taken out.
+  The two kinds of hub have a potential each, estimated like the chain's.
+
+Loopy sum-product passes a fixed number of rounds over every document with such tokens. Tokens
+under a base span are clamped. Runs of tokens that settle on a label and look like it become
+added spans if a token of theirs hangs on a hub with a mention under a base span of that label.
+A run without such a mention is added only if it is whole and valid for its kind (digit counts,
+check digit, ranges): so a card that directly follows a phone number, where the patterns run
+into each other and drop both, is found, and a lone look-alike is left alone, as is a number that
+fails its check digit however often it occurs. Base spans stay.
 
 Defined results: a null text is empty; a null id keeps its row; repeated rows each get the
 same result; an empty table gives an empty result; extra columns are ignored. Work is linear
@@ -24,6 +30,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -38,7 +45,11 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents whose base spans train the field.
 TRAIN_DOCS = 4_000
+#: Characters of their texts that are read for that at most; whole texts are taken or left.
+TRAIN_CHARACTERS = 32_000_000
 ROUNDS = 6
+#: Characters that a token has at least, and at most, to be compared with similar ones.
+_SIMILAR = (7, 64)
 _ANY = re.compile(r"[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -88,7 +99,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         return out
     if "." in text:
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
                 out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -141,6 +152,7 @@ class Tokens:
         self.n = len(self.spans)
         self.feats: list[list[int]] = []
         self.keys: list[str | None] = []
+        self.alike: list[bool] = []  # an address, or seven digits and no letter
         for j, (a, b) in enumerate(self.spans):
             word = text[a:b]
             digits = "".join(_DIGITS.findall(word))
@@ -149,6 +161,7 @@ class Tokens:
             flags = ("@" in word, word.startswith("+"), "(" in word, len(re.findall(r"[0-9]\.[0-9]", word)) == 3, "-" in word, any(c.isalpha() for c in word),
                      j > 0 and self.order[j - 1] == self.order[j] - 1, j + 1 < self.n and self.order[j + 1] == self.order[j] + 1)
             f += [at + k for k, on in enumerate(flags) if on]
+            self.alike.append("@" in word or len(digits) >= 7 and not flags[5])
             cue = cues[j].lower().strip(".,:;()")
             f.append(at + len(flags) + int.from_bytes(hashlib.blake2b(cue.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % _CUES)
             self.feats.append(f)
@@ -157,6 +170,33 @@ class Tokens:
             else:
                 self.keys.append(digits[-7:] if len(digits) >= 7 else None)
 
+    def similar(self, text: str) -> list[tuple[int, str]]:
+        """(token, hub): each token with every form of it that lacks one character."""
+        out = []
+        for j, (a, b) in enumerate(self.spans):
+            word = text[a:b].lower().strip(".,:;()<>\"'")
+            if "@" not in word:
+                word = re.sub("[^0-9.]", "", word).strip(".")
+                word = word if word.count(".") == 3 else word.replace(".", "")
+            if _SIMILAR[0] <= len(word) <= _SIMILAR[1]:
+                out += ((j, h) for h in {word[:i] + word[i + 1 :] for i in range(len(word))})
+        shared = Counter(h for _, h in out)
+        return [(j, h) for j, h in out if shared[h] > 1]
+
+    def hubs(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges to hubs: token, hub, and 0 for a hub of equal tokens or 1 for one of similar tokens.
+        Similar tokens that are equal have a hub already."""
+        count = Counter(k for k in self.keys if k is not None)
+        edges = [(j, k, 0) for j, k in enumerate(self.keys) if k is not None and count[k] > 1]
+        near = self.similar(text)
+        differ: dict[str, set] = {}
+        for j, h in near:
+            differ.setdefault(h, set()).add(self.keys[j])
+        edges += [(j, "-" + h, 1) for j, h in near if len(differ[h]) > 1]
+        ids: dict[str, int] = {}
+        rows = np.array([(j, ids.setdefault(h, len(ids)), kind) for j, h, kind in edges], dtype=int).reshape(-1, 3)
+        return rows[:, 0], rows[:, 1], rows[:, 2]
+
     def link(self, text: str, spans: list[tuple[str, int, int]]) -> None:
         """Keys for numbers written in groups: tokens of a base span get the key of its digits, and
         so do neighbouring digit tokens that together write the same number again."""
@@ -193,6 +233,17 @@ class Tokens:
                 for j in range(first, k + 1):
                     self.keys[j] = self.keys[j] or key
 
+    def doubtful(self, y: np.ndarray) -> np.ndarray:
+        """Tokens outside base spans of which the patterns say nothing: addresses and long numbers that
+        they drop, and what stands beside those without a gap."""
+        out = (y == 0) & np.array(self.alike, dtype=bool)
+        for step in (range(1, self.n), range(self.n - 2, -1, -1)):
+            for j in step:
+                i = j - 1 if step.step > 0 else j + 1
+                if out[i] and not y[j] and abs(self.order[i] - self.order[j]) == 1:
+                    out[j] = True
+        return out
+
     def matrix(self) -> np.ndarray:
         x = np.zeros((self.n, N_FEATURES))
         for j, f in enumerate(self.feats):
@@ -219,7 +270,7 @@ def train(texts: Iterable[str]) -> dict:
     potentials. Smoothing keeps every potential defined on a sample without personal data."""
     xs, ys = [], []
     trans = np.full((5, 5), 0.2) + 4.0 * np.eye(5)
-    agree, differ = 30.0, 1.0
+    agree, differ = np.array([30.0, 10.0]), np.array([1.0, 1.0])
     for text in texts:
         if not _ANY.search(text):
             continue
@@ -227,32 +278,35 @@ def train(texts: Iterable[str]) -> dict:
         if not t.n:
             continue
         y = t.labels(base_spans(text))
-        xs.append(t.matrix())
-        ys.append(y)
+        known = ~t.doubtful(y)
+        xs.append(t.matrix()[known])
+        ys.append(y[known])
         near = np.flatnonzero(np.diff(t.order) == 1)
+        near = near[known[near] & known[near + 1]]
         np.add.at(trans, (y[near], y[near + 1]), 1.0)
-        last: dict[str, int] = {}
-        for j, key in enumerate(t.keys):
-            if key is None:
-                continue
-            if key in last:
-                same = y[last[key]] == y[j]
-                agree, differ = agree + same, differ + (not same)
-            last[key] = j
+        last: dict[int, int] = {}
+        for j, hub, kind in zip(*t.hubs(text)):  # neighbours on a hub, unless both are no entity
+            if hub in last and (y[j] or y[last[hub]]):
+                same = y[last[hub]] == y[j]
+                agree[kind] += same
+                differ[kind] += not same
+            last[hub] = j
     w = np.zeros((N_FEATURES, 5))
     w[0, 0] = 1.0
     if xs:
         x, y = np.concatenate(xs), np.concatenate(ys)
-        prior, target, step = w.copy(), np.eye(5)[y], 1.0
-        for _ in range(300):
+        prior, target, grown = w.copy(), np.eye(5)[y], np.full_like(w, 1e-8)
+        for _ in range(400):
             z = x @ w
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            w -= step * (x.T @ (p - target) / len(y) + 2e-3 * (w - prior))
+            slope = x.T @ (p - target) / len(y) + 1e-4 * (w - prior)
+            grown += slope**2
+            w -= slope / np.sqrt(grown)
     chain = np.log(trans / trans.sum(1, keepdims=True))
     # the mean row is the label prior the nodes already hold; only the association counts
     chain -= np.log(trans.sum(0) / trans.sum())
-    return {"node": w, "chain": np.clip(chain, -3, 3), "skip": float(np.log(agree / differ))}
+    return {"node": w, "chain": np.clip(chain, -2, 2), "skip": np.log(np.maximum(agree / differ, 1.0))}
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -260,7 +314,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
-def marginals(t: Tokens, clamped: np.ndarray, model: dict, rounds: int = ROUNDS) -> np.ndarray:
+def marginals(t: Tokens, edges: tuple[np.ndarray, np.ndarray, np.ndarray], clamped: np.ndarray, model: dict, rounds: int = ROUNDS) -> np.ndarray:
     """Loopy sum-product over chain edges and hub edges; rows are token label probabilities."""
     unary = t.matrix() @ model["node"]
     unary -= _lse(unary, 1)[:, None]
@@ -268,18 +322,8 @@ def marginals(t: Tokens, clamped: np.ndarray, model: dict, rounds: int = ROUNDS)
     unary[held] = -30.0
     unary[held, clamped[held]] = 0.0
     near = np.flatnonzero(np.diff(t.order) == 1)
-    ids: dict[str, int] = {}
-    count: dict[str, int] = {}
-    for key in t.keys:
-        if key is not None:
-            count[key] = count.get(key, 0) + 1
-    member, hub = [], []
-    for j, key in enumerate(t.keys):
-        if key is not None and count[key] > 1:
-            member.append(j)
-            hub.append(ids.setdefault(key, len(ids)))
-    member, hub = np.array(member, dtype=int), np.array(hub, dtype=int)
-    potts = model["skip"] * np.eye(5)
+    member, hub, kind = edges
+    potts = model["skip"][kind][:, None, None] * np.eye(5)
     right, left = np.zeros((t.n, 5)), np.zeros((t.n, 5))  # messages into a token from its left, right
     down, up = np.zeros((len(member), 5)), np.zeros((len(member), 5))
     for _ in range(rounds):
@@ -291,11 +335,11 @@ def marginals(t: Tokens, clamped: np.ndarray, model: dict, rounds: int = ROUNDS)
         right[near + 1] = to_next - to_next.max(1, keepdims=True)
         left[near] = to_prev - to_prev.max(1, keepdims=True)
         if len(member):
-            up = _lse((belief[member] - down)[:, :, None] + potts[None], 1)
+            up = _lse((belief[member] - down)[:, :, None] + potts, 1)
             up -= up.max(1, keepdims=True)
-            hubs = np.zeros((len(ids), 5))
+            hubs = np.zeros((hub.max() + 1, 5))
             np.add.at(hubs, hub, up)
-            down = _lse((hubs[hub] - up)[:, :, None] + potts[None], 1)
+            down = _lse((hubs[hub] - up)[:, :, None] + potts, 1)
             down -= down.max(1, keepdims=True)
     belief = unary + right + left
     if len(member):
@@ -314,6 +358,13 @@ def _plausible(kind: str, text: str) -> bool:
     return 7 <= len(digits) <= 15 and re.fullmatch(r"[+0-9 ().\-/]+", text) is not None
 
 
+def _whole(kind: str, text: str) -> bool:
+    """Is the text valid for its kind without any other mention?"""
+    if kind == "phone":
+        return bool(_PHONE.fullmatch(text)) and 10 <= sum(map(len, _DIGITS.findall(text))) <= 15
+    return any(s == (kind, 0, len(text)) for s in base_spans(text))
+
+
 def find_spans(text: str, model: dict) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans with those the field adds."""
     base = base_spans(text)
@@ -321,13 +372,13 @@ def find_spans(text: str, model: dict) -> tuple[list[tuple[str, int, int]], list
         return base, base
     t = Tokens(text)
     clamped = t.labels(base)
-    if t.n < 2 or bool((clamped > 0).all()):
+    if bool((clamped > 0).all()):
         return base, base
     t.link(text, base)
-    proven = {key for key, c in zip(t.keys, clamped) if c and key is not None}
-    if not any(key in proven for key, c in zip(t.keys, clamped) if not c):
-        return base, base
-    best = marginals(t, clamped, model).argmax(1)
+    edges = t.hubs(text)
+    best = marginals(t, edges, clamped, model).argmax(1)
+    proven = {(hub, clamped[j]) for j, hub, _ in zip(*edges) if clamped[j]}
+    backed = {j for j, hub, _ in zip(*edges) if (hub, best[j]) in proven}
     added = []
     j = 0
     while j < t.n:
@@ -343,8 +394,9 @@ def find_spans(text: str, model: dict) -> tuple[list[tuple[str, int, int]], list
             a += 1
         while b > a and not text[b - 1].isalnum():
             b -= 1
-        if a < b and any(t.keys[i] in proven for i in range(j, k + 1)) and _plausible(LABELS[label], text[a:b]):
-            added.append((LABELS[label], a, b))
+        kind = LABELS[label]
+        if a < b and _plausible(kind, text[a:b]) and (_whole(kind, text[a:b]) or any(i in backed for i in range(j, k + 1))):
+            added.append((kind, a, b))
         j = k + 1
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -352,8 +404,13 @@ def find_spans(text: str, model: dict) -> tuple[list[tuple[str, int, int]], list
 def fit(df: DataFrame, rows: int = TRAIN_DOCS) -> dict:
     """The field's potentials from a bounded sample of documents with a digit or at-sign."""
     marked = id_text(df).where(F.col("text").rlike("[0-9@]"))
-    got = bounded_sample(marked, rows).select("text").toLocalIterator()
-    return train(sorted(r.text for r in got))
+    texts, size = [], 0
+    for r in bounded_sample(marked, rows).select("text").orderBy(F.xxhash64("text"), "text").toLocalIterator():
+        size += len(r.text)
+        if size > TRAIN_CHARACTERS:
+            break
+        texts.append(r.text)
+    return train(texts)
 
 
 SCHEMA = T.StructType([
