@@ -7,8 +7,9 @@ posterior probability of good decides, in place of all rules having to pass. A d
 fails the two fixed base conditions is never kept.
 
 Repeated words are found inside the row: hashes of the three-word windows are sorted with their
-position in the low bits, so equal windows become neighbours; the space is linear in the text
-and nothing is exploded or shuffled.
+position in the low bits, so equal windows become neighbours. Windows that have such a neighbour
+are then sorted by their words, and only equal words count: the result is exact whatever the
+hashes. The space is linear in the text and nothing is exploded or shuffled.
 
 Defined results: null text, or one without words, has zeros and fails the base; null ids keep
 their row; repeated rows each get the same result; an empty table gives an empty result; extra
@@ -32,6 +33,10 @@ ON_GOOD, ON_BAD = (0.6, 0.999), (0.02, 0.99)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stops", "n_shouts", "n_odd", "n_runs", "n_stutter")
 
 
+def _hashed(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
 def measure(df: DataFrame) -> DataFrame:
     """doc_id and the counts the rules look at."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -41,13 +46,16 @@ def measure(df: DataFrame) -> DataFrame:
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     # (hash, position): the low bits, as many as positions need, hold the position
     bits = F.length(F.bin(F.col("n").cast("long")))
-    window = F.transform("words", lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)))
+    window = F.transform("words", lambda x, i: _hashed(x, F.get("words", i + 1), F.get("words", i + 2)))
     d = d.withColumn("bits", bits).withColumn("hashes", F.slice(window, 1, F.greatest(F.col("n") - 2, F.lit(0))))
     packed = F.expr("transform(hashes, (h, i) -> shiftleft(shiftright(h, bits), bits) | cast(i as bigint))")
     d = d.withColumn("sorted", F.sort_array(packed))
     same = F.expr("filter(sorted, (x, i) -> shiftright(x, bits) = shiftright(get(sorted, i - 1), bits) or shiftright(x, bits) = shiftright(get(sorted, i + 1), bits))")
     d = d.withColumn("twice", same)
-    d = d.withColumn("at", F.expr("sort_array(transform(twice, x -> x & (shiftleft(1L, bits) - 1)))"))
+    spelt = F.expr("sort_array(transform(twice, x -> struct(concat_ws(' ', slice(words, cast(x & (shiftleft(1L, bits) - 1) as int) + 1, 3)) as w, x & (shiftleft(1L, bits) - 1) as p)))")
+    d = d.withColumn("spelt", spelt)
+    equal = F.expr("filter(spelt, (x, i) -> x.w <=> get(spelt, i - 1).w or x.w <=> get(spelt, i + 1).w)")
+    d = d.withColumn("equal", equal).withColumn("at", F.expr("sort_array(equal.p)"))
     covered = F.expr("aggregate(transform(at, (p, i) -> least(3L, coalesce(get(at, i + 1) - p, 3L))), 0L, (t, x) -> t + x)")
     return d.select(
         "doc_id",
@@ -104,7 +112,9 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
             on_bad = sum((1 - g) * c for g, (v, c) in zip(good, patterns) if v[j])
             up = sum(g * c for g, (v, c) in zip(good, patterns) if v[j] > 0)
             down = sum((1 - g) * c for g, (v, c) in zip(good, patterns) if v[j] < 0)
-            accuracy[j] = _within((up + 9) / (on_good + 10), ON_GOOD), _within((down + 3) / (on_bad + 10), ON_BAD)
+            right = _within((up + 9) / (on_good + 10), ON_GOOD)
+            # a rule is no worse than chance: its votes never speak against what they say
+            accuracy[j] = right, max(1 - right, _within((down + 3) / (on_bad + 10), ON_BAD))
         good = [posterior(v, prior, accuracy) for v, _ in patterns]
     return prior, accuracy
 
@@ -116,7 +126,7 @@ def _within(x: float, bounds: tuple[float, float]) -> float:
 def evidence(accuracy: tuple[float, float]) -> tuple[float, float]:
     """Log odds of good that a good vote and a bad vote of a rule carry."""
     on_good, on_bad = accuracy
-    return max(0.0, math.log(on_good / (1 - on_bad))), min(0.0, math.log((1 - on_good) / on_bad))
+    return math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)
 
 
 def posterior(v: tuple[int, ...], prior: float, accuracy: list[tuple[float, float]]) -> float:
