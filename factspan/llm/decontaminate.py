@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factspan.llm.common import BROADCAST_ROWS, documents, materialise
+from factspan.llm.common import BROADCAST_ROWS, documents, fresh, materialise
 
 WINDOW = 13
 GRAM = 6
@@ -89,9 +89,13 @@ def hits(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = met.select(F.col("doc_id").alias("met_id"), F.col("row").alias("met_row"), "item_row", "shift")
     same = (F.col("row") == F.col("met_row")) & F.col("doc_id").eqNullSafe(F.col("met_id"))
     once = docs.join(F.broadcast(met.select("met_id", "met_row").distinct()) if few else met.select("met_id", "met_row").distinct(), same, "left_semi").dropDuplicates(["doc_id", "row"])
-    pairs = once.join(met, same).join(items, "item_row")
+    # of a document only the stretch beside the item goes on, however many items it meets
+    sizes = items.select("item_row", F.size("item_words").alias("n"))
+    met = met.join(F.broadcast(sizes) if items.count() <= BROADCAST_ROWS else sizes, "item_row")
+    beside = F.expr("slice(words, greatest(shift, 0) + 1, n + least(shift, 0))")
+    pairs = once.join(met, same).select("doc_id", "row", "item_row", "shift", beside.alias("part")).join(items, "item_row")
     size = F.least(F.size("item_words"), F.lit(WINDOW))
-    pairs = pairs.withColumn("equal", F.array_join(F.expr("transform(item_words, (w, j) -> if(w = get(words, shift + j), '1', '0'))"), "")).withColumn("size", size)
+    pairs = pairs.withColumn("equal", F.array_join(F.expr("transform(item_words, (w, j) -> if(w = get(part, j + least(shift, 0)), '1', '0'))"), "")).withColumn("size", size)
     pairs = pairs.select("doc_id", "row", "item", "shift", "size", F.expr("filter(sequence(0, size(item_words) - size), s -> substring(equal, s + 1, size) = repeat('1', size))").alias("starts"))
     found = materialise(pairs.where(F.size("starts") > 0), "found")
     placed = found.select("doc_id", "row", F.explode(F.expr("array_distinct(flatten(transform(starts, s -> sequence(shift + s, shift + s + size - 1))))")).alias("at"))
@@ -112,11 +116,12 @@ def hits(df: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of df that are not contaminated, unchanged."""
-    bad = hits(df, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("row").alias("_bad_row")).distinct()
+    bad_id, bad_row = fresh(df, 2)
+    bad = hits(df, benchmark).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("row").alias(bad_row)).distinct()
     bad = materialise(bad, "contaminated")
     row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return df.join(side, (row == F.col("_bad_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    return df.join(side, (row == F.col(bad_row)) & F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)), "left_anti")
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
