@@ -19,10 +19,13 @@ set, so exact copies are one node however many they are. Two nodes link when
    shingles is verified. Accepted links give components (alternating star contraction over
    tables, nothing on the driver).
 4. Second round, which makes the result exact: in lists that still hold members of different
-   components, all pairs across components pass the length and positional filters and the bound
-   of step 2, then the suffix filter (set sizes in BINS fixed ranges of the order bound the
-   overlap from above), and those left are verified once. A linked pair shares a prefix shingle,
-   so it is either within one component already or verified here.
+   components, each member has a largest partner that the length and positional filters and the
+   bound of step 2 allow. Members that allow no length of their list leave; a pair is made only
+   where the larger set lies within what the smaller one allows, met by bands of lengths, so
+   documents that share much but not enough are not compared. Pairs across components then pass
+   the suffix filter in the form of a partition (how many shingles two whole sets have in each of
+   BINS ranges of hashes bounds what they share), and those left are verified once. A linked pair
+   shares a prefix shingle, so it is either within one component already or verified here.
 
 Defined results: null text, or a text without words, has an empty set, n_shingles 0 and is its
 own component; fewer than five words are one shingle; rows with a null id come back with a
@@ -32,10 +35,7 @@ an empty result; extra columns are ignored. Hashes are 64 bits wide.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from factspan.llm.common import BROADCAST_ROWS, documents, id_text, map_texts, materialise
+from factspan.llm.common import BROADCAST_ROWS, documents, fresh, id_text, map_texts, materialise
+from factspan.llm.words import SpaceWords, chain, mix
 
 WORDS = 5
 LEAST_BITS, MOST_BITS = 16, 24
@@ -51,77 +52,21 @@ BLOCK = 4096
 BINS = 64
 #: Members of a posting list above which it is split.
 LONG_LIST = 4096
-_NODE_CACHE = 1_000_000
-_P = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_S = np.uint64(33)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _S)) * _M1
-    h = (h ^ (h >> _S)) * _M2
-    return h ^ (h >> _S)
-
-
-#: Bytes hashed at once; longer texts are cut at white space.
-_PIECE = 1 << 20
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_ANY_SPACE = re.compile(rb"[\t-\r ]")
-_BASE = 0xD6E8FEB86659FD93
-_BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 16, 2 * n)
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, dtype=np.uint64), np.full(size - 1, x, dtype=np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
-def _hash_piece(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(raw, dtype=np.uint8)
-    word = np.zeros(len(b) + 2, dtype=np.int8)
-    word[1:-1] = ~_SPACE[b]
-    turn = np.diff(word)
-    starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    up, down = _powers(len(b) + 1)
-    sums = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[b] * up[: len(b)], out=sums[1:])
-    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _P)
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of every word (A-Z lower-cased, parted by ASCII white space), in order: a
-    polynomial of its bytes, read off running sums over the whole text."""
-    raw = text.encode("utf-8", "surrogatepass").lower()
-    out, lo = [], 0
-    while lo < len(raw):
-        m = _ANY_SPACE.search(raw, lo + _PIECE) if len(raw) - lo > _PIECE else None
-        hi = m.start() if m else len(raw)
-        out.append(_hash_piece(raw[lo:hi]))
-        lo = hi
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
-
-
-class Shingler:
-    """Sorted distinct shingle hashes of a text."""
-
-    def __init__(self, words: int = WORDS):
-        self.words = words
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        a = word_hashes(text or "")
-        if not len(a):
-            return a
-        k = min(self.words, len(a))
-        h = a[: len(a) - k + 1].copy()
-        for i in range(1, k):
-            h = h * _P + a[i : len(a) - k + 1 + i]
-        h = np.sort(_mix(h + np.uint64(k)))
-        return h[np.concatenate(([True], h[1:] != h[:-1]))]
+#: Sets that a task remembers having posted.
+_NODE_CACHE = 200_000
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of every text."""
+    words = SpaceWords(texts)
+    hashes = words.hashes
+    whole = chain(hashes, k) if len(hashes) >= k else hashes[:0]
+    out = []
+    for hi, n in zip(np.cumsum(words.counts).tolist(), words.counts.tolist()):
+        h = np.sort(whole[hi - n : hi - k + 1] if n >= k else chain(hashes[hi - n : hi], n) if n else hashes[:0])
+        out.append(h[np.concatenate(([True], h[1:] != h[:-1]))] if n else h)
+    return out
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -144,7 +89,6 @@ def _digest(bits: int):
 
     context = TaskContext.get()
     bundle = (context.partitionId() if context else 0) // 64
-    shingles = Shingler()
     sketch = np.zeros(1 << bits, dtype=np.int64)
     waiting: list[np.ndarray] = []
 
@@ -154,7 +98,7 @@ def _digest(bits: int):
             waiting.clear()
 
     def step(ids, texts):
-        sets = [shingles(t) for t in texts]
+        sets = shingle_sets(texts)
         waiting.extend(s for s, i in zip(sets, ids) if len(s) and i is not None)
         if sum(map(len, waiting)) > 1 << 19:
             count()
@@ -185,18 +129,21 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // BLOCK])
 
 
-def _add_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+_BLOCKS = "bundle int, block int, counts binary"
+
+
+def _add_blocks(table: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, dtype=np.int64)
-    for raw in pdf["counts"]:
-        total += _unpacked(raw)
-    return pd.DataFrame({"bundle": [int(pdf["bundle"].iloc[0]) // 64], "block": [int(pdf["block"].iloc[0])], "counts": [_packed(total)]})
+    for raw in table["counts"]:
+        total += _unpacked(raw.as_py())
+    return pa.table({"bundle": pa.array([table["bundle"][0].as_py() // 64], pa.int32()), "block": pa.array([table["block"][0].as_py()], pa.int32()), "counts": pa.array([_packed(total)], pa.binary())})
 
 
 def _order_codes(first: DataFrame, bits: int) -> np.ndarray:
     """One byte per counter: eight steps per doubling of the count. Its size is bounded."""
     blocks = first.where(F.col("block").isNotNull()).select("bundle", "block", "counts")
     for _ in range(3):  # 64 tasks at a time, then 64 of those, then all
-        blocks = blocks.groupBy("bundle", "block").applyInPandas(_add_blocks, "bundle int, block int, counts binary")
+        blocks = blocks.groupBy("bundle", "block").applyInArrow(_add_blocks, _BLOCKS)
     codes = np.zeros((1 << bits) // BLOCK * BLOCK, dtype=np.uint8).reshape(-1, BLOCK)
     for r in blocks.select("block", "counts").toLocalIterator():
         codes[r.block] = np.minimum(255, np.ceil(8 * np.log2(1.0 + _unpacked(r.counts))))
@@ -214,16 +161,14 @@ def _postings(docs: DataFrame, codes: np.ndarray) -> DataFrame:
         code = sent.value
         # how many sub-lists a shingle of each code is dealt to
         parts = np.maximum(1, (np.exp2(np.arange(256) / 8) / LONG_LIST).astype(np.uint64))
-        shingles = Shingler()
         seen: set[int] = set()
         shift = np.uint64(65 - len(code).bit_length())
 
         def step(ids, texts):
             cols: list[list] = [[] for _ in range(4)]
-            for doc_id, text in zip(ids, texts):
-                s = shingles(text) if doc_id is not None else ()
+            for doc_id, s in zip(ids, shingle_sets(texts)):
                 n = len(s)
-                if not n:
+                if not n or doc_id is None:
                     continue
                 node = node_of(s)
                 if node in seen:
@@ -235,7 +180,7 @@ def _postings(docs: DataFrame, codes: np.ndarray) -> DataFrame:
                 order = np.argsort(c, kind="stable")[: prefix_length(n)]
                 top, deal = s[order], parts[c[order]]
                 salt = np.uint64(node & 0x7FFFFFFFFFFFFFFF) % deal
-                lists = np.where(deal > 1, _mix(top + salt * _P + np.uint64(1)), top)
+                lists = np.where(deal > 1, mix(top + salt * _SALT + np.uint64(1)), top)
                 p = len(top)
                 for col, v in zip(cols, (lists.view(np.int64), pa.array(top.view(np.int64), mask=deal == 1), np.full(p, node, dtype=np.int64), np.arange(p, dtype=np.int32))):
                     col.append(v)
@@ -253,10 +198,8 @@ def _sets_of(docs: DataFrame, need: DataFrame, with_bins: bool = False) -> DataF
     rows = docs.join(F.broadcast(ids) if need.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
 
     def make():
-        shingles = Shingler()
-
         def step(_, texts):
-            sets = [s for s in map(shingles, texts) if len(s)]
+            sets = [s for s in shingle_sets(texts) if len(s)]
             return [[node_of(s) for s in sets], [s.view(np.int64) for s in sets]]
 
         return step
@@ -307,6 +250,11 @@ def _positions_fit(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
     return 7 * F.least(na - pa, nb - pb) >= 3 * (na + nb)
 
 
+def band(n: Column) -> Column:
+    """Sizes of sets in bands that grow by an eighth."""
+    return F.floor(F.log(n) / F.log(F.lit(1.125))).cast("int")
+
+
 def _sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join with a written table of short rows: broadcast if its measured size allows."""
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
@@ -358,10 +306,14 @@ def join_classes(df: DataFrame) -> DataFrame:
     found = materialise(components(links), "roots")
 
     placed = _sized(lists, found, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    open_ = materialise(placed.join(mixed, "s"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") < F.col("y.root")) & may_link(*(F.col(f"{t}.{c}") for t in "xy" for c in ("n", "most", "pos"))))
+    placed = placed.withColumn("largest", F.least(F.expr("7 * least(most, n - pos) div 3 - n"), F.expr("4 * n div 3")))
+    mixed = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("smallest")).where("lo <> hi").select("s", "smallest")
+    open_ = materialise(placed.join(mixed, "s").where("largest >= smallest").drop("smallest"), "open")
+    x, y = open_.withColumn("band", F.explode(F.sequence(band(F.col("n")), band(F.col("largest"))))).where("largest >= n").alias("x"), open_.withColumn("band", band(F.col("n"))).alias("y")
+    # x has the smaller set of the two, or one as large; both may link with the other's length
+    order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    fits = order & (F.col("y.n") <= F.col("x.largest")) & (F.col("x.n") <= F.col("y.largest")) & (F.col("x.root") != F.col("y.root"))
+    across = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band")) & fits)
     across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     once = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _links(docs, nodes, across.join(once, ["a", "b"], "left_anti"))
@@ -377,14 +329,15 @@ def keep_first(df: DataFrame) -> DataFrame:
     """One row of each class: that of its smallest id, with all columns of df. Rows without an
     id are in no class and stay; of rows that share an id, one of the longest text stays."""
     lone = df.where(F.col("doc_id").isNull())
-    classes = join_classes(df.where(F.col("doc_id").isNotNull())).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    classes = materialise(classes, "first")
+    classes = join_classes(df.where(F.col("doc_id").isNotNull())).where("doc_id = component_id").select("doc_id").distinct()
+    names = fresh(df, 3)
+    classes = materialise(classes.toDF(names[0]), "first")
     side = F.broadcast(classes) if classes.count() <= BROADCAST_ROWS else classes
-    first = df.join(side, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-    by = W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64(*df.columns))
-    twice = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = df.join(side, F.col("doc_id").cast("long") == F.col(names[0]), "left_semi")
+    twice = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias(names[1])).where(F.col(names[1]) > 1)
     if twice.head(1):
-        first = first.withColumn("_k", F.row_number().over(by)).where("_k = 1").drop("_k")
+        by = W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
+        first = first.withColumn(names[2], F.row_number().over(by)).where(F.col(names[2]) == 1).drop(names[2])
     return first.unionByName(lone)
 
 

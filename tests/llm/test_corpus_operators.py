@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from factspan.llm import decontaminate, ngram_join, rules
 
@@ -51,6 +53,41 @@ def test_rule_counts_match_brute_force(spark):
     assert rules.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeats_are_exact_whatever_the_hashes(spark, monkeypatch):
+    monkeypatch.setattr(rules, "_hashed", lambda *words: F.shiftleft(F.xxhash64(*words) % 5, 40))
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(k)}" for _ in range(n)) for n, k in ((0, 1), (3, 9), (60, 4), (400, 12), (900, 10**9))] + ["a b c d a b c d"]
+    got = rules.measure(frame(spark, list(enumerate(texts)))).select("doc_id", "n_repeat_words").collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {i: plain_counts(t)[-1] for i, t in enumerate(texts)}
+
+
+def test_rules_weigh_votes_by_the_posterior_of_the_model(spark):
+    """kept, document by document, from plain expectation-maximisation over single documents."""
+    df = spark.read.parquet(f"{DIR}/documents.parquet")
+    voted = rules.measure(df).select("doc_id", *(v.alias(k) for k, v in rules.votes().items())).collect()
+    names = list(rules.votes())
+    v = {r.doc_id: [r[k] for k in names] for r in voted}
+    good = {i: 0.97 * 0.35 ** sum(x < 0 for x in vs) for i, vs in v.items()}
+    for _ in range(rules.ROUNDS):
+        prior = (sum(good.values()) + 1) / (len(v) + 2)
+        prior = min(0.99, max(0.01, prior))
+        acc = []
+        for j in range(len(names)):
+            cast = [(good[i], vs[j]) for i, vs in v.items() if vs[j]]
+            a = (sum(g for g, x in cast if x > 0) + 9) / (sum(g for g, _ in cast) + 10)
+            b = (sum(1 - g for g, x in cast if x < 0) + 3) / (sum(1 - g for g, _ in cast) + 10)
+            a = min(0.999, max(0.6, a))
+            acc.append((a, max(1 - a, min(0.99, max(0.02, b)))))
+        for i, vs in v.items():
+            p, q = prior, 1 - prior
+            for (a, b), x in zip(acc, vs):
+                p *= a if x > 0 else 1 - a if x < 0 else 1
+                q *= 1 - b if x > 0 else b if x < 0 else 1
+            good[i] = p / (p + q)
+    got = rules.judge(df).collect()
+    assert all(abs(r.posterior - good[r.doc_id]) < 1e-6 and r.kept == (not r.base_failed and good[r.doc_id] >= 0.5) for r in got)
+
+
 def test_rule_accuracies_are_learnt():
     rng = random.Random(1)
     true = [(0.97, 0.7), (0.95, 0.6), (0.96, 0.5), (0.9, 0.6)]
@@ -170,6 +207,29 @@ def test_jaccard_classes_match_brute_force(spark, monkeypatch, long_list):
     assert Counter(tuple(r) for r in ngram_join.join_classes(df).collect()) == plain_classes(docs)
 
 
+def test_jaccard_sets_that_share_much_but_not_enough(spark):
+    """Every document shares 82 of its 100 shingles with all others; the work is linear in them."""
+    common = " ".join(f"c{i}" for i in range(86))
+
+    def took(n):
+        docs = spark.createDataFrame([(i, common + " " + " ".join(f"u{i}x{j}" for j in range(18))) for i in range(n)] + [(n, "alone here " * 9)], SCHEMA).repartition(8)
+        began = time.perf_counter()
+        got = ngram_join.join_classes(docs).collect()
+        assert all(r.component_id == r.doc_id and (r.n_shingles == 100 or r.doc_id == n) for r in got)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(8000) < 4 * took(2000)
+
+
+def test_keep_first_keeps_any_columns(spark):
+    rows = [(1, "a b c d e f", 1, 2, {"k": 1}), (2, "a b c d e f", 1, 2, None), (1, "a b", 1, 2, None), (None, "x", 0, 0, None)]
+    df = spark.createDataFrame(rows, SCHEMA + ", _own0 int, _n int, m map<string,int>")
+    got = ngram_join.keep_first(df)
+    assert got.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "x"), (1, "a b c d e f")]
+    assert decontaminate.drop_contaminated(df, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 1
+
+
 def test_jaccard_empty_and_chains(spark):
     assert ngram_join.join_classes(spark.createDataFrame([], SCHEMA)).count() == 0
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(50)], "a long, b long")
