@@ -1,16 +1,18 @@
 """Language-model scoring: a log-bilinear model trained in numpy by noise-contrastive estimation.
 
-Word counts of all training documents come from one aggregation and stay a table. The most
-frequent words (at most HEAVY, chosen by a count threshold so that the bound is proven) travel
-to the workers; the counts of all other words reach the documents through a join.
+Words are handled as 64-bit hashes, a slice of documents at a time. Word counts of all training
+documents come from one aggregation and stay a table. The most frequent words (at most HEAVY,
+chosen by a count threshold so that the bound is proven) travel to the workers; the counts of all
+other words reach the documents through a join.
 
 The model predicts one of a set of symbols from the two before: the end, the most frequent
-words (VOCABULARY at least, growing with the cube root of the training tokens, so that the table
-of normalisers grows slower than the corpus), and classes of all other words by their spelling. The context vector is
-a sum of position-weighted symbol vectors, its products with all output vectors are taken in
-batches and normalised for every pair of context symbols once, so that scoring a token is two
-table look-ups minus a stored log normaliser. A word outside the vocabulary is its class times
-its smoothed share of the class, unseen words included, so a text has a proper probability.
+words (VOCABULARY at least, growing with the cube root of the training tokens up to
+MOST_VOCABULARY, where the table of normalisers takes 67 MB), and classes of all other words by
+their spelling. The context vector is a sum of position-weighted symbol vectors, its products
+with all output vectors are taken in batches and normalised for every pair of context symbols
+once, so that scoring a token is two table look-ups minus a stored log normaliser. A word outside
+the vocabulary is its class times its smoothed share of the class, unseen words included, so a
+text has a proper probability.
 
 Symbols are trained on the counts of all (two before, one before, symbol) triples of all training
 documents, a distributed table. Each epoch takes every triple once, at its count: triples are
@@ -27,7 +29,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,85 +37,112 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.llm.common import ascii_lower_words, documents, fold, id_text, map_texts, materialise
+from factspan.llm.common import documents, fold, id_text, map_texts, materialise
+from factspan.llm.words import SpaceWords, found, summed
 
 HEAVY = 300_000
-VOCABULARY = 1024
+VOCABULARY, MOST_VOCABULARY = 1024, 4096
 VOCABULARY_GROWTH = 2.5
 DIMENSION = 32
 GROUP_ROWS = 1 << 20
 EPOCHS = 3
 NOISE = 64
 BATCH = 1024
-_FLUSH = 500_000
+_FLUSH = 1 << 20
 _FLUSH_TOKENS = 4_000_000
-_MEMO = 100_000
-#: Not a word: holds the count of end tokens.
-END = ""
-_STOP, _PAUSE = frozenset(b".!?"), frozenset(b",;:")
 CLASSES = 8
+#: Stands for a class where the end tokens are counted; their word is 0.
+END = -1
 
 
-def class_of(word: bytes) -> int:
-    """Spelling class of a word outside the vocabulary: how it ends, and whether it is long or not ASCII."""
-    last = word[-1]
-    mark = 0 if last in _STOP else 1 if last in _PAUSE else 2
-    if any(48 <= c < 58 for c in word):
-        return 6
-    if mark == 2 and not (97 <= last < 123 or last > 127):
-        return 7
-    return 2 * mark + (not word.isascii())
+def _bytes(within: str) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(within.encode())] = True
+    return out
 
 
-_COUNT_SCHEMA = T.StructType([T.StructField("word", T.StringType()), T.StructField("class", T.IntegerType()), T.StructField("c", T.LongType())])
+_STOP, _PAUSE, _DIGIT, _LETTER = _bytes(".!?"), _bytes(",;:"), _bytes("0123456789"), _bytes("abcdefghijklmnopqrstuvwxyz")
+_BEYOND = np.arange(256) > 127
+
+
+def classes_of(words: SpaceWords) -> np.ndarray:
+    """Spelling class of each word: how it ends, and whether it has digits or is not ASCII."""
+    last = words.bytes[words.ends - 1]
+    mark = np.where(_STOP[last], 0, np.where(_PAUSE[last], 1, 2))
+    plain = 2 * mark + words.having(_BEYOND)
+    odd = (mark == 2) & ~_LETTER[last] & (last <= 127)
+    return np.where(words.having(_DIGIT), 6, np.where(odd, 7, plain)).astype(np.int32)
+
+
+_COUNT_SCHEMA = T.StructType([T.StructField("word", T.LongType()), T.StructField("class", T.IntegerType()), T.StructField("c", T.LongType())])
 
 
 def _count_words():
-    held: Counter = Counter()
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows, ends = [0], [0]
+
+    def merged():
+        if not held:
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        words, kinds, counts = map(np.concatenate, zip(*held))
+        keys, first = np.unique(words, return_index=True)
+        return keys, kinds[first], summed(words, counts)[1]
 
     def drain():
-        items = list(held.items())
+        words, kinds, counts = merged()
         held.clear()
-        return [[w.decode("utf-8", "surrogatepass") for w, _ in items], [class_of(w) if w else None for w, _ in items], [c for _, c in items]]
+        rows[0], end = 0, ends[0]
+        ends[0] = 0
+        return [np.append(words.view(np.int64), 0), np.append(kinds, np.int32(END)), np.append(counts, end)]
 
     def step(texts):
-        for text in texts:
-            held.update(ascii_lower_words(text or ""))
-        held[b""] += len(texts)
-        return drain() if len(held) > _FLUSH else None
+        w = SpaceWords(texts)
+        ends[0] += len(texts)
+        keys, first, counts = np.unique(w.hashes, return_index=True, return_counts=True)
+        held.append((keys, classes_of(w)[first], counts))
+        rows[0] += len(keys)
+        if rows[0] > _FLUSH:
+            held[:] = [merged()]
+            rows[0] = len(held[0][0])
+        return drain() if rows[0] > _FLUSH // 2 else None
 
     step.finish = lambda: [drain()]
     return step
 
 
 def count_words(df: DataFrame) -> DataFrame:
-    """(word, class, c) over the training documents; the empty word counts the ends."""
+    """(word, class, c) over the training documents; class END counts the ends."""
     train = id_text(df).where(fold() != 1).select("text")
-    return map_texts(train, _count_words, _COUNT_SCHEMA).groupBy("word", "class").agg(F.sum("c").alias("c"))
+    return map_texts(train, _count_words, _COUNT_SCHEMA).groupBy("word", "class").agg(F.sum("c").alias("c")).where("c > 0")
 
 
-class Vocabulary:
-    """Symbols: 0 the end, 1..CLASSES the spelling classes, then words."""
+class Heavy:
+    """The frequent words: sorted hashes with their counts and symbols. Symbols: 0 the end,
+    1..CLASSES the spelling classes, then the most frequent words."""
 
-    def __init__(self, words: list[bytes]):
-        self.words = {w: 1 + CLASSES + i for i, w in enumerate(words)}
-        self.size = 1 + CLASSES + len(words)
-        self._memo: dict[bytes, int] = {}
+    def __init__(self, words: np.ndarray, kinds: np.ndarray, counts: np.ndarray, vocabulary: int):
+        by_count = np.lexsort((words, -counts))[:vocabulary]
+        symbols = 1 + kinds.astype(np.int32)
+        symbols[by_count] = 1 + CLASSES + np.arange(len(by_count))
+        order = np.argsort(words)
+        self.words, self.counts, self.symbols = words[order], counts[order], symbols[order]
+        self.size = 1 + CLASSES + len(by_count)
 
-    def _outside(self, word: bytes) -> int:
-        if len(self._memo) >= _MEMO:
-            self._memo.clear()
-        found = self._memo[word] = 1 + class_of(word)
-        return found
-
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        get, memo, outside = self.words.get, self._memo.get, self._outside
-        return np.array([get(w) or memo(w) or outside(w) for w in words] + [0], dtype=np.int64)
+    def symbols_of(self, w: SpaceWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of the texts one after the other, each with its end; where the words are among
+        the frequent ones, and whether they are."""
+        at, known = found(self.words, w.hashes)
+        out = np.zeros(len(w.owner) + len(w.counts), dtype=np.int64)
+        own = 1 + classes_of(w)
+        if len(self.words):
+            own = np.where(known, self.symbols[at], own)
+        out[np.arange(len(w.owner)) + w.owner] = own
+        return out, at, known
 
 
 def vocabulary_size(tokens: int) -> int:
     """Words with a symbol of their own, for a number of training tokens."""
-    return max(VOCABULARY, int(VOCABULARY_GROWTH * tokens ** (1 / 3)))
+    return min(MOST_VOCABULARY, max(VOCABULARY, int(VOCABULARY_GROWTH * tokens ** (1 / 3))))
 
 
 def contexts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,10 +156,10 @@ def contexts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _TRIPLES = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", T.LongType())])
 
 
-def count_triples(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def count_triples(df: DataFrame, heavy: Heavy) -> DataFrame:
     """(key, c): how often each symbol follows each pair, over all training documents. The key is
     (two back * size + one back) * size + symbol."""
-    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = df.sparkSession.sparkContext.broadcast(heavy)
 
     def make():
         v = sent.value
@@ -146,7 +175,7 @@ def count_triples(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             return [keys, c]
 
         def step(texts):
-            s = np.concatenate([v.symbols(ascii_lower_words(t or "")) for t in texts])
+            s = v.symbols_of(SpaceWords(texts))[0]
             two, one = contexts(s)
             held.append((two * v.size + one) * v.size + s)
             tokens[0] += len(s)
@@ -176,6 +205,12 @@ def descend(params: list, grow: list, noise: np.ndarray, rng, prev2: np.ndarray,
     size = len(b)
     log_k_noise = np.log(NOISE * noise).astype(np.float32)
     order = rng.permutation(len(now))
+    lane = np.arange(DIMENSION)
+
+    def gathered(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The sum of the values of each row, over all rows of a parameter."""
+        return np.bincount((rows[:, None] * DIMENSION + lane).ravel(), values.ravel(), size * DIMENSION).astype(np.float32).reshape(size, DIMENSION)
+
     for lo in range(0, len(order), BATCH):
         at = order[lo : lo + BATCH]
         w, x1, x2, times = now[at], prev1[at], prev2[at], weight[at]
@@ -187,12 +222,9 @@ def descend(params: list, grow: list, noise: np.ndarray, rng, prev2: np.ndarray,
         g_false = times[:, None] / (1 + np.exp(-(false - log_k_noise[fake])))
         n = np.float32(1 / len(at))
         gh = g_true[:, None] * q[w] + g_false @ q[fake]
-        gq, gb, gr = np.zeros_like(q), np.zeros_like(b), np.zeros_like(r)
-        np.add.at(gq, w, g_true[:, None] * h)
-        np.add.at(gq, fake, g_false.T @ h)
-        gb += np.bincount(w, g_true, size).astype(np.float32) + np.bincount(fake, g_false.sum(0), size).astype(np.float32)
-        np.add.at(gr, x1, gh * c1)
-        np.add.at(gr, x2, gh * c2)
+        gq = gathered(np.concatenate((w, fake)), np.concatenate((g_true[:, None] * h, g_false.T @ h)))
+        gb = np.bincount(np.concatenate((w, fake)), np.concatenate((g_true, g_false.sum(0))), size).astype(np.float32)
+        gr = gathered(np.concatenate((x1, x2)), np.concatenate((gh * c1, gh * c2)))
         for p, g, m in zip(params, (gr, gq, (gh * r[x1]).sum(0), (gh * r[x2]).sum(0), gb), grow):
             g = g * n
             m += g * g
@@ -279,45 +311,52 @@ def tables(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"one": one.astype(np.float32), "two": two.astype(np.float32), "z": z}
 
 
-def log10_probability(t: dict[str, np.ndarray], symbols: np.ndarray) -> float:
-    """Normalised log10 probability of a symbol sequence that ends with 0."""
+def log10_probabilities(t: dict[str, np.ndarray], symbols: np.ndarray) -> np.ndarray:
+    """Normalised log10 probability of every symbol of sequences that each end with 0."""
     p2, p1 = contexts(symbols)
-    return float((t["one"][p1, symbols] + t["two"][p2, symbols] - t["z"][p2, p1]).sum(dtype=np.float64)) / math.log(10)
+    return (t["one"][p1, symbols] + t["two"][p2, symbols] - t["z"][p2, p1]) / math.log(10)
 
 
 def fit(df: DataFrame, counts: DataFrame) -> dict:
     """Counts the workers need, corpus totals and the trained tables."""
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
+    word = F.col("class") != END
+    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(~word, F.col("c"))).alias("ends")).first()
     n, v = int(total.n or 0), int(total.v)
     # the least count that leaves at most HEAVY words: counts in steps of an eighth of a doubling
     level = F.floor(8 * F.log2(F.col("c")))
-    by_level = sorted(((r.level, r.words) for r in counts.where(F.col("word") != END).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    least, taken = None, 0
+    by_level = sorted(((r.level, r.words) for r in counts.where(word).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    least, taken = float("inf"), 0
     for at, words in by_level:
         if taken + words > HEAVY:
             break
         least, taken = at, taken + words
-    heavy = counts.where((F.col("word") != END) & (level >= least)).select("word", "c").collect() if least is not None else []
-    heavy.sort(key=lambda r: (-r.c, r.word))
-    known = {r.word.encode("utf-8", "surrogatepass"): r.c for r in heavy}
-    vocabulary = Vocabulary(list(known)[: vocabulary_size(n)])
-    outside = [0.5] * CLASSES  # half a count for unseen words of the class
-    for r in counts.where(F.col("word") != END).groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+    got = counts.where(word & (level >= F.lit(least))).select("word", "class", "c").toArrow()
+    heavy = Heavy(got["word"].to_numpy().view(np.uint64), got["class"].to_numpy(), got["c"].to_numpy(), vocabulary_size(n))
+    outside = np.full(CLASSES, 0.5)  # half a count for unseen words of the class
+    for r in counts.where(word).groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         outside[r["class"]] += r.c + 0.5 * r.v
-    for w in vocabulary.words:
-        outside[class_of(w)] -= known[w] + 0.5
-    trained, trained_tokens = train_counts(materialise(count_triples(df, vocabulary), "triples"), vocabulary.size)
-    model = tables(trained)
-    return {"n": n, "v": v, "ends": int(total.ends or 0), "known": known, "vocabulary": vocabulary, "outside": [math.log10(max(x, 0.5)) for x in outside], "model": model, "trained_tokens": trained_tokens}
+    inside = heavy.symbols > CLASSES
+    kinds = dict(zip(got["word"].to_numpy().view(np.uint64).tolist(), got["class"].to_numpy().tolist()))
+    for w, c in zip(heavy.words[inside].tolist(), heavy.counts[inside].tolist()):
+        outside[kinds[w]] -= c + 0.5
+    trained, trained_tokens = train_counts(materialise(count_triples(df, heavy), "triples"), heavy.size)
+    return {"n": n, "v": v, "ends": int(total.ends or 0), "heavy": heavy, "outside": np.log10(np.maximum(outside, 0.5)), "model": tables(trained), "trained_tokens": trained_tokens}
 
 
 _ROWS = T.StructType([
     T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("lm", T.DoubleType()),
-    T.StructField("word", T.StringType()), T.StructField("times", T.LongType()),
+    T.StructField("word", T.LongType()), T.StructField("times", T.LongType()),
 ])
 
 
+def _stacked(above: Sequence, below: Sequence) -> list[pa.Array]:
+    """Columns of rows above rows; a number stands for so many nulls."""
+    pair = lambda x, other: pa.nulls(x, other.type) if isinstance(x, int) else x
+    arrow = [[x if isinstance(x, int) else pa.array(x) for x in xs] for xs in zip(above, below)]
+    return [pa.concat_arrays([pair(x, y), pair(y, x)]) for x, y in arrow]
+
+
 def score(df: DataFrame) -> DataFrame:
     """held_out, token counts, base score and model score of every document."""
     counts = materialise(count_words(df), "word-counts")
@@ -331,45 +370,42 @@ def score(df: DataFrame) -> DataFrame:
         context = TaskContext.get()
         task = context.partitionId() if context else 0
         f = sent.value
-        known, vocabulary, outside, model = f["known"], f["vocabulary"], f["outside"], f["model"]
+        heavy, outside, model = f["heavy"], f["outside"], f["model"]
         unit = math.log10(f["n"] + 0.5 * (f["v"] + 1))
         end = math.log10(f["ends"] + 0.5)
-        logs = {w: math.log10(c + 0.5) for w, c in known.items()}
+        logs = np.log10(heavy.counts + 0.5)
         seen = [0]
 
         def step(ids, held, texts):
-            rows: list[tuple] = []
-            for doc_id, out, text in zip(ids, held, texts):
-                words = ascii_lower_words(text or "")
-                row = task << 40 | seen[0]
-                seen[0] += 1
-                base, n_known, rest = end, int(f["ends"] > 0), Counter()
-                for w, c in Counter(words).items():
-                    log = logs.get(w)
-                    if log is None:
-                        rest[w] = c
-                    else:
-                        base += c * log
-                        n_known += c
-                symbols = vocabulary.symbols(words)
-                # a word outside the vocabulary: its class, then its share of the class
-                lm = log10_probability(model, symbols)
-                shares = 0.0
-                by_class = np.bincount(symbols[(symbols > 0) & (symbols <= CLASSES)] - 1, minlength=CLASSES)
-                for k in range(CLASSES):
-                    shares -= by_class[k] * outside[k]
-                for w, c in Counter(w for w in words if w not in vocabulary.words).items():
-                    log = logs.get(w)
-                    if log is not None:
-                        shares += c * log
-                rows.append((row, doc_id, out, len(words) + 1, n_known, base - (len(words) + 1) * unit, lm + shares, None, None))
-                rows += ((row, None, None, None, None, None, None, w.decode("utf-8", "surrogatepass"), c) for w, c in rest.items())
-            return list(zip(*rows)) if rows else None
+            w = SpaceWords(texts)
+            size = len(texts)
+            row = (task << 40) + seen[0] + np.arange(size)
+            seen[0] += size
+            symbols, at, known = heavy.symbols_of(w)
+            log = np.zeros(len(w.owner))
+            log[known] = logs[at[known]]
+            tokens = w.counts + 1
+            base = np.bincount(w.owner, log, size) + end - tokens * unit
+            n_known = np.bincount(w.owner, known, size).astype(np.int64) + (f["ends"] > 0)
+            # a word outside the vocabulary: its class, then its share of the class
+            lm = np.add.reduceat(log10_probabilities(model, symbols).astype(np.float64), np.cumsum(tokens) - tokens)
+            own = symbols[np.arange(len(w.owner)) + w.owner]
+            out = own <= CLASSES
+            lm += np.bincount(w.owner[out], log[out] - outside[own[out] - 1], size)
+            # words whose counts come by the join
+            rest, owner = w.hashes[~known], w.owner[~known]
+            order = np.lexsort((rest, owner))
+            rest, owner = rest[order], owner[order]
+            first = np.flatnonzero(np.concatenate(([True], (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1])))) if len(rest) else np.zeros(0, dtype=np.int64)
+            k = len(first)
+            times = np.diff(np.append(first, len(rest)))
+            docs = (row, pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), tokens, n_known, base, lm, size, size)
+            return _stacked(docs, (row[owner[first]], k, k, k, k, k, k, rest[first].view(np.int64), times))
 
         return step
 
     table = materialise(map_texts(id_text(df).withColumn("held_out", fold() == 1).select("doc_id", "held_out", "text"), make, _ROWS), "scored")
-    light = table.where(F.col("word").isNotNull()).select("row", "word", "times").join(counts.select("word", "c"), "word", "left")
+    light = table.where(F.col("word").isNotNull()).select("row", "word", "times").join(counts.where(F.col("class") != END).select("word", "c"), "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + 0.5) * F.col("times")
     light = light.groupBy("row").agg(F.sum(log).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"))
     out = table.where(F.col("word").isNull()).join(light, "row", "left")

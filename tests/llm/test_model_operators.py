@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from factspan.llm import lbl, preferences, weak_quality
+from factspan.llm.words import SpaceWords
 
 DIR = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -91,6 +92,7 @@ def small_heavy(monkeypatch):
     """So few heavy words that both ways of looking counts up are taken."""
     monkeypatch.setattr(lbl, "HEAVY", 200)
     monkeypatch.setattr(lbl, "VOCABULARY", 64)
+    monkeypatch.setattr(lbl, "VOCABULARY_GROWTH", 0)
 
 
 def test_base_score_matches_brute_force(spark, small_heavy):
@@ -126,7 +128,7 @@ def test_model_is_normalised_and_uses_context():
     for a, b in ((0, 0), (3, 4), (13, 2)):
         p = np.exp(t["one"][b].astype(float) + t["two"][a] - t["z"][a, b])
         assert abs(p.sum() - 1) < 1e-4
-    assert lbl.log10_probability(t, np.array([4, 5, 6, 0])) > lbl.log10_probability(t, np.array([6, 4, 5, 0])) + 1
+    assert lbl.log10_probabilities(t, np.array([4, 5, 6, 0])).sum() > lbl.log10_probabilities(t, np.array([6, 4, 5, 0])).sum() + 1
 
 
 def test_scoring_edge_cases(spark):
@@ -142,11 +144,11 @@ def test_model_is_trained_on_every_training_token(spark, monkeypatch):
     rows = [(i, " ".join(rng.choice(["a", "b", "c", "Dd", "x9"]) for _ in range(i % 4))) for i in range(12_000)]
     df = spark.createDataFrame(rows, SCHEMA)
     fitted = lbl.fit(df, lbl.count_words(df))
-    v = fitted["vocabulary"]
+    v = fitted["heavy"]
     want = Counter()
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 5 != 1:
-            s = [0, 0, *v.symbols(lbl.ascii_lower_words(t)).tolist()]
+            s = [0, 0, *v.symbols_of(SpaceWords([t]))[0].tolist()]
             want.update((a * v.size + b) * v.size + c for a, b, c in zip(s, s[1:], s[2:]))
     triples = lbl.count_triples(df, v)
     assert {r.key: r.c for r in triples.collect()} == want
@@ -155,5 +157,53 @@ def test_model_is_trained_on_every_training_token(spark, monkeypatch):
     assert all(np.array_equal(x, y) for x, y in zip(again.values(), lbl.train_counts(triples, v.size)[0].values()))
 
 
+def plain_class(word):
+    last = word[-1]
+    if any(c in "0123456789" for c in word):
+        return 6
+    mark = 0 if last in ".!?" else 1 if last in ",;:" else 2
+    return 7 if mark == 2 and last.isascii() and not last.isalpha() else 2 * mark + (not word.isascii())
+
+
+def test_scores_match_brute_force(spark, small_heavy):
+    """Every token by its own softmax over all symbols, and its share of the class outside the vocabulary."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).union(frame(spark).select("doc_id", "text"))
+    rows = docs.collect()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    counts = lbl.count_words(docs)
+    fitted = lbl.fit(docs, counts)
+    table, m = fitted["model"], {}
+    split = lambda t: re.findall("[^\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    times = Counter(w for r in rows if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 != 1 for w in split(r.text))
+    known = dict(zip(fitted["heavy"].words.tolist(), fitted["heavy"].symbols.tolist()))
+    symbol = {w: known.get(int(SpaceWords([w]).hashes[0]), 1 + plain_class(w)) for w in {w for r in rows for w in split(r.text)}}
+    assert all(symbol[w] >= 9 or symbol[w] == 1 + plain_class(w) for w in symbol) and sum(x >= 9 for x in symbol.values()) == 64
+    share = Counter()
+    for w, c in times.items():
+        if symbol[w] < 9:
+            share[symbol[w]] += c + 0.5
+    want = Counter()
+    for r in rows:
+        total, two, one = 0.0, 0, 0
+        for w in [*split(r.text), None]:
+            s = symbol[w] if w else 0
+            if (two, one) not in m:
+                z = table["one"][one].astype(float) + table["two"][two]
+                m[two, one] = z - math.log(np.exp(z).sum())
+            total += m[two, one][s] / math.log(10)
+            if 0 < s < 9:
+                total += math.log10((times[w] + 0.5) / (share[s] + 0.5))
+            two, one = one, s
+        want[r.doc_id, round(total, 1)] += 1
+    again = lbl.score(docs).collect()
+    assert Counter((r.doc_id, round(r.score, 1)) for r in again) == want
+
+
+def test_clashing_columns_do_not_reach_the_model(spark):
+    rows = [(1, "a b", 5, "x", 2), (2, None, None, None, None)]
+    got = lbl.score(spark.createDataFrame(rows, SCHEMA + ", word long, row string, times int")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2]
+
+
 def test_vocabulary_grows_with_the_corpus():
-    assert lbl.vocabulary_size(0) == lbl.VOCABULARY < lbl.vocabulary_size(10**9) < lbl.vocabulary_size(10**10)
+    assert lbl.vocabulary_size(0) == lbl.VOCABULARY < lbl.vocabulary_size(10**8) < lbl.vocabulary_size(10**9) < lbl.vocabulary_size(10**13) == lbl.MOST_VOCABULARY
