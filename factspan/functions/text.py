@@ -17,8 +17,8 @@ OPEN_BRACKETS = "「『（(【〔［["
 CLOSE_BRACKETS = "」』）)】〕］]"
 ARM_PARTICLES = ("が", "を", "に", "で", "と", "へ")
 ATTRIBUTION = r"\((?:reported|said) by .*\)\s*$"
-KANA, HAN = r"[぀-ヿ]", r"[㐀-鿿]"
-JAPANESE = r"[぀-ヿ㐀-鿿]"
+KANA, HAN = r"[ぁ-んァ-ヶー]", r"[㐀-䶿一-鿿]"
+JAPANESE = r"[぀-ヿ一-鿿]"
 LATIN_WORD = r"[A-Za-zＡ-Ｚａ-ｚ][A-Za-z0-9Ａ-Ｚａ-ｚ０-９.+#_-]*"
 
 

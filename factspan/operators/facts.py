@@ -165,3 +165,10 @@ def emit_decision(checks: list[tuple[str, Column]]) -> Column:
 def holding(facts: DataFrame, asked: DataFrame) -> DataFrame:
     """The positions that ever held an asked value, and since when."""
     return facts.join(asked.select("value").distinct(), "value").groupBy("value", "position").agg(F.min("ord").alias("since"), F.count(F.lit(1)).alias("times"))
+
+
+def note_counts(facts: DataFrame) -> DataFrame:
+    """Facts by scope and epoch (how many changes their position had seen by then)."""
+    so_far = W.partitionBy("position", "scope").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    epoch = F.sum(F.col("change").cast("int")).over(so_far)
+    return facts.select("scope", epoch.alias("epoch")).groupBy("scope", "epoch").agg(F.count(F.lit(1)).alias("n"))

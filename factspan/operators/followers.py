@@ -50,9 +50,10 @@ def read_order(kinds_: DataFrame, particles: tuple[str, ...]) -> DataFrame:
     return kinds_.groupBy(bucket.alias("bucket"), "particles", key.alias("weight")).agg(F.count(F.lit(1)).alias("units"), F.min("unit").alias("least"))
 
 
-def window_counts(attached: DataFrame, sids: DataFrame) -> DataFrame:
-    """Particle counts over a set of sentences."""
-    return attached.join(sids, "sid", "left_semi").where("label = 'particle'").groupBy("particle").agg(F.count(F.lit(1)).alias("c"))
+def window_counts(attached: DataFrame, sids: DataFrame | None = None) -> DataFrame:
+    """Particle counts over a set of sentences, or over all."""
+    attached = attached if sids is None else attached.join(sids, "sid", "left_semi")
+    return attached.where("label = 'particle'").groupBy("particle").agg(F.count(F.lit(1)).alias("c"))
 
 
 def anchors(units_: DataFrame, adhesion_: DataFrame, least: int = 2) -> DataFrame:

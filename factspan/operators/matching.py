@@ -85,11 +85,12 @@ def question_echoes(seated: DataFrame, questions: DataFrame) -> DataFrame:
     return seated.where(F.length("unit") >= 2).join(questions, "run").where(F.contains(F.lower("question"), F.lower("unit"))).select("run", "unit")
 
 
-def read_sentences(occ_by_tier: dict[str, DataFrame], sids: DataFrame) -> DataFrame:
-    """The units of asked sentences per tier."""
+def read_sentences(occ_by_tier: dict[str, DataFrame], sids: DataFrame | None = None) -> DataFrame:
+    """The units of asked sentences, or of all, per tier."""
     out = None
     for tier, occ in occ_by_tier.items():
-        one = occ.join(sids, "sid", "left_semi").groupBy("sid").agg(F.lit(tier).alias("tier"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "unit"))), lambda x: x["unit"]), "/").alias("units"))
+        occ = occ if sids is None else occ.join(sids, "sid", "left_semi")
+        one = occ.groupBy("sid").agg(F.lit(tier).alias("tier"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "unit"))), lambda x: x["unit"]), "/").alias("units"))
         out = one if out is None else out.union(one)
     return out
 

@@ -1,4 +1,4 @@
-"""Co-occurrence, order and exact energies (survey J1-J3, A4-A8, A26, K2, K3).
+"""Co-occurrence, order and exact energies (survey J1-J3, A4-A7, A26, K2).
 
 Every ratio is a pair of integers. Co-occurrence starts from a given set of asked units: their
 groups are found first and only those are joined, so the work is that of the asked units."""
@@ -47,10 +47,11 @@ def edge_flow(pairs: DataFrame, freq: DataFrame, energies: DataFrame) -> DataFra
     return pairs.where("q <> unit").join(e, "q").join(n, "q").select(F.col("unit").alias("v"), F.col("q").alias("u"), (F.col("e") * F.col("n")).alias("num"), "den")
 
 
-def binding(pairs: DataFrame, freq: DataFrame) -> DataFrame:
-    """Sum of n(u, v) over the neighbours u, with n(v) as denominator."""
-    n = freq.select("unit", F.col("n").alias("den"))
-    return pairs.where("q <> unit").groupBy("unit").agg(F.sum("n").alias("num")).join(n, "unit")
+def binding(firsts: DataFrame) -> DataFrame:
+    """Sum of n(u, v) over all neighbours u, with n(v) as denominator: every group gives each of
+    its units one for each other unit, so no pairs are made."""
+    size = firsts.groupBy("sid").agg(F.count(F.lit(1)).alias("c"))
+    return firsts.join(size, "sid").groupBy("unit").agg(F.sum(F.col("c") - 1).alias("num"), F.count(F.lit(1)).alias("den"))
 
 
 def share_groups(pairs: DataFrame) -> DataFrame:
@@ -60,7 +61,24 @@ def share_groups(pairs: DataFrame) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("n"))))
 
 
-def twins(pairs: DataFrame) -> DataFrame:
-    """A26 against the asked units: units with equal weights to every q outside themselves."""
-    profile = pairs.where("q <> unit").groupBy("unit").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("q", "n", "before")))), 256).alias("profile"))
-    return profile.groupBy("profile").agg(F.count(F.lit(1)).alias("members"), F.min("unit").alias("least"), F.max("unit").alias("greatest")).where("members > 1")
+def twins(firsts: DataFrame) -> DataFrame:
+    """Classes of units that may change places. With w(u, z) the number of groups in which u
+    stands before z, u and v are twins if both have the same w to and from every other unit, and
+    w(u, v) = w(v, u).
+
+    No pairs are made. A unit's weights are told by the sum over its groups of the hashes of what
+    stands after it, and of what stands before it, for two hashes a unit. If twins stand b times
+    before each other, the sums agree once each has b times its own hash put in, so a unit is
+    compared under every b up to its number of groups that hold an earlier and a later unit."""
+    h = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(1 << 60)).cast("decimal(38,0)")
+    d = firsts.select("sid", "unit", "pos", h(1).alias("h1"), h(2).alias("h2"))
+    by_pos = d.groupBy("sid", "pos").agg(F.sum("h1").alias("s1"), F.sum("h2").alias("s2"))
+    w = W.partitionBy("sid").orderBy("pos")
+    to = [F.coalesce(F.sum(s).over(x), F.lit(0)) for x in (w.rowsBetween(1, W.unboundedFollowing), w.rowsBetween(W.unboundedPreceding, -1)) for s in ("s1", "s2")]
+    around = by_pos.select("sid", "pos", *(c.cast("decimal(38,0)").alias(n) for c, n in zip(to, ("a1", "a2", "b1", "b2"))))
+    sums = d.join(around, ["sid", "pos"]).groupBy("unit", "h1", "h2").agg(*(F.sum(c).alias(c) for c in ("a1", "a2", "b1", "b2")), F.least(F.count_if(F.col("a1") != 0), F.count_if(F.col("b1") != 0)).alias("most"))
+    sums = sums.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), "most")))
+    key = [(F.col(c) + F.col("b") * F.col(k)).cast("decimal(38,0)").alias(f"k{c}") for c, k in (("a1", "h1"), ("a2", "h2"), ("b1", "h1"), ("b2", "h2"))]
+    keyed = sums.where("a1 <> 0 or b1 <> 0").select("unit", "b", *key)
+    found = keyed.groupBy("b", "ka1", "ka2", "kb1", "kb2").agg(F.count(F.lit(1)).alias("members"), F.min("unit").alias("least"), F.max("unit").alias("greatest"))
+    return found.where("members > 1").select("members", "least", "greatest")

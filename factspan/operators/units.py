@@ -109,3 +109,12 @@ def union_of(post: DataFrame, wanted: DataFrame) -> DataFrame:
     """The sentences of any wanted unit; a unit without postings raises."""
     missing = wanted.join(post, "unit", "left_anti").select(F.raise_error(F.concat(F.lit("unknown unit: "), F.col("unit"))).alias("sid").cast("long"))
     return post.join(wanted, "unit").select(F.explode("sids").alias("sid")).distinct().union(missing)
+
+
+def tier_counts(sentences: DataFrame) -> DataFrame:
+    """A3: distinct units and occurrences of every tier."""
+    out = None
+    for tier in TIERS:
+        one = occurrences(sentences, tier).groupBy("unit").agg(F.count(F.lit(1)).alias("c")).agg(F.lit(tier).alias("tier"), F.count(F.lit(1)).alias("units"), F.coalesce(F.sum("c"), F.lit(0)).alias("occurrences"))
+        out = one if out is None else out.union(one)
+    return out

@@ -76,7 +76,7 @@ def _(s, d):
 
 @query(
     "p4_script",
-    r"""with c as (select doc_id, len(regexp_extract_all(text, '[぀-ヿ㐀-鿿]')) ja, len(regexp_extract_all(text, '[㐀-鿿]')) han, regexp_matches(text, '[぀-ヿ]') kana,
+    r"""with c as (select doc_id, len(regexp_extract_all(text, '[぀-ヿ一-鿿]')) ja, len(regexp_extract_all(text, '[㐀-䶿一-鿿]')) han, regexp_matches(text, '[ぁ-んァ-ヶー]') kana,
   len(regexp_extract_all(text, '[A-Za-zＡ-Ｚａ-ｚ][A-Za-z0-9Ａ-Ｚａ-ｚ０-９.+#_-]*')) lat from documents)
 select doc_id, case when ja > lat then case when han >= 6 and not kana then 'zh' else 'ja' end when lat = 0 then 'latin' else 'en' end script from c""",
 )
@@ -106,12 +106,7 @@ def _(s, d):
 select 'WORD' tier, count(distinct unit) units, count(*) occurrences from occ union all select 'CHAR', count(distinct unit), count(*) from ch""",
 )
 def _(s, d):
-    sents = src.sentences(s, d)
-    both = None
-    for tier in units.TIERS:
-        one = units.occurrences(sents, tier).groupBy("unit").agg(F.count(F.lit(1)).alias("c")).agg(F.lit(tier).alias("tier"), F.count(F.lit(1)).alias("units"), F.sum("c").alias("occurrences"))
-        both = one if both is None else both.union(one)
-    return both
+    return units.tier_counts(src.sentences(s, d))
 
 
 @query("x1_postings", f"with {WORDS}, p as (select distinct unit, sid, sid // 4096 block from occ) select unit, block, count(*) n, min(sid) lo, max(sid) hi, cast(sum(sid) as bigint) total from p group by unit, block")
@@ -217,10 +212,10 @@ def _(s, d):
     return pairs.edge_flow(p, freq, pairs.energy(freq, p))
 
 
-@query("a7_binding", f"with {_PAIRS} select p.unit, cast(sum(p.n) as bigint) num, f.n den from pairs p join freq f on f.unit = p.unit where p.q <> p.unit group by p.unit, f.n")
+@query("a7_binding", """with firsts as (select distinct l_orderkey sid, l_partkey unit from lineitem), size as (select sid, count(*) c from firsts group by sid)
+select unit, cast(sum(c - 1) as bigint) num, count(*) den from firsts join size using (sid) group by unit""")
 def _(s, d):
-    _, p, freq = _pairs(s, d)
-    return pairs.binding(p, freq)
+    return pairs.binding(pairs.first_positions(src.order_parts(s, d)))
 
 
 @query("k2_share_groups", f'with {_PAIRS}, g as (select q, n, count(*) members, min(unit) first_member from pairs where q <> unit group by q, n) select *, row_number() over (partition by q order by n desc) "rank" from g')
@@ -228,9 +223,16 @@ def _(s, d):
     return pairs.share_groups(_pairs(s, d)[1]).withColumn("rank", F.col("rank").cast(long))
 
 
-@query("a26_twins", f"""with {_PAIRS}, prof as (select unit, string_agg(q || ':' || n || ':' || "before", ',' order by q) p from pairs where q <> unit group by unit) select count(*) members, min(unit) least, max(unit) greatest from prof group by p having count(*) > 1""")
+_TYPES = "case event_type when 'view' then 0 when 'click' then 1 when 'purchase' then 2 else 3 end"
+
+
+@query("a26_twins", f"""with f as (select user_id sid, event_id unit, {_TYPES} pos from events),
+w as (select a.unit, b.unit other, sign(b.pos - a.pos) d from f a join f b on a.sid = b.sid and a.pos <> b.pos),
+prof as (select unit, string_agg(other || ':' || d, ',' order by other) p from w group by unit) select count(*) members, min(unit) least, max(unit) greatest from prof group by p having count(*) > 1""")
 def _(s, d):
-    return pairs.twins(_pairs(s, d)[1]).drop("profile")
+    """Events of a user in the order of their types: events of one type may change places."""
+    e = table(s, d, "events").select(F.col("user_id").alias("sid"), F.col("event_id").alias("unit"), F.expr(_TYPES).alias("pos"))
+    return pairs.twins(e)
 
 
 # ---------------------------------------------------------------- followers
@@ -266,10 +268,10 @@ def _(s, d):
     return followers.read_order(followers.kinds(_counts(s, d)), PARTICLES)
 
 
-@query("a23_window_counts", f"{_ATT} select nxt particle, count(*) c from att where label = 'particle' and (sid // 1000000) % 100 = 0 group by nxt")
+@query("a23_window_counts", f"{_ATT} select nxt particle, count(*) c from att where label = 'particle' group by nxt")
 def _(s, d):
     att = followers.attachments(src.words(s, d), PARTICLES)
-    return followers.window_counts(att, att.where(F.expr(f"(sid div {units.PER_DOC}) % 100 = 0")).select("sid").distinct())
+    return followers.window_counts(att)
 
 
 @query("a25_anchors", f"""{_ATT}, k as (select distinct unit from cnt), sfx as (select unit, unnest(list_transform(range(2, length(unit)), lambda i: substr(unit, i))) suffix from k where length(unit) > 2)
@@ -525,15 +527,19 @@ def _(s, d):
 
 # ---------------------------------------------------------------- audits, gate, scores
 
-_SAID = """first_sent as (select conv_id "session", turn, role, regexp_extract(text, '^[^.\\n]*') sent from conversations)"""
+_SAID = f"""turns as (select conv_id * 100000 + turn doc_id, text from conversations),
+  {SENTS.replace("from documents", "from turns").strip()},
+  said as (select conv_id "session", turn, role, sent from sents join conversations on doc_id = conv_id * 100000 + turn)"""
 
 
 def _said(s, d):
-    return table(s, d, "conversations").select(F.col("conv_id").alias("session"), "turn", "role", F.regexp_extract("text", "^[^.\\n]*", 0).alias("sent"))
+    """Every sentence of every turn."""
+    c = table(s, d, "conversations").withColumn("doc_id", F.col("conv_id") * 100000 + F.col("turn"))
+    return docs.split_sentences(c.select("doc_id", "text")).join(c.select("doc_id", F.col("conv_id").alias("session"), "turn", "role"), "doc_id")
 
 
-@query("l10_unsourced_writes", f"""with {_SAID}, u as (select "session", sent, min(turn) t from first_sent where role = 'user' group by all)
-select f."session", f.turn, f.sent from first_sent f left join u on u."session" = f."session" and u.sent = f.sent where u.t is null or u.t > f.turn""")
+@query("l10_unsourced_writes", f"""with {_SAID}, u as (select "session", sent, min(turn) t from said where role = 'user' group by all)
+select f."session", f.turn, f.sent from said f left join u on u."session" = f."session" and u.sent = f.sent where u.t is null or u.t > f.turn""")
 def _(s, d):
     said = _said(s, d)
     return audit.unsourced_writes(said.select("session", "turn", "sent"), said.where("role = 'user'"))
@@ -619,9 +625,7 @@ def _(s, d):
 
 @query("a16_note_counts", f"""with {FACTS} select scope, e::bigint epoch, count(*) n from ep group by all""")
 def _(s, d):
-    f = src.facts(s, d)
-    w = W.partitionBy("position", "scope").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    return f.withColumn("epoch", F.sum(F.col("change").cast("int")).over(w)).groupBy("scope", "epoch").agg(F.count(F.lit(1)).alias("n"))
+    return fx.note_counts(src.facts(s, d))
 
 
 @query("k5_top_matches", """with h as (select conv_id, turn, contains(lower(text), ' the ')::int + contains(lower(text), ' of ')::int + contains(lower(text), ' de ')::int hits from conversations)
@@ -643,12 +647,18 @@ def _(s, d):
 # ---------------------------------------------------------------- crosses
 
 
-@query("r1_rotations")
+_ROT = "rot as (select * from (values " + ", ".join(f"({r}, {a}, {p[a]})" for r, p in enumerate(geometry.PERMS) for a in range(geometry.ARMS)) + ") t(rotation, arm, image))"
+
+
+@query("r1_rotations", f"""with {_ROT}, keys as (select rotation, string_agg(image::varchar, '' order by arm) p from rot group by rotation),
+c as (select g.rotation g, h.rotation h, string_agg(g.image::varchar, '' order by h.arm) p from rot h join rot g on g.arm = h.image group by all) select g, h, rotation from c join keys using (p)""")
 def _(s, d):
     return geometry.compositions(geometry.rotations(s))
 
 
-@query("r2_r3_seats")
+@query("r2_r3_seats", f"""with {_ROT}, seat as (select a.range::int * 3 + k.range::int + 1 seat, k.range k from range(6) a, range(3) k),
+apart as (select rotation, "section".range::int "section", (image - "section".range + 6) % 6 d from rot, range(6) "section")
+select seat a, case k when 2 then 0 else seat + 1 end::int b, 'edge' "what" from seat union all select rotation, "section", 'sees ' || count(*) from apart where d <= 1 or d >= 5 group by rotation, "section" """)
 def _(s, d):
     n = 3
     seats = geometry.seats(s, n)
@@ -661,9 +671,6 @@ def _arm_contents(s, d):
     return e.groupBy(F.col("user_id").alias("cross"), (F.col("event_id") % 6).cast("int").alias("arm")).agg(F.count(F.lit(1)).cast("string").alias("content"))
 
 
-_ROT = "rot as (select * from (values " + ", ".join(f"({r}, {a}, {p[a]})" for r, p in enumerate(geometry.PERMS) for a in range(geometry.ARMS)) + ") t(rotation, arm, image))"
-
-
 @query("r4_canonical_keys", f"""with {_ROT}, c as (select user_id "cross", event_id % 6 arm, cast(count(*) as varchar) content from events group by all),
 t as (select "cross", rotation, string_agg(content, '/' order by image) key from c join rot on rot.arm = c.arm group by "cross", rotation) select "cross", min(key) key from t group by "cross" """)
 def _(s, d):
@@ -765,10 +772,15 @@ def _(s, d):
     return store.fold_placements(rows)
 
 
-@query("l8_replay", "select cast(null as bigint) session, cast(null as bigint) i, cast(null as varchar) side where false")
+@query("l8_replay", f"""with {_LEDGER}, {_DONE}, mem as (select "session", i, txt sent from led where op in ('write', 'keep_unshaped') and ok and "session" in (select "session" from done))
+select "session", i, sent, 'derived' side from mem where "session" % 7 = 3 and i % 5 = 0 union all
+select "session", i, sent, 'derived' from mem where "session" % 11 = 2 and not ("session" % 7 = 3 and i % 5 = 0) union all
+select "session", i, sent || ' more', 'stored' from mem where "session" % 11 = 2 and not ("session" % 7 = 3 and i % 5 = 0)""")
 def _(s, d):
-    rows = store.memory_rows(_ledger_rows(s, d)).select("session", "i")
-    return store.replayed(rows, rows.repartition(3, "i"))
+    """A stored memory in which rows are missing and sentences differ, against the rows of its ledger."""
+    derived = store.memory_rows(_ledger_rows(s, d)).select("session", "i", "sent")
+    stored = derived.where("not (session % 7 = 3 and i % 5 = 0)").withColumn("sent", F.when(F.col("session") % 11 == 2, F.concat("sent", F.lit(" more"))).otherwise(F.col("sent")))
+    return store.replayed(stored, derived)
 
 
 @query("j10_event_match", """with w as (select 0 q, 'flag' arm, 'R' phrase union all select 0, 'status', 'F' union all select 1, 'status', 'O'), ev as (
@@ -791,7 +803,12 @@ def _(s, d):
     return matching.membership(c, s.createDataFrame([("view", 1), ("p3", 2)], "head string, nest int"))
 
 
-@query("a8_agreement")
+@query("a8_agreement", f"""with {_PAIRS}, own as (select p.q, p.unit, p.n, "before", f.n + p.n e from pairs p join freq f on f.unit = p.unit where p.q <> p.unit),
+x as (select q, unit, e v, 'a' k from own union all select q, unit, n, 'b' from own union all select q, unit, "before", 'c' from own),
+top as (select *, max(v) over (partition by q, k) m from x), w as (select q, k, case when count(*) = 1 and m > 0 then min(unit) end win from top where v = m group by q, k, m),
+t as (select q, max(win) filter (k = 'a') a, max(win) filter (k = 'b') b, max(win) filter (k = 'c') c from w group by q),
+st as (select *, case when a is null or b is null or c is null then 'points_nowhere' when a = b and b = c then 'agree' else 'ratio_disagreement' end status from t)
+select q, status, case status when 'agree' then a end unit from st""")
 def _(s, d):
     _, p, freq = _pairs(s, d)
     own = p.where("q <> unit")
@@ -827,10 +844,9 @@ def _(s, d):
     return matching.unanchored(a.select("unit").distinct().withColumn("particle", F.lit("the")), a)
 
 
-@query("x4_read_sentences", f"""with {WORDS} select sid, 'WORD' tier, string_agg(unit, '/' order by pos) units from occ where (sid // 1000000) % 100 = 0 group by sid""")
+@query("x4_read_sentences", f"""with {WORDS} select sid, 'WORD' tier, string_agg(unit, '/' order by pos) units from occ group by sid""")
 def _(s, d):
-    occ = src.words(s, d)
-    return matching.read_sentences({"WORD": occ}, occ.where(F.expr(f"(sid div {units.PER_DOC}) % 100 = 0")).select("sid").distinct())
+    return matching.read_sentences({"WORD": src.words(s, d)})
 
 
 @query("x6_tiers_holding", rf"""with {WORDS}, a as (select distinct regexp_extract(text, '[\p{{L}}\p{{N}}\p{{M}}]+') unit from benchmark union select 'a'), ch as (select distinct unnest(regexp_extract_all(sent, '[\p{{L}}\p{{N}}\p{{M}}]')) unit from sents),
@@ -861,11 +877,11 @@ def _(s, d):
     return units.without(src.words(s, d), s.createDataFrame([(p,) for p in PARTICLES], "unit string")).groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a12_arrangements", f"{_ATT}, adh as (select unit, particle, sids * {_W} num from cnt), seat as (select sid, unit, nxt particle from att where label = 'particle' and (sid // 1000000) % 100 = 0) select s.sid \"cross\", coalesce(sum(num), 0)::bigint a_num, count(*) seats from seat s left join adh a on a.unit = s.unit and a.particle = s.particle group by s.sid")
+@query("a12_arrangements", f"{_ATT}, adh as (select unit, particle, sids * {_W} num from cnt), seat as (select sid, unit, nxt particle from att where label = 'particle') select s.sid \"cross\", coalesce(sum(num), 0)::bigint a_num, count(*) seats from seat s left join adh a on a.unit = s.unit and a.particle = s.particle group by s.sid")
 def _(s, d):
     att = followers.attachments(src.words(s, d), PARTICLES).where("label = 'particle'")
     a = followers.adhesion(followers.counts(att), PARTICLES)
-    return followers.arrangement(att.where(F.expr(f"(sid div {units.PER_DOC}) % 100 = 0")).select(F.col("sid").alias("cross"), "unit", "particle"), a)
+    return followers.arrangement(att.select(F.col("sid").alias("cross"), "unit", "particle"), a)
 
 
 @query("x9_holding", f"""with {FACTS} select "value", "position", min(ord) since, count(*) times from facts where "value" in (select r_regionkey from region) group by all""")

@@ -64,7 +64,7 @@ def test_redaction(spark):
 
 
 def test_scripts(spark):
-    cases = {"これは日本語です": "ja", "如果配置文件不存在": "zh", "plain words": "en", "１２３": "latin", "実装はTypeScriptを用いる": "ja"}
+    cases = {"これは日本語です": "ja", "如果配置文件不存在": "zh", "plain words": "en", "１２３": "latin", "実装はTypeScriptを用いる": "ja", "如果・配置文件・不存在": "zh", "㐀㐁 one two three": "en"}
     d = spark.createDataFrame([(k,) for k in cases], "t string").select("t", tx.detect_script(F.col("t")).alias("s"))
     assert {r.t: r.s for r in d.collect()} == cases
 
@@ -72,6 +72,23 @@ def test_scripts(spark):
 # ---------------------------------------------------------------- units, pairs
 
 
+def test_twins_match_brute_force(spark):
+    rng = random.Random(3)
+    rows, units_ = [], list("abcdefgh")
+    for sid in range(40):
+        rows += [(sid, pos, u) for pos, u in enumerate(rng.sample(units_, rng.randint(2, 5)))]
+    for u, v in (("a", "p"), ("b", "q")):  # p stands wherever a does, q wherever b does, once before and once after it
+        rows += [(sid, pos, v) for sid, pos, x in rows if x == u]
+    rows += [(100, 0, "b"), (100, 1, "q"), (101, 0, "q"), (101, 1, "b"), (102, 0, "lone")]
+    rows = [(s, 2 * i if x not in "pq" else 2 * i, x) for s, i, x in rows]
+    w = Counter((x, y) for s, i, x in rows for t, j, y in rows if s == t and i < j)
+    names = sorted({x for _, _, x in rows} - {"lone"})
+    same = lambda u, v: w[u, v] == w[v, u] and all(w[u, z] == w[v, z] and w[z, u] == w[z, v] for z in names if z not in (u, v))
+    want = sorted({tuple(c) for u in names if len(c := [v for v in names if v == u or same(u, v)]) > 1})
+    got = pairs.twins(spark.createDataFrame(rows, "sid long, pos int, unit string")).collect()
+    assert sorted((r.members, r.least, r.greatest) for r in got) == sorted((len(c), c[0], c[-1]) for c in want) and {("a", "p"), ("b", "q")} <= set(want)
+
+
 def test_append_equals_rebuild_and_unknown_units_raise(spark):
     rng = random.Random(1)
     sents = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 6)))) for i in range(60)]
