@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from factspan.operators.units import with_next
+
 # The ladder of the seven particle ranks, Fibonacci numbers over 377.
 LADDER = (233, 144, 89, 55, 34, 21, 13)
 LADDER_DEN = 377
@@ -13,8 +15,7 @@ LADDER_DEN = 377
 
 def attachments(spans_: DataFrame, particles: tuple[str, ...]) -> DataFrame:
     """Every unit occurrence with a label of what comes next: particle, other or end."""
-    nxt = F.lead("unit").over(W.partitionBy("sid").orderBy("pos"))
-    d = spans_.withColumn("next", nxt)
+    d = with_next(spans_)
     label = F.when(F.col("next").isNull(), "end").when(F.col("next").isin(*particles), "particle").otherwise("other")
     return d.select("sid", "pos", "unit", label.alias("label"), F.when(label == "particle", F.col("next")).alias("particle"))
 

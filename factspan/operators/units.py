@@ -44,6 +44,19 @@ def occurrences(sentences: DataFrame, tier: str = "WORD", keep: tuple[str, ...]
     return sentences.select(*keep, F.posexplode(units(F.col("sent"), tier)).alias("pos", "unit"))
 
 
+def neighbours(sentences: DataFrame, tier: str = "WORD") -> DataFrame:
+    """Occurrences with the unit that comes next in the sentence, and whether the unit stands there
+    for the first time. Both are read off the sentence itself, so nothing is shuffled."""
+    d = sentences.select("sid", units(F.col("sent"), tier).alias("u"))
+    rows = F.transform("u", lambda x, i: F.struct(x.alias("unit"), F.get("u", i + 1).alias("next"), (F.array_position("u", x) == i + 1).alias("first")))
+    return d.select("sid", F.posexplode(rows).alias("pos", "x")).select("sid", "pos", "x.unit", "x.next", "x.first")
+
+
+def with_next(occ: DataFrame) -> DataFrame:
+    """Occurrences with the unit after each: as they are if they have it, else by a window."""
+    return occ if "next" in occ.columns else occ.withColumn("next", F.lead("unit").over(W.partitionBy("sid").orderBy("pos")))
+
+
 def spans(sentences: DataFrame, tier: str = "WORD") -> DataFrame:
     """T4: units with half-open code-point spans, found from the texts between them."""
     d = sentences.select("sid", "sent", units(F.col("sent"), tier).alias("u"), F.split("sent", TIERS[tier], -1).alias("gaps"))
@@ -64,7 +77,8 @@ def gaps(spans_: DataFrame) -> DataFrame:
 def postings(occ: DataFrame, tier: str) -> DataFrame:
     """X1 in blocks: (tier, unit, block, sids), every array at most BLOCK ids long. Appending
     sentences (X2) is the union of two postings where no block is shared."""
-    d = occ.select(F.lit(tier).alias("tier"), "unit", F.floor(F.col("sid") / BLOCK).alias("block"), "sid").distinct()
+    once = occ.where("first") if "first" in occ.columns else occ.select("unit", "sid").distinct()
+    d = once.select(F.lit(tier).alias("tier"), "unit", F.floor(F.col("sid") / BLOCK).alias("block"), "sid")
     return d.groupBy("tier", "unit", "block").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
 
 
@@ -75,6 +89,8 @@ def append_postings(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def frequencies(occ: DataFrame) -> DataFrame:
     """A1: in how many sentences a unit stands, its occurrences, and where it stands first."""
+    if "first" in occ.columns:
+        return occ.groupBy("unit").agg(F.count_if("first").alias("n"), F.count(F.lit(1)).alias("occurrences"), F.min("sid").alias("first_sid"))
     per = occ.groupBy("unit", "sid").agg(F.count(F.lit(1)).alias("c"))
     return per.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("occurrences"), F.min("sid").alias("first_sid"))
 
@@ -101,8 +117,8 @@ def trace(occ: DataFrame, sentences: DataFrame, surfaces: DataFrame) -> DataFram
 
 def attested_joins(spans_: DataFrame) -> DataFrame:
     """For every two units that stand side by side without a letter between, where first."""
-    w = W.partitionBy("sid").orderBy("pos")
-    return spans_.withColumn("second", F.lead("unit").over(w)).where(F.col("second").isNotNull()).groupBy(F.col("unit").alias("first"), "second").agg(F.min("sid").alias("sid"), F.count(F.lit(1)).alias("n"))
+    d = with_next(spans_).where(F.col("next").isNotNull())
+    return d.groupBy(F.col("unit").alias("first"), F.col("next").alias("second")).agg(F.min("sid").alias("sid"), F.count(F.lit(1)).alias("n"))
 
 
 def union_of(post: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -91,13 +91,13 @@ def _(s, d):
 
 @query("a1_frequencies", f"with {WORDS} select unit, count(distinct sid) n, count(*) occurrences, min(sid) first_sid from occ group by unit")
 def _(s, d):
-    return units.frequencies(src.words(s, d))
+    return units.frequencies(src.neighbours(s, d))
 
 
 @query("a2_ratios", f"with {WORDS}, n as (select count(*) den from sents) select unit, count(distinct sid) num, den from occ, n group by unit, den")
 def _(s, d):
     sents = src.sentences(s, d)
-    return units.ratios(units.frequencies(units.occurrences(sents)), sents).select("unit", "num", "den")
+    return units.ratios(units.frequencies(units.neighbours(sents)), sents).select("unit", "num", "den")
 
 
 @query(
@@ -111,13 +111,13 @@ def _(s, d):
 
 @query("x1_postings", f"with {WORDS}, p as (select distinct unit, sid, sid // 4096 block from occ) select unit, block, count(*) n, min(sid) lo, max(sid) hi, cast(sum(sid) as bigint) total from p group by unit, block")
 def _(s, d):
-    p = units.postings(src.words(s, d), "WORD")
+    p = units.postings(src.neighbours(s, d), "WORD")
     return p.select("unit", F.col("block"), F.size("sids").cast(long).alias("n"), F.array_min("sids").alias("lo"), F.array_max("sids").alias("hi"), F.aggregate("sids", F.lit(0).cast(long), lambda a, x: a + x).alias("total"))
 
 
 @query("x2_append", f"with {WORDS}, p as (select distinct unit, sid, sid // 4096 block from occ) select unit, block, count(*) n from p group by unit, block")
 def _(s, d):
-    occ = src.words(s, d)
+    occ = src.neighbours(s, d)
     old, new = (units.postings(occ.where(F.expr(f"(sid div {units.PER_DOC}) % 2 = {k}")), "WORD") for k in (0, 1))
     return units.append_postings(old, new).select("unit", "block", F.size("sids").cast(long).alias("n"))
 
@@ -145,7 +145,7 @@ def _(s, d):
 
 @query("x7_attested_joins", f'with {WORDS}, n as (select sid, unit "first", lead(unit) over (partition by sid order by pos) "second" from occ) select "first", "second", min(sid) sid, count(*) n from n where "second" is not null group by all')
 def _(s, d):
-    return units.attested_joins(src.words(s, d))
+    return units.attested_joins(src.neighbours(s, d))
 
 
 @query("t5_gaps", rf"""with {SENTS}, g as (select unnest(regexp_extract_all(sent, '[\p{{L}}\p{{N}}\p{{M}}]([^\p{{L}}\p{{N}}\p{{M}}]+)[^\s]?', 1)) gap, sent from sents),
@@ -161,7 +161,7 @@ select 'union' op, count(*) n, cast(sum(sid) as bigint) total from (select * fro
 union all select 'intersect', count(*), cast(sum(sid) as bigint) from (select * from a intersect select * from b)
 union all select 'except', count(*), cast(sum(sid) as bigint) from (select * from a except select * from b)""")
 def _(s, d):
-    p = units.postings(src.words(s, d), "WORD")
+    p = units.postings(src.neighbours(s, d), "WORD")
     both = p.where("unit in ('the', 'of')").groupBy("block").agg(*(F.coalesce(F.max(F.when(F.col("unit") == u, F.col("sids"))), F.array().cast("array<bigint>")).alias(c) for u, c in (("the", "a"), ("of", "b"))))
     out = None
     for op, f in (("union", F.array_union), ("intersect", F.array_intersect), ("except", F.array_except)):
@@ -245,12 +245,12 @@ _KIND = "top as (select unit, particle, c from (select *, max(c) over (partition
 
 
 def _counts(s, d):
-    return followers.counts(followers.attachments(src.words(s, d), PARTICLES))
+    return followers.counts(followers.attachments(src.neighbours(s, d), PARTICLES))
 
 
 @query("a9_followers", f"{_ATT} select label, count(*) n, count(distinct unit) units from att group by label")
 def _(s, d):
-    return followers.attachments(src.words(s, d), PARTICLES).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit").alias("units"))
+    return followers.attachments(src.neighbours(s, d), PARTICLES).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit").alias("units"))
 
 
 @query("a10_modes_with_ties", f"{_ATT}, {_KIND} select * from kinds")
@@ -270,7 +270,7 @@ def _(s, d):
 
 @query("a23_window_counts", f"{_ATT} select nxt particle, count(*) c from att where label = 'particle' group by nxt")
 def _(s, d):
-    att = followers.attachments(src.words(s, d), PARTICLES)
+    att = followers.attachments(src.neighbours(s, d), PARTICLES)
     return followers.window_counts(att)
 
 
@@ -879,7 +879,7 @@ def _(s, d):
 
 @query("a12_arrangements", f"{_ATT}, adh as (select unit, particle, sids * {_W} num from cnt), seat as (select sid, unit, nxt particle from att where label = 'particle') select s.sid \"cross\", coalesce(sum(num), 0)::bigint a_num, count(*) seats from seat s left join adh a on a.unit = s.unit and a.particle = s.particle group by s.sid")
 def _(s, d):
-    att = followers.attachments(src.words(s, d), PARTICLES).where("label = 'particle'")
+    att = followers.attachments(src.neighbours(s, d), PARTICLES).where("label = 'particle'")
     a = followers.adhesion(followers.counts(att), PARTICLES)
     return followers.arrangement(att.select(F.col("sid").alias("cross"), "unit", "particle"), a)
 

@@ -21,6 +21,10 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     return units.occurrences(sentences(spark, d))
 
 
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return units.neighbours(sentences(spark, d))
+
+
 def word_spans(spark: SparkSession, d: str) -> DataFrame:
     return units.spans(sentences(spark, d))
 

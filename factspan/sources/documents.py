@@ -69,8 +69,31 @@ def _cut(line: str, ends: str) -> list[str]:
     return [s for s in out if s]
 
 
+#: What a text has that is not cut by patterns alone: brackets, fences, white space beside blanks,
+#: tabs and line ends.
+_INTRICATE = "[" + re.escape(OPEN_BRACKETS + CLOSE_BRACKETS) + r"\x0B\x0C\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]|```|~~~"
+_PLAIN_MARK = r"^[ \t]*(?:#{1,6}[ \t]+|>+[ \t]*|[-*+][ \t]+|\p{Nd}{1,3}[.)][ \t]+)"
+
+
 def split_sentences(docs: DataFrame, key: str = "doc_id", ends: str = ENDS + ".") -> DataFrame:
-    """S2 over a table: (key, k, sent). The cut needs a bracket depth, so it runs over Arrow."""
+    """S2 over a table: (key, k, sent). Texts without brackets and fences are cut by patterns; the
+    others need a bracket depth and go over Arrow."""
+    d = docs.select(key, F.col("text").cast("string").alias("text"))
+    intricate = F.col("text").rlike(_INTRICATE)
+    return _split_plain(d.where(~intricate), key, ends).union(_split_intricate(d.where(intricate), key, ends))
+
+
+def _split_plain(docs: DataFrame, key: str, ends: str) -> DataFrame:
+    end = re.escape(ends)
+    piece = f"[^{end}]*[{end}][{end}{re.escape(CLOSERS)}]*|[^{end}]+"
+    bare = lambda c: F.btrim(c, F.lit(" \t"))
+    lines = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
+    cut = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(bare(F.regexp_replace(x, _PLAIN_MARK, "")), F.lit(piece), F.lit(0))))
+    sents = F.filter(F.transform(cut, bare), lambda x: x != "")
+    return docs.select(key, F.posexplode(sents).alias("k", "sent"))
+
+
+def _split_intricate(docs: DataFrame, key: str, ends: str) -> DataFrame:
     import pyarrow as pa
 
     kind = docs.schema[key].dataType
@@ -91,7 +114,7 @@ def split_sentences(docs: DataFrame, key: str = "doc_id", ends: str = ENDS + "."
                     sents += found
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((ids, ks, sents), arrow)], schema=arrow)
 
-    return docs.select(key, F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 # The secret patterns and the group each one hides.

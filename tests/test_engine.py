@@ -72,6 +72,26 @@ def test_scripts(spark):
 # ---------------------------------------------------------------- units, pairs
 
 
+def test_sentences_by_patterns_and_by_walk_agree(spark):
+    rng = random.Random(5)
+    parts = ["Ab c", ".", "!?", "。", "\n", "\r\n", "\r", " ", "\t", "- ", "## ", "12. ", "3) ", ">", "「", "」", "(x. y)", '"', "’", "…", "é", "\u3000", "\xa0", "```", "٣. ", "#", "a.b", "\x0b"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(600)] + ["".join(rng.choices(parts[:14] + parts[17:21] + parts[24:27], k=rng.randint(0, 25))) for _ in range(600)] + [None, "", "x" * 100_000]
+    got = docs.split_sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(docs.sentences_of(t, docs.ENDS + "."))]
+    assert sorted((r.doc_id, r.k, r.sent) for r in got) == want
+
+
+def test_neighbours_need_no_window(spark):
+    sents = spark.createDataFrame([(1, "a b a b c"), (2, ""), (3, "c")], "sid long, sent string")
+    got = units.neighbours(sents)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, "a", "b", True), (1, 1, "b", "a", True), (1, 2, "a", "b", False), (1, 3, "b", "c", False), (1, 4, "c", None, True), (3, 0, "c", None, True)]
+    plan = followers.attachments(got, ("b",))._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    plain = units.occurrences(sents)
+    for f in (units.frequencies, lambda x: followers.attachments(x, ("b",)), units.attested_joins, lambda x: units.postings(x, "WORD")):
+        assert sorted(map(str, f(got).collect())) == sorted(map(str, f(plain).collect()))
+
+
 def test_twins_match_brute_force(spark):
     rng = random.Random(3)
     rows, units_ = [], list("abcdefgh")
