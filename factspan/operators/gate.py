@@ -1,58 +1,160 @@
-"""The evidence gate: which stretches of which sentences may answer a question (survey P6, P7, J8, G5, A14, A15, W13;
-G1 and G4 in part: the codes below, not the answer_glued, wrong_arm, no_slot_head, not_copular and subject_unreadable).
+"""The evidence gate: which stretches of which sentences may answer a question (survey P6, P7, J8, G1, G4, G5, A14, A15, W13;
+of G1 not the alignment code, for stretches are made of whole units, and of G5 the verdict without threads).
 
-Questions are (qid, subject, echo): the unit a sentence must hold, and the units that would only
-repeat the question. Sentences come in by an equi-join on the subject, never by a product."""
+Questions are rows of what was read off them (QUESTION): the gate does not read questions itself. A
+sentence is its content units and the gaps between them; function words stand in the gaps. Sentences
+come in by an equi-join on the subject, never by a product, and what a question looks for is found
+once per sentence, before its stretches are made."""
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factspan.operators.units import TIERS, units
-
-# Refusal codes in the order they are listed.
-CODES = ("form_open", "crosses_break", "subject_absent", "echo", "too_short", "negated")
+from factspan.functions.text import LETTER
+from factspan.operators.units import units
+
+# Refusal codes in the order they are listed, characters that do not count, marks that
+# join the pieces of one token, marks that end a clause.
+CODES = (
+    "not_quoted", "constructed_unit", "answer_not_word_aligned", "question_form_open", "question_has_no_subject", "no_subject",
+    "wrong_arm", "no_slot_head", "not_copular", "answer_holds_question_unit",
+    "answer_glued", "answer_crosses_break", "multiple_answers",
+    "subject_unreadable",
+    "answer_polarity_cut",
+)
+IGNORE = "「」『』“”\"'・· 　\t"
+JOINERS = "-‐‑–—−,.:/+"
+CLAUSE_END = "、，。．！？；,!?;"
 BREAK = r"[,;:.!?、。！？；：]"
 NEGATIONS = ("not", "no", "never", "nicht", "kein", "ne", "pas", "nunca")
+#: Rows up to which questions are broadcast.
+FEW_QUESTIONS = 100_000
+QUESTION = "qid, form (slot, predicate or open), subject, chain, unread, y_forms and echo (arrays), kind_only, particle, head"
+
+
+@dataclass(frozen=True)
+class Reading:
+    """The closed word lists a language is read with. The first particle is the topic's."""
+
+    particles: tuple[str, ...]
+    topic: str
+    genitive: str
+    also: tuple[str, ...] = ()
+    negations: tuple[str, ...] = NEGATIONS
+
+    @property
+    def functions(self) -> tuple[str, ...]:
+        return (*self.particles, self.topic, *self.also, *self.negations)
+
+
+def _list(words: tuple[str, ...]) -> str:
+    return "array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")" if words else "cast(array() as array<string>)"
+
+
+def _any_of(chars: str) -> Column:
+    return F.lit("[" + re.escape(chars) + "]")
 
 
 def candidates(occ: DataFrame, questions: DataFrame) -> DataFrame:
-    """The sentences that hold a question's subject, one row per question and sentence."""
-    return occ.join(questions.select("qid", F.col("subject").alias("unit")), "unit").groupBy("qid", "sid").agg(F.min("pos").alias("subject_pos"))
-
-
-def sentence_arrays(sentences: DataFrame) -> DataFrame:
-    """A sentence (sid, sent) as arrays: its units, and for each the clause it stands in."""
-    d = sentences.select("sid", units(F.col("sent")).alias("units"), F.split("sent", TIERS["WORD"], -1).alias("gaps")).where(F.size("units") > 0)
-    # gaps[i + 1] follows unit i; a unit's clause is the number of breaks before it
-    cuts = F.transform(F.slice("gaps", 2, F.size("units")), lambda g: g.rlike(BREAK).cast("int"))
-    d = d.select("sid", "units", cuts.alias("cuts"))
-    return d.select("sid", "units", F.expr("transform(units, (x, i) -> aggregate(slice(cuts, 1, i), 0, (a, c) -> a + c))").alias("clause"))
-
-
-def stretches(cands: DataFrame, arrays: DataFrame, longest: int = 4) -> DataFrame:
-    """Every stretch of up to `longest` units of the candidate sentences."""
-    d = cands.join(arrays, "sid").withColumn("i0", F.explode(F.sequence(F.lit(0), F.size("units") - 1)))
-    d = d.withColumn("i1", F.explode(F.sequence(F.col("i0") + 1, F.least(F.col("i0") + longest, F.size("units")))))
-    return d.withColumn("stretch", F.slice("units", F.col("i0") + 1, F.col("i1") - F.col("i0")))
-
-
-def judge(stretches_: DataFrame, questions: DataFrame) -> DataFrame:
-    """G1, G4 in part: all failing codes of a stretch in listed order; none means it passes."""
-    d = stretches_.join(F.broadcast(questions.select("qid", "subject", "echo")), "qid")
-    first, last = F.get("clause", F.col("i0")), F.get("clause", F.col("i1") - 1)
-    checks = {
-        "form_open": F.col("subject").isNull(),
-        "crosses_break": first != last,
-        "subject_absent": (first != F.get("clause", F.col("subject_pos"))),
-        "echo": F.exists("stretch", lambda x: F.array_contains("echo", x) | (x == F.col("subject"))),
-        "too_short": F.length(F.array_join("stretch", "")) < 3,
-        "negated": F.exists("stretch", lambda x: F.lower(x).isin(*NEGATIONS)),
+    """The sentences that hold a question's first subject, one row per question and sentence."""
+    asked = questions.select("qid", F.get("subject", F.lit(0)).alias("unit")) if dict(questions.dtypes)["subject"].startswith("array") else questions.select("qid", F.col("subject").alias("unit"))
+    return occ.join(asked, "unit").groupBy("qid", "sid").agg(F.min("pos").alias("subject_pos"))
+
+
+def sentence_arrays(sentences: DataFrame, reading: Reading) -> DataFrame:
+    """(sid, sent, and title_words if there) as arrays over the content units: units, what is left of each
+    gap after it without the ignorable characters, and running numbers that are equal for units with
+    no break of a kind between them: piece (touching), word (joined), inner (may lie in an answer),
+    clause. follows is the first word after a unit; cut tells whether a negation follows in its clause."""
+    titles = [F.col("title_words")] if "title_words" in sentences.columns else [F.array().cast("array<string>").alias("title_words")]
+    d = sentences.select("sid", *titles, units(F.col("sent")).alias("tokens"), F.split("sent", f"{LETTER}+", -1).alias("between")).where(F.size("tokens") > 0)
+    d = d.withColumn("at", F.expr(f"filter(sequence(0, size(tokens) - 1), i -> not array_contains({_list(reading.functions)}, lower(tokens[i])))")).where(F.size("at") > 0)
+    d = d.withColumn("gap", F.expr("""transform(at, (i, k) -> array_join(flatten(transform(sequence(i + 1, coalesce(get(at, k + 1), size(tokens))),
+        j -> if(j < coalesce(get(at, k + 1), size(tokens)), array(between[j], tokens[j]), array(between[j])))), ''))"""))
+    d = d.select("sid", "title_words", F.expr("transform(at, i -> tokens[i])").alias("units"), "gap")
+    letters = F.lit(f"{LETTER}+")
+    d = d.withColumns({
+        "bare": F.transform("gap", lambda g: F.lower(F.regexp_replace(g, _any_of(IGNORE), F.lit("")))),
+        "words": F.transform("gap", lambda g: F.transform(F.regexp_extract_all(g, letters, F.lit(0)), F.lower)),
+        "marks": F.transform("gap", lambda g: F.regexp_replace(F.regexp_replace(g, letters, F.lit("")), _any_of(IGNORE), F.lit(""))),
+        "ended": F.transform("gap", lambda g: g.rlike("[" + re.escape(CLAUSE_END) + "]")),
+        "negated": F.transform("gap", lambda g: F.arrays_overlap(F.transform(F.regexp_extract_all(F.regexp_extract(g, "^[^" + re.escape(CLAUSE_END) + "]*", 0), letters, F.lit(0)), F.lower), F.expr(_list(reading.negations)))),
+    })
+    topics = _list((reading.topic, reading.topic + ",", reading.topic + "、"))
+    joined = F.transform("bare", lambda b: b.rlike("^[" + re.escape(JOINERS) + "]*$"))
+    link = F.expr(f"""transform(bare, (b, k) -> b = '' or array_contains({topics}, b) or (marks[k] = '' and size(words[k]) > 0
+        and array_contains({_list((*reading.particles, reading.topic))}, words[k][0]) and forall(words[k], w -> array_contains({_list((*reading.particles, reading.topic, *reading.also))}, w))))""")
+    d = d.withColumns({"joined": joined, "link": link, "touch": F.transform("bare", lambda b: b == ""), "open": F.transform("ended", lambda e: ~e)})
+    d = d.withColumn("within", F.expr(f"transform(joined, (x, k) -> x or bare[k] = '{reading.genitive}')"))
+    # a letter per unit and a bar where a run ends: all numbers of a sentence in one walk
+    runs = lambda letter, holds: f"split(array_join(transform({holds}, (y, k) -> {letter} || if(y or k = size(units) - 1, '', '|')), ''), '[|]')"
+    number = lambda holds: F.expr(f"""flatten(transform({runs("'u'", holds)}, (r, n) -> array_repeat(n, length(r))))""")
+    letter = "if(negated[k], 'n', 'u')"
+    cut = f"flatten(transform({runs(letter, 'open')}, r -> concat(array_repeat(true, length(rtrim('u', r))), array_repeat(false, length(r) - length(rtrim('u', r))))))"
+    return d.select(
+        "sid", "title_words", "units", F.transform("units", lambda x: F.regexp_replace(x, _any_of(IGNORE), F.lit(""))).alias("spelt"), "bare",
+        number("touch").alias("piece"), number("joined").alias("word"), number("within").alias("inner"), number("link").alias("clause"),
+        F.transform("words", lambda w: F.get(w, F.lit(0))).alias("follows"),
+        F.expr(cut).alias("cut"),
+        F.transform("bare", lambda b: F.array_contains(F.expr(topics), b)).alias("topic"),
+        F.transform("bare", lambda b: (b == "") | F.array_contains(F.expr(_list(reading.particles)), b)).alias("arm"),
+    )
+
+
+def _reads(target: str) -> str:
+    """Where touching units spell the target: an array of (i, j)."""
+    return f"""if(coalesce({target}, '') = '', cast(array() as array<struct<i: int, j: int>>), filter(flatten(transform(sequence(0, size(units) - 1),
+        i -> transform(sequence(i, least(size(units) - 1, i + length({target}) - 1)), j -> struct(i, j)))),
+        x -> piece[x.i] = piece[x.j] and array_join(slice(spelt, x.i + 1, x.j - x.i + 1), '') = {target}))"""
+
+
+def stretches(cands: DataFrame, arrays: DataFrame, questions: DataFrame, longest: int = 4) -> DataFrame:
+    """The candidate sentences, whose stretches of up to `longest` units will be judged, each with
+    where it holds what the question looks for."""
+    few = questions.count() <= FEW_QUESTIONS
+    d = cands.select("qid", "sid").join(arrays, "sid").join(F.broadcast(questions) if few else questions, "qid")
+    d = d.withColumns({
+        "subject_at": F.expr(f"transform(subject, s -> {_reads('s')})"),
+        "titled": F.expr("transform(subject, s -> array_contains(title_words, s))"),
+        "chain_at": F.expr(f"transform(slice(chain, 2, greatest(size(chain) - 1, 0)), s -> {_reads('s')})"),
+        "head_at": F.expr(_reads("head")),
+        "y_at": F.expr(f"flatten(transform(y_forms, s -> {_reads('s')}))"),
+        "echo_at": F.expr(f"flatten(transform(echo, s -> {_reads('s')}))"),
+    }).drop("subject", "chain", "y_forms", "echo", "title_words", "spelt")
+    return d.withColumn("subjects", F.size("subject_at")).withColumn("longest", F.lit(longest))
+
+
+def judge(held: DataFrame) -> DataFrame:
+    """G1, then G4: all failing codes of every stretch (units i0 to i1, both included) in listed order; none
+    means it passes. The rules of G4 only refuse: a negation cut off and a missing noun of the subject
+    chain are looked for where everything else passes. Stretches are judged within the row of their
+    sentence, so a long sentence is not copied for each of them."""
+    # in the clause around the stretch, and not within it
+    beside = "x -> clause[x.i] >= clause[s.i0] and clause[x.j] <= clause[s.i1] and (x.j < s.i0 or x.i > s.i1)"
+    y = f"filter(y_at, {beside})"
+    first = {
+        "question_form_open": "form = 'open'",
+        "question_has_no_subject": "(subjects = 0 and form in ('slot', 'predicate')) or kind_only",
+        "no_subject": f"exists(transform(subject_at, (p, k) -> not exists(p, {beside}) and not titled[k]), m -> m)",
+        "wrong_arm": "form = 'slot' and not coalesce(follows[s.i1] = particle, false)",
+        "no_slot_head": f"(form = 'slot' and not exists(head_at, {beside})) or (form = 'predicate' and size({y}) = 0)",
+        "not_copular": f"form = 'predicate' and size({y}) > 0 and not exists({y}, x -> (topic[x.j] and s.i0 = x.j + 1) or (topic[s.i1] and x.i > s.i1 and forall(slice(arm, s.i1 + 2, greatest(x.j - s.i1 - 1, 0)), a -> a)))",
+        "answer_holds_question_unit": "exists(echo_at, x -> x.i >= s.i0 and x.j <= s.i1)",
+        "answer_glued": "(s.i0 > 0 and word[s.i0] = word[greatest(s.i0 - 1, 0)]) or (s.i1 < size(units) - 1 and word[s.i1] = word[least(s.i1 + 1, size(units) - 1)])",
+        "answer_crosses_break": "inner[s.i0] <> inner[s.i1]",
+        "subject_unreadable": "size(unread) > 0",
     }
-    codes = F.filter(F.array(*(F.when(checks[c], c) for c in CODES)), lambda x: x.isNotNull())
-    return d.select("qid", "sid", "i0", "i1", F.array_join("stretch", " ").alias("answer"), codes.alias("codes"))
+    last = {"no_subject": f"exists(chain_at, p -> not exists(p, {beside}))", "answer_polarity_cut": "cut[s.i1]"}
+    listed = lambda rules: "array_compact(array(" + ", ".join(f"if({rules[c]}, '{c}', null)" for c in CODES if c in rules) + "))"
+    every = "flatten(transform(sequence(0, size(units) - 1), a -> transform(sequence(a, least(a + longest, size(units)) - 1), b -> struct(a as i0, b as i1))))"
+    found = held.withColumn("found", F.expr(f"transform({every}, s -> struct(s.i0 as i0, s.i1 as i1, array_join(slice(units, s.i0 + 1, s.i1 - s.i0 + 1), ' ') as answer, {listed(first)} as codes))"))
+    done = F.expr(f"transform(found, s -> struct(s.i0 as i0, s.i1 as i1, s.answer as answer, if(size(s.codes) > 0, s.codes, {listed(last)}) as codes))")
+    return found.select("qid", "sid", F.explode(done).alias("s")).select("qid", "sid", "s.i0", "s.i1", "s.answer", "s.codes")
 
 
 def maximal(passed: DataFrame) -> DataFrame:

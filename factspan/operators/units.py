@@ -45,11 +45,15 @@ def occurrences(sentences: DataFrame, tier: str = "WORD", keep: tuple[str, ...]
 
 
 def neighbours(sentences: DataFrame, tier: str = "WORD") -> DataFrame:
-    """Occurrences with the unit that comes next in the sentence, and whether the unit stands there
-    for the first time. Both are read off the sentence itself, so nothing is shuffled."""
+    """Occurrences with the unit that comes next, read off the sentence itself: nothing is shuffled."""
     d = sentences.select("sid", units(F.col("sent"), tier).alias("u"))
-    rows = F.transform("u", lambda x, i: F.struct(x.alias("unit"), F.get("u", i + 1).alias("next"), (F.array_position("u", x) == i + 1).alias("first")))
-    return d.select("sid", F.posexplode(rows).alias("pos", "x")).select("sid", "pos", "x.unit", "x.next", "x.first")
+    rows = F.transform("u", lambda x, i: F.struct(x.alias("unit"), F.get("u", i + 1).alias("next")))
+    return d.select("sid", F.posexplode(rows).alias("pos", "x")).select("sid", "pos", "x.unit", "x.next")
+
+
+def once(sentences: DataFrame, tier: str = "WORD") -> DataFrame:
+    """Each unit once per sentence; nothing is shuffled."""
+    return sentences.select("sid", F.explode(F.array_distinct(units(F.col("sent"), tier))).alias("unit"))
 
 
 def with_next(occ: DataFrame) -> DataFrame:
@@ -74,11 +78,11 @@ def gaps(spans_: DataFrame) -> DataFrame:
     return d.select("sid", "pos", F.expr("substring(sent, end + 1, next - end)").alias("gap"))
 
 
-def postings(occ: DataFrame, tier: str) -> DataFrame:
-    """X1 in blocks: (tier, unit, block, sids), every array at most BLOCK ids long. Appending
-    sentences (X2) is the union of two postings where no block is shared."""
-    once = occ.where("first") if "first" in occ.columns else occ.select("unit", "sid").distinct()
-    d = once.select(F.lit(tier).alias("tier"), "unit", F.floor(F.col("sid") / BLOCK).alias("block"), "sid")
+def postings(distinct: DataFrame, tier: str) -> DataFrame:
+    """X1 in blocks: (tier, unit, block, sids), every array at most BLOCK ids long, from rows that
+    name a unit once per sentence. Appending sentences (X2) is the union of two postings where no
+    block is shared."""
+    d = distinct.select(F.lit(tier).alias("tier"), "unit", F.floor(F.col("sid") / BLOCK).alias("block"), "sid")
     return d.groupBy("tier", "unit", "block").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
 
 
@@ -87,12 +91,13 @@ def append_postings(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("tier", "unit", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("sids")))).alias("sids"))
 
 
-def frequencies(occ: DataFrame) -> DataFrame:
-    """A1: in how many sentences a unit stands, its occurrences, and where it stands first."""
-    if "first" in occ.columns:
-        return occ.groupBy("unit").agg(F.count_if("first").alias("n"), F.count(F.lit(1)).alias("occurrences"), F.min("sid").alias("first_sid"))
-    per = occ.groupBy("unit", "sid").agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("occurrences"), F.min("sid").alias("first_sid"))
+def frequencies(sentences: DataFrame, tier: str = "WORD") -> DataFrame:
+    """A1: in how many sentences a unit stands, its occurrences, and where it stands first. A sentence
+    gives one row per occurrence and one per unit, so one shuffle of sums is enough."""
+    u = sentences.select("sid", units(F.col("sent"), tier).alias("u"))
+    marked = lambda c, n: F.transform(c, lambda x: F.struct(x.alias("unit"), F.lit(n).alias("n")))
+    d = u.select("sid", F.explode(F.concat(marked(F.col("u"), 0), marked(F.array_distinct("u"), 1))).alias("x"))
+    return d.groupBy("x.unit").agg(F.sum("x.n").alias("n"), F.sum(1 - F.col("x.n")).alias("occurrences"), F.min("sid").alias("first_sid"))
 
 
 def ratios(freq: DataFrame, sentences: DataFrame) -> DataFrame:

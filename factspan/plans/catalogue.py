@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from factspan.functions import text as tx
 from factspan.operators import audit, clauses, facts as fx, followers, gate, geometry, intervals, ledger, matching, pairs, scores, store, units
 from factspan.plans import inputs as src
-from factspan.plans.inputs import CALLS, FACTS, PARTICLES, SENTS, WORDS
+from factspan.plans.inputs import CALLS, FACTS, PARTICLES, READING, SENTS, WORDS
 from factspan.session import table
 from factspan.sources import documents as docs
 from factspan.streaming import windows
@@ -91,13 +91,13 @@ def _(s, d):
 
 @query("a1_frequencies", f"with {WORDS} select unit, count(distinct sid) n, count(*) occurrences, min(sid) first_sid from occ group by unit")
 def _(s, d):
-    return units.frequencies(src.neighbours(s, d))
+    return units.frequencies(src.sentences(s, d))
 
 
 @query("a2_ratios", f"with {WORDS}, n as (select count(*) den from sents) select unit, count(distinct sid) num, den from occ, n group by unit, den")
 def _(s, d):
     sents = src.sentences(s, d)
-    return units.ratios(units.frequencies(units.neighbours(sents)), sents).select("unit", "num", "den")
+    return units.ratios(units.frequencies(sents), sents).select("unit", "num", "den")
 
 
 @query(
@@ -111,13 +111,13 @@ def _(s, d):
 
 @query("x1_postings", f"with {WORDS}, p as (select distinct unit, sid, sid // 4096 block from occ) select unit, block, count(*) n, min(sid) lo, max(sid) hi, cast(sum(sid) as bigint) total from p group by unit, block")
 def _(s, d):
-    p = units.postings(src.neighbours(s, d), "WORD")
+    p = units.postings(units.once(src.sentences(s, d)), "WORD")
     return p.select("unit", F.col("block"), F.size("sids").cast(long).alias("n"), F.array_min("sids").alias("lo"), F.array_max("sids").alias("hi"), F.aggregate("sids", F.lit(0).cast(long), lambda a, x: a + x).alias("total"))
 
 
 @query("x2_append", f"with {WORDS}, p as (select distinct unit, sid, sid // 4096 block from occ) select unit, block, count(*) n from p group by unit, block")
 def _(s, d):
-    occ = src.neighbours(s, d)
+    occ = units.once(src.sentences(s, d))
     old, new = (units.postings(occ.where(F.expr(f"(sid div {units.PER_DOC}) % 2 = {k}")), "WORD") for k in (0, 1))
     return units.append_postings(old, new).select("unit", "block", F.size("sids").cast(long).alias("n"))
 
@@ -161,7 +161,7 @@ select 'union' op, count(*) n, cast(sum(sid) as bigint) total from (select * fro
 union all select 'intersect', count(*), cast(sum(sid) as bigint) from (select * from a intersect select * from b)
 union all select 'except', count(*), cast(sum(sid) as bigint) from (select * from a except select * from b)""")
 def _(s, d):
-    p = units.postings(src.neighbours(s, d), "WORD")
+    p = units.postings(units.once(src.sentences(s, d)), "WORD")
     both = p.where("unit in ('the', 'of')").groupBy("block").agg(*(F.coalesce(F.max(F.when(F.col("unit") == u, F.col("sids"))), F.array().cast("array<bigint>")).alias(c) for u, c in (("the", "a"), ("of", "b"))))
     out = None
     for op, f in (("union", F.array_union), ("intersect", F.array_intersect), ("except", F.array_except)):
@@ -567,15 +567,28 @@ def _(s, d):
     return audit.ambiguous_positions(r)
 
 
+_FUNCTIONS = ", ".join(f"'{w}'" for w in READING.functions)
+
+
 def _questions(s, d):
-    """Benchmark items as questions: the subject is the longest word (the least of those), the echo all words of the item."""
-    u = units.units(F.col("text"))
-    long_ = F.expr(f"array_sort(regexp_extract_all(text, '{tx.LETTER.replace(chr(92), chr(92) * 2)}+', 0), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end)")
-    return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.get(long_, F.lit(0)).alias("subject"), u.alias("echo"))
+    """Benchmark items as read questions: the subject is the longest content word (the least of those), the
+    word sought the one after it in that order; echo are all words. The form goes by the number."""
+    told = F.filter(units.units(F.col("text")), lambda x: ~F.lower(x).isin(*READING.functions))
+    d = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), told.alias("echo"))
+    ranked = F.expr("array_sort(array_distinct(echo), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end)")
+    d = d.withColumn("ranked", ranked).withColumn("n", F.pmod(F.col("qid").cast("long"), F.lit(21)))
+    none = F.array().cast("array<string>")
+    sought = F.get("ranked", F.lit(1))
+    form = F.when(F.col("n") % 3 == 0, "slot").when(F.col("n") % 3 == 1, "predicate").otherwise("open")
+    return d.select(
+        "qid", form.alias("form"), F.slice("ranked", 1, 1).alias("subject"), F.slice("ranked", 1, 1).alias("chain"), none.alias("unread"), F.lit(False).alias("kind_only"),
+        F.get(F.lit(list(PARTICLES)), (F.col("n") % 7).cast("int")).alias("particle"), F.when(form == "slot", sought).alias("head"),
+        F.when((form == "predicate") & sought.isNotNull(), F.array(sought)).otherwise(none).alias("y_forms"), "echo",
+    )
 
 
 @query("p7_candidates", rf"""with {WORDS}, iw as (select item_id qid, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}]+')) w from benchmark),
-q as (select qid, w from iw qualify row_number() over (partition by qid order by length(w) desc, w) = 1) select qid, sid, min(pos) subject_pos from q join occ on unit = w group by qid, sid""")
+q as (select qid, w from iw where lower(w) not in ({_FUNCTIONS}) qualify row_number() over (partition by qid order by length(w) desc, w) = 1) select qid, sid, min(pos) subject_pos from q join occ on unit = w group by qid, sid""")
 def _(s, d):
     return gate.candidates(src.words(s, d), _questions(s, d)).withColumn("subject_pos", F.col("subject_pos").cast(long))
 
@@ -584,7 +597,7 @@ def _judged(s, d):
     sents, q = src.sentences(s, d), _questions(s, d)
     cands = gate.candidates(units.occurrences(sents), q)
     held = sents.join(cands.select("sid").distinct(), "sid", "left_semi")
-    return gate.judge(gate.stretches(cands, gate.sentence_arrays(held)), q)
+    return gate.judge(gate.stretches(cands, gate.sentence_arrays(held, READING), q))
 
 
 @query("j8_g4_gate")

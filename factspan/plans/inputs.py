@@ -6,15 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factspan.operators import units
+from factspan.operators.gate import Reading
 from factspan.session import table
 from factspan.sources.documents import split_sentences
 
 #: Stand-ins for the seven particles in Latin-script prose.
 PARTICLES = ("the", "of", "and", "in", "to", "de", "la")
+#: How the gate reads that prose.
+READING = Reading(particles=PARTICLES, topic="is", genitive="of")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table that arrives in fewer parts than there are cores (one small file) is dealt out once."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    return units.sentence_ids(split_sentences(table(spark, d, "documents").select("doc_id", "text")))
+    return units.sentence_ids(split_sentences(dealt(table(spark, d, "documents").select("doc_id", "text"))))
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:

@@ -40,7 +40,7 @@ def index_incrementally(sentences: DataFrame, path: str, checkpoint: str, tier:
     repeated batch overwrites itself; the union over batches equals a rebuild (units.append_postings)."""
 
     def write(batch: DataFrame, number: int) -> None:
-        units.postings(units.occurrences(batch, tier), tier).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        units.postings(units.once(batch, tier), tier).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return sentences.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -84,12 +84,14 @@ def test_sentences_by_patterns_and_by_walk_agree(spark):
 def test_neighbours_need_no_window(spark):
     sents = spark.createDataFrame([(1, "a b a b c"), (2, ""), (3, "c")], "sid long, sent string")
     got = units.neighbours(sents)
-    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, "a", "b", True), (1, 1, "b", "a", True), (1, 2, "a", "b", False), (1, 3, "b", "c", False), (1, 4, "c", None, True), (3, 0, "c", None, True)]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, "a", "b"), (1, 1, "b", "a"), (1, 2, "a", "b"), (1, 3, "b", "c"), (1, 4, "c", None), (3, 0, "c", None)]
     plan = followers.attachments(got, ("b",))._jdf.queryExecution().toString()
     assert "Window" not in plan and "Exchange" not in plan
     plain = units.occurrences(sents)
-    for f in (units.frequencies, lambda x: followers.attachments(x, ("b",)), units.attested_joins, lambda x: units.postings(x, "WORD")):
+    for f in (lambda x: followers.attachments(x, ("b",)), units.attested_joins):
         assert sorted(map(str, f(got).collect())) == sorted(map(str, f(plain).collect()))
+    assert rows(units.frequencies(sents).select("unit", "n", "occurrences", "first_sid")) == [("a", 1, 2, 1), ("b", 1, 2, 1), ("c", 2, 2, 1)]
+    assert rows(units.once(sents).select("unit", "sid")) == [("a", 1), ("b", 1), ("c", 1), ("c", 3)]
 
 
 def test_twins_match_brute_force(spark):
@@ -113,7 +115,7 @@ def test_append_equals_rebuild_and_unknown_units_raise(spark):
     rng = random.Random(1)
     sents = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 6)))) for i in range(60)]
     df = spark.createDataFrame(sents, "sid long, sent string")
-    post = lambda d: units.postings(units.occurrences(d), "WORD")
+    post = lambda d: units.postings(units.once(d), "WORD")
     assert rows(units.append_postings(post(df.where("sid < 31")), post(df.where("sid >= 31")))) == rows(post(df))
     want = {i for i, s in sents if "a" in s or "b" in s}
     wanted = lambda *u: spark.createDataFrame([(x,) for x in u], "unit string")
@@ -248,59 +250,128 @@ def test_runaway_caps_follow_the_tracker(spark):
 # ---------------------------------------------------------------- gate, audits, geometry
 
 
-def test_gate_codes_and_maximal_answers(spark):
-    s = spark.createDataFrame([(1, "Rome is the capital, Paris is not far away")], "sid long, sent string")
-    q = spark.createDataFrame([(7, "capital", ["Rome"])], "qid long, subject string, echo array<string>")
-    judged = gate.judge(gate.stretches(gate.candidates(units.occurrences(s), q), gate.sentence_arrays(s)), q)
-    by = {}
-    for r in judged.orderBy("i0").collect():
-        by.setdefault(r.answer, r.codes)
-    assert by["is the"] == [] and by["Rome is"] == ["echo"] and by["Paris"] == ["subject_absent"]
-    assert by["the capital Paris"] == ["crosses_break", "echo"] and by["is"] == ["too_short"] and "negated" in by["is not far"]
-    assert [r.answer for r in gate.maximal(judged.where(F.size("codes") == 0)).collect()] == ["is the"]
+READING = gate.Reading(particles=("the", "of", "in", "to"), topic="is", genitive="of", also=("also",), negations=("not", "never"))
 
 
-def test_gate_queries_refuse_every_question_word(spark, tmp_path):
-    """The registered queries against a reading of every stretch, with questions of more than three words."""
+def plain_gate(sent, q, title=(), r=READING):
+    """Every stretch of up to four units with its codes, by walking the sentence."""
+    functions = {*r.particles, r.topic, *r.also, *r.negations}
+    at = [m.span() for m in re.finditer(r"[^\W_]+", sent) if m.group().lower() not in functions]
+    u = [sent[a:b] for a, b in at]
+    gap = [sent[b : (at[k + 1][0] if k + 1 < len(at) else len(sent))] for k, (_, b) in enumerate(at)]
+    bare = [re.sub("[" + re.escape(gate.IGNORE) + "]", "", g).lower() for g in gap]
+    words = [[w.lower() for w in re.findall(r"[^\W_]+", g)] for g in gap]
+    topics = {r.topic, r.topic + ",", r.topic + "、"}
+
+    def link(k):
+        marks = re.sub(r"[^\W_]+|[" + re.escape(gate.IGNORE) + "]", "", gap[k])
+        return bare[k] == "" or bare[k] in topics or (not marks and words[k] and words[k][0] in (*r.particles, r.topic) and set(words[k]) <= {*r.particles, r.topic, *r.also})
+
+    joined = lambda k: all(c in gate.JOINERS for c in bare[k])
+    reads = lambda s: [(i, j) for i in range(len(u)) for j in range(i, len(u)) if "".join(u[i : j + 1]) == s and not any(bare[i:j])] if s else []
+
+    def cut(k):
+        for m in range(k, len(u)):
+            before = re.match("[^" + re.escape(gate.CLAUSE_END) + "]*", gap[m]).group()
+            if set(w.lower() for w in re.findall(r"[^\W_]+", before)) & set(r.negations):
+                return True
+            if before != gap[m]:
+                return False
+        return False
+
+    out = []
+    for i0 in range(len(u)):
+        for i1 in range(i0, min(i0 + 4, len(u))):
+            lo, hi = i0, i1
+            while lo > 0 and link(lo - 1):
+                lo -= 1
+            while hi < len(u) - 1 and link(hi):
+                hi += 1
+            beside = lambda s: [(i, j) for i, j in reads(s) if lo <= i and j <= hi and (j < i0 or i > i1)]  # noqa: B023, E731
+            ys = [x for f in q["y_forms"] for x in beside(f)]
+            copula = any((bare[j] in topics and i0 == j + 1) or (bare[i1] in topics and i > i1 and all(not bare[k] or bare[k] in r.particles for k in range(i1 + 1, i))) for i, j in ys)
+            form = q["form"]
+            bad = {
+                "question_form_open": form == "open", "question_has_no_subject": (not q["subject"] and form != "open") or q["kind_only"],
+                "no_subject": any(not beside(x) and x not in title for x in q["subject"]), "wrong_arm": form == "slot" and words[i1][:1] != [q["particle"]],
+                "no_slot_head": (form == "slot" and not beside(q["head"])) or (form == "predicate" and not ys), "not_copular": form == "predicate" and bool(ys) and not copula,
+                "answer_holds_question_unit": any(i >= i0 and j <= i1 for x in q["echo"] for i, j in reads(x)),
+                "answer_glued": (i0 > 0 and joined(i0 - 1)) or (i1 < len(u) - 1 and joined(i1)), "answer_crosses_break": not all(joined(k) or bare[k] == r.genitive for k in range(i0, i1)),
+                "subject_unreadable": bool(q["unread"]),
+            }
+            codes = [c for c in gate.CODES if bad.get(c)]
+            if not codes:
+                codes = ["no_subject"] * any(not beside(x) for x in q["chain"][1:]) + ["answer_polarity_cut"] * cut(i1)
+            out.append((i0, i1, " ".join(u[i0 : i1 + 1]), tuple(codes)))
+    return out
+
+
+QUESTION = "qid long, form string, subject array<string>, chain array<string>, unread array<string>, kind_only boolean, particle string, head string, y_forms array<string>, echo array<string>"
+
+
+def question(qid, form, subject, echo, **more):
+    q = {"qid": qid, "form": form, "subject": subject, "chain": subject, "unread": [], "kind_only": False, "particle": None, "head": None, "y_forms": [], "echo": echo} | more
+    return q
+
+
+def judged(spark, sents, questions, reading=READING):
+    s = spark.createDataFrame(sents, "sid long, sent string, title_words array<string>")
+    q = spark.createDataFrame([tuple(x.values()) for x in questions], QUESTION)
+    return gate.judge(gate.stretches(gate.candidates(units.occurrences(s), q), gate.sentence_arrays(s, reading), q))
+
+
+def test_gate_codes_match_a_walk(spark):
+    rng = random.Random(12)
+    bits = ["Rome", "Oslo", "lamp", "keeper", "red", "capital", " ", " ", " the ", " of ", " in ", " is ", " is, ", ", ", "; ", "-", "/", " not ", " also ", " to the ", ".", "・", " the also ", "3"]
+    sents = [(i, "".join(rng.choice(bits[:6]) + rng.choice(bits[6:]) for _ in range(rng.randint(1, 9))), rng.choice([[], ["Rome"], ["Oslo", "lamp"]])) for i in range(150)]
+    sents += [(200, "Rome is the capital of Italy, not of Spain", []), (201, "the of in", []), (202, "the keeper of Rome in Oslo is not here", [])]
+    questions = [
+        question(1, "slot", ["Rome"], ["Rome", "lamp"], particle="of", head="lamp"), question(2, "predicate", ["Rome"], ["Rome", "capital"], y_forms=["capital", "keeper"]),
+        question(3, "open", ["Oslo"], ["Oslo"]), question(4, "slot", ["Oslo"], [], particle="in", head=None), question(5, "predicate", ["lamp"], ["lamp"], y_forms=["red"], unread=["x"]),
+        question(6, "slot", ["keeper"], ["keeper"], particle="is", head="Rome", chain=["keeper", "Oslo"]), question(7, "predicate", ["lamp"], ["red"], y_forms=["Rome"], kind_only=True),
+        question(8, "predicate", ["Rome", "Oslo"], ["Rome"], y_forms=["lamp", ""]),
+    ]
+    want = {(q["qid"], i, *x) for q in questions for i, t, title in sents if q["subject"][0] in re.findall(r"[^\W_]+", t) for x in plain_gate(t, q, title)}
+    got = {(r.qid, r.sid, r.i0, r.i1, r.answer, tuple(r.codes)) for r in judged(spark, sents, questions).collect()}
+    assert got == want
+    seen = Counter(c for *_, codes in want for c in codes)
+    assert set(seen) == set(gate.CODES) - {"not_quoted", "constructed_unit", "answer_not_word_aligned", "multiple_answers"}
+
+
+def test_gate_answers_by_hand(spark):
+    q = [question(1, "predicate", ["Italy"], ["Italy", "capital"], y_forms=["capital"]), question(2, "slot", ["lamp"], ["lamp"], particle="in", head="keeper")]
+    sents = [(1, "The capital of Italy is Rome.", []), (2, "Milan is the capital of Italy never", []), (3, "the keeper of the lamp in Oslo", []), (4, "the lamp to the keeper of Bergen in Norway", [])]
+    passed = judged(spark, sents, q).where(F.size("codes") == 0)
+    assert rows(passed.select("qid", "sid", "answer")) == [(2, 4, "Bergen")]
+    cut = judged(spark, [(1, "Rome is capital of Italy", []), (2, "Rome is capital of Italy, never mind", []), (3, "Rome is capital of Italy not", [])], q[:1])
+    assert rows(cut.where("answer = 'Rome'").select("sid", F.array_join("codes", ","))) == [(1, ""), (2, ""), (3, "answer_polarity_cut")]
+    assert rows(gate.answer_verdicts(gate.maximal(passed)).select("qid", "verdict")) == [(2, "ANSWER")]
+
+
+def test_gate_queries_use_every_word_of_the_question(spark, tmp_path):
+    """The registered queries against the walk, with questions of more than three words."""
     from factspan.plans import catalogue
+    from factspan.plans.inputs import PARTICLES
+    from factspan.plans.inputs import READING as LATIN
 
-    texts = {1: "Red apples from Oslo. The harbourmaster keeps seven brown lanterns, not one lamp.", 2: "Seven lanterns burn. harbourmaster of Bergen sails on"}
-    items = {5: "Who keeps brown lanterns near the harbourmaster of Bergen", 6: "apples"}
+    texts = {1: "Red apples of Oslo. The harbourmaster is the keeper of brown lanterns in Bergen, not one lamp.", 2: "Lanterns burn. harbourmaster of Bergen in lanterns of Oslo the sea", 3: "lanterns in the harbourmaster of Bergen is Anna"}
+    items = {5: "Who keeps brown lanterns near the harbourmaster", 6: "lanterns and the harbourmaster", 7: "apples", 21: "harbourmaster lanterns"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    codes, forms, occurrences = Counter(), defaultdict(set), Counter()
+    codes = Counter()
     for qid, item in items.items():
-        echo = re.findall(r"\w+", item)
-        subject = min(echo, key=lambda w: (-len(w), w))
+        echo = [w for w in re.findall(r"\w+", item) if w.lower() not in LATIN.functions]
+        ranked = sorted(set(echo), key=lambda w: (-len(w), w))
+        form = ("slot", "predicate", "open")[qid % 3]
+        sought = ranked[1] if len(ranked) > 1 else None
+        q = question(qid, form, ranked[:1], echo, particle=PARTICLES[qid % 7], head=sought if form == "slot" else None, y_forms=[sought] if form == "predicate" and sought else [])
         for text in texts.values():
-            for sent in re.findall(r"[^.]+\.?", text):
-                clauses = [re.findall(r"\w+", c) for c in sent.split(",")]
-                words = [(w, k) for k, c in enumerate(clauses) for w in c]
-                if subject not in [w for w, _ in words]:
-                    continue
-                home = next(k for w, k in words if w == subject)
-                passed = []
-                for i in range(len(words)):
-                    for j in range(i + 1, min(i + 4, len(words)) + 1):
-                        part = [w for w, _ in words[i:j]]
-                        failed = [
-                            c for c, bad in (
-                                ("crosses_break", words[i][1] != words[j - 1][1]), ("subject_absent", words[i][1] != home), ("echo", any(w in echo for w in part)),
-                                ("too_short", len("".join(part)) < 3), ("negated", any(w.lower() in gate.NEGATIONS for w in part)),
-                            ) if bad
-                        ]
-                        codes.update(failed)
-                        if not failed:
-                            passed.append((i, j))
-                for i, j in passed:
-                    if not any((a, b) != (i, j) and a <= i and j <= b for a, b in passed):
-                        forms[qid].add(" ".join(w for w, _ in words[i:j]).lower())
-                        occurrences[qid] += 1
-    got = catalogue.QUERIES["j8_g4_gate"](spark, str(tmp_path)).collect()
-    assert {r.qid: (r.forms, r.occurrences, r.verdict) for r in got} == {q: (len(f), occurrences[q], "ANSWER" if len(f) == 1 else "CHOICE") for q, f in forms.items()}
-    assert set(forms) == {5, 6}
-    histogram = {tuple(r) for r in catalogue.QUERIES["a18_code_histogram"](spark, str(tmp_path)).collect()}
-    assert {(c, n) for c, n in codes.items()} == {(r[0], r[1]) for r in histogram if r[0] in gate.CODES}
+            for sent in docs.sentences_of(text, docs.ENDS + "."):
+                if ranked[0] in re.findall(r"\w+", sent):
+                    codes.update(c for *_, found in plain_gate(sent, q, (), LATIN) for c in found)
+    histogram = {r[0]: r[1] for r in catalogue.QUERIES["a18_code_histogram"](spark, str(tmp_path)).collect()}
+    assert histogram == dict(codes) and len(codes) > 5
+    assert catalogue.QUERIES["j8_g4_gate"](spark, str(tmp_path)).columns == ["qid", "forms", "occurrences", "first_sid", "verdict"]
 
 
 def test_unsourced_writes_look_back_only(spark):

@@ -32,7 +32,7 @@ def test_incremental_index_equals_rebuild(spark, tmp_path):
     q = windows.index_incrementally(s, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     key = lambda df: sorted((r.unit, r.block, tuple(r.sids)) for r in df.collect())
-    assert key(windows.merged_index(spark, str(tmp_path / "out"))) == key(units.postings(units.occurrences(sents), "WORD"))
+    assert key(windows.merged_index(spark, str(tmp_path / "out"))) == key(units.postings(units.once(sents), "WORD"))
 
 
 def test_streaks_carry_over_batches(spark, tmp_path):
