@@ -86,8 +86,14 @@ def enter(operator: str | None) -> None:
         for k in stale:
             del _KEPT[k]
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system, so that it holds none while idle."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def keep(operator: str, key: object, make: Callable[[], object]) -> object:
@@ -129,6 +135,8 @@ def map_texts(df: DataFrame, make: Callable[[], Callable], schema: T.StructType,
         if finish:
             for out in finish():
                 yield batch(out)
+        del step
+        give_back()
 
     _small_batches(df)
     return df.mapInArrow(run, schema)
@@ -143,6 +151,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         for b in batches:
             for lo in range(0, b.num_rows, SLICE):
                 yield step(b.slice(lo, SLICE))
+        del step
+        give_back()
 
     _small_batches(df)
     return df.mapInArrow(run, df.schema)
