@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,12 @@ from pyspark.sql import Window as W
 from factspan.operators.folds import ordered_fold
 
 ROOT = "0" * 64
-# The severities of a ledger's status, worst last.
+# The statuses of a ledger, what makes a line a tampered one, and the fields of a row.
 STATUS = ("OK", "EMPTY", "HEAD_MISMATCH", "TORN_TAIL", "TAMPERED")
+LINE_PROBLEMS = ("LINE_UNPARSABLE", "BAD_SHAPE", "BAD_INDEX", "SHA_MISMATCH", "PREV_MISMATCH", "NONCANONICAL_LINE")
+ROW_FIELDS = ("v", "i", "actor", "op", "args", "result", "state_sha", "prev", "sha")
+REDACTED_FIELDS = ("redacted", "args_sha256")
+TRUNCATED_FIELDS = ("truncated", "args_sha256", "args_chars")
 _SHA_FIELD = r',"sha":"[0-9a-f]{64}"(?=,"state_sha":"[0-9a-f]{64}"(?:,"truncated":true)?,"v":1\}$)'
 
 
@@ -93,6 +98,114 @@ def check_stored_lines(lines: DataFrame) -> DataFrame:
     return d.select("run", "i", good.alias("sha_ok"), (F.col("prev") == F.coalesce(F.lag("sha").over(w), F.lit(ROOT))).alias("prev_ok"))
 
 
+def canonical(row: object) -> str:
+    return json.dumps(row, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+def seal_lines(rows: DataFrame, run: str, order: str, body: Column) -> DataFrame:
+    """L1: (run, i, line, sha) of rows stored as canonical JSON. `body` is a JSON object; every
+    field of the row, nulls included, is under the digest, and so are v, i and prev."""
+    d = rows.select(F.col(run).alias("run"), F.col(order).alias("o"), body.alias("body"))
+    schema = T.StructType([T.StructField("run", d.schema["run"].dataType), T.StructField("i", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("line", "sha"))])
+
+    def step(state, row):
+        prev, i = state
+        fields = json.loads(row[2]) | {"v": 1, "i": i, "prev": prev}
+        sha = hashlib.sha256(canonical(fields).encode()).hexdigest()
+        return (sha, i + 1), [(row[0], i, canonical(fields | {"sha": sha}), sha)]
+
+    return ordered_fold(d, ["run"], "o", schema, lambda: (ROOT, 0), step)
+
+
+_SHAPES = frozenset(frozenset(ROW_FIELDS + more) for more in ((), REDACTED_FIELDS, TRUNCATED_FIELDS))
+_READ = T.StructType([T.StructField("found", T.ArrayType(T.StringType())), T.StructField("prev", T.StringType()), T.StructField("sha", T.StringType())])
+
+
+def _read_line(line: str | None, i: int) -> tuple[list[str], str | None, str | None]:
+    """What is wrong with a line by itself; prev and sha only of a row of the right shape."""
+    try:
+        row = json.loads(line)
+        if not isinstance(row, dict):
+            raise ValueError("no object")
+    except (TypeError, ValueError, RecursionError):
+        return ["LINE_UNPARSABLE"], None, None
+    if frozenset(row) not in _SHAPES:
+        return ["BAD_SHAPE"], None, None
+    found = [] if row["i"] == i else ["BAD_INDEX"]
+    text = lambda v: v if isinstance(v, str) else None
+    try:
+        if hashlib.sha256(canonical({k: v for k, v in row.items() if k != "sha"}).encode()).hexdigest() != row["sha"]:
+            found.append("SHA_MISMATCH")
+        if canonical(row) != line:
+            found.append("NONCANONICAL_LINE")
+    except UnicodeEncodeError:  # a lone surrogate has no bytes to digest
+        found += ["BAD_SHAPE", "NONCANONICAL_LINE"]
+    return found, text(row["prev"]), text(row["sha"])
+
+
+def stored_lines(lines: DataFrame) -> DataFrame:
+    """Stored lines (run, i, line) as (run, i, found, prev, sha, link): what is wrong with each
+    by itself, and the sha of the line before. That line is met by number in one grouping on
+    (run, i), so a run of any length is spread over all tasks."""
+
+    @F.pandas_udf(_READ)
+    def read(line, i):
+        import pandas as pd
+
+        return pd.DataFrame([_read_line(a, int(b)) for a, b in zip(line, i)], columns=["found", "prev", "sha"])
+
+    d = lines.select("run", "i", read("line", F.col("i").cast("long")).alias("own"))
+    nothing = F.lit(None).cast(_READ)
+    here = F.struct(F.col("i").alias("i"), F.col("own").alias("own"), F.lit(None).cast("string").alias("link"))
+    after = F.struct((F.col("i") + 1).alias("i"), nothing.alias("own"), F.col("own.sha").alias("link"))
+    both = d.select("run", F.explode(F.array(here, after)).alias("x")).select("run", "x.*")
+    met = both.groupBy("run", "i").agg(F.first("own", ignorenulls=True).alias("own"), F.first("link", ignorenulls=True).alias("link"))
+    return met.where("own is not null").select("run", "i", "own.*", F.when(F.col("i") == 0, ROOT).otherwise(F.col("link")).alias("link"))
+
+
+def stored_problems(read: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run, i, type) of everything wrong with stored ledgers, as rows. `read` is made by
+    stored_lines; `runs` has run, torn (the file ends within a line) and head (null: not stored).
+    A line that cannot be read, or has another shape, leaves the link of the next one open; when it
+    is the torn last one it is a torn tail only."""
+    seen, last = _ends(read)
+    d = read.join(seen, "run").join(runs.select("run", F.coalesce("torn", F.lit(False)).alias("torn")), "run", "left")
+    tail = F.coalesce("torn", F.lit(False)) & (F.col("i") == F.col("n") - 1)
+    unread = F.array_contains("found", "LINE_UNPARSABLE")
+    shaped = ~unread & ~((F.size("found") == 1) & F.array_contains("found", "BAD_SHAPE"))
+    broken = shaped & F.col("link").isNotNull() & ~F.col("prev").eqNullSafe(F.col("link"))
+    types = F.concat(
+        F.when(tail & unread, F.array().cast("array<string>")).otherwise(F.col("found")),
+        F.when(broken, F.array(F.lit("PREV_MISMATCH"))).otherwise(F.array().cast("array<string>")),
+        F.when(tail, F.array(F.lit("TORN_TAIL"))).otherwise(F.array().cast("array<string>")),
+    )
+    by_line = d.select("run", "i", F.explode(types).alias("type"))
+    h = runs.select("run", "head").join(seen, "run", "left").join(last, "run", "left")
+    of_head = F.when(F.col("head").isNull(), F.when(F.col("n") > 0, "HEAD_MISSING")).when(~F.col("head").eqNullSafe(F.col("last")), "HEAD_MISMATCH")
+    by_run = h.select("run", F.lit(None).cast("long").alias("i"), of_head.alias("type")).where("type is not null")
+    return by_line.select("run", F.col("i").cast("long").alias("i"), "type").unionByName(by_run)
+
+
+def _ends(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per run the number of its lines, and the last sha that could be read."""
+    seen = read.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    return seen, read.where("sha is not null").groupBy("run").agg(F.max_by("sha", "i").alias("last"))
+
+
+def stored_status(read: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run, status, n and the number of problems of each type) of every run in `runs`. A run
+    with neither lines nor head is EMPTY; one whose lines are gone but whose head is stored has a
+    HEAD_MISMATCH."""
+    problems = stored_problems(read, runs)
+    kinds = (*LINE_PROBLEMS, "TORN_TAIL", "HEAD_MISSING", "HEAD_MISMATCH")
+    p = problems.groupBy("run").agg(*(F.count_if(F.col("type") == k).alias(k.lower()) for k in kinds))
+    d = runs.select("run", "head").join(_ends(read)[0], "run", "left").join(p, "run", "left").na.fill(0, ["n", *(k.lower() for k in kinds)])
+    tampered = sum((F.col(k.lower()) for k in LINE_PROBLEMS), F.lit(0)) > 0
+    status = F.when(tampered, "TAMPERED").when(F.col("torn_tail") > 0, "TORN_TAIL").when(F.col("head_missing") + F.col("head_mismatch") > 0, "HEAD_MISMATCH")
+    status = status.when((F.col("n") == 0) & F.col("head").isNull(), "EMPTY").otherwise("OK")
+    return d.select("run", status.alias("status"), "n", *(k.lower() for k in kinds))
+
+
 def capped_calls(calls: DataFrame, run: str, order: str, key: Column, is_status: Column, repeat: int = 8, status: int = 20) -> DataFrame:
     """Calls refused as the ninth or later of equal consecutive calls, else as status calls
     beyond their number. Refused calls do not count, so an equal run stays refused until it ends;

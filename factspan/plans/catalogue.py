@@ -475,6 +475,64 @@ def _(s, d):
     return ledger.verify(_tampered(chain), heads)
 
 
+_STORED = """lines as (
+  with recursive b as (select user_id run, row_number() over (partition by user_id order by event_id) - 1 i, event_id e, event_type op from events),
+  t as (select run, i, '{"actor":"user","args":{"event":' || e || '},"i":' || i || ',"op":"' || op || '","prev":"' x, '","result":null,' y, '"state_sha":"' || sha256(e::varchar) || '","v":1}' z from b),
+  c as (select run, i, x || repeat('0', 64) || y a, z, sha256(x || repeat('0', 64) || y || z) sha from t where i = 0
+    union all select t.run, t.i, x || c.sha || y, t.z, sha256(x || c.sha || y || t.z) from c join t on t.run = c.run and t.i = c.i + 1)
+  select run, i, a || '"sha":"' || sha || '",' || z line, sha from c)"""
+
+
+def _stored(s, d):
+    body = F.to_json(
+        F.struct(
+            F.lit("user").alias("actor"), F.col("event_type").alias("op"), F.struct(F.col("event_id").alias("event")).alias("args"),
+            F.lit(None).cast("string").alias("result"), F.sha2(F.col("event_id").cast("string"), 256).alias("state_sha"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+    return ledger.seal_lines(table(s, d, "events"), "user_id", "event_id", body)
+
+
+@query("l1_stored_lines", f"with {_STORED} select run, i, line, sha from lines")
+def _(s, d):
+    return _stored(s, d)
+
+
+@query(
+    "l5_stored_status",
+    f"""with {_STORED}, heads as (select run, max(i) top, case when run % 13 = 1 then 'other' when run % 13 <> 2 then arg_max(sha, i) end head from lines group by run),
+d as (select run, row_number() over (partition by run order by i) - 1 i, run % 17 = 5 and i = top torn, case
+    when run % 7 = 3 and i = 4 then replace(line, '"op":"', '"op":"x') when run % 7 = 4 and i = 2 then '{{ ' || line[2:]
+    when run % 17 = 6 and i = 3 then 'no row' when run % 17 = 7 and i = 3 then '{{"v":1}}' when run % 17 = 5 and i = top then line[:20] else line end line
+  from lines join heads using (run) where not (run % 11 = 2 and i = 5)),
+r as (select *, json_valid(line) ok, json_valid(line) and line like '%"state_sha":"%' good from d),
+f as (select *, case when good then line->>'$.sha' end sha, case when good then line->>'$.prev' end prev, case when good then cast(line->>'$.i' as bigint) end own from r),
+p as (select *, case when i = 0 then repeat('0', 64) else lag(sha) over (partition by run order by i) end link, regexp_replace(replace(line, ' ', ''), '"sha":"[0-9a-f]+",', '') bare from f),
+g as (select run, count(*) n, count_if(not ok and not torn) line_unparsable, count_if(ok and not good) bad_shape, count_if(good and own <> i) bad_index,
+    count_if(good and sha256(bare) <> sha) sha_mismatch, count_if(good and link is not null and prev <> link) prev_mismatch, count_if(good and line like '% %') noncanonical_line,
+    count_if(torn) torn_tail, arg_max(sha, i) filter (where sha is not null) "last" from p group by run),
+h as (select g.*, head, (head is null)::bigint head_missing, coalesce(head <> "last" or "last" is null and head is not null, false)::bigint head_mismatch from g join heads using (run))
+select run, case when line_unparsable + bad_shape + bad_index + sha_mismatch + prev_mismatch + noncanonical_line > 0 then 'TAMPERED' when torn_tail > 0 then 'TORN_TAIL'
+  when head_missing + head_mismatch > 0 then 'HEAD_MISMATCH' else 'OK' end status, n::bigint n, line_unparsable::bigint line_unparsable, bad_shape::bigint bad_shape, bad_index::bigint bad_index,
+  sha_mismatch::bigint sha_mismatch, prev_mismatch::bigint prev_mismatch, noncanonical_line::bigint noncanonical_line, torn_tail::bigint torn_tail, head_missing, head_mismatch from h""",
+)
+def _(s, d):
+    kept = _stored(s, d)
+    ends = kept.groupBy("run").agg(F.max_by("sha", "i").alias("last"), F.max("i").alias("top"))
+    at = lambda m, k, i: (F.col("run") % m == k) & (F.col("i") == i)
+    cut = at(17, 5, F.col("top"))
+    harm = F.when(at(7, 3, 4), F.expr("""replace(line, '"op":"', '"op":"x')""")).when(at(7, 4, 2), F.concat(F.lit("{ "), F.expr("substring(line, 2)")))
+    harm = harm.when(at(17, 6, 3), "no row").when(at(17, 7, 3), '{"v":1}').when(cut, F.expr("left(line, 20)")).otherwise(F.col("line"))
+    lost = (F.col("run") % 11 == 2) & (F.col("i") >= 5)
+    number = F.when(lost, F.col("i") - 1).otherwise(F.col("i"))
+    lines = kept.join(ends, "run").where(~at(11, 2, 5)).select("run", number.alias("i"), harm.alias("line"))
+    head = F.when(F.col("run") % 13 == 1, "other").when(F.col("run") % 13 != 2, F.col("last"))
+    # the last line is gone where it was the sixth of a run that lost it
+    torn = (F.col("run") % 17 == 5) & ~((F.col("run") % 11 == 2) & (F.col("top") == 5))
+    return ledger.stored_status(ledger.stored_lines(lines), ends.select("run", torn.alias("torn"), head.alias("head")))
+
+
 @query("l6_replay_difference", f"with {_CHAIN} select run, i, sha from chain where (run % 7 = 3 and i = 4) or (run % 11 = 2 and i = 5)")
 def _(s, d):
     chain = _chain(s, d)

@@ -229,6 +229,31 @@ def test_stored_lines_verify_without_parsing(spark, tmp_path):
     assert {r.run[-10:]: r.torn for r in ledger.torn_tails(spark, str(tmp_path)).collect()} == {"good.jsonl": False, "/bad.jsonl": True}
 
 
+def test_stored_status_names_every_problem(spark):
+    rows = spark.createDataFrame([(r, o, '{"actor":"a","op":"é","args":{},"result":null,"state_sha":"s"}') for r in "abcdefghijk" for o in range(4)], "run string, o int, body string")
+    good = [tuple(r) for r in ledger.seal_lines(rows, "run", "o", F.col("body")).collect()]
+    heads = {r: sha for r, i, _, sha in good if i == 3}
+    torn = {"e": True, "f": True}
+
+    def change(run, i, line):
+        if i == 1:
+            line = {"b": line.replace("é", "e"), "c": line.replace("é", "\\u00e9"), "d": "[1]", "g": '{"v":1}', "h": line.replace('"prev":"', '"prev":"0')}.get(run, line)
+        return line[:9] if run == "e" and i == 3 else line
+
+    lines = spark.createDataFrame([(r, i, change(r, i, line)) for r, i, line, _ in good if r != "k"], "run string, i long, line string")
+    heads |= {"i": None, "j": "other"}
+    runs = spark.createDataFrame([(r, torn.get(r), h) for r, h in heads.items()] + [("none", None, None)], "run string, torn boolean, head string")
+    read = ledger.stored_lines(lines)
+    status = {r.run: r.status for r in ledger.stored_status(read, runs).collect()}
+    assert status == {"a": "OK", "b": "TAMPERED", "c": "TAMPERED", "d": "TAMPERED", "e": "TORN_TAIL", "f": "TORN_TAIL", "g": "TAMPERED", "h": "TAMPERED", "i": "HEAD_MISMATCH", "j": "HEAD_MISMATCH", "k": "HEAD_MISMATCH", "none": "EMPTY"}
+    got = {(r.run, r.i, r.type) for r in ledger.stored_problems(read, runs).collect()}
+    assert got == {
+        ("b", 1, "SHA_MISMATCH"), ("c", 1, "NONCANONICAL_LINE"), ("d", 1, "LINE_UNPARSABLE"), ("e", 3, "TORN_TAIL"), ("e", None, "HEAD_MISMATCH"), ("f", 3, "TORN_TAIL"),
+        ("g", 1, "BAD_SHAPE"), ("h", 1, "SHA_MISMATCH"), ("h", 1, "PREV_MISMATCH"), ("i", None, "HEAD_MISSING"), ("j", None, "HEAD_MISMATCH"), ("k", None, "HEAD_MISMATCH"),
+    }
+    assert ledger.stored_status(ledger.stored_lines(lines.limit(0)), runs.limit(0)).count() == 0
+
+
 def test_runaway_caps_follow_the_tracker(spark):
     rng = random.Random(4)
     calls = [(r, i, rng.choice(["a", "status", "status", "b"])) for r in range(4) for i in range(120)]
