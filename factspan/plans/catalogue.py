@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factspan.functions import text as tx
+from factspan.functions import redaction, text as tx
 from factspan.operators import audit, clauses, facts as fx, followers, gate, geometry, intervals, ledger, matching, pairs, scores, store, units
 from factspan.plans import inputs as src
 from factspan.plans.inputs import CALLS, FACTS, PARTICLES, READING, SENTS, WORDS
@@ -583,6 +583,16 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2(docs.redact(F.col("text")), 256).alias("sha"))
 
 
+@query("l14_redaction_full")
+def _(s, d):
+    """Every text with planted secrets, some of them disguised; tested against texts of known result."""
+    key = F.concat(F.lit("sk-ant-abcdefgh"), F.col("doc_id").cast("string"))
+    n = F.col("doc_id") % 4
+    planted = F.when(n == 0, key).when(n == 1, F.base64(key.cast("binary"))).when(n == 2, F.replace(key, F.lit("-"), F.lit("%2D"))).otherwise("plain")
+    red = redaction.redact_fully(F.concat_ws(" ", "text", planted))
+    return table(s, d, "documents").select("doc_id", red.alias("r")).select("doc_id", F.sha2("r.text", 256).alias("sha"), "r.hidden")
+
+
 # ---------------------------------------------------------------- audits, gate, scores
 
 _SAID = f"""turns as (select conv_id * 100000 + turn doc_id, text from conversations),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from factspan.functions.redaction import REDACT, REDACT_AFTER
 from factspan.functions.text import CLOSE_BRACKETS, CLOSERS, ENDS, OPEN_BRACKETS
 
 SUFFIXES = (".txt", ".md", ".markdown")
@@ -118,23 +119,6 @@ def _split_intricate(docs: DataFrame, key: str, ends: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-# The secret patterns and the group each one hides.
-REDACT = (
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|$)"),
-    ("sk_ant", r"sk-ant-[A-Za-z0-9_\-]{8,}"),
-    ("github_pat", r"github_pat_[A-Za-z0-9_]{20,}"),
-    ("gh_token", r"gh[pousr]_[A-Za-z0-9]{20,}"),
-    ("aws_akia", r"AKIA[0-9A-Z]{16}"),
-    ("google_api_key", r"AIza[0-9A-Za-z_\-]{35}"),
-    ("slack_token", r"xox[abprs]-[A-Za-z0-9\-]{10,}"),
-    ("sk", r"sk-[A-Za-z0-9_\-]{12,}"),
-)
-REDACT_AFTER = (
-    ("bearer", r"((?i:Bearer)\s+)(?!\[REDACTED)[A-Za-z0-9._~+/\-]{20,}=*"),
-    ("kv_secret", r"((?i:api[_-]?key|token|secret|password)[\"']?\s*[=:]\s*[\"']?)(?!\[REDACTED)[^\s\"']{8,}"),
-)
-
-
 def redact(c: Column) -> Column:
     """L14 for text as written: every pattern in order, key and value pairs keep their key."""
     for name, pattern in REDACT:
