@@ -139,3 +139,22 @@ def tier_counts(sentences: DataFrame) -> DataFrame:
         one = occurrences(sentences, tier).groupBy("unit").agg(F.count(F.lit(1)).alias("c")).agg(F.lit(tier).alias("tier"), F.count(F.lit(1)).alias("units"), F.coalesce(F.sum("c"), F.lit(0)).alias("occurrences"))
         out = one if out is None else out.union(one)
     return out
+
+
+def group_order(occ: DataFrame, asked: DataFrame) -> DataFrame:
+    """K3: the recorded order within a tie: members (seed, unit) of a group by the first sentence
+    they share with the seed, and within it by their first place. A member that shares no sentence
+    with its seed has no rank and is left out. Only sentences of asked seeds are met."""
+    at = occ.groupBy("sid", "unit").agg(F.min("pos").alias("pos"))
+    seeds = asked.select("seed").distinct()
+    shared = at.select("sid", F.col("unit").alias("seed")).join(seeds, "seed").join(at, "sid").join(asked.select("seed", "unit").distinct(), ["seed", "unit"])
+    first = shared.groupBy("seed", "unit").agg(F.min(F.struct("sid", "pos")).alias("first"))
+    rank = F.row_number().over(W.partitionBy("seed").orderBy("first", "unit")).cast("long")
+    return first.select("seed", "unit", "first.sid", "first.pos", rank.alias("rank"))
+
+
+def merge_parts(parts: DataFrame, key: list[str], entries: str) -> DataFrame:
+    """Parts of one key become one, with all their entries once and in order. Entries are
+    gathered one by one, so equal ones meet before the shuffle; a part without entries stays."""
+    d = parts.select(*key, F.explode_outer(entries).alias(entries))
+    return d.groupBy(*key).agg(F.array_sort(F.collect_set(entries)).alias(entries))

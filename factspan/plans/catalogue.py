@@ -578,6 +578,25 @@ def _(s, d):
     return ledger.settle(src.calls(s, d), "run", "seq")
 
 
+_LINES = "occ as (select l_orderkey sid, l_partkey unit, l_linenumber pos from lineitem), placed as (select sid, unit, min(pos) pos from occ group by all)"
+
+
+@query("k3_group_order", f"""with {_LINES}, c as (select a.unit seed, b.unit, count(*) n, min((sid, b.pos)) f from placed a join placed b using (sid) where a.unit % 100 = 0 and a.unit <> b.unit group by all)
+select seed, unit, f[1] sid, f[2] pos, row_number() over (partition by seed order by f, unit) rank from c where n = 1""")
+def _(s, d):
+    """Seeds are parts whose key is divisible by 100; the tie is of the parts that share one order with them."""
+    occ = table(s, d, "lineitem").select(F.col("l_orderkey").alias("sid"), F.col("l_partkey").alias("unit"), F.col("l_linenumber").alias("pos"))
+    once = occ.select("sid", "unit").distinct()
+    near = once.where("unit % 100 = 0").withColumnRenamed("unit", "seed").join(once, "sid").where("seed <> unit").groupBy("seed", "unit").agg(F.count(F.lit(1)).alias("n"))
+    return units.group_order(occ, near.where("n = 1"))
+
+
+@query("o5_merge_parts", """select l_orderkey, l_partkey, array_to_string(list_sort(list_distinct(flatten(list([l_suppkey, l_linenumber])))), ',') entries from lineitem group by all""")
+def _(s, d):
+    parts = table(s, d, "lineitem").withColumn("entries", F.array(F.col("l_suppkey").cast(long), F.col("l_linenumber").cast(long)))
+    return units.merge_parts(parts, ["l_orderkey", "l_partkey"], "entries").withColumn("entries", F.array_join("entries", ","))
+
+
 @query("l14_redaction", r"""select doc_id, sha256(regexp_replace(text, '((?i:api[_-]?key|token|secret|password)["'']?\s*[=:]\s*["'']?)[^\s"'']{8,}', '\1[REDACTED:kv_secret]', 'g')) sha from documents""")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2(docs.redact(F.col("text")), 256).alias("sha"))
