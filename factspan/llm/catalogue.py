@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factspan.llm import decontaminate, langid, lbl, merkle, ngram_join, packing, pii, preferences, rules, secrets, weak_quality
+from factspan.llm import alignment, decontaminate, langid, lbl, merkle, ngram_join, packing, pii, preferences, rules, secrets, weak_quality
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         langid.op8_language_backoff,
         lbl.op9_log_bilinear,
         ngram_join.op10_ngram_jaccard,
+        alignment.op11_elementary_intervals,
         merkle.op12_merkle_manifest,
     )
 }
