@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factspan.llm import alignment, decontaminate, langid, lbl, merkle, ngram_join, packing, pii, preferences, rules, secrets, weak_quality
+from factspan.llm import alignment, decontaminate, langid, lbl, merkle, multi_index, ngram_join, packing, pii, preferences, rules, secrets, weak_quality
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         ngram_join.op10_ngram_jaccard,
         alignment.op11_elementary_intervals,
         merkle.op12_merkle_manifest,
+        multi_index.op13_inverted_multi_index,
     )
 }
 ORACLES: dict[str, str] = {
