@@ -602,9 +602,23 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2(docs.redact(F.col("text")), 256).alias("sha"))
 
 
-@query("l14_redaction_full")
+def _hidden_sql(text: str) -> tuple[str, str]:
+    """(redacted, hidden) of a text whose secrets neither overlap nor are disguised."""
+    hidden = []
+    for name, pattern in redaction.REDACT + redaction.REDACT_AFTER:
+        key = (name, pattern.replace("(?!\\[REDACTED)", "").replace("'", "''"))
+        hidden.append(f"len(regexp_extract_all({text}, '{key[1]}'))")
+        text = f"regexp_replace({text}, '{key[1]}', '{chr(92) + '1' if (name, pattern) in redaction.REDACT_AFTER else ''}[REDACTED:{key[0]}]', 'g')"
+    return text, " + ".join(hidden)
+
+
+_L14 = _hidden_sql("coalesce(text, '')")
+
+
+@query("l14_redaction_full", f"""with t as (select doc_id, text, ['[REDACTED:sk_ant]', '[REDACTED:sk_ant:b64]', '[REDACTED:sk_ant:pct]', 'plain'][1 + doc_id % 4] mark from documents)
+  select doc_id, sha256(concat_ws(' ', case when text is not null then {_L14[0]} end, mark)) sha, case when doc_id % 4 < 3 then 1 else 0 end + {_L14[1]} hidden from t""")
 def _(s, d):
-    """Every text with planted secrets, some of them disguised; tested against texts of known result."""
+    """Every text with a planted secret, most of them disguised."""
     key = F.concat(F.lit("sk-ant-abcdefgh"), F.col("doc_id").cast("string"))
     n = F.col("doc_id") % 4
     planted = F.when(n == 0, key).when(n == 1, F.base64(key.cast("binary"))).when(n == 2, F.replace(key, F.lit("-"), F.lit("%2D"))).otherwise("plain")
@@ -612,6 +626,16 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", red.alias("r")).select("doc_id", F.sha2("r.text", 256).alias("sha"), "r.hidden")
 
 
+@query("l14_redaction_json", r"""select event_id, sha256('{"api_key":' || case when user_id % 3 = 0 then '"[REDACTED:kv_secret]"' else '"short"' end || ',"nested":{"notes":["' || event_type || '",' || case when user_id % 2 = 0 then '"[REDACTED:sk_ant]"' else '"none"' end || ']}}') sha,
+  (user_id % 3 = 0)::int + (user_id % 2 = 0)::int hidden from events""")
+def _(s, d):
+    """JSON rows with secrets by key name and by form."""
+    by_key = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("value-"), F.col("user_id").cast("string"), F.lit("-long"))).otherwise("short")
+    by_form = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("sk-ant-abcdefgh"), F.col("user_id").cast("string"))).otherwise("none")
+    row = F.to_json(F.struct(by_key.alias("api_key"), F.struct(F.array("event_type", by_form).alias("notes")).alias("nested")))
+    return table(s, d, "events").select("event_id", redaction.redact_json(row).alias("r")).select("event_id", F.sha2("r.text", 256).alias("sha"), "r.hidden")
+
+
 # ---------------------------------------------------------------- audits, gate, scores
 
 _SAID = f"""turns as (select conv_id * 100000 + turn doc_id, text from conversations),
