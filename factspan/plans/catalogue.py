@@ -11,28 +11,18 @@ from pyspark.sql import Window as W
 from factspan.functions import redaction, text as tx
 from factspan.operators import audit, clauses, facts as fx, followers, gate, geometry, intervals, ledger, matching, pairs, scores, store, units
 from factspan.plans import inputs as src
+from factspan.plans import memory  # noqa: F401  (registers its queries)
 from factspan.plans.inputs import CALLS, FACTS, PARTICLES, READING, SENTS, WORDS
+from factspan.plans.named import ORACLES, QUERIES, query  # noqa: F401
 from factspan.session import table
 from factspan.sources import documents as docs
 from factspan.streaming import windows
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 FLAGSHIP = "x3_lookup"
 _P = ", ".join(f"'{p}'" for p in PARTICLES)
 long = "long"
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 # ---------------------------------------------------------------- sentences, units, look-ups
 
 

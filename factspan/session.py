@@ -19,3 +19,11 @@ def session(name: str = "factspan", **more: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, which must be set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        raise ValueError("spark.checkpoint.dir is not set: tables that cut lineage need a folder that all executors share")
+    return found.rstrip("/")
