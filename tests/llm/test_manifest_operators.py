@@ -91,8 +91,25 @@ def test_wide_groups_expand_by_number():
     a, b = rng.integers(0, 5, 700), rng.integers(0, 4, 500)
     sizes = np.array([699, 1]), np.array([499, 1])
     want = Counter(int(x) * 9 + int(y) for x in a[:699] for y in b[:499]) + Counter([int(a[699]) * 9 + int(b[499])])
-    keys, links = alignment.pair_links(a, b, *sizes, 9)
-    assert dict(zip(keys.tolist(), links.tolist())) == want
+    got = Counter()
+    for key, links in zip(*(x.tolist() for x in alignment.pair_links(a, b, *sizes, 9))):
+        got[key] += links
+    assert got == want
+
+
+def test_chunks_are_forgotten_and_learnt_again(monkeypatch):
+    chunks = alignment.Chunks(alignment.vocabulary_paths())
+    rng = random.Random(8)
+    texts = [words(rng, 30) for _ in range(6)] + [t for _, t in ODD if t]
+
+    def rows():
+        for t in texts:
+            sides = chunks([alignment.chunks_of(t)])[0]
+            yield sides and [x.tolist() for x in sides]
+
+    want = list(rows())
+    monkeypatch.setattr(alignment, "REMEMBERED", 20)
+    assert list(rows()) == want and len(chunks.known) + len(chunks.older) < 120
 
 
 def test_both_forms_of_the_byte_vocabulary_agree(spark):
