@@ -61,8 +61,9 @@ def _any_of(chars: str) -> Column:
 
 
 def candidates(occ: DataFrame, questions: DataFrame) -> DataFrame:
-    """The sentences that hold a question's first subject, one row per question and sentence."""
-    asked = questions.select("qid", F.get("subject", F.lit(0)).alias("unit")) if dict(questions.dtypes)["subject"].startswith("array") else questions.select("qid", F.col("subject").alias("unit"))
+    """The sentences that hold a question's first subject (its first word), one row per question and sentence."""
+    first = F.col("seek") if "seek" in questions.columns else F.get("subject", F.lit(0)) if dict(questions.dtypes)["subject"].startswith("array") else F.col("subject")
+    asked = questions.select("qid", first.alias("unit"))
     return occ.join(asked, "unit").groupBy("qid", "sid").agg(F.min("pos").alias("subject_pos"))
 
 
@@ -169,6 +170,15 @@ def answer_verdicts(passed: DataFrame) -> DataFrame:
     return d.withColumn("verdict", F.when(F.col("forms") == 1, "ANSWER").otherwise("CHOICE"))
 
 
+def threads(passed: DataFrame) -> DataFrame:
+    """Of the stretches that pass for a question the first one is its evidence; several are not
+    joined into one answer, so every later one is refused as multiple_answers."""
+    first = passed.groupBy("qid").agg(F.min(F.struct("sid", "i0", "i1")).alias("first"))
+    later = F.struct("sid", "i0", "i1") != F.col("first")
+    codes = F.when(later, F.array(F.lit("multiple_answers"))).otherwise(F.array().cast("array<string>"))
+    return passed.drop("codes").join(first, "qid").withColumn("codes", codes).drop("first")
+
+
 def negated_after(text: Column, end: Column) -> Column:
     """Does a negation follow before the clause ends?"""
     rest = F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^[^,;:.!?、。！？；：]*", 0)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from factspan.functions import redaction, text as tx
 from factspan.operators import audit, clauses, facts as fx, followers, gate, geometry, intervals, ledger, matching, pairs, scores, store, units
 from factspan.plans import inputs as src
-from factspan.plans import memory  # noqa: F401  (registers its queries)
+from factspan.plans import evidence, memory  # noqa: F401  (they register their queries)
 from factspan.plans.inputs import CALLS, FACTS, PARTICLES, READING, SENTS, WORDS
 from factspan.plans.named import ORACLES, QUERIES, query  # noqa: F401
 from factspan.session import table
@@ -694,23 +694,6 @@ def _(s, d):
     return gate.candidates(src.words(s, d), _questions(s, d)).withColumn("subject_pos", F.col("subject_pos").cast(long))
 
 
-def _judged(s, d):
-    sents, q = src.sentences(s, d), _questions(s, d)
-    cands = gate.candidates(units.occurrences(sents), q)
-    held = sents.join(cands.select("sid").distinct(), "sid", "left_semi")
-    return gate.judge(gate.stretches(cands, gate.sentence_arrays(held, READING), q))
-
-
-@query("j8_g4_gate")
-def _(s, d):
-    return gate.answer_verdicts(gate.maximal(_judged(s, d).where(F.size("codes") == 0)))
-
-
-@query("a18_code_histogram")
-def _(s, d):
-    return scores.code_histogram(_judged(s, d))
-
-
 @query("a19_gate_score", """with v as (select "source" "set", l.doc_id id, quality = 1 a, n_chars > 1000 adm, toxic = 0 ok from labels l join documents d on d.doc_id = l.doc_id)
 select "set", count(*) filter (a) answerable, count(*) filter (not a) unanswerable, count(*) filter (a and adm and ok) reach, count(*) filter (a and adm and not ok) wrong_admitting, count(*) filter (not a and adm) unans_admitted,
 coalesce(sum(id) filter (a and adm and ok), 0)::bigint reach_sum from v group by "set" """)
