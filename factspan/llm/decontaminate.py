@@ -3,10 +3,17 @@
 Texts are words (A-Z lower-cased). Of every run of EIGHT consecutive six-word hashes the least
 is kept, on both sides, so any shared span of 6 + 8 - 1 = 13 words shares a kept hash at the
 same place: no window of a benchmark item can be missed. Kept hashes meet in a join (the
-benchmark side is broadcast only if its measured size allows), each meeting names a document,
-an item and the shift between them, and the hit is extended by comparing the words themselves
-along the item; only runs of a whole window count. Items shorter than a window are one window
-of their own length and meet by the hash of the whole item.
+benchmark side is broadcast only if its measured size allows). What a document and an item have
+of one hash goes one of two ways:
+
+* few places: each pair of places is a shift between the two, and the hit is extended by comparing
+  the words themselves along the item; only runs of a whole window count;
+* more than DENSE pairs of places, as where both repeat a word or a line: the windows of the
+  document around its places meet the distinct windows of the item by their text, so the work
+  grows with the document, not with the product of the places.
+
+Items shorter than a window are one window of their own length; they meet by the hash of the
+whole item, and every place is compared with it.
 
 Nothing but the kept hashes of documents is exploded; texts stay where they are unless a
 document has a meeting.
@@ -18,6 +25,8 @@ each get the same result; empty tables give clean or empty results; extra column
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +35,8 @@ from factspan.llm.common import BROADCAST_ROWS, documents, fresh, materialise
 WINDOW = 13
 GRAM = 6
 EIGHT = 8
+#: Pairs of places of one hash, in a document and an item, up to which each is followed by itself.
+DENSE = 16
 #: Low bits of a kept hash hold its position; no array is longer than 2**31.
 PLACE = (1 << 31) - 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,6 +75,55 @@ def _whole(df: DataFrame, n: int) -> DataFrame:
     return d.select(*keys, F.posexplode(F.slice("g", 1, F.size("words") - (n - 1))).alias("place", "print"))
 
 
+def _meetings(doc_side: DataFrame, item_side: DataFrame) -> DataFrame:
+    """(met_id, met_row, item_row, places, item_places): where a document and an item have the same hash."""
+    item_side = materialise(item_side.groupBy("item_row", "print").agg(F.collect_list("place").alias("item_places")), "prints")
+    prints = item_side.select("print").distinct()
+    few = item_side.count() <= BROADCAST_ROWS
+    # only hashes that an item has are gathered, so a list is no longer than its document
+    own = doc_side.join(F.broadcast(prints) if few else prints, "print", "left_semi").groupBy("doc_id", "row", "print").agg(F.collect_list("place").alias("places"))
+    met = own.join(F.broadcast(item_side) if few else item_side, "print")
+    return materialise(met.select(F.col("doc_id").alias("met_id"), F.col("row").alias("met_row"), "item_row", "places", "item_places"), "meetings")
+
+
+def _span(begin: Column | str, size: Column | str) -> Column:
+    return F.struct((F.col(begin) if isinstance(begin, str) else begin).cast("int").alias("begin"), (F.col(size) if isinstance(size, str) else size).cast("int").alias("size"))
+
+
+def _along(once: DataFrame, same: Column, items: DataFrame, met: DataFrame) -> DataFrame:
+    """Every shift followed along its item. Of a document only the stretch beside the item goes on."""
+    shifts = met.select("met_id", "met_row", "item_row", F.explode("places").alias("place"), "item_places")
+    shifts = shifts.select("met_id", "met_row", "item_row", F.expr("explode(transform(item_places, q -> place - q))").alias("shift")).distinct()
+    sizes = items.select("item_row", F.size("item_words").alias("n"))
+    small = items.count() <= BROADCAST_ROWS
+    shifts = shifts.join(F.broadcast(sizes) if small else sizes, "item_row")
+    beside = F.expr("slice(words, greatest(shift, 0) + 1, n + least(shift, 0))")
+    pairs = once.join(shifts, same).select("doc_id", "row", "item_row", "shift", beside.alias("part")).join(items, "item_row")
+    pairs = pairs.withColumn("equal", F.array_join(F.expr("transform(item_words, (w, j) -> if(w = get(part, j + least(shift, 0)), '1', '0'))"), ""))
+    starts = F.expr(f"filter(sequence(0, size(item_words) - {WINDOW}), s -> substring(equal, s + 1, {WINDOW}) = repeat('1', {WINDOW}))")
+    spans = F.transform(starts, lambda s: _span(F.col("shift") + s, F.lit(WINDOW)))
+    return pairs.select("doc_id", "row", "item", spans.alias("spans")).where(F.size("spans") > 0)
+
+
+def _dense(once: DataFrame, same: Column, items: DataFrame, met: DataFrame) -> DataFrame:
+    """The document's windows around its places that are windows of the item, by their text."""
+    text = lambda array, at: f"array_join(slice({array}, {at} + 1, {WINDOW}), ' ')"
+    around = f"array_distinct(flatten(transform(places, p -> sequence(greatest(p - {EIGHT - 1}, 0), p))))"
+    near = once.join(met, same).select("doc_id", "row", "item_row", "words", F.explode(F.expr(around)).alias("begin")).where(F.expr(f"begin <= size(words) - {WINDOW}"))
+    near = near.select("doc_id", "row", "item_row", "begin", F.expr(text("words", "begin")).alias("window")).distinct()
+    own = items.join(met.select("item_row").distinct(), "item_row", "left_semi")
+    own = own.select("item_row", "item", F.expr(f"explode(array_distinct(transform(sequence(0, size(item_words) - {WINDOW}), q -> {text('item_words', 'q')})))").alias("window"))
+    return near.join(own, ["item_row", "window"]).select("doc_id", "row", "item", F.array(_span("begin", F.lit(WINDOW))).alias("spans"))
+
+
+def _exact(once: DataFrame, same: Column, items: DataFrame, met: DataFrame) -> DataFrame:
+    """The places where a short item stands whole."""
+    pairs = once.join(met, same).join(items, "item_row")
+    starts = F.expr("filter(places, p -> slice(words, p + 1, size(item_words)) = item_words)")
+    spans = F.transform(starts, lambda p: _span(p, F.size("item_words")))
+    return pairs.select("doc_id", "row", "item", spans.alias("spans")).where(F.size("spans") > 0)
+
+
 def hits(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     text = F.col("text").cast("string")
@@ -74,31 +134,20 @@ def hits(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.withColumn("item_row", F.xxhash64("item", F.array_join("item_words", " ")))
 
     own = items.select("item_row", F.col("item_words").alias("words"))
-    seeds = [(fingerprints(docs), fingerprints(own.where(F.size("words") >= WINDOW)))]
-    for r in items.where(F.size("item_words") < WINDOW).groupBy(F.size("item_words").alias("n")).count().collect():  # at most 12 rows
-        seeds.append((_whole(docs, r.n), _whole(own.where(F.size("words") == r.n), r.n)))
-    met = None
-    for doc_side, item_side in seeds:
-        item_side = materialise(item_side.select("item_row", "print", F.col("place").alias("item_place")), "prints")
-        small = F.broadcast(item_side) if item_side.count() <= BROADCAST_ROWS else item_side
-        one = doc_side.join(small, "print").select("doc_id", "row", "item_row", (F.col("place") - F.col("item_place")).alias("shift"))
-        met = one if met is None else met.union(one)
-    met = materialise(met.distinct(), "meetings")
-
-    few = met.count() <= BROADCAST_ROWS
-    met = met.select(F.col("doc_id").alias("met_id"), F.col("row").alias("met_row"), "item_row", "shift")
+    short = [r.n for r in items.where(F.size("item_words") < WINDOW).groupBy(F.size("item_words").alias("n")).count().collect()]  # at most 12 rows
+    long_met = _meetings(fingerprints(docs), fingerprints(own.where(F.size("words") >= WINDOW)))
+    short_met = [_meetings(_whole(docs, n), _whole(own.where(F.size("words") == n), n)) for n in short]
+
+    every = reduce(DataFrame.union, (m.select("met_id", "met_row") for m in [long_met, *short_met])).distinct()
+    few = every.count() <= BROADCAST_ROWS
     same = (F.col("row") == F.col("met_row")) & F.col("doc_id").eqNullSafe(F.col("met_id"))
-    once = docs.join(F.broadcast(met.select("met_id", "met_row").distinct()) if few else met.select("met_id", "met_row").distinct(), same, "left_semi").dropDuplicates(["doc_id", "row"])
-    # of a document only the stretch beside the item goes on, however many items it meets
-    sizes = items.select("item_row", F.size("item_words").alias("n"))
-    met = met.join(F.broadcast(sizes) if items.count() <= BROADCAST_ROWS else sizes, "item_row")
-    beside = F.expr("slice(words, greatest(shift, 0) + 1, n + least(shift, 0))")
-    pairs = once.join(met, same).select("doc_id", "row", "item_row", "shift", beside.alias("part")).join(items, "item_row")
-    size = F.least(F.size("item_words"), F.lit(WINDOW))
-    pairs = pairs.withColumn("equal", F.array_join(F.expr("transform(item_words, (w, j) -> if(w = get(part, j + least(shift, 0)), '1', '0'))"), "")).withColumn("size", size)
-    pairs = pairs.select("doc_id", "row", "item", "shift", "size", F.expr("filter(sequence(0, size(item_words) - size), s -> substring(equal, s + 1, size) = repeat('1', size))").alias("starts"))
-    found = materialise(pairs.where(F.size("starts") > 0), "found")
-    placed = found.select("doc_id", "row", F.explode(F.expr("array_distinct(flatten(transform(starts, s -> sequence(shift + s, shift + s + size - 1))))")).alias("at"))
+    once = docs.join(F.broadcast(every) if few else every, same, "left_semi").dropDuplicates(["doc_id", "row"])
+    once = materialise(once, "met-documents")
+
+    dense = F.size("places") * F.size("item_places") > DENSE
+    found = [_along(once, same, items, long_met.where(~dense)), _dense(once, same, items, long_met.where(dense))] + [_exact(once, same, items, m) for m in short_met]
+    found = materialise(reduce(DataFrame.union, found), "found")  # (doc_id, row, item, spans): stretches of the document
+    placed = found.select("doc_id", "row", F.explode(F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.begin, s.begin + s.size - 1))))")).alias("at"))
     n_hit = placed.distinct().groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n_hit"))
     named = found.select("doc_id", "row", "item").distinct().groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     hit = n_hit.alias("h").join(named.alias("k"), (F.col("h.row") == F.col("k.row")) & F.col("h.doc_id").eqNullSafe(F.col("k.doc_id")))

@@ -153,6 +153,32 @@ def test_decontamination_matches_brute_force(spark):
     assert kept.columns == d.columns and kept.count() == sum(not r.contaminated for r in got)
 
 
+def test_decontamination_of_periodic_text(spark):
+    """Repeated words, lines and alternations on both sides, broken at random places."""
+    rng = random.Random(12)
+
+    def periodic(n):
+        motif = [rng.choice("abc") for _ in range(rng.choice([1, 2, 3, 7]))]
+        w = [motif[k % len(motif)] for k in range(n)]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(n)] = rng.choice("abcx")
+        return " ".join(w)
+
+    items = [(i, periodic(rng.choice([1, 2, 12, 13, 20, 60, 150]))) for i in range(25)]
+    docs = [(i, " ".join(periodic(rng.randint(5, 120)) for _ in range(rng.randint(1, 3)))) for i in range(60)]
+    d, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(tuple(r) for r in decontaminate.hits(d, b).drop("row").collect()) == plain_hits(docs, items)
+
+
+def test_decontamination_is_linear_in_a_repeated_word(spark):
+    docs = spark.createDataFrame([(i, "same " * 5000) for i in range(4)] + [(4, "a b " * 2500)], SCHEMA)
+    b = spark.createDataFrame([(1, "same " * 5000), (2, "a b " * 2500), (3, "same same")], "item_id long, text string")
+    decontaminate.hits(docs.limit(1), b).count()
+    began = time.time()
+    got = decontaminate.hits(docs, b).collect()
+    assert {(r.n_hit, r.n_items) for r in got} == {(5000, 2), (5000, 1)} and time.time() - began < 30
+
+
 def test_decontamination_empty_tables(spark):
     none, items = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.hits(none, items).count() == 0
