@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from factspan.operators import ledger, units
@@ -85,3 +86,29 @@ def seal_batches(rows: DataFrame, path: str, checkpoint: str, run: str, order: s
         ledger.extend(heads, batch, run, order, body).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def strictly_later(updates: DataFrame, known: DataFrame) -> DataFrame:
+    """The late rule over updates(position, seq, turn, value): an update retires what stands only if its
+    turn is strictly later than every turn that came before it, here or in known(position, turn)."""
+    before = W.partitionBy("position").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    d = updates.join(known.groupBy("position").agg(F.max("turn").alias("latest")), "position", "left")
+    latest = F.greatest(F.max("turn").over(before), F.col("latest"))
+    return d.withColumn("late", F.coalesce(F.col("turn") <= latest, F.lit(False))).drop("latest")
+
+
+def retire_late(updates: DataFrame, path: str, checkpoint: str):
+    """The late rule on a stream: accepted updates go to `path/accepted`, late ones to the side table
+    `path/late`, each batch under its number. What a batch compares with are the batches before it,
+    so a batch that is repeated after a crash writes the same rows again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.createDataFrame([], batch.select("position", "turn").schema)
+        if number:
+            known = spark.read.parquet(f"{path}/accepted").where(F.col("batch") < number).select("position", "turn")
+        split = strictly_later(batch, known)
+        split.where("late").drop("late").write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        split.where("not late").drop("late").write.mode("overwrite").parquet(f"{path}/accepted/batch={number}")
+
+    return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
