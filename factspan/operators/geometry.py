@@ -148,3 +148,30 @@ def improving_swaps(placed: DataFrame, weights: DataFrame, edges_: DataFrame) ->
     # side by side, the two keep their own link: it is counted in w11 and w22 but in neither w12 nor w21
     delta = F.col("w12") + F.col("w21") - F.col("w11") - F.col("w22") + 2 * F.col("touch") * F.col("m")
     return pairs.groupBy("seed").agg(F.max(delta).alias("best_gain"), F.count(F.lit(1)).alias("swaps"))
+
+
+def equals(weights: DataFrame) -> DataFrame:
+    """(seed, unit, label) of units that have a twin in their pool: a unit with the same weight to
+    every third unit. The label is the least of a class. Pools are small, so is their square."""
+    both = weights.select("seed", "u", "v", "n").union(weights.select("seed", F.col("v"), F.col("u"), "n"))
+    own = both.where("n <> 0").groupBy("seed", "u").agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("to"))
+    pool = both.select("seed", "u").distinct().join(own, ["seed", "u"], "left").withColumn("to", F.coalesce("to", F.create_map().cast(own.schema["to"].dataType)))
+    a, b = pool.toDF("seed", "u", "to_u"), pool.toDF("seed", "v", "to_v")
+    pairs = a.join(b, "seed").where("u <> v")
+    bare = lambda to, k: F.array_sort(F.map_entries(F.map_filter(to, lambda x, _: x != k)))
+    twins = pairs.where(bare(F.col("to_u"), F.col("v")) == bare(F.col("to_v"), F.col("u")))
+    return twins.groupBy("seed", F.col("u").alias("unit")).agg(F.least(F.min("v"), F.first("u")).alias("label"))
+
+
+def expanded_count(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """How many arrangements a placement (seed, arm, place, unit) stands for when the units of a
+    class may change seats: a factorial for each class, divided by one for each set of equal arms,
+    since which arm is which is not told apart. Seats of no arm (the centre) have a null arm."""
+    d = placed.join(labels.select("seed", "unit", "label"), ["seed", "unit"], "left").withColumn("label", F.coalesce("label", "unit").cast("string"))
+    classes = d.groupBy("seed", "label").agg(F.count(F.lit(1)).alias("k"))
+    arms = d.where("arm is not null").groupBy("seed", "arm").agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("leg"))
+    legs = arms.groupBy("seed", "leg").agg(F.count(F.lit(1)).alias("k"))
+    product = lambda c: F.aggregate(F.collect_list(c), F.lit(1).cast("decimal(38,0)"), lambda p, k: (p * F.factorial(k).cast("decimal(20,0)")).cast("decimal(38,0)"))
+    up = classes.groupBy("seed").agg(product(F.col("k").cast("int")).alias("up"))
+    down = legs.groupBy("seed").agg(product(F.col("k").cast("int")).alias("down"))
+    return up.join(down, "seed", "left").select("seed", (F.col("up") / F.coalesce("down", F.lit(1).cast("decimal(38,0)"))).cast("decimal(38,0)").cast("long").alias("arrangements"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factspan.operators import assembly, components, segment, units
+from factspan.operators import assembly, components, geometry, segment, units
 from factspan.plans import inputs as src
 from factspan.plans.inputs import SENTS, WORDS
 from factspan.plans.named import query
@@ -86,3 +86,18 @@ def _(s, d):
     asked = tiers.where("(tier = 'WORD' and length(unit) = 3 and sid % 7 = 0) or (tier = 'CHAR' and unit = 'e')")
     entries = asked.select(F.col("unit").alias("entry"), "tier", "unit", "sid").distinct()
     return assembly.assemble(tiers, entries, sents).drop("entries")
+
+
+@query(
+    "r8_expanded_counts",
+    """with p as (select l_orderkey seed, (l_linenumber - 1) % 3 arm, (l_linenumber - 1) // 3 place, l_linenumber unit, l_returnflag label from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) = 1),
+up as (select seed, product(factorial(k::int)) f from (select seed, label, count(*) k from p group by all) group by seed),
+down as (select seed, product(factorial(k::int)) f from (select seed, leg, count(*) k from (select seed, arm, string_agg(place || label, ',' order by place) leg from p group by all) group by all) group by seed)
+select seed, (up.f / down.f)::bigint arrangements from up join down using (seed)""",
+)
+def _(s, d):
+    """Lines of an order on three arms; lines of one return flag are equals."""
+    first = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag")).alias("x"))
+    line = F.col("l_linenumber") - 1
+    p = first.select(F.col("l_orderkey").alias("seed"), (line % 3).alias("arm"), F.expr("(l_linenumber - 1) div 3").alias("place"), F.col("l_linenumber").cast("string").alias("unit"), F.col("x.l_returnflag").alias("label"))
+    return geometry.expanded_count(p.drop("label"), p.select("seed", "unit", "label"))

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from factspan.operators import assembly, components, segment
+from factspan.operators import assembly, components, geometry, segment
 
 
 def every_cut(run):
@@ -83,3 +83,28 @@ def test_assembly_names_the_tiers_that_tile(spark):
     entries = spark.createDataFrame([("q", "WORD", "ab", 1), ("q", "CHAR", "c", 1), ("r", "CHAR", "d", 1), ("r", "CHAR", "b", 1), ("q", "WORD", "zz", 1)], "entry string, tier string, unit string, sid long")
     got = assembly.assemble(tier_units, entries, spark.createDataFrame([(1, text)], "sid long, sent string")).orderBy("begin").collect()
     assert [(r.begin, r.until, r.text, r.parts, r.entries, r.aligned, r.coarsest) for r in got] == [(0, 2, "ab", 2, 2, "RUN,WORD,CHAR", "RUN"), (3, 5, "cd", 2, 2, "CHAR", "CHAR")]
+
+
+def test_expanded_counts_are_those_of_enumeration(spark):
+    rng = random.Random(9)
+    placed, labels, want = [], [], {}
+    for seed in range(25):
+        seats = rng.sample([(a, p) for a in range(3) for p in range(2)], rng.randint(1, 6))
+        label = {f"u{k}": rng.choice("xy") for k in range(len(seats))}
+        placed += [(seed, a, p, f"u{k}") for k, (a, p) in enumerate(seats)] + [(seed, None, 0, "centre")]
+        labels += [(seed, u, x) for u, x in label.items()]
+        own = dict(zip(label, seats))
+        seen = set()
+        for order in itertools.permutations(label):
+            if all(label[u] == label[v] for u, v in zip(label, order)):
+                at = {own[u]: v for u, v in zip(label, order)}
+                seen.add(tuple(sorted(tuple(at.get((a, p)) or "" for p in range(2)) for a in range(3))))
+        want[seed] = len(seen)
+    got = geometry.expanded_count(spark.createDataFrame(placed, "seed int, arm int, place int, unit string"), spark.createDataFrame(labels, "seed int, unit string, label string"))
+    assert {r.seed: r.arrangements for r in got.collect()} == want
+
+
+def test_equals_of_a_pool(spark):
+    weights = [(1, "a", "b", 5), (1, "a", "c", 2), (1, "b", "c", 2), (1, "a", "d", 1), (1, "b", "d", 1), (1, "c", "d", 7), (2, "a", "b", 1), (3, "a", "c", 4), (3, "b", "c", 4), (3, "a", "d", 0), (3, "b", "d", 3)]
+    got = geometry.equals(spark.createDataFrame(weights, "seed int, u string, v string, n int")).collect()
+    assert {(r.seed, r.unit, r.label) for r in got} == {(1, "a", "a"), (1, "b", "a"), (2, "a", "a"), (2, "b", "a")}
