@@ -1,4 +1,4 @@
-"""Named extensions: gates, note kinds, tokenisers (survey 2.18, J18, M11, M14, G6)."""
+"""Named extensions: gates, note kinds, tokenisers (survey 2.18, J18, M11, G6)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Versioned facts: history, live values, notes and verdicts (survey W1-W3, W5, J9-J12, J15, M2, M3, M5-M9, X9).
+"""Versioned facts: history, live values, notes and verdicts (survey W1-W3, W5, J9-J12, J15, M3, M5-M9, X9).
 
 A fact row is (position, scope, ord, sid, value, change, old). Facts compare within one
 position and scope; `ord` is the order they were written in. Positions may be hot: windows

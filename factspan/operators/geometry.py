@@ -1,4 +1,4 @@
-"""Crosses: rotations, seats, alignment, placement (survey R1-R7, R9-R13, A8, A13)."""
+"""Crosses: rotations, seats, alignment, placement (survey R1-R4, R6-R10, A8)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Span joins and merges (survey J5-J7, J20, W4, W6, W14, R14)."""
+"""Span joins and merges (survey J5-J7, J20, W4, W6, W14)."""
 
 from __future__ import annotations
 

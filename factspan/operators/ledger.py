@@ -1,4 +1,4 @@
-"""Hash-chained ledgers: seal, verify, status, caps, budgets (survey L1-L5, L7, L13, L16, L17, S8-S10, W8-W11, W15, X12, J17)."""
+"""Hash-chained ledgers: seal, verify, status, caps, budgets (survey L1-L5, L7, L17, S8, S9, W8-W11, W15, X12, J17)."""
 
 from __future__ import annotations
 

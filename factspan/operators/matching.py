@@ -1,4 +1,4 @@
-"""Matches, memberships and verdicts over small keyed sets (survey J10, J16, J19, A8, A13, A20, K7-K9, X4, X6, R5, R11, R13, T15, T16, M10, M12, M13, L2, L15, G6)."""
+"""Matches, memberships and verdicts over small keyed sets (survey J10, J19, A8, A13, A20, K7-K9, X4, X6, R5, R11, R13, T15, T16, M10, M12, M13, L2, L15, G6)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""The fact store as projections of its ledger (survey S10-S13, S16-S17, L8, L11, L12, L18-L20, M5-M7, P11-P13, X9, A17, W12, V3).
+"""The fact store as projections of its ledger (survey S11-S13, L8, L12, L18, M5, M6, P11-P13, A17, W12, V3).
 
 A ledger row is (session, i, op, ok, args, result) with args and result as JSON text; every
 table here is derived from it and can be derived again."""

@@ -31,7 +31,9 @@ def without(occ: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def sentence_ids(sentences: DataFrame) -> DataFrame:
-    return sentences.select((F.col("doc_id") * PER_DOC + F.col("k")).alias("sid"), "doc_id", "k", "sent")
+    fits = F.col("k") < PER_DOC
+    sid = F.when(fits, F.col("doc_id") * PER_DOC + F.col("k")).otherwise(F.raise_error(F.lit(f"a document has more than {PER_DOC} sentences")))
+    return sentences.select(sid.cast("long").alias("sid"), "doc_id", "k", "sent")
 
 
 def units(c: Column, tier: str = "WORD") -> Column:

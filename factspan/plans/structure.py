@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factspan.operators import assembly, components, geometry, segment, units
+from factspan.operators import assembly, blocks, components, geometry, segment, units
 from factspan.plans import inputs as src
 from factspan.plans.inputs import SENTS, WORDS
 from factspan.plans.named import query
@@ -101,3 +101,17 @@ def _(s, d):
     line = F.col("l_linenumber") - 1
     p = first.select(F.col("l_orderkey").alias("seed"), (line % 3).alias("arm"), F.expr("(l_linenumber - 1) div 3").alias("place"), F.col("l_linenumber").cast("string").alias("unit"), F.col("x.l_returnflag").alias("label"))
     return geometry.expanded_count(p.drop("label"), p.select("seed", "unit", "label"))
+
+
+@query(
+    "o2_conjunctions",
+    rf"""with {WORDS}, iw as (select item_id qid, unnest(list_distinct(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}]+'))) unit from benchmark),
+asked as (select qid, unit from iw qualify row_number() over (partition by qid order by length(unit), unit) <= 3), h as (select distinct qid, sid, occ.unit from asked join occ using (unit))
+select qid, sid from h group by qid, sid having count(*) = (select count(*) from asked a where a.qid = h.qid)""",
+)
+def _(s, d):
+    """The sentences that hold the three shortest words of a benchmark item; three words are the question."""
+    words = F.array_distinct(units.units(F.col("text")))
+    ranked = F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), 1, 3)
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(ranked).alias("x")).select("qid", F.col("x.w").alias("unit"))
+    return blocks.conjunctions(blocks.blocks(units.once(src.sentences(s, d))), asked)

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from factspan.operators import assembly, components, geometry, segment
+from factspan.operators import assembly, blocks, components, geometry, segment
 
 
 def every_cut(run):
@@ -108,3 +108,16 @@ def test_equals_of_a_pool(spark):
     weights = [(1, "a", "b", 5), (1, "a", "c", 2), (1, "b", "c", 2), (1, "a", "d", 1), (1, "b", "d", 1), (1, "c", "d", 7), (2, "a", "b", 1), (3, "a", "c", 4), (3, "b", "c", 4), (3, "a", "d", 0), (3, "b", "d", 3)]
     got = geometry.equals(spark.createDataFrame(weights, "seed int, u string, v string, n int")).collect()
     assert {(r.seed, r.unit, r.label) for r in got} == {(1, "a", "a"), (1, "b", "a"), (2, "a", "a"), (2, "b", "a")}
+
+
+def test_conjunctions_over_blocks(spark):
+    rng = random.Random(3)
+    once = [(u, s) for u, n in (("a", 200), ("b", 60), ("c", 9), ("d", 1)) for s in rng.choices(range(-50, 400), k=n)]
+    asks = [(1, ["a", "b"]), (2, ["a", "b", "c"]), (3, ["d"]), (4, ["a", "none"]), (5, ["c", "c", "a"])]
+    held = {u: {s for x, s in once if x == u} for u in "abcd"}
+    want = {(q, s) for q, us in asks for s in set.intersection(*(held.get(u, set()) for u in us))}
+    d = spark.createDataFrame(once, "unit string, sid long")
+    asked = spark.createDataFrame([(q, u) for q, us in asks for u in us], "qid int, unit string")
+    for width in (8, blocks.WIDTH):
+        got = blocks.conjunctions(blocks.blocks(d, width), asked, width).collect()
+        assert {(r.qid, r.sid) for r in got} == want and len(got) == len(want)
