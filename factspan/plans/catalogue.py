@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from factspan.functions import redaction, text as tx
 from factspan.operators import audit, clauses, facts as fx, followers, gate, geometry, intervals, ledger, matching, pairs, scores, store, units
 from factspan.plans import inputs as src
-from factspan.plans import evidence, memory, records, structure  # noqa: F401  (they register their queries)
+from factspan.plans import evidence, memory, reading, records, structure  # noqa: F401  (they register their queries)
 from factspan.plans.inputs import CALLS, FACTS, PARTICLES, READING, SENTS, WORDS
 from factspan.plans.named import ORACLES, QUERIES, query  # noqa: F401
 from factspan.session import table
