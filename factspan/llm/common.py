@@ -46,10 +46,13 @@ def fold(modulus: int = 5) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else one of our own (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Only a session on one
+    machine gets one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext.getCheckpointDir()
+        if not made and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: tables that cut lineage need a folder that all executors share")
         if not made:
             spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "factspan-checkpoints"))
             made = spark.sparkContext.getCheckpointDir()

@@ -37,8 +37,9 @@ def _hashed(*words: Column) -> Column:
     return F.xxhash64(*words)
 
 
-def measure(df: DataFrame) -> DataFrame:
-    """doc_id and the counts the rules look at."""
+def measure(df: DataFrame, exact: bool = True) -> DataFrame:
+    """doc_id and the counts the rules look at. Votes only compare shares, so for them repeated
+    windows may be told by their hashes alone (exact=False); n_repeat_words is then an estimate."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = id_text(df).select("doc_id", text.alias("text"))
     d = d.withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
@@ -52,10 +53,17 @@ def measure(df: DataFrame) -> DataFrame:
     d = d.withColumn("sorted", F.sort_array(packed))
     same = F.expr("filter(sorted, (x, i) -> shiftright(x, bits) = shiftright(get(sorted, i - 1), bits) or shiftright(x, bits) = shiftright(get(sorted, i + 1), bits))")
     d = d.withColumn("twice", same)
+    if not exact:
+        d = d.withColumn("at", F.expr("sort_array(transform(twice, x -> x & (shiftleft(1L, bits) - 1)))"))
+        return _counts(d)
     spelt = F.expr("sort_array(transform(twice, x -> struct(concat_ws(' ', slice(words, cast(x & (shiftleft(1L, bits) - 1) as int) + 1, 3)) as w, x & (shiftleft(1L, bits) - 1) as p)))")
     d = d.withColumn("spelt", spelt)
     equal = F.expr("filter(spelt, (x, i) -> x.w <=> get(spelt, i - 1).w or x.w <=> get(spelt, i + 1).w)")
     d = d.withColumn("equal", equal).withColumn("at", F.expr("sort_array(equal.p)"))
+    return _counts(d)
+
+
+def _counts(d: DataFrame) -> DataFrame:
     covered = F.expr("aggregate(transform(at, (p, i) -> least(3L, coalesce(get(at, i + 1) - p, 3L))), 0L, (t, x) -> t + x)")
     return d.select(
         "doc_id",

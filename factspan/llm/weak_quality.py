@@ -2,7 +2,7 @@
 
 The overlapping heuristic labellers of ``rules`` vote on every document; expectation-
 maximisation over the counted vote patterns of the whole corpus estimates their accuracies and
-gives each pattern a posterior. The posteriors label a bounded sample (TRAIN_ROWS) that trains
+gives each pattern a posterior. The posteriors label a bounded sample (TRAIN_ROWS, and TRAIN_CHARACTERS of it) that trains
 a linear scorer over hashed features: shares of lower-cased words, of word shapes, and of
 words that repeat their neighbour. The scorer, not the votes, decides: it generalises to junk
 no labeller saw, and it needs one pass over the texts.
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factspan.llm import rules
-from factspan.llm.common import bounded_sample, documents, id_text, keep, map_texts, materialise
+from factspan.llm.common import documents, id_text, keep, map_texts, materialise
 
 TRAIN_ROWS = 6_000
+#: A sample of longer texts has fewer rows: what is learnt from stays this small.
+TRAIN_CHARACTERS = 32_000_000
 BITS = 16
 STEPS = 150
 LEAST = 0.5
@@ -76,12 +78,12 @@ def _features():
     return step
 
 
-def train_linear(y: np.ndarray, rows: list[np.ndarray], shares: list[np.ndarray], stutters: np.ndarray, steps: int = STEPS) -> dict:
-    """Logistic regression on soft labels, both classes weighing the same; adaptive full-batch steps."""
+def train_linear(y: np.ndarray, doc: np.ndarray, at: np.ndarray, x: np.ndarray, stutters: np.ndarray, steps: int = STEPS) -> dict:
+    """Logistic regression on soft labels, both classes weighing the same; adaptive full-batch steps.
+    Features are flat: document doc[i] has the share x[i] of bucket at[i], once a bucket."""
     w, tail = np.zeros(1 << BITS), np.zeros(2)  # tail: bias and stutter
     if len(y):
-        at, x = np.concatenate(rows), np.concatenate(shares).astype(np.float64)
-        doc = np.repeat(np.arange(len(y)), [len(r) for r in rows])
+        x = x.astype(np.float64)
         weight = y / max(y.sum(), 1) + (1 - y) / max((1 - y).sum(), 1)
         rare = np.bincount(at, minlength=len(w)) < 3  # a bucket of one or two documents only remembers them
         g2w, g2t = np.full(len(w), 1e-8), np.full(2, 1e-8)
@@ -99,22 +101,27 @@ def train_linear(y: np.ndarray, rows: list[np.ndarray], shares: list[np.ndarray]
 
 
 def fit(df: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """Weak labels over the whole table, then the scorer on a bounded sample of them."""
+    """Weak labels over the whole table, then the scorer on a bounded sample of them. Every text is
+    measured once; the sample meets its votes by the hash of id and text."""
     names = [f"vote_{k}" for k in rules.votes()]
-    counted = rules.measure(df).select(*(v.cast("tinyint").alias(f"vote_{k}") for k, v in rules.votes().items()))
-    counted = counted.groupBy(*names).agg(F.count(F.lit(1)).alias("c")).collect()  # at most 3 ** 10 rows
+    docs = id_text(df).select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    measured = rules.measure(docs, exact=False)
+    cast = materialise(measured.select(F.col("doc_id").alias("h"), "word_chars", *(v.cast("tinyint").alias(f"vote_{k}") for k, v in rules.votes().items())), "votes")
+    counted = cast.groupBy(*names).agg(F.count(F.lit(1)).alias("c")).collect()  # at most 3 ** 10 rows
     prior, accuracy = rules.estimate(sorted((tuple(r[k] for k in names), r.c) for r in counted))
-    sample = materialise(bounded_sample(id_text(df), rows), "sample")
     z = F.lit(math.log(prior / (1 - prior)))
-    for vote, a in zip(rules.votes().values(), accuracy):
+    for k, a in zip(names, accuracy):
         up, down = rules.evidence(a)
-        z = z + F.when(vote > 0, up).when(vote < 0, down).otherwise(0.0)
-    # measure() keeps the text's row order only within a row, so texts are joined by their own hash
-    labels = rules.measure(sample.withColumn("doc_id", F.xxhash64("text"))).select(F.col("doc_id").alias("h"), (1 / (1 + F.exp(-z))).alias("posterior")).dropDuplicates(["h"])
-    labelled = sample.withColumn("h", F.xxhash64("text")).join(labels, "h").select("posterior", "text")
-    got = map_texts(labelled, _features, _FEATURES).toArrow()
-    lists = lambda c: [np.array(x) for x in got[c].to_pylist()]
-    model = train_linear(got["posterior"].to_numpy(), lists("at"), lists("share"), got["stutter"].to_numpy())
+        z = z + F.when(F.col(k) > 0, up).when(F.col(k) < 0, down).otherwise(0.0)
+    total, characters = cast.agg(F.count(F.lit(1)), F.coalesce(F.sum("word_chars"), F.lit(0))).first()
+    share = min(1.0, rows / max(total, 1), TRAIN_CHARACTERS / max(characters, 1))
+    drawn = F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(1 << 30)) < math.ceil(share * 2**30)
+    labels = cast.where(drawn).select("h", (1 / (1 + F.exp(-z))).alias("posterior")).dropDuplicates(["h"])
+    sample = docs.withColumnRenamed("doc_id", "h").where(drawn).join(labels, "h").select("posterior", "text")
+    got = map_texts(sample, _features, _FEATURES).toArrow().combine_chunks()
+    flat = lambda c: got[c].combine_chunks().flatten().to_numpy()
+    doc = np.repeat(np.arange(got.num_rows), got["at"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)) if got.num_rows else np.empty(0, dtype=np.int64)
+    model = train_linear(got["posterior"].to_numpy(), doc, flat("at"), flat("share"), got["stutter"].to_numpy()) if got.num_rows else train_linear(np.empty(0), doc, doc, doc, doc)
     return model | {"prior": prior, "accuracy": accuracy}
 
 
