@@ -5,14 +5,15 @@ documents come from one aggregation and stay a table. The most frequent words (a
 chosen by a count threshold so that the bound is proven) travel to the workers; the counts of all
 other words reach the documents through a join.
 
-The model predicts one of a set of symbols from the two before: the end, the most frequent
-words (VOCABULARY at least, growing with the cube root of the training tokens up to
-MOST_VOCABULARY, where the table of normalisers takes 67 MB), and classes of all other words by
-their spelling. The context vector is a sum of position-weighted symbol vectors, its products
-with all output vectors are taken in batches and normalised for every pair of context symbols
-once, so that scoring a token is two table look-ups minus a stored log normaliser. A word outside
-the vocabulary is its class times its smoothed share of the class, unseen words included, so a
-text has a proper probability.
+The model has two levels. It predicts one of a set of symbols from the two before: the end, the most
+frequent words (VOCABULARY at least, more with each doubling of the training tokens, up to
+MOST_VOCABULARY), and CLASSES classes of all other words, by their spelling and their last
+characters, each with vectors of its own as context and as target. A word of a class is its class
+times its smoothed share of the class's tokens, unseen words included, so every word has a
+proper probability from the model and a text has one too. The context vector is a sum of
+position-weighted symbol vectors, its products with all output vectors are taken in batches and
+normalised for every pair of context symbols once, so that scoring a token is two table look-ups
+minus a stored log normaliser. The three tables take 60 MB in a worker at most, whatever the corpus.
 
 Symbols are trained on the counts of all (two before, one before, symbol) triples of all training
 documents, a distributed table. Each epoch takes every triple once, at its count: triples are
@@ -38,11 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factspan.llm.common import documents, fold, id_text, map_texts, materialise
-from factspan.llm.words import SpaceWords, found, summed
+from factspan.llm.words import SpaceWords, found, mix, summed
 
 HEAVY = 300_000
-VOCABULARY, MOST_VOCABULARY = 1024, 4096
-VOCABULARY_GROWTH = 2.5
+VOCABULARY, MOST_VOCABULARY = 1024, 1456
+#: Words more for each doubling of the training tokens beyond a million.
+VOCABULARY_GROWTH = 24
 DIMENSION = 32
 GROUP_ROWS = 1 << 20
 EPOCHS = 3
@@ -50,7 +52,9 @@ NOISE = 64
 BATCH = 1024
 _FLUSH = 1 << 20
 _FLUSH_TOKENS = 4_000_000
-CLASSES = 8
+#: Classes of words without a symbol of their own: how they are spelt, times how they end.
+SPELLINGS, ENDINGS = 8, 96
+CLASSES = SPELLINGS * ENDINGS
 #: Stands for a class where the end tokens are counted; their word is 0.
 END = -1
 
@@ -66,12 +70,17 @@ _BEYOND = np.arange(256) > 127
 
 
 def classes_of(words: SpaceWords) -> np.ndarray:
-    """Spelling class of each word: how it ends, and whether it has digits or is not ASCII."""
+    """Class of each word: its spelling (how it ends, and whether it has digits or is not ASCII) and
+    its last two characters before a mark, which tell languages and forms apart, by a hash of them."""
     last = words.bytes[words.ends - 1]
     mark = np.where(_STOP[last], 0, np.where(_PAUSE[last], 1, 2))
     plain = 2 * mark + words.having(_BEYOND)
     odd = (mark == 2) & ~_LETTER[last] & (last <= 127)
-    return np.where(words.having(_DIGIT), 6, np.where(odd, 7, plain)).astype(np.int32)
+    spelling = np.where(words.having(_DIGIT), 6, np.where(odd, 7, plain))
+    end = words.ends - 1 - (mark < 2)
+    one, two = (np.where(end - k >= words.starts, words.bytes[np.maximum(end - k, 0)], 0).astype(np.uint64) for k in (0, 1))
+    ending = mix(one * np.uint64(257) + two) % np.uint64(ENDINGS)
+    return (spelling * ENDINGS + ending.astype(np.int64)).astype(np.int32)
 
 
 _COUNT_SCHEMA = T.StructType([T.StructField("word", T.LongType()), T.StructField("class", T.IntegerType()), T.StructField("c", T.LongType())])
@@ -142,7 +151,7 @@ class Heavy:
 
 def vocabulary_size(tokens: int) -> int:
     """Words with a symbol of their own, for a number of training tokens."""
-    return min(MOST_VOCABULARY, max(VOCABULARY, int(VOCABULARY_GROWTH * tokens ** (1 / 3))))
+    return min(MOST_VOCABULARY, VOCABULARY + int(VOCABULARY_GROWTH * math.log2(max(1.0, tokens / 1e6))))
 
 
 def contexts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factspan.llm import lbl, preferences, weak_quality
 from factspan.llm.words import SpaceWords
@@ -32,6 +33,64 @@ def test_quality_agrees_with_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def plain_quality(rows, posteriors):
+    """Scores by logistic regression with dictionaries, one document after the other."""
+    docs = []
+    for (_, text), p in zip(rows, posteriors):
+        words = (text or "").split()
+        if words:
+            share = {}
+            for w in words:
+                for b in weak_quality.buckets(w):
+                    share[b] = share.get(b, 0) + 1 / len(words)
+            docs.append((share, sum(a == b for a, b in zip(words, words[1:])) / len(words), p))
+    held = {}
+    for share, _, _ in docs:
+        for b in share:
+            held[b] = held.get(b, 0) + 1
+    up, down = sum(p for *_, p in docs), sum(1 - p for *_, p in docs)
+    w, squares, tail, tails = dict.fromkeys(held, 0.0), dict.fromkeys(held, 1e-8), [0.0, 0.0], [1e-8, 1e-8]
+    for _ in range(weak_quality.STEPS):
+        g, gt = {b: 1e-5 * x for b, x in w.items()}, [0.0, 0.0]
+        for share, stutter, p in docs:
+            z = sum(x * w[b] for b, x in share.items()) + tail[0] + tail[1] * stutter
+            err = (1 / (1 + math.exp(-z)) - p) * (p / max(up, 1) + (1 - p) / max(down, 1))
+            for b, x in share.items():
+                g[b] += x * err
+            gt = [gt[0] + err, gt[1] + err * stutter]
+        for b, x in g.items():
+            if held[b] >= 3:
+                squares[b] += x * x
+                w[b] -= 0.5 * x / math.sqrt(squares[b])
+        for k in (0, 1):
+            tails[k] += gt[k] ** 2
+            tail[k] -= 0.5 * gt[k] / math.sqrt(tails[k])
+    out = []
+    for _, text in rows:
+        words = (text or "").split()
+        z = sum(w.get(b, 0.0) for x in words for b in weak_quality.buckets(x)) / max(len(words), 1) + tail[0] + (tail[1] * sum(map(str.__eq__, words, words[1:])) / len(words) if words else 0)
+        out.append(1 / (1 + math.exp(-z)) if words else 0.0)
+    return out
+
+
+def test_quality_matches_plain_computation(spark):
+    from factspan.llm import rules
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 60").select("doc_id", "text").union(spark.createDataFrame([(900, None), (901, "  "), (902, "a a a b")], SCHEMA)).coalesce(2)
+    cast = rules.measure(docs).select("doc_id", F.struct(*(v.alias(k) for k, v in rules.votes().items())).alias("v")).collect()
+    votes = {r.doc_id: tuple(r.v) for r in cast}
+    patterns = {}
+    for v in votes.values():
+        patterns[v] = patterns.get(v, 0) + 1
+    prior, accuracy = rules.estimate(sorted(patterns.items()))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain_quality(rows, [rules.posterior(votes[i], prior, accuracy) for i, _ in rows])
+    got = {r.doc_id: r for r in weak_quality.classify(docs).collect()}
+    for (i, text), score in zip(rows, want):
+        assert abs(got[i].score - score) < 2e-3 and got[i].n_words == len((text or "").split())
+        assert got[i].kept == (got[i].n_words > 0 and got[i].score >= 0.5)
+
+
 def test_quality_edge_cases(spark):
     got = weak_quality.classify(frame(spark)).collect()
     assert len(got) == len(ODD)
@@ -157,12 +216,20 @@ def test_model_is_trained_on_every_training_token(spark, monkeypatch):
     assert all(np.array_equal(x, y) for x, y in zip(again.values(), lbl.train_counts(triples, v.size)[0].values()))
 
 
+def plain_mix(h):
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> 33)) * factor % 2**64
+    return h ^ (h >> 33)
+
+
 def plain_class(word):
     last = word[-1]
-    if any(c in "0123456789" for c in word):
-        return 6
     mark = 0 if last in ".!?" else 1 if last in ",;:" else 2
-    return 7 if mark == 2 and last.isascii() and not last.isalpha() else 2 * mark + (not word.isascii())
+    raw = (word[:-1] if mark < 2 else word).encode()
+    one, two = (raw[-k] if len(raw) >= k else 0 for k in (1, 2))
+    spelling = 7 if mark == 2 and last.isascii() and not last.isalpha() else 2 * mark + (not word.isascii())
+    spelling = 6 if any(c in "0123456789" for c in word) else spelling
+    return spelling * lbl.ENDINGS + plain_mix(257 * one + two) % lbl.ENDINGS
 
 
 def test_scores_match_brute_force(spark, small_heavy):
@@ -177,10 +244,10 @@ def test_scores_match_brute_force(spark, small_heavy):
     times = Counter(w for r in rows if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 != 1 for w in split(r.text))
     known = dict(zip(fitted["heavy"].words.tolist(), fitted["heavy"].symbols.tolist()))
     symbol = {w: known.get(int(SpaceWords([w]).hashes[0]), 1 + plain_class(w)) for w in {w for r in rows for w in split(r.text)}}
-    assert all(symbol[w] >= 9 or symbol[w] == 1 + plain_class(w) for w in symbol) and sum(x >= 9 for x in symbol.values()) == 64
+    assert all(symbol[w] > lbl.CLASSES or symbol[w] == 1 + plain_class(w) for w in symbol) and sum(x > lbl.CLASSES for x in symbol.values()) == 64
     share = Counter()
     for w, c in times.items():
-        if symbol[w] < 9:
+        if symbol[w] <= lbl.CLASSES:
             share[symbol[w]] += c + 0.5
     want = Counter()
     for r in rows:
@@ -191,7 +258,7 @@ def test_scores_match_brute_force(spark, small_heavy):
                 z = table["one"][one].astype(float) + table["two"][two]
                 m[two, one] = z - math.log(np.exp(z).sum())
             total += m[two, one][s] / math.log(10)
-            if 0 < s < 9:
+            if 0 < s <= lbl.CLASSES:
                 total += math.log10((times[w] + 0.5) / (share[s] + 0.5))
             two, one = one, s
         want[r.doc_id, round(total, 1)] += 1
