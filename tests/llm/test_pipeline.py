@@ -1,8 +1,10 @@
-"""The pipeline against a brute-force version of every stage."""
+"""The pipeline against a brute-force version of every stage, and on odd tables."""
 
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from factspan.llm import langid, packing, pii
 from tests.llm.test_corpus_operators import plain_classes, plain_hits
@@ -70,3 +72,28 @@ def test_stages_and_run(spark, tmp_path):
     for r in out:
         bins[r.sequence_id] += r.length
     assert max(bins.values()) <= 4096
+
+
+def test_run_on_repeated_rows_null_ids_and_clashing_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 60").selectExpr("*", "'x' as node", "1L as row", "'y' as words", "0 as component_id", "array(1) as text_")
+    odd = docs.limit(3).unionByName(docs.limit(1).selectExpr("null as doc_id", *(c for c in docs.columns if c != "doc_id")))
+    long = docs.limit(1).withColumns({"doc_id": F.lit(900).cast("long"), "text": F.repeat(F.lit("the end of it and that is the long of the day in which "), 20_000)})
+    docs.unionByName(odd).unionByName(long).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DIR}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = str(tmp_path)
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, d)
+        assert table.columns == docs.columns
+    out = corpus_pipeline.run(spark, d).collect()
+    pieces = {(r.doc_id, r.piece) for r in out}
+    # a repeated id comes through once; a row without an id is in no class and stays
+    assert len([r for r in out if r.doc_id is not None]) == len([p for p in pieces if p[0] is not None])
+    assert sum(p[0] == 900 for p in pieces) > 50 and any(p[0] is None for p in pieces)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{DIR}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
