@@ -2,6 +2,12 @@
 
 Every stage is one of the operators, works on all rows its predecessor kept, and is written
 as Parquet and read again before the next. All but the last return the columns of documents.
+
+Defined results, stage by stage: null, empty and letterless texts have no language and go first, so
+later stages see them only when called alone, where each keeps them. Rows with a null id are
+judged like others and are in no class of near duplicates; of rows that repeat an id the longest
+text stays. Texts are taken whole, however long. Ties between equal rows change nothing. An empty
+table gives an empty result, and extra columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -14,27 +20,28 @@ from factspan.llm.common import documents, materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined stay."""
+    """Documents whose language is determined stay; null texts and texts without a letter go."""
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class stays, one row of it."""
+    """The document with the smallest id of each class stays, one row of it; rows without an id and texts
+    without words are in no class and stay."""
     return ngram_join.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by a benchmark item go."""
+    """Documents contaminated by a benchmark item go; null texts have no words and stay."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data becomes a mark of its kind."""
+    """Every span of personal data becomes a mark of its kind; null texts stay null."""
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and place."""
+    """Pieces of all documents with their sequence and place; a null text is its end id alone."""
     return packing.pack(docs)
 
 
