@@ -40,9 +40,9 @@ asked as (select qid * 100000 + i qid, u[i] a, lower(u[i + 1]) p, u[i + 2] b, lo
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """(qid, a, p, b, r, c) as in ASKED."""
     d_ = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), units.units(F.col("text")).alias("u"), F.split("text", f"{LETTER}+", -1).alias("b"))
-    plain, particle = (lambda k: f"not array_contains(array({_PLAIN}), lower(u[i + {k}]))"), (lambda k: f"array_contains(array({_P}), lower(u[i + {k}]))")
-    fits = " and ".join([plain(0), particle(1), plain(2), particle(3), plain(4), *(f"b[i + {k}] = ' '" for k in (1, 2, 3, 4))])
-    d_ = d_.where("size(u) > 4").withColumn("at", F.expr(f"filter(sequence(0, size(u) - 5), i -> {fits})"))
+    plain, particle = (lambda k: f"not array_contains(array({_PLAIN}), lower(get(u, i + {k})))"), (lambda k: f"array_contains(array({_P}), lower(get(u, i + {k})))")
+    fits = " and ".join([plain(0), particle(1), plain(2), particle(3), plain(4), *(f"get(b, i + {k}) = ' '" for k in (1, 2, 3, 4))])
+    d_ = d_.where("size(u) > 4").withColumn("at", F.expr(f"filter(sequence(0, greatest(size(u) - 5, 0)), i -> {fits})"))
     d_ = d_.select("qid", "u", F.explode("at").alias("i")).withColumn("qid", F.col("qid") * 100_000 + F.col("i") + 1)
     word = lambda k: F.get("u", F.col("i") + k)
     return d_.select("qid", word(0).alias("a"), F.lower(word(1)).alias("p"), word(2).alias("b"), F.lower(word(3)).alias("r"), word(4).alias("c"))

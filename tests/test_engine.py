@@ -452,29 +452,33 @@ def test_gate_answers_by_hand(spark):
 
 
 def test_gate_queries_use_every_word_of_the_question(spark, tmp_path):
-    """The registered queries against the walk, with questions of more than three words."""
-    from factspan.plans import catalogue
-    from factspan.plans.inputs import PARTICLES
+    """The registered queries against the walk, with questions of every form and answers that pass."""
+    from factspan.plans import catalogue, evidence
     from factspan.plans.inputs import READING as LATIN
 
-    texts = {1: "Red apples of Oslo. The harbourmaster is the keeper of brown lanterns in Bergen, not one lamp.", 2: "Lanterns burn. harbourmaster of Bergen in lanterns of Oslo the sea", 3: "lanterns in the harbourmaster of Bergen is Anna"}
-    items = {5: "Who keeps brown lanterns near the harbourmaster", 6: "lanterns and the harbourmaster", 7: "apples", 21: "harbourmaster lanterns"}
+    texts = {
+        1: "Red apples of Oslo. The keeper of lanterns in Bergen is harbourmaster.", 2: "Lanterns burn. keeper of lamps in Bergen of lanterns in Oslo the sea", 3: "keeper of brown lanterns in Bergen, not one",
+        4: "keeper of ships in Bergen.", 5: "keeper of ships in Bergen the sea of lanterns", 6: "short", 7: "A pilot of ferries to Oslo.",
+    }
+    items = {5: "keeper of lanterns in Bergen the northern sea", 6: "old keeper of lanterns in Bergen", 7: "very old keeper of lanterns in Bergen", 8: "one very old keeper of anchors in Bergen of ships", 9: "apples", 10: "pilot of ships to Oslo", 21: ""}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    codes = Counter()
-    for qid, item in items.items():
-        echo = [w for w in re.findall(r"\w+", item) if w.lower() not in LATIN.functions]
-        ranked = sorted(set(echo), key=lambda w: (-len(w), w))
-        form = ("slot", "predicate", "open")[qid % 3]
-        sought = ranked[1] if len(ranked) > 1 else None
-        q = question(qid, form, ranked[:1], echo, particle=PARTICLES[qid % 7], head=sought if form == "slot" else None, y_forms=[sought] if form == "predicate" and sought else [])
+    codes, passed, forms = Counter(), {}, set()
+    for q in (r.asDict() for r in evidence.read_questions(spark, str(tmp_path)).collect()):
+        forms.add(q["form"])
         for text in texts.values():
             for sent in docs.sentences_of(text, docs.ENDS + "."):
-                if ranked[0] in re.findall(r"\w+", sent):
-                    codes.update(c for *_, found in plain_gate(sent, q, (), LATIN) for c in found)
-    histogram = {r[0]: r[1] for r in catalogue.QUERIES["a18_code_histogram"](spark, str(tmp_path)).collect()}
-    assert histogram == dict(codes) and len(codes) > 5
-    assert catalogue.QUERIES["j8_g4_gate"](spark, str(tmp_path)).columns == ["qid", "forms", "occurrences", "first_sid", "verdict"]
+                if q["seek"] in re.findall(r"\w+", sent):
+                    found = list(plain_gate(sent, q, (), LATIN))
+                    codes.update(c for *_, cs in found for c in cs)
+                    good = [(i, j, answer) for i, j, answer, cs in found if not cs]
+                    passed.setdefault(q["qid"], []).extend(x for x in good if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in good))
+    codes.update({"multiple_answers": sum(len(x) - 1 for x in passed.values() if x)})
+    assert forms == {"slot", "predicate", "open"} and codes["multiple_answers"] > 0
+    assert {r[0]: r[1] for r in catalogue.QUERIES["a18_code_histogram"](spark, str(tmp_path)).collect()} == {c: n for c, n in codes.items() if n}
+    verdicts = {r.qid: (r.forms, r.occurrences, r.verdict) for r in catalogue.QUERIES["j8_g4_gate"](spark, str(tmp_path)).collect()}
+    assert verdicts == {q: (n, len(x), "ANSWER" if n == 1 else "CHOICE") for q, x in passed.items() if x for n in [len({a.lower() for *_, a in x})]}
+    assert {v for *_, v in verdicts.values()} == {"ANSWER", "CHOICE"}
 
 
 def test_unsourced_writes_look_back_only(spark):
