@@ -38,7 +38,7 @@ CAPACITY = 4096
 END_ID = 1
 BLOCK = 4096
 #: Bytes of chunks and ids that a Python worker remembers, and what an entry takes beside them.
-CACHE = 24 << 20
+CACHE = 56 << 20
 _ENTRY = 160
 
 
