@@ -67,6 +67,19 @@ def candidates(occ: DataFrame, questions: DataFrame) -> DataFrame:
     return occ.join(asked, "unit").groupBy("qid", "sid").agg(F.min("pos").alias("subject_pos"))
 
 
+def promising(cands: DataFrame, sentences: DataFrame, questions: DataFrame) -> DataFrame:
+    """The candidates in which a stretch can pass at all: the text holds the slot's head and particle,
+    or the word of the predicate. What units spell together stands so in the text without the
+    characters that do not count, so no passing stretch is lost; the codes of the others are not made."""
+    few = questions.count() <= FEW_QUESTIONS
+    q = questions.select("qid", "form", "particle", "head", "y_forms")
+    text = F.regexp_replace("sent", _any_of(IGNORE), F.lit(""))
+    d = cands.join(sentences.select("sid", text.alias("_text")), "sid").join(F.broadcast(q) if few else q, "qid")
+    slot = (F.col("form") == "slot") & F.contains("_text", F.col("head")) & F.contains(F.lower("_text"), F.lower("particle"))
+    predicate = (F.col("form") == "predicate") & F.exists("y_forms", lambda y: F.contains(F.col("_text"), y))
+    return d.where(slot | predicate).select(*cands.columns)
+
+
 def sentence_arrays(sentences: DataFrame, reading: Reading) -> DataFrame:
     """(sid, sent, and title_words if there) as arrays over the content units: units, what is left of each
     gap after it without the ignorable characters, and running numbers that are equal for units with

@@ -78,9 +78,12 @@ def _(s, d):
     return read_questions(s, d).select("qid", "form", F.array_join("subject", "|").alias("subject"), text("particle"), text("head"), text("y"), text("level"), F.array_join("echo", "|").alias("echo"))
 
 
-def judged(spark: SparkSession, d: str) -> DataFrame:
+def judged(spark: SparkSession, d: str, passing: bool = False) -> DataFrame:
+    """Every stretch of every candidate with its codes, or with `passing` of those where one can pass."""
     sents, q = src.sentences(spark, d), read_questions(spark, d)
     cands = gate.candidates(units.occurrences(sents), q)
+    if passing:
+        cands = gate.promising(cands, sents, q)
     held = sents.join(cands.select("sid").distinct(), "sid", "left_semi")
     return gate.judge(gate.stretches(cands, gate.sentence_arrays(held, READING), q))
 
@@ -135,7 +138,7 @@ passed as (select * from judged j where len(codes) = 0 and not exists (select 1
     f"""with {WALK} select qid, count(distinct lower(answer)) forms, count(*) occurrences, min(sid) first_sid, case when count(distinct lower(answer)) = 1 then 'ANSWER' else 'CHOICE' end verdict from passed group by qid""",
 )
 def _(s, d):
-    return gate.answer_verdicts(gate.maximal(judged(s, d).where(F.size("codes") == 0)))
+    return gate.answer_verdicts(gate.maximal(judged(s, d, passing=True).where(F.size("codes") == 0)))
 
 
 @query("a18_code_histogram", f"with {WALK}, c as (select unnest(codes) code from judged union all select unnest(['multiple_answers']) from passed qualify row_number() over (partition by qid order by sid, i0, i1) > 1) select code, count(*) n from c group by code")
@@ -149,5 +152,5 @@ def _(s, d):
 @query("g5_threads", f"with {WALK} select qid, sid, answer, case when row_number() over (partition by qid order by sid, i0, i1) > 1 then 'multiple_answers' else '' end code from passed")
 def _(s, d):
     """The evidence of each question and what is refused beside it."""
-    late = gate.threads(gate.maximal(judged(s, d).where(F.size("codes") == 0)))
+    late = gate.threads(gate.maximal(judged(s, d, passing=True).where(F.size("codes") == 0)))
     return late.select("qid", "sid", "answer", F.array_join("codes", ",").alias("code"))
