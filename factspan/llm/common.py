@@ -7,6 +7,7 @@ import ctypes
 import gc
 import itertools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -51,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext.getCheckpointDir()
-        if not made and not spark.sparkContext.master.startswith("local["):
+        if not made and not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is not set: tables that cut lineage need a folder that all executors share")
         if not made:
             spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "factspan-checkpoints"))

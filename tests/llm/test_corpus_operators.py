@@ -176,7 +176,7 @@ def test_decontamination_is_linear_in_a_repeated_word(spark):
     decontaminate.hits(docs.limit(1), b).count()
     began = time.time()
     got = decontaminate.hits(docs, b).collect()
-    assert {(r.n_hit, r.n_items) for r in got} == {(5000, 2), (5000, 1)} and time.time() - began < 30
+    assert {(r.n_hit, r.n_items) for r in got} == {(5000, 2), (5000, 1)} and time.time() - began < 60
 
 
 def test_decontamination_empty_tables(spark):
