@@ -60,21 +60,23 @@ def _any_of(chars: str) -> Column:
     return F.lit("[" + re.escape(chars) + "]")
 
 
-def candidates(occ: DataFrame, questions: DataFrame) -> DataFrame:
-    """The sentences that hold a question's first subject (its first word), one row per question and sentence."""
+def candidates(occ: DataFrame, questions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The sentences that hold a question's first subject (its first word), one row per question and
+    sentence; `keep` are columns of the sentence that its occurrences carry along."""
     first = F.col("seek") if "seek" in questions.columns else F.get("subject", F.lit(0)) if dict(questions.dtypes)["subject"].startswith("array") else F.col("subject")
     asked = questions.select("qid", first.alias("unit"))
-    return occ.join(asked, "unit").groupBy("qid", "sid").agg(F.min("pos").alias("subject_pos"))
+    asked = F.broadcast(asked) if keep and questions.count() <= FEW_QUESTIONS else asked
+    return occ.join(asked, "unit").groupBy("qid", "sid").agg(F.min("pos").alias("subject_pos"), *(F.first(c).alias(c) for c in keep))
 
 
-def promising(cands: DataFrame, sentences: DataFrame, questions: DataFrame) -> DataFrame:
-    """The candidates in which a stretch can pass at all: the text holds the slot's head and particle,
+def promising(cands: DataFrame, questions: DataFrame) -> DataFrame:
+    """The candidates (with their sent) in which a stretch can pass at all: the text holds the slot's head and particle,
     or the word of the predicate. What units spell together stands so in the text without the
     characters that do not count, so no passing stretch is lost; the codes of the others are not made."""
     few = questions.count() <= FEW_QUESTIONS
     q = questions.select("qid", "form", "particle", "head", "y_forms")
     text = F.regexp_replace("sent", _any_of(IGNORE), F.lit(""))
-    d = cands.join(sentences.select("sid", text.alias("_text")), "sid").join(F.broadcast(q) if few else q, "qid")
+    d = cands.withColumn("_text", text).join(F.broadcast(q) if few else q, "qid")
     slot = (F.col("form") == "slot") & F.contains("_text", F.col("head")) & F.contains(F.lower("_text"), F.lower("particle"))
     predicate = (F.col("form") == "predicate") & F.exists("y_forms", lambda y: F.contains(F.col("_text"), y))
     return d.where(slot | predicate).select(*cands.columns)

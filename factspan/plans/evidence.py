@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factspan.functions.text import LETTER
-from factspan.operators import gate, questions, scores, units
+from factspan.operators import components, gate, questions, scores, units
 from factspan.plans import inputs as src
 from factspan.plans.inputs import PARTICLES, READING, SENTS
 from factspan.plans.named import query
@@ -80,12 +80,13 @@ def _(s, d):
 
 def judged(spark: SparkSession, d: str, passing: bool = False) -> DataFrame:
     """Every stretch of every candidate with its codes, or with `passing` of those where one can pass."""
-    sents, q = src.sentences(spark, d), read_questions(spark, d)
-    cands = gate.candidates(units.occurrences(sents), q)
+    q = read_questions(spark, d)
+    # the sentence goes along with its words, so texts are cut into sentences once
+    cands = gate.candidates(units.occurrences(src.sentences(spark, d), keep=("sid", "sent")), q, keep=("sent",))
     if passing:
-        cands = gate.promising(cands, sents, q)
-    held = sents.join(cands.select("sid").distinct(), "sid", "left_semi")
-    return gate.judge(gate.stretches(cands, gate.sentence_arrays(held, READING), q))
+        cands = gate.promising(cands, q)
+    cands = components.written(cands, "candidates")
+    return gate.judge(gate.stretches(cands, gate.sentence_arrays(cands.select("sid", "sent").distinct(), READING), q))
 
 
 def _class(chars: str) -> str:
