@@ -17,7 +17,7 @@ minus a stored log normaliser. The three tables take 60 MB in a worker at most,
 
 Symbols are trained on the counts of all (two before, one before, symbol) triples of all training
 documents, a distributed table. Each epoch takes every triple once, at its count: triples are
-spread by hash over groups of about GROUP_ROWS, every group descends from the common parameters
+spread by hash over groups of about GROUP_ROWS, which are sorted and packed once, every group descends from the common parameters
 and their token-weighted mean begins the next epoch. Triples counted above the mean are split
 into equal shares, so that no step is ruled by one of them.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factspan.llm.common import documents, fold, id_text, map_texts, materialise
-from factspan.llm.words import SpaceWords, found, mix, summed
+from factspan.llm.words import Directory, SpaceWords, mix, summed
 
 HEAVY = 300_000
 VOCABULARY, MOST_VOCABULARY = 1024, 1456
@@ -47,6 +47,8 @@ VOCABULARY, MOST_VOCABULARY = 1024, 1456
 VOCABULARY_GROWTH = 24
 DIMENSION = 32
 GROUP_ROWS = 1 << 20
+#: Triples of a group that make one row of the table that the epochs read.
+PACKED_ROWS = 1 << 15
 EPOCHS = 3
 NOISE = 64
 BATCH = 1024
@@ -69,16 +71,17 @@ _STOP, _PAUSE, _DIGIT, _LETTER = _bytes(".!?"), _bytes(",;:"), _bytes("012345678
 _BEYOND = np.arange(256) > 127
 
 
-def classes_of(words: SpaceWords) -> np.ndarray:
-    """Class of each word: its spelling (how it ends, and whether it has digits or is not ASCII) and
-    its last two characters before a mark, which tell languages and forms apart, by a hash of them."""
-    last = words.bytes[words.ends - 1]
+def classes_of(words: SpaceWords, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Class of each word, or of those asked for: its spelling (how it ends, and whether it has digits or is
+    not ASCII) and its last two characters before a mark, which tell languages and forms apart, by a hash of them."""
+    starts, ends = words.starts[which], words.ends[which]
+    last = words.bytes[ends - 1]
     mark = np.where(_STOP[last], 0, np.where(_PAUSE[last], 1, 2))
-    plain = 2 * mark + words.having(_BEYOND)
+    plain = 2 * mark + words.having(_BEYOND, which)
     odd = (mark == 2) & ~_LETTER[last] & (last <= 127)
-    spelling = np.where(words.having(_DIGIT), 6, np.where(odd, 7, plain))
-    end = words.ends - 1 - (mark < 2)
-    one, two = (np.where(end - k >= words.starts, words.bytes[np.maximum(end - k, 0)], 0).astype(np.uint64) for k in (0, 1))
+    spelling = np.where(words.having(_DIGIT, which), 6, np.where(odd, 7, plain))
+    end = ends - 1 - (mark < 2)
+    one, two = (np.where(end - k >= starts, words.bytes[np.maximum(end - k, 0)], 0).astype(np.uint64) for k in (0, 1))
     ending = mix(one * np.uint64(257) + two) % np.uint64(ENDINGS)
     return (spelling * ENDINGS + ending.astype(np.int64)).astype(np.int32)
 
@@ -108,7 +111,7 @@ def _count_words():
         w = SpaceWords(texts)
         ends[0] += len(texts)
         keys, first, counts = np.unique(w.hashes, return_index=True, return_counts=True)
-        held.append((keys, classes_of(w)[first], counts))
+        held.append((keys, classes_of(w, first), counts))
         rows[0] += len(keys)
         if rows[0] > _FLUSH:
             held[:] = [merged()]
@@ -136,15 +139,16 @@ class Heavy:
         order = np.argsort(words)
         self.words, self.counts, self.symbols = words[order], counts[order], symbols[order]
         self.size = 1 + CLASSES + len(by_count)
+        self.directory = Directory(self.words)
 
     def symbols_of(self, w: SpaceWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of the texts one after the other, each with its end; where the words are among
         the frequent ones, and whether they are."""
-        at, known = found(self.words, w.hashes)
+        at, known = self.directory.found(w.hashes)
         out = np.zeros(len(w.owner) + len(w.counts), dtype=np.int64)
-        own = 1 + classes_of(w)
-        if len(self.words):
-            own = np.where(known, self.symbols[at], own)
+        own = self.symbols[at] if len(self.words) else np.zeros(len(at), dtype=np.int32)
+        unknown = np.flatnonzero(~known)
+        own[unknown] = 1 + classes_of(w, unknown)
         out[np.arange(len(w.owner)) + w.owner] = own
         return out, at, known
 
@@ -208,36 +212,75 @@ def start(size: int, seed: int, freq: np.ndarray) -> tuple[list[np.ndarray], lis
     return params, [np.full_like(p, 1e-6) for p in params], noise
 
 
+def _move(p: np.ndarray, m: np.ndarray, g: np.ndarray) -> None:
+    """A step against the gradient g, at a rate by its squares so far (m)."""
+    m += g * g
+    p -= np.float32(0.1) * g / np.sqrt(m)
+
+
+def _move_rows(p: np.ndarray, m: np.ndarray, rows: np.ndarray, values: np.ndarray, scale: np.float32) -> None:
+    """The same for rows of a parameter, each by the sum of its values; a row without any stays as it is.
+    Two numbers are added as one complex one, which halves the additions (a row has an even number)."""
+    by = rows.argsort(kind="stable")
+    rows = rows.take(by)
+    first = np.concatenate(([0], np.flatnonzero(rows[1:] != rows[:-1]) + 1))
+    rows = rows.take(first)
+    g = np.add.reduceat(values.take(by, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+    g *= scale
+    now, squares = p.take(rows, axis=0), m.take(rows, axis=0)
+    _move(now, squares, g)
+    p[rows], m[rows] = now, squares
+
+
 def descend(params: list, grow: list, noise: np.ndarray, rng, prev2: np.ndarray, prev1: np.ndarray, now: np.ndarray, weight: np.ndarray) -> None:
-    """One epoch over weighted triples in random order; params and grow are changed in place."""
+    """One epoch over weighted triples in random order; params and grow are changed in place.
+
+    A batch touches the rows of its own symbols and of its noise alone. A symbol's bias, less its log
+    noise, stands beside its output vector, against a 1 beside the context vector, so that
+    scores, and gradients of both, are single products."""
     r, q, c1, c2, b = params
-    size = len(b)
+    m_r, m_q, m_c1, m_c2, m_b = grow
+    size, width = q.shape
+    total = len(now)
     log_k_noise = np.log(NOISE * noise).astype(np.float32)
-    order = rng.permutation(len(now))
-    lane = np.arange(DIMENSION)
-
-    def gathered(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """The sum of the values of each row, over all rows of a parameter."""
-        return np.bincount((rows[:, None] * DIMENSION + lane).ravel(), values.ravel(), size * DIMENSION).astype(np.float32).reshape(size, DIMENSION)
-
-    for lo in range(0, len(order), BATCH):
-        at = order[lo : lo + BATCH]
-        w, x1, x2, times = now[at], prev1[at], prev2[at], weight[at]
-        fake = rng.choice(size, NOISE, p=noise)
-        h = r[x1] * c1 + r[x2] * c2
-        true = (h * q[w]).sum(1) + b[w]
-        false = h @ q[fake].T + b[fake]
-        g_true = times * (1 / (1 + np.exp(-(true - log_k_noise[w]))) - 1)  # gradient of the loss by the scores
-        g_false = times[:, None] / (1 + np.exp(-(false - log_k_noise[fake])))
-        n = np.float32(1 / len(at))
-        gh = g_true[:, None] * q[w] + g_false @ q[fake]
-        gq = gathered(np.concatenate((w, fake)), np.concatenate((g_true[:, None] * h, g_false.T @ h)))
-        gb = np.bincount(np.concatenate((w, fake)), np.concatenate((g_true, g_false.sum(0))), size).astype(np.float32)
-        gr = gathered(np.concatenate((x1, x2)), np.concatenate((gh * c1, gh * c2)))
-        for p, g, m in zip(params, (gr, gq, (gh * r[x1]).sum(0), (gh * r[x2]).sum(0), gb), grow):
-            g = g * n
-            m += g * g
-            p -= np.float32(0.1) * g / np.sqrt(m)
+    small = np.min_scalar_type(size)
+    order = rng.permutation(total)
+    prev2, prev1, now = (x.astype(small)[order] for x in (prev2, prev1, now))
+    weight = weight[order]
+    upto = noise.cumsum()
+    fakes = (upto / upto[-1]).searchsorted(rng.random((-(-total // BATCH), NOISE)), side="right")
+
+    def beside(vectors: np.ndarray, biases: np.ndarray, filled: float) -> np.ndarray:
+        return np.concatenate((vectors, biases[:, None], np.full((size, 1 + width % 2), filled, dtype=np.float32)), axis=1)
+
+    out, m_out = beside(q, b - log_k_noise, 0), beside(m_q, m_b, 1)
+    most = min(BATCH, total)
+    contexts_, steps, context_steps, scores = (np.zeros(x, dtype=np.float32) for x in ((most, out.shape[1]), (most + NOISE, out.shape[1]), (2 * most, width), (most, NOISE)))
+    contexts_[:, width] = 1
+    for lo, fake in zip(range(0, total, BATCH), fakes):
+        w, x1, x2, times = (x[lo : lo + BATCH] for x in (now, prev1, prev2, weight))
+        k = len(w)
+        h, g_out, g_r, false = contexts_[:k], steps[: k + NOISE], context_steps[: 2 * k], scores[:k]
+        r1, r2, true, noisy = r.take(x1, axis=0), r.take(x2, axis=0), out.take(w, axis=0), out.take(fake, axis=0)
+        np.add(np.multiply(r1, c1, out=g_r[:k]), np.multiply(r2, c2, out=g_r[k:]), out=h[:, :width])
+        # gradients of the loss by the scores
+        g_true = (-times / (1 + np.exp(np.einsum("ij,ij->i", h, true))))[:, None]
+        np.exp(np.matmul(h, -noisy.T, out=false), out=false)
+        false += 1
+        np.divide(times[:, None], false, out=false)
+        n = np.float32(1 / k)
+        gh = false @ noisy[:, :width]
+        gh += g_true * true[:, :width]
+        np.multiply(g_true, h, out=g_out[:k])
+        np.matmul(false.T, h, out=g_out[k:])
+        np.multiply(gh, c1, out=g_r[:k])
+        np.multiply(gh, c2, out=g_r[k:])
+        g_c1, g_c2 = (np.einsum("ij,ij->j", gh, x) * n for x in (r1, r2))
+        _move_rows(r, m_r, np.concatenate((x1, x2)), g_r, n)
+        _move_rows(out, m_out, np.concatenate((w, fake.astype(small))), g_out, n)
+        _move(c1, m_c1, g_c1)
+        _move(c2, m_c2, g_c2)
+    q[:], b[:], m_q[:], m_b[:] = out[:, :width], out[:, width] + log_k_noise, m_out[:, :width], m_out[:, width]
 
 
 def _named(params: list[np.ndarray]) -> dict[str, np.ndarray]:
@@ -262,6 +305,21 @@ def train(sequences: list[np.ndarray], size: int, seed: int = 5, epochs: int = E
 _MODELS = T.StructType([T.StructField("part", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("state", T.BinaryType())])
 
 
+_PACKED = T.StructType([
+    T.StructField("part", T.LongType()), T.StructField("run", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType()),
+])
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """A group's triples in order of their keys, PACKED_ROWS to a row: sorted once, and cheap to shuffle in each epoch."""
+    part, key, c = (table.column(x).to_numpy() for x in ("part", "key", "c"))
+    order = np.argsort(key)  # the same model whatever order the rows come in
+    key, c = key[order], c[order]
+    runs = range(0, len(key), PACKED_ROWS)
+    keys, counts = (pa.array([x[lo : lo + PACKED_ROWS].tobytes() for lo in runs], pa.binary()) for x in (key, c))
+    return pa.table({"part": pa.array(part[: len(runs)], pa.int64()), "run": pa.array(range(len(runs)), pa.int32()), "keys": keys, "counts": counts})
+
+
 def train_counts(triples: DataFrame, size: int, seed: int = 5, epochs: int = EPOCHS) -> tuple[dict[str, np.ndarray], int]:
     """The model of a whole table of triples, and the number of tokens it was trained on."""
     freq, rows, tokens = np.ones(size), 0, 0
@@ -274,27 +332,28 @@ def train_counts(triples: DataFrame, size: int, seed: int = 5, epochs: int = EPO
     shapes, share = [p.shape for p in params], tokens / rows
     cuts = np.cumsum([p.size for p in params + grow])[:-1]
     parts = triples.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(-(-rows // GROUP_ROWS))))
+    packed = materialise(parts.groupBy("part").applyInArrow(_packed, _PACKED), "packed-triples")
     sc = triples.sparkSession.sparkContext
 
     def one_epoch(epoch: int, sent):
         def run(table):
-            key, c, part = (table.column(x).to_numpy() for x in ("key", "c", "part"))
-            order = np.argsort(key)  # the same model whatever order the rows come in
-            key, c = key[order], c[order]
+            part, run_of = table.column("part"), table.column("run").to_numpy()
+            runs = [np.argsort(run_of), *(table.column(x).to_pylist() for x in ("keys", "counts"))]
+            key, c = (np.frombuffer(b"".join(x[i] for i in runs[0]), dtype=np.int64) for x in runs[1:])
             copies = np.ceil(c / share).astype(np.int64)
             weight = np.repeat((c / copies / share).astype(np.float32), copies)
             key = np.repeat(key, copies)
             flat = [x.copy().reshape(s) for x, s in zip(np.split(sent.value, cuts), shapes * 2)]
-            rng = np.random.default_rng([seed, epoch, int(part[0])])
+            rng = np.random.default_rng([seed, epoch, part[0].as_py()])
             descend(flat[:5], flat[5:], noise, rng, key // size // size, key // size % size, key % size, weight)
             state = np.concatenate([x.ravel() for x in flat]).tobytes()
-            return pa.table({"part": part[:1], "weight": pa.array([float(c.sum())]), "state": pa.array([state], pa.binary())})
+            return pa.table({"part": part.slice(0, 1), "weight": pa.array([float(c.sum())]), "state": pa.array([state], pa.binary())})
 
         return run
 
     for epoch in range(epochs):
         sent = sc.broadcast(np.concatenate([x.ravel() for x in params + grow]))
-        models = materialise(parts.groupBy("part").applyInArrow(one_epoch(epoch, sent), _MODELS), "models")
+        models = materialise(packed.groupBy("part").applyInArrow(one_epoch(epoch, sent), _MODELS), "models")
         total, mean = 0.0, np.zeros(cuts[-1] + grow[-1].size)
         for m in models.orderBy("part").toLocalIterator():
             total += m.weight

@@ -76,13 +76,17 @@ class SpaceWords:
         raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
         self.bytes = b = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
         inside = np.zeros(len(b) + 1, dtype=np.int8)
-        inside[1:] = ~_SPACE[b]
+        inside[1:] = ~self._are(_SPACE)
         turn = np.diff(inside)
         self.starts, self.ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
         begins = np.cumsum([0] + [len(r) + 1 for r in raws])
         self.counts = np.diff(np.searchsorted(self.starts, begins))
         self.owner = np.repeat(np.arange(len(texts)), self.counts)
 
+    def _are(self, which: np.ndarray) -> np.ndarray:
+        """Is each byte one of which (by byte value)?"""
+        return np.frombuffer(self.bytes.tobytes().translate(which.tobytes()), dtype=bool)
+
     @functools.cached_property
     def hashes(self) -> np.ndarray:
         out = run_hashes(self.bytes, _BYTES.__getitem__, self.starts, self.ends)
@@ -90,9 +94,11 @@ class SpaceWords:
             out[i] = xxhash.xxh3_64_intdigest(self.bytes[self.starts[i] : self.ends[i]].tobytes())
         return out
 
-    def having(self, which: np.ndarray) -> np.ndarray:
-        """Does a word have a byte of which (by byte value; no white space)?"""
-        return np.logical_or.reduceat(which[self.bytes], self.starts) if len(self.starts) else np.zeros(0, dtype=bool)
+    def having(self, which: np.ndarray, words: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Does a word, of all or of those asked for, have a byte of which (by byte value; no white space)?"""
+        out = np.zeros(len(self.starts), dtype=bool)
+        out[np.searchsorted(self.starts, np.flatnonzero(self._are(which)), side="right") - 1] = True
+        return out[words]
 
 
 @functools.cache
@@ -162,3 +168,28 @@ def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
     return at, table[at] == keys
+
+
+class Directory:
+    """A sorted table of hashes with the places where their leading bits begin, so that most keys take one
+    or two comparisons. Hashes are spread evenly; where they are not, a binary search takes over."""
+
+    def __init__(self, table: np.ndarray):
+        bits = max(1, len(table).bit_length())
+        self.table, self.shift = table, np.uint64(64 - bits)
+        self.begins = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys in the table, and whether they are there."""
+        if not len(self.table):
+            return found(self.table, keys)
+        last = len(self.table) - 1
+        at = np.minimum(self.begins[keys >> self.shift], last)
+        below = np.flatnonzero(self.table[at] < keys)
+        for _ in range(6):
+            if not len(below):
+                break
+            at[below] = np.minimum(at[below] + 1, last)
+            below = below[(self.table[at[below]] < keys[below]) & (at[below] < last)]
+        at[below] = found(self.table, keys[below])[0]
+        return at, self.table[at] == keys

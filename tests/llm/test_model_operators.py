@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factspan.llm import lbl, preferences, weak_quality
-from factspan.llm.words import SpaceWords
+from factspan.llm.common import materialise
+from factspan.llm.words import Directory, SpaceWords
 
 DIR = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -274,3 +276,80 @@ def test_clashing_columns_do_not_reach_the_model(spark):
 
 def test_vocabulary_grows_with_the_corpus():
     assert lbl.vocabulary_size(0) == lbl.VOCABULARY < lbl.vocabulary_size(10**8) < lbl.vocabulary_size(10**9) < lbl.vocabulary_size(10**13) == lbl.MOST_VOCABULARY
+
+
+def plain_descent(params, grow, noise, rng, prev2, prev1, now, weight):
+    """An epoch with gradients over all rows of all parameters."""
+    r, q, c1, c2, b = params
+    log_k_noise = np.log(lbl.NOISE * noise).astype(np.float32)
+    order = rng.permutation(len(now))
+    lane = np.arange(lbl.DIMENSION)
+
+    def gathered(rows, values):
+        return np.bincount((rows[:, None] * lbl.DIMENSION + lane).ravel(), values.ravel(), r.size).astype(np.float32).reshape(r.shape)
+
+    for lo in range(0, len(order), lbl.BATCH):
+        at = order[lo : lo + lbl.BATCH]
+        w, x1, x2, times = now[at], prev1[at], prev2[at], weight[at]
+        fake = rng.choice(len(b), lbl.NOISE, p=noise)
+        h = r[x1] * c1 + r[x2] * c2
+        g_true = times * (1 / (1 + np.exp(-((h * q[w]).sum(1) + b[w] - log_k_noise[w]))) - 1)
+        g_false = times[:, None] / (1 + np.exp(-(h @ q[fake].T + b[fake] - log_k_noise[fake])))
+        gh = g_true[:, None] * q[w] + g_false @ q[fake]
+        gq = gathered(np.concatenate((w, fake)), np.concatenate((g_true[:, None] * h, g_false.T @ h)))
+        gb = np.bincount(np.concatenate((w, fake)), np.concatenate((g_true, g_false.sum(0))), len(b)).astype(np.float32)
+        gr = gathered(np.concatenate((x1, x2)), np.concatenate((gh * c1, gh * c2)))
+        for p, g, m in zip(params, (gr, gq, (gh * r[x1]).sum(0), (gh * r[x2]).sum(0), gb), grow):
+            g = g * np.float32(1 / len(at))
+            m += g * g
+            p -= np.float32(0.1) * g / np.sqrt(m)
+
+
+@pytest.mark.parametrize("size,rows", [(900, 300), (1900, 40 * 1024 + 77)])
+def test_descent_touches_the_rows_of_a_batch_alone(size, rows):
+    """The same parameters as by gradients over all rows; a long epoch takes at most nine tenths of the time."""
+    rng = np.random.default_rng(0)
+    x2, x1, now = (np.minimum(rng.zipf(1.4, rows) - 1, size - 1) for _ in range(3))
+    weight = rng.choice([0.5, 1.0], rows).astype(np.float32)
+    freq, took, states = np.ones(size) + np.bincount(now, minlength=size), {}, {}
+    for f in (plain_descent, lbl.descend) * 3:
+        params, grow, noise = lbl.start(size, 5, freq)
+        began = time.process_time()
+        f(params, grow, noise, np.random.default_rng(3), x2, x1, now, weight)
+        took[f], states[f] = min(took.get(f, math.inf), time.process_time() - began), params + grow
+    for want, got in zip(states[plain_descent], states[lbl.descend]):
+        assert want.shape == got.shape and np.allclose(want, got, rtol=1e-3, atol=1e-4)
+    assert rows < 1024 or took[lbl.descend] < 0.9 * took[plain_descent]
+
+
+def test_epochs_read_packed_rows(spark, monkeypatch):
+    """Triples are grouped and sorted once; each epoch shuffles a row for many of them."""
+    made = {}
+    monkeypatch.setattr(lbl, "materialise", lambda df, name: made.setdefault(name, materialise(df, name)) if name != "models" else materialise(df, name))
+    monkeypatch.setattr(lbl, "GROUP_ROWS", 500)
+    monkeypatch.setattr(lbl, "PACKED_ROWS", 64)
+    keys = np.random.default_rng(1).permutation(20**3)[:1500].tolist()
+    triples = spark.createDataFrame([(k, 1 + k % 7) for k in keys], "key long, c long")
+    assert lbl.train_counts(triples, 20)[1] == sum(1 + k % 7 for k in keys)
+    rows = made["packed-triples"].collect()
+    assert {r.part for r in rows} == {0, 1, 2} and len(rows) <= 1500 // 64 + 3
+    got = [(k, c) for r in rows for k, c in zip(np.frombuffer(r.keys, dtype=np.int64).tolist(), np.frombuffer(r["counts"], dtype=np.int64).tolist())]
+    assert sorted(got) == sorted((k, 1 + k % 7) for k in keys)
+
+
+def test_directory_finds_what_a_search_finds():
+    rng = np.random.default_rng(2)
+    spread = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    crowded = np.unique(rng.integers(0, 1 << 20, 5000, dtype=np.uint64))
+    for table in (spread, crowded, crowded[:1], crowded[:0], np.array([0, (1 << 64) - 1], dtype=np.uint64)):
+        keys = np.concatenate((table, table + np.uint64(1), np.array([0, 5, (1 << 64) - 1], dtype=np.uint64)))
+        at, known = Directory(table).found(keys)
+        assert known.tolist() == np.isin(keys, table).tolist() and (not len(table) or (table[at[known]] == keys[known]).all())
+
+
+def test_classes_of_some_words_are_those_of_all():
+    w = SpaceWords(["Ab1 céd. x, ééé *** 77", None, "the end?"])
+    every = lbl.classes_of(w)
+    assert every.tolist() == [plain_class(x) for x in "ab1 céd. x, ééé *** 77 the end?".split()]
+    for which in ([], [4, 1], [7, 0, 3]):
+        assert lbl.classes_of(w, np.array(which, dtype=np.int64)).tolist() == every[which].tolist()
