@@ -25,6 +25,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -48,12 +49,46 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Known(dict):
+    """Ids by chunk. A chunk that is looked up and not there is taken over from the generation before or, as
+    a word of lower-case Latin letters, which is one piece as it is, goes straight to the merges; all
+    else is None and put off for the whole library."""
+
+    def __init__(self, merge: Callable, mapped: dict[int, str], before: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.merge, self.mapped, self.before = merge, mapped, before
+        self.size = 0
+        self.later: set[str] = set()
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        ids = self.before.get(chunk)
+        if ids is None:
+            if not (chunk.isalpha() and chunk == chunk.lower()):
+                self.later.add(chunk)
+                return None
+            if chunk.isascii():
+                word = chunk
+            elif not _BEYOND_LATIN.search(chunk):
+                word = chunk.translate(self.mapped)
+            else:
+                self.later.add(chunk)
+                return None
+            ids = array("I", [x.id for x in self.merge(word)]).tobytes()
+        self.keep(chunk, ids)
+        return ids
+
+    def keep(self, chunk: str, ids: bytes) -> None:
+        self[chunk] = ids
+        self.size += len(chunk) + len(ids) + _ENTRY
+
+
 class ChunkTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, by way of their chunks.
 
     The vocabulary's normaliser maps white space to one space and its splitter drops it, so a
-    chunk's ids do not depend on its neighbours; known chunks are looked up, and all new ones of
-    a call go through the library as one text, cut again at their places. Texts of Latin letters
+    chunk's ids do not depend on its neighbours; known chunks are looked up, new words are
+    learnt as they are met, and all other new chunks of a call go through the library as one text, cut
+    again at their places. Texts of Latin letters
     are lower-cased first, as the normaliser does one character at a time, and marks that
     end a chunk after a word become a chunk of their own, as the splitter has it.
     """
@@ -64,29 +99,18 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}  # what was known until the last change of generation
-        self.size = 0
         from tokenizers.pre_tokenizers import ByteLevel
 
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = (chr(c) for c in range(0x80, 0x250) if chr(c).isalpha() and chr(c) == chr(c).lower())
         self.mapped = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
+        self.known = self._generation({})
+
+    def _generation(self, before: dict[str, bytes]) -> _Known:
+        return _Known(self.tokenizer.model.tokenize, self.mapped, before)
 
     def _learn(self, missing: list[str]) -> None:
-        """Words of lower-case Latin letters are one piece as they are and go straight to the
-        merges; all else goes through the whole library."""
-        merge, known, other = self.tokenizer.model.tokenize, self.known, []
-        for c in missing:
-            if c.isalpha() and c == c.lower():
-                if c.isascii():
-                    known[c] = array("I", [x.id for x in merge(c)]).tobytes()
-                    continue
-                if not _BEYOND_LATIN.search(c):
-                    known[c] = array("I", [x.id for x in merge(c.translate(self.mapped))]).tobytes()
-                    continue
-            other.append(c)
-        missing = other
+        """Chunks that take the whole library."""
         for lo in range(0, len(missing), 4096):
             part = missing[lo : lo + 4096]
             starts = np.cumsum([0] + [len(c) + 1 for c in part[:-1]])
@@ -96,26 +120,29 @@ class ChunkTokenizer:
             cuts = np.searchsorted(begins, starts).tolist() + [len(ids)]
             raw = ids.tobytes()
             for c, x, y in zip(part, cuts, cuts[1:]):
-                self.known[c] = raw[4 * x : 4 * y]
+                self.known.keep(c, raw[4 * x : 4 * y])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = []
+        known, found, put_off = self.known, [], []
         for t in texts:
             if (t.isascii() or not _BEYOND_LATIN.search(t)) and "<|" not in t:
                 t = (_MARKS if _SYMBOL.search(t) else _LONE_MARK).sub(r" \g<0>", t.lower())
-            split.append(t.replace("\n", " ").split(" "))
-        known = self.known
-        found = [list(map(known.get, chunks)) for chunks in split]
-        missing = {c for chunks, got in zip(split, found) if None in got for c, x in zip(chunks, got) if x is None}
-        if missing:
-            again = [c for c in missing if c in self.before]
-            known.update((c, self.before[c]) for c in again)
-            self._learn([c for c in missing if c not in known])
-            found = [[known[c] if x is None else x for c, x in zip(chunks, got)] if None in got else got for chunks, got in zip(split, found)]
-            self.size += sum(len(c) + len(known[c]) + _ENTRY for c in missing)
-            if self.size > CACHE // 2:
-                self.known, self.before, self.size = {"": b""}, known, 0
-        return [b"".join(got) for got in found]
+            chunks = t.replace("\n", " ").split(" ")
+            got = list(map(known.__getitem__, chunks))
+            if known.later and None in got:
+                put_off.append((len(found), chunks))
+                found.append(got)
+            else:
+                found.append(b"".join(got))
+        if put_off:
+            self._learn(list(known.later))
+            known.later.clear()
+            for i, chunks in put_off:
+                found[i] = b"".join([known[c] if x is None else x for c, x in zip(chunks, found[i])])
+        if known.size > CACHE // 2:
+            known.before = {}
+            self.known = self._generation(known)
+        return found
 
 
 #: Outside it, or for the dotted capital I, lower-casing and composition depend on more than one character.

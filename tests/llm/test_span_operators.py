@@ -335,3 +335,29 @@ def test_plan_places_every_rank_once():
                 assert offset == at
                 at += length
             assert at <= 100
+
+
+def test_chunks_are_looked_up_once(monkeypatch):
+    """A chunk is looked up once wherever it stands, new words included; only others are put off for the library,
+    together. Small memories give the library's ids too, on texts of any kind."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    want = lambda texts: [b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    asked = []
+    texts = ["Novel wordings élan, again wordings", "wordings novel"]
+    encode = packing.ChunkTokenizer(packing.tokenizer_path())
+    whole = encode._learn
+    monkeypatch.setattr(encode, "_learn", lambda missing: asked.append(sorted(missing)) or whole(missing))
+    assert encode([texts[0].replace(",", "")]) == want([texts[0].replace(",", "")]) and asked == []
+    assert encode([*texts, "wordings 42 ***", "42 日本 ***"]) == want([*texts, "wordings 42 ***", "42 日本 ***"])
+    assert asked == [sorted([",", "42", "***", "日本"])]
+
+    rng = random.Random(3)
+    letters = "abzABZéÉß İıǅſ'’.,!#$%&*-_ \n\t\r\u0085 　日本कि٣²ªº<|>endoftext012"
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    monkeypatch.setattr(packing, "CACHE", 20_000)
+    small = packing.ChunkTokenizer(packing.tokenizer_path())
+    for lo in range(0, len(odd), 100):
+        assert small(odd[lo : lo + 100]) == want(odd[lo : lo + 100])
+        assert not small.known.later and small.known.size <= 10_000 and not getattr(small.known.before, "before", None)
