@@ -48,7 +48,7 @@ VOCABULARY_GROWTH = 24
 DIMENSION = 32
 GROUP_ROWS = 1 << 20
 #: Triples of a group that make one row of the table that the epochs read.
-PACKED_ROWS = 1 << 15
+PACKED_ROWS = 1 << 14
 EPOCHS = 3
 NOISE = 64
 BATCH = 1024
@@ -320,6 +320,12 @@ def _packed(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array(part[: len(runs)], pa.int64()), "run": pa.array(range(len(runs)), pa.int32()), "keys": keys, "counts": counts})
 
 
+def _unpacked(table: pa.Table) -> list[np.ndarray]:
+    """The keys and counts of a group, in order."""
+    order = np.argsort(table.column("run").to_numpy())
+    return [np.frombuffer(b"".join(map(table.column(x).to_pylist().__getitem__, order)), dtype=np.int64) for x in ("keys", "counts")]
+
+
 def train_counts(triples: DataFrame, size: int, seed: int = 5, epochs: int = EPOCHS) -> tuple[dict[str, np.ndarray], int]:
     """The model of a whole table of triples, and the number of tokens it was trained on."""
     freq, rows, tokens = np.ones(size), 0, 0
@@ -337,9 +343,7 @@ def train_counts(triples: DataFrame, size: int, seed: int = 5, epochs: int = EPO
 
     def one_epoch(epoch: int, sent):
         def run(table):
-            part, run_of = table.column("part"), table.column("run").to_numpy()
-            runs = [np.argsort(run_of), *(table.column(x).to_pylist() for x in ("keys", "counts"))]
-            key, c = (np.frombuffer(b"".join(x[i] for i in runs[0]), dtype=np.int64) for x in runs[1:])
+            part, (key, c) = table.column("part"), _unpacked(table)
             copies = np.ceil(c / share).astype(np.int64)
             weight = np.repeat((c / copies / share).astype(np.float32), copies)
             key = np.repeat(key, copies)
