@@ -1,13 +1,18 @@
 """Ordered folds: sequential state per key over sorted partitions, in constant memory.
 
 Rows are dealt by key and sorted within their partition, then streamed through Arrow batches; a
-key's state lives from its first row to its last, so no group is ever held as a whole."""
+key's state lives from its first row to its last, so no group is ever held as a whole.
+
+Rows are dealt by a hash of the key and not by the key itself: over a join on the key Spark takes such
+a repartition away, and when the join becomes a broadcast at run time a key's rows stay in the tasks
+of the files they came from, which no state could join."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -38,4 +43,4 @@ def ordered_fold(df: DataFrame, by: list[str], order: str, schema: T.StructType,
         if live and end:
             yield made(list(end(key, state)))
 
-    return df.select(*columns).repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
+    return df.select(*columns).repartition(F.xxhash64(*by)).sortWithinPartitions(*by, order).mapInArrow(run, schema)

@@ -4,10 +4,15 @@ import json
 import random
 import zlib
 
+import duckdb
 import pytest
 
 from factspan.operators import ledger, recorder, replay
+from factspan.plans.catalogue import ORACLES, QUERIES
 from factspan.streaming import windows
+from tests.oracles import agree
+
+DIR = "/root/testdata/sf0.001"
 
 ROW = "run string, i long, op string, args string, result string, state string"
 
@@ -81,6 +86,38 @@ def test_two_writers_make_one_chain(spark, tmp_path):
     assert recorder.rejects(spark, folder).count() == 0 and len(recorder.commits(spark, folder)) == 3
 
 
+@pytest.fixture
+def late_broadcasts(spark):
+    """Joins are planned by shuffle and turned into broadcasts at run time, as happens on large tables."""
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    yield
+    for name in changed:
+        spark.conf.unset(name)
+
+
+def test_runs_stay_whole_over_a_join_that_becomes_a_broadcast(spark, tmp_path, late_broadcasts):
+    folder, columns = str(tmp_path / "recorder"), ("concat('r', id % 50) run", "id ord", "'approval' kind", "'owner' actor", "concat('{\"n\":', id, '}') data")
+    for lo in (0, 1000):
+        recorder.append(spark, folder, spark.range(lo, lo + 1000, 1, 7).selectExpr(*columns))
+    events = recorder.read_events(spark, folder)
+    assert ledger.problems(events).where("sha_mismatch or prev_mismatch or bad_index").count() == 0
+    assert {r.n for r in ledger.head(events).collect()} == {40}
+
+
+def in_many_files(spark, folder):
+    spark.read.parquet(f"{DIR}/events.parquet").repartition(7).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["s10_recorded_heads"])
+def test_recorder_queries_equal_their_sql_over_late_broadcasts(spark, tmp_path, late_broadcasts, name):
+    agree(spark, in_many_files(spark, tmp_path), str(tmp_path), QUERIES[name], ORACLES[name])
+
+
 def test_data_without_a_commit_does_not_count(spark, tmp_path):
     folder = str(tmp_path / "recorder")
     assert recorder.read_events(spark, folder) is None
