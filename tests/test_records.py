@@ -113,7 +113,7 @@ def in_many_files(spark, folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["s10_recorded_heads"])
+@pytest.mark.parametrize("name", ["s10_recorded_heads", "l19_corrections"])
 def test_recorder_queries_equal_their_sql_over_late_broadcasts(spark, tmp_path, late_broadcasts, name):
     agree(spark, in_many_files(spark, tmp_path), str(tmp_path), QUERIES[name], ORACLES[name])
 
