@@ -82,17 +82,26 @@ def promising(cands: DataFrame, questions: DataFrame) -> DataFrame:
     return d.where(slot | predicate).select(*cands.columns)
 
 
+def _once(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns worked out once a row. A filter above a projection, or a loop that names a column
+    once, would have its expression put in their place, and work it out for every element."""
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.explode(F.array(F.struct(*columns))).alias("_x")).select(*others, "_x.*")
+
+
 def sentence_arrays(sentences: DataFrame, reading: Reading) -> DataFrame:
     """(sid, sent, and title_words if there) as arrays over the content units: units, what is left of each
     gap after it without the ignorable characters, and running numbers that are equal for units with
     no break of a kind between them: piece (touching), word (joined), inner (may lie in an answer),
     clause. follows is the first word after a unit; cut tells whether a negation follows in its clause."""
     titles = [F.col("title_words")] if "title_words" in sentences.columns else [F.array().cast("array<string>").alias("title_words")]
-    d = sentences.select("sid", *titles, units(F.col("sent")).alias("tokens"), F.split("sent", f"{LETTER}+", -1).alias("between")).where(F.size("tokens") > 0)
+    d = sentences.select("sid", *titles, units(F.col("sent")).alias("tokens"), F.split("sent", f"{LETTER}+", -1).alias("between"))
+    d = _once(d, "tokens", "between").where(F.size("tokens") > 0)
     d = d.withColumn("at", F.expr(f"filter(sequence(0, size(tokens) - 1), i -> not array_contains({_list(reading.functions)}, lower(tokens[i])))")).where(F.size("at") > 0)
     d = d.withColumn("gap", F.expr("""transform(at, (i, k) -> array_join(flatten(transform(sequence(i + 1, coalesce(get(at, k + 1), size(tokens))),
         j -> if(j < coalesce(get(at, k + 1), size(tokens)), array(between[j], tokens[j]), array(between[j])))), ''))"""))
     d = d.select("sid", "title_words", F.expr("transform(at, i -> tokens[i])").alias("units"), "gap")
+    d = _once(d, "units", "gap")
     letters = F.lit(f"{LETTER}+")
     d = d.withColumns({
         "bare": F.transform("gap", lambda g: F.lower(F.regexp_replace(g, _any_of(IGNORE), F.lit("")))),
@@ -101,6 +110,7 @@ def sentence_arrays(sentences: DataFrame, reading: Reading) -> DataFrame:
         "ended": F.transform("gap", lambda g: g.rlike("[" + re.escape(CLAUSE_END) + "]")),
         "negated": F.transform("gap", lambda g: F.arrays_overlap(F.transform(F.regexp_extract_all(F.regexp_extract(g, "^[^" + re.escape(CLAUSE_END) + "]*", 0), letters, F.lit(0)), F.lower), F.expr(_list(reading.negations)))),
     })
+    d = _once(d, "bare", "words", "marks", "ended", "negated")
     topics = _list((reading.topic, reading.topic + ",", reading.topic + "、"))
     joined = F.transform("bare", lambda b: b.rlike("^[" + re.escape(JOINERS) + "]*$"))
     link = F.expr(f"""transform(bare, (b, k) -> b = '' or array_contains({topics}, b) or (marks[k] = '' and size(words[k]) > 0
@@ -123,8 +133,8 @@ def sentence_arrays(sentences: DataFrame, reading: Reading) -> DataFrame:
 
 
 def _reads(target: str) -> str:
-    """Where touching units spell the target: an array of (i, j)."""
-    return f"""if(coalesce({target}, '') = '', cast(array() as array<struct<i: int, j: int>>), filter(flatten(transform(sequence(0, size(units) - 1),
+    """Where touching units spell the target: an array of (i, j). Only units that the target begins with are tried."""
+    return f"""if(coalesce({target}, '') = '', cast(array() as array<struct<i: int, j: int>>), filter(flatten(transform(filter(sequence(0, size(units) - 1), i -> startswith({target}, spelt[i])),
         i -> transform(sequence(i, least(size(units) - 1, i + length({target}) - 1)), j -> struct(i, j)))),
         x -> piece[x.i] = piece[x.j] and array_join(slice(spelt, x.i + 1, x.j - x.i + 1), '') = {target}))"""
 
@@ -142,37 +152,69 @@ def stretches(cands: DataFrame, arrays: DataFrame, questions: DataFrame, longest
         "y_at": F.expr(f"flatten(transform(y_forms, s -> {_reads('s')}))"),
         "echo_at": F.expr(f"flatten(transform(echo, s -> {_reads('s')}))"),
     }).drop("subject", "chain", "y_forms", "echo", "title_words", "spelt")
+    d = _once(d, "subject_at", "titled", "chain_at", "head_at", "y_at", "echo_at")
     return d.withColumn("subjects", F.size("subject_at")).withColumn("longest", F.lit(longest))
 
 
+# in the clause around the stretch, and not within it
+_BESIDE = "x -> clause[x.i] >= clause[s.i0] and clause[x.j] <= clause[s.i1] and (x.j < s.i0 or x.i > s.i1)"
+_Y = f"filter(y_at, {_BESIDE})"
+#: The rules of G1 over a stretch s, and those of G4, which only refuse what passes all of the first.
+_FIRST = {
+    "question_form_open": "form = 'open'",
+    "question_has_no_subject": "(subjects = 0 and form in ('slot', 'predicate')) or kind_only",
+    "no_subject": f"exists(transform(subject_at, (p, k) -> not exists(p, {_BESIDE}) and not titled[k]), m -> m)",
+    "wrong_arm": "form = 'slot' and not coalesce(follows[s.i1] = particle, false)",
+    "no_slot_head": f"(form = 'slot' and not exists(head_at, {_BESIDE})) or (form = 'predicate' and size({_Y}) = 0)",
+    "not_copular": f"form = 'predicate' and size({_Y}) > 0 and not exists({_Y}, x -> (topic[x.j] and s.i0 = x.j + 1) or (topic[s.i1] and x.i > s.i1 and forall(slice(arm, s.i1 + 2, greatest(x.j - s.i1 - 1, 0)), a -> a)))",
+    "answer_holds_question_unit": "exists(echo_at, x -> x.i >= s.i0 and x.j <= s.i1)",
+    "answer_glued": "(s.i0 > 0 and word[s.i0] = word[greatest(s.i0 - 1, 0)]) or (s.i1 < size(units) - 1 and word[s.i1] = word[least(s.i1 + 1, size(units) - 1)])",
+    "answer_crosses_break": "inner[s.i0] <> inner[s.i1]",
+    "subject_unreadable": "size(unread) > 0",
+}
+_LAST = {"no_subject": f"exists(chain_at, p -> not exists(p, {_BESIDE}))", "answer_polarity_cut": "cut[s.i1]"}
+#: Where a rule of _FIRST holds for every stretch of a sentence, and where it can hold for any, read off the sentence alone.
+_ALL = {
+    "question_form_open": "form = 'open'", "question_has_no_subject": _FIRST["question_has_no_subject"], "subject_unreadable": "size(unread) > 0",
+    "no_slot_head": "(form = 'slot' and size(head_at) = 0) or (form = 'predicate' and size(y_at) = 0)",
+}
+_ANY = {
+    "question_form_open": "false", "question_has_no_subject": "false", "subject_unreadable": "false", "no_subject": "size(subject_at) > 0", "wrong_arm": "form = 'slot'",
+    "no_slot_head": "form in ('slot', 'predicate')", "not_copular": "form = 'predicate' and size(y_at) > 0", "answer_holds_question_unit": "size(echo_at) > 0",
+}
+_EVERY = "flatten(transform(sequence(0, size(units) - 1), a -> transform(sequence(a, least(a + longest, size(units)) - 1), b -> struct(a as i0, b as i1))))"
+
+
 def judge(held: DataFrame) -> DataFrame:
     """G1, then G4: all failing codes of every stretch (units i0 to i1, both included) in listed order; none
     means it passes. The rules of G4 only refuse: a negation cut off and a missing noun of the subject
     chain are looked for where everything else passes. Stretches are judged within the row of their
     sentence, so a long sentence is not copied for each of them."""
-    # in the clause around the stretch, and not within it
-    beside = "x -> clause[x.i] >= clause[s.i0] and clause[x.j] <= clause[s.i1] and (x.j < s.i0 or x.i > s.i1)"
-    y = f"filter(y_at, {beside})"
-    first = {
-        "question_form_open": "form = 'open'",
-        "question_has_no_subject": "(subjects = 0 and form in ('slot', 'predicate')) or kind_only",
-        "no_subject": f"exists(transform(subject_at, (p, k) -> not exists(p, {beside}) and not titled[k]), m -> m)",
-        "wrong_arm": "form = 'slot' and not coalesce(follows[s.i1] = particle, false)",
-        "no_slot_head": f"(form = 'slot' and not exists(head_at, {beside})) or (form = 'predicate' and size({y}) = 0)",
-        "not_copular": f"form = 'predicate' and size({y}) > 0 and not exists({y}, x -> (topic[x.j] and s.i0 = x.j + 1) or (topic[s.i1] and x.i > s.i1 and forall(slice(arm, s.i1 + 2, greatest(x.j - s.i1 - 1, 0)), a -> a)))",
-        "answer_holds_question_unit": "exists(echo_at, x -> x.i >= s.i0 and x.j <= s.i1)",
-        "answer_glued": "(s.i0 > 0 and word[s.i0] = word[greatest(s.i0 - 1, 0)]) or (s.i1 < size(units) - 1 and word[s.i1] = word[least(s.i1 + 1, size(units) - 1)])",
-        "answer_crosses_break": "inner[s.i0] <> inner[s.i1]",
-        "subject_unreadable": "size(unread) > 0",
-    }
-    last = {"no_subject": f"exists(chain_at, p -> not exists(p, {beside}))", "answer_polarity_cut": "cut[s.i1]"}
     listed = lambda rules: "array_compact(array(" + ", ".join(f"if({rules[c]}, '{c}', null)" for c in CODES if c in rules) + "))"
-    every = "flatten(transform(sequence(0, size(units) - 1), a -> transform(sequence(a, least(a + longest, size(units)) - 1), b -> struct(a as i0, b as i1))))"
-    found = held.withColumn("found", F.expr(f"transform({every}, s -> struct(s.i0 as i0, s.i1 as i1, array_join(slice(units, s.i0 + 1, s.i1 - s.i0 + 1), ' ') as answer, {listed(first)} as codes))"))
-    done = F.expr(f"transform(found, s -> struct(s.i0 as i0, s.i1 as i1, s.answer as answer, if(size(s.codes) > 0, s.codes, {listed(last)}) as codes))")
+    found = held.withColumn("found", F.expr(f"transform({_EVERY}, s -> struct(s.i0 as i0, s.i1 as i1, array_join(slice(units, s.i0 + 1, s.i1 - s.i0 + 1), ' ') as answer, {listed(_FIRST)} as codes))"))
+    done = F.expr(f"transform(found, s -> struct(s.i0 as i0, s.i1 as i1, s.answer as answer, if(size(s.codes) > 0, s.codes, {listed(_LAST)}) as codes))")
     return found.select("qid", "sid", F.explode(done).alias("s")).select("qid", "sid", "s.i0", "s.i1", "s.answer", "s.codes")
 
 
+def code_counts(held: DataFrame, times: str | None = None) -> DataFrame:
+    """A18 over what `judge` gives: (code, n), the number of stretches with each code, by the same rules.
+    Stretches are counted within the row of their sentence and are no rows of their own; rules that
+    the sentence alone decides are not asked for each. A row of `held` counts `times` times."""
+    of = F.lit(1) if times is None else F.col(times)
+    d = _once(held.withColumn("every", F.expr(_EVERY)), "every")
+    counts = {c: f"if({_ALL.get(c, 'false')}, size(every), if({_ANY.get(c, 'true')}, size(filter(every, s -> {rule})), 0))" for c, rule in _FIRST.items()}
+    fits = " and ".join(f"not coalesce({rule}, false)" for rule in _FIRST.values())
+    none = " or ".join(f"({rule})" for rule in _ALL.values())
+    d = d.withColumn("clean", F.expr(f"if({none}, cast(array() as array<struct<i0: int, i1: int>>), filter(every, s -> {fits}))"))
+    sums = {c: F.expr(n) for c, n in counts.items()}
+    for c, rule in _LAST.items():
+        refused = F.expr(f"size(filter(clean, s -> {rule}))")
+        sums[c] = sums[c] + refused if c in sums else refused
+    total = d.agg(*(F.coalesce(F.sum(n * of), F.lit(0)).alias(c) for c, n in sums.items()))
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.col(c).alias("n")) for c in sums)))
+    return total.select(rows.alias("x")).select("x.code", "x.n").where("n > 0")
+
+
 def maximal(passed: DataFrame) -> DataFrame:
     """A14 within a sentence: stretches not contained in another that passes."""
     w = W.partitionBy("qid", "sid").orderBy(F.asc("i0"), F.desc("i1")).rowsBetween(W.unboundedPreceding, -1)

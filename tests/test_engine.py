@@ -441,6 +441,33 @@ def test_gate_codes_match_a_walk(spark):
     assert set(seen) == set(gate.CODES) - {"not_quoted", "constructed_unit", "answer_not_word_aligned", "multiple_answers"}
 
 
+def test_code_counts_are_those_of_the_stretches(spark):
+    rng = random.Random(13)
+    bits = ["Rome", "Oslo", "lamp", "keeper", "red", "capital", " ", " ", " the ", " of ", " in ", " is ", ", ", "; ", "-", " not ", "."]
+    sents = [(i, "".join(rng.choice(bits[:6]) + rng.choice(bits[6:]) for _ in range(rng.randint(1, 9))), rng.choice([[], ["Rome"]])) for i in range(120)]
+    sents += [(200, "Rome is the capital of Italy, not of Spain", []), (201, "the of in", []), (202, "...", [])]
+    questions = [
+        question(1, "slot", ["Rome"], ["Rome", "lamp"], particle="of", head="lamp"), question(2, "predicate", ["Rome"], ["Rome", "capital"], y_forms=["capital", "keeper"]), question(3, "open", ["Oslo"], ["Oslo"]),
+        question(4, "slot", ["Oslo"], [], particle="in", head=None), question(5, "predicate", ["lamp"], ["lamp"], y_forms=["red"], unread=["x"]), question(6, "predicate", ["red"], [], y_forms=["Rome"], chain=["red", "Oslo"]),
+        question(7, "predicate", ["lamp"], ["red"], y_forms=["Rome"], kind_only=True), question(8, "slot", ["lamp"], [], particle="in", head="keeper", chain=["lamp", "Oslo"]),
+    ]
+    s = spark.createDataFrame(sents, "sid long, sent string, title_words array<string>")
+    q = spark.createDataFrame([tuple(x.values()) for x in questions], QUESTION)
+    held = gate.stretches(gate.candidates(units.occurrences(s), q), gate.sentence_arrays(s, READING), q).withColumn("times", F.col("qid") % 3)
+    want = Counter()
+    for r in gate.judge(held).collect():
+        want.update({c: r.qid % 3 for c in r.codes})
+    assert {r.code: r.n for r in gate.code_counts(held, "times").collect()} == {c: n for c, n in want.items() if n} and len(want) == 11
+    assert {r.code: r.n for r in gate.code_counts(held).collect()} == Counter(c for r in gate.judge(held).collect() for c in r.codes)
+
+
+def test_sentences_are_cut_once_a_row(spark):
+    """No filter and no loop takes a sentence apart again for each of its units."""
+    s = spark.createDataFrame([(1, "Rome is the capital")], "sid long, sent string")
+    plan = gate.sentence_arrays(s, READING)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("regexp_extract_all(sent" in x for x in plan) and not any("Filter" in x and "regexp_extract_all" in x for x in plan)
+
+
 def test_gate_answers_by_hand(spark):
     q = [question(1, "predicate", ["Italy"], ["Italy", "capital"], y_forms=["capital"]), question(2, "slot", ["lamp"], ["lamp"], particle="in", head="keeper")]
     sents = [(1, "The capital of Italy is Rome.", []), (2, "Milan is the capital of Italy never", []), (3, "the keeper of the lamp in Oslo", []), (4, "the lamp to the keeper of Bergen in Norway", [])]
