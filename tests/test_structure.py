@@ -8,8 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factspan.operators import assembly, blocks, components, geometry, segment, units
-from factspan.plans.catalogue import ORACLES, QUERIES
-from tests.oracles import agree, connect
+from factspan.plans.catalogue import QUERIES
 
 
 def every_cut(run):
